@@ -24,7 +24,7 @@ def confusion(labelled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def confusion_wide(labelled: DataFrame, labels: Sequence[str] = V.OUTCOMES) -> DataFrame:
     """One row per truth, one column per predicted label, zero where nothing was counted."""
-    return labelled.groupBy("truth").pivot("predicted", list(labels)).agg(F.count("*")).na.fill(0)
+    return labelled.groupBy("truth").pivot("predicted", list(labels)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def label_scores(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:

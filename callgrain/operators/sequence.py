@@ -10,7 +10,7 @@ side already has.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,39 +41,76 @@ def neighbours(
     order: Sequence[str],
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
+    among: Column | None = None,
 ) -> DataFrame:
     """Adds columns of the previous / following row of the key.
 
     ``previous`` maps new column name -> source column. ``is_first`` and
-    ``is_last`` (within the key) are added for the directions asked for.
+    ``is_last`` (within the key) are added for the directions asked for. With
+    ``among`` only rows for which it holds count as neighbours.
     """
     part = [*key, chunk]
     inner = W.partitionBy(*part).orderBy(*order)
     across = W.partitionBy(*key).orderBy(chunk)
     position = F.struct(*order)
+    at = position if among is None else F.when(among, position)
     cols, edge_aggs, edge_cols, final = [], [], [], []
     if previous:
         row = F.struct(*[F.col(src).alias(new) for new, src in previous.items()])
-        cols.append(F.lag(row).over(inner).alias("__p"))
-        edge_aggs.append(F.max_by(row, position).alias("__last"))
-        edge_cols.append(F.lag("__last").over(across).alias("__before"))
+        seen = row if among is None else F.when(among, row)
+        cols.append(F.last(seen, ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, -1)).alias("__p"))
+        edge_aggs.append(F.max_by(row, at).alias("__last"))
+        edge_cols.append(F.last("__last", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
         got = F.coalesce(F.col("__p"), F.col("__before"))
         final += [got.getField(new).alias(new) for new in previous] + [got.isNull().alias("is_first")]
     if following:
         row = F.struct(*[F.col(src).alias(new) for new, src in following.items()])
-        cols.append(F.lead(row).over(inner).alias("__n"))
-        edge_aggs.append(F.min_by(row, position).alias("__first"))
-        edge_cols.append(F.lead("__first").over(across).alias("__after"))
+        seen = row if among is None else F.when(among, row)
+        cols.append(F.first(seen, ignorenulls=True).over(inner.rowsBetween(1, W.unboundedFollowing)).alias("__n"))
+        edge_aggs.append(F.min_by(row, at).alias("__first"))
+        edge_cols.append(F.first("__first", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
         got = F.coalesce(F.col("__n"), F.col("__after"))
         final += [got.getField(new).alias(new) for new in following] + [got.isNull().alias("is_last")]
     edges = df.groupBy(*part).agg(*edge_aggs).select(*part, *edge_cols)
     return df.select("*", *cols).join(edges, part).select(*df.columns, *final)
 
 
+Field = Callable[[str], Column]
+
+
 def islands(
-    df: DataFrame, *, key: Sequence[str], chunk: str, order: Sequence[str], starts: Column, name: str
+    df: DataFrame,
+    *,
+    key: Sequence[str],
+    chunk: str,
+    order: Sequence[str],
+    uses: Sequence[str],
+    starts: Callable[[Field, Field], Column],
+    name: str,
 ) -> DataFrame:
-    """Numbers runs of rows: a row whose ``starts`` flag is true opens the next run (1-based)."""
-    return running_sum(
-        df, key=key, chunk=chunk, order=order, sums={name: F.when(starts, F.lit(1)).otherwise(F.lit(0)).cast("bigint")}
+    """Numbers runs of rows (1-based): a row opens a run when it is the first of its key or ``starts`` holds.
+
+    ``starts(current, previous)`` gets two accessors over the columns in
+    ``uses``. Flags and run numbers are made in one pass: a chunk is summarised
+    as its first row, its last row and the runs opened inside it.
+    """
+    part = [*key, chunk]
+    inner = W.partitionBy(*part).orderBy(*order)
+    across = W.partitionBy(*key).orderBy(chunk)
+    position, row = F.struct(*order), F.struct(*uses)
+    field = lambda c: (lambda n: F.col(c).getField(n))
+    opened = F.when(F.col("__p").isNotNull(), F.coalesce(starts(F.col, field("__p")), F.lit(False)).cast("bigint"))
+    flagged = df.select("*", F.lag(row).over(inner).alias("__p")).withColumn("__open", F.coalesce(opened, F.lit(0)))
+    chunks = flagged.groupBy(*part).agg(
+        F.sum("__open").alias("__inside"), F.min_by(row, position).alias("__first"), F.max_by(row, position).alias("__last")
+    ).withColumn("__before", F.lag("__last").over(across))
+    head = F.when(F.col("__before").isNull(), F.lit(1)).otherwise(
+        F.coalesce(starts(field("__first"), field("__before")), F.lit(False)).cast("bigint")
+    )
+    earlier = across.rowsBetween(W.unboundedPreceding, -1)
+    bases = chunks.withColumn("__head", head.cast("bigint")).select(
+        *part, (F.coalesce(F.sum(F.col("__head") + F.col("__inside")).over(earlier), F.lit(0)) + F.col("__head")).alias("__base")
     )
+    upto = inner.rowsBetween(W.unboundedPreceding, 0)
+    numbered = flagged.withColumn("__run", F.sum("__open").over(upto)).join(bases, part)
+    return numbered.select(*df.columns, (F.col("__base") + F.col("__run")).alias(name))

@@ -38,6 +38,8 @@ def with_views(sql: str, *names: str) -> str:
         need(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -45,18 +47,31 @@ def with_views(sql: str, *names: str) -> str:
 
 # SQL forms of callgrain.sources.views, in the dialect of the checking engine.
 DEPENDS = {
-    "truth_v": ("words_v",), "frames_v": ("words_v",), "shifted_v": ("words_v",),
-    "turns_v": ("words_v",), "shifted_turns_v": ("shifted_v",),
+    "truth_v": ("words_v",), "frames_v": ("words_v",), "acted_v": ("words_v",),
+    "turns_v": ("words_v",), "acted_turns_v": ("acted_v",), "boundaries_v": ("acted_turns_v",),
 }
 
 _TURNS = """
-SELECT call_id, turn_id, min(speaker) AS speaker, min(start_ms) AS start_ms, arg_max(end_ms, (turn, pos)) AS end_ms,
-  count(*) AS words, string_agg(word, ' ' ORDER BY turn, pos) AS text, avg(confidence) AS mean_conf
+SELECT call_id, turn_id, min(speaker) AS speaker, min(start_ms) AS start_ms, arg_max(end_ms, (turn, pos)) AS end_ms, min(turn) AS first_turn,
+  count(*) AS words, string_agg(word, ' ' ORDER BY turn, pos) AS text, floor(avg(confidence) * 100 + 0.5) / 100 AS confidence
 FROM (SELECT *, sum(CASE WHEN prev IS DISTINCT FROM speaker THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY turn, pos) AS turn_id
   FROM (SELECT *, lag(speaker) OVER (PARTITION BY call_id ORDER BY turn, pos) AS prev FROM {source}) a) b
 GROUP BY call_id, turn_id
 """
 
+_ACK = "'yeah','yes','yep','yup','okay','ok','right','sure','mm','mhm','hmm','uh-huh','uh','huh','oh','alright','i','see','got','it','thanks','thank','you','sorry','go','ahead','please'"
+_DANGLING = "'the','a','an','and','but','or','to','of','for','with','my','your','i','it''s','it','that','is','are','was','on','in','at','so','because','if','i''m','we','you','this'"
+_BOUNDARIES = f"""
+SELECT *, CASE WHEN overlap >= 0.15 THEN 'simultaneous' WHEN ack AND resumed AND pw >= 3 THEN 'backchannel' WHEN pw >= 3 AND NOT fin AND gap < 0.5 THEN 'interruption' ELSE 'transition' END AS kind
+FROM (SELECT *, (start_ms - pe) / 1000.0 AS gap, greatest(0.0, (pe - start_ms) / 1000.0) AS overlap,
+   len(string_split_regex(trim(text), '\\s+')) <= 3 AND len(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: regexp_replace(lower(w), '[^a-z''-]', '', 'g') NOT IN ({_ACK}))) = 0 AS ack,
+   nxt IS NOT NULL AND nxt = ps AS resumed, string_split_regex(trim(pt), '\\s+')[-1] AS lw,
+   regexp_matches(string_split_regex(trim(pt), '\\s+')[-1], '[.?!]["'')]*$') AS fin,
+   regexp_replace(lower(string_split_regex(trim(pt), '\\s+')[-1]), '[^a-z''-]', '', 'g') IN ({_DANGLING}) AS dangling
+  FROM (SELECT *, lag(speaker) OVER w AS ps, lag(end_ms) OVER w AS pe, lag(text) OVER w AS pt, lag(words) OVER w AS pw, lag(confidence) OVER w AS pc, lead(speaker) OVER w AS nxt
+    FROM acted_turns_v WINDOW w AS (PARTITION BY call_id ORDER BY turn_id)) a WHERE ps IS NOT NULL) b
+"""
+
 VIEWS = {
     "calls_v": """
 SELECT id, owner_id, started_at,
@@ -91,7 +106,7 @@ FROM lineitem
 """,
     "words_v": """
 SELECT call_id, turn, speaker, pos, word, start_ms, start_ms + dur_ms AS end_ms,
-  0.5 + ((length(word) * 7 + pos * 13 + turn * 5) % 50) / 100.0 AS confidence
+  0.5 + ((length(word) * 7 + pos * 13 + turn * 5) % 32) / 64.0 AS confidence
 FROM (SELECT call_id, turn, speaker, pos, word, dur_ms,
     CAST(SUM(dur_ms + gap_ms) OVER (PARTITION BY call_id ORDER BY turn, pos
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - dur_ms AS BIGINT) AS start_ms
@@ -100,7 +115,11 @@ FROM (SELECT call_id, turn, speaker, pos, word, dur_ms,
         FROM (SELECT conv_id AS call_id, turn, role AS speaker, unnest(range(len(string_split(text, ' ')))) AS pos,
                 unnest(string_split(text, ' ')) AS word FROM conversations) x) y) z
 """,
-    "shifted_v": "SELECT * REPLACE (CASE WHEN pos = 0 AND turn % 3 = 1 THEN start_ms - 550 ELSE start_ms END AS start_ms) FROM words_v",
+    "acted_v": """
+SELECT * REPLACE (CASE WHEN pos = 0 AND turn % 3 = 1 THEN start_ms - 550 ELSE start_ms END AS start_ms,
+  CASE WHEN turn % 5 = 2 AND pos = 0 THEN 'Yeah,' WHEN turn % 5 = 2 THEN 'okay.' WHEN turn % 4 = 0 THEN regexp_replace(word, '[.?!]+$', '') ELSE word END AS word)
+FROM words_v WHERE turn % 5 <> 2 OR pos < 2
+""",
     "truth_v": """
 SELECT call_id, turn, speaker AS who, min(start_ms) + 200 AS start_ms, max(end_ms) - 200 AS end_ms
 FROM words_v WHERE turn % 4 <> 3 GROUP BY call_id, turn, speaker
@@ -116,5 +135,6 @@ FROM (SELECT call_id, turn, pos, speaker,
   unnest(range(CAST(floor(start_ms / 50) AS BIGINT), CAST(floor((end_ms - 1) / 50) AS BIGINT) + 1)) AS frame_idx FROM words_v) f
 """,
     "turns_v": _TURNS.format(source="words_v"),
-    "shifted_turns_v": _TURNS.format(source="shifted_v"),
+    "acted_turns_v": _TURNS.format(source="acted_v"),
+    "boundaries_v": _BOUNDARIES,
 }

@@ -102,19 +102,26 @@ def words_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = running_sum(
         words, key=["call_id"], chunk="chunk", order=["turn", "pos"], sums={"clock_ms": F.col("dur_ms") + F.col("gap_ms")}
     )
-    confidence = (F.lit(0.5) + ((F.length("word") * 7 + F.col("pos") * 13 + F.col("turn") * 5) % 50) / 100.0).alias("confidence")
+    # multiples of 1/64, so sums are exact in any order
+    confidence = (F.lit(0.5) + ((F.length("word") * 7 + F.col("pos") * 13 + F.col("turn") * 5) % 32) / 64.0).alias("confidence")
     return timed.select(
         "call_id", "chunk", "turn", "pos", "word", "speaker",
         (F.col("clock_ms") - F.col("dur_ms")).alias("start_ms"), F.col("clock_ms").alias("end_ms"), confidence,
     )
 
 
-def overlapping_words_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words whose every third turn starts before the previous one has ended."""
+def acted_words_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with scripted events: early starts, short acknowledgements and cut sentences."""
     early = (F.col("pos") == 0) & (F.col("turn") % 3 == 1)
-    return words_view(spark, sf_dir).withColumn(
-        "start_ms", F.when(early, F.col("start_ms") - 550).otherwise(F.col("start_ms"))
+    said = (
+        F.when((F.col("turn") % 5 == 2) & (F.col("pos") == 0), "Yeah,")
+        .when(F.col("turn") % 5 == 2, "okay.")
+        .when(F.col("turn") % 4 == 0, F.regexp_replace("word", "[.?!]+$", ""))
+        .otherwise(F.col("word"))
     )
+    return words_view(spark, sf_dir).where("turn % 5 <> 2 OR pos < 2").withColumns({
+        "start_ms": F.when(early, F.col("start_ms") - 550).otherwise(F.col("start_ms")), "word": said,
+    })
 
 
 def truth_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +144,7 @@ def pairs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames_view(spark: SparkSession, sf_dir: str, hop_ms: int = 50) -> DataFrame:
     """Pitch and level frames under every word: the two roles have different registers.
 
-    Columns (call_id, frame_idx, f0, db). Frames outside words do not exist, as
+    Columns (call_id, frame_idx, f0, db, floor_db). Frames outside words do not exist, as
     an unvoiced frame carries no measurement.
     """
     words = words_view(spark, sf_dir)
@@ -152,5 +159,6 @@ def frames_view(spark: SparkSession, sf_dir: str, hop_ms: int = 50) -> DataFrame
             F.col("frame_idx").cast("bigint").alias("frame_idx"),
             (base + wobble).alias("f0"),
             (level + ((F.col("frame_idx") * 5) % 7).cast("double")).alias("db"),
+            F.lit(-70.0).alias("floor_db"),
         )
     )
