@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Binds an expression once. Inside a lambda a plain expression would be evaluated per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def half_up(value: str | Column, digits: int = 0) -> Column:
     """Round half towards plus infinity (Spark's round goes away from zero)."""
     scale = float(10**digits)
