@@ -64,6 +64,22 @@ def outside_script(words: DataFrame, truth: DataFrame, tolerance_ms: int = 300,
     return points_in_intervals(words, spans, key=["call_id"], point=F.col("start_ms") + F.col("end_ms"), lo="lo2", hi="hi2", slot=2 * slot_ms, how="left_anti")
 
 
+def voiced_under(frames: DataFrame, spans: DataFrame, *, hop_ms: float, rounding: str = "cover") -> DataFrame:
+    """Voiced frames joined to the spans they lie under, through (call_id, one-second slot)."""
+    per_slot = max(1, int(1000 / hop_ms))
+    first, last = F.col("start_ms") / hop_ms, F.col("end_ms") / hop_ms
+    if rounding == "cover":
+        first, last = F.floor(first), F.ceil(last) - 1
+    else:
+        first, last = F.floor(first + 0.5), F.floor(last + 0.5) - 1
+    ranged = spans.withColumns({"__lo": F.greatest(F.lit(0), first).cast("bigint"), "__hi": last.cast("bigint")}).where("__hi >= __lo")
+    voiced = frames.where((F.col("f0") > 0) & (F.col("db") > F.col("floor_db") + V.VOICED_ABOVE_FLOOR_DB))
+    out = points_in_intervals(
+        voiced, ranged.drop("start_ms", "end_ms"), key=["call_id"], point=F.col("frame_idx"), lo="__lo", hi="__hi", slot=per_slot
+    )
+    return out.drop("__lo", "__hi")
+
+
 def span_features(
     frames: DataFrame, spans: DataFrame, *, span_key: Sequence[str], hop_ms: float, rounding: str = "cover", with_cep: bool = False
 ) -> DataFrame:
@@ -74,17 +90,7 @@ def span_features(
     ``round`` rounds both ends. The join key is (call_id, one-second slot); the frames of a span are
     bounded by its length.
     """
-    per_slot = max(1, int(1000 / hop_ms))
-    first, last = F.col("start_ms") / hop_ms, F.col("end_ms") / hop_ms
-    if rounding == "cover":
-        first, last = F.floor(first), F.ceil(last) - 1
-    else:
-        first, last = F.floor(first + 0.5), F.floor(last + 0.5) - 1
-    ranged = spans.withColumns({"__lo": F.greatest(F.lit(0), first).cast("bigint"), "__hi": last.cast("bigint")}).where("__hi >= __lo")
-    voiced = frames.where((F.col("f0") > 0) & (F.col("db") > F.col("floor_db") + V.VOICED_ABOVE_FLOOR_DB))
-    pairs = points_in_intervals(
-        voiced, ranged.select(*span_key, "__lo", "__hi"), key=["call_id"], point=F.col("frame_idx"), lo="__lo", hi="__hi", slot=per_slot
-    )
+    pairs = voiced_under(frames, spans.select(*span_key, "start_ms", "end_ms"), hop_ms=hop_ms, rounding=rounding)
     aggs = [
         F.count("*").alias("frames"), nearest_rank("f0", 0.5).alias("f0_median"), nearest_rank("f0", 0.1).alias("f0_p10"),
         nearest_rank("f0", 0.9).alias("f0_p90"), nearest_rank("db", 0.5).alias("level_db"),

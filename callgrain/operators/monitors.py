@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from callgrain import vocab as V
 from callgrain.functions import predicates as P
 from callgrain.functions.columns import micros, ratio
-from callgrain.operators.sequence import islands
+from callgrain.operators.sequence import islands, per_key_stream
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
@@ -152,7 +152,7 @@ def greedy_spacing(df: DataFrame, *, key: str, at: str, gap_us: int, spans: int
 
     steps = grouped.mapInPandas(summarise, f"key {key_type}, span bigint, until bigint, exit bigint")
     ordered = steps.repartition("key").sortWithinPartitions("key", "span", "until")
-    entries = _per_key_stream(ordered, chain, f"key {key_type}, span bigint, entry bigint")
+    entries = per_key_stream(ordered, chain, f"key {key_type}, span bigint, entry bigint")
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,37 +164,6 @@ def greedy_spacing(df: DataFrame, *, key: str, at: str, gap_us: int, spans: int
     return kept.select(F.col("key").alias(key), F.col("at").alias(at))
 
 
-def _per_key_stream(ordered: DataFrame, fold, schema: str) -> DataFrame:
-    """Runs ``fold`` once per key over rows already clustered and sorted, switching keys inside a partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pieces():
-            for b in batches:
-                if len(b) == 0:
-                    continue
-                change = np.flatnonzero(b["key"].to_numpy()[1:] != b["key"].to_numpy()[:-1]) + 1
-                for lo, hi in zip([0, *change], [*change, len(b)]):
-                    yield b.iloc[lo:hi]
-
-        stream = pieces()
-        head = next(stream, None)
-        while head is not None:
-            current, box = head["key"].iloc[0], {"next": None}
-
-            def one_key(first=head, current=current, box=box):
-                yield first
-                for piece in stream:
-                    if piece["key"].iloc[0] != current:
-                        box["next"] = piece
-                        return
-                    yield piece
-
-            yield from fold(one_key())
-            head = box["next"]
-
-    return ordered.mapInPandas(run, schema)
-
-
 def breaches(rates: DataFrame, config: DataFrame, cooldown_us: int = V.SLA_COOLDOWN_MINUTES * MINUTE) -> DataFrame:
     """Breaches that are recorded: at least five calls, above the threshold, none recorded in the last 15 minutes."""
     hits = with_config(rates, config).where(breaching(F.col("total"), F.col("rate_pct"), F.col("max_failure_rate_pct")))
@@ -257,7 +226,7 @@ def quota_replay(
                     out.append((k, t, i))
             yield pd.DataFrame(out, columns=["owner", "at", "tie"])
 
-    refused = _per_key_stream(feed, admit, f"owner {key_type}, at bigint, tie {tie_type}").select(
+    refused = per_key_stream(feed, admit, f"owner {key_type}, at bigint, tie {tie_type}").select(
         F.col("owner").alias(key), F.col("at").alias("__at"), F.col("tie").alias(tie), F.lit(True).alias("__refused")
     ).distinct()
     return typed.join(refused, [key, "__at", tie], "left").select(*df.columns, F.col("__refused").isNull().alias("accepted"))

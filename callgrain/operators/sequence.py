@@ -10,8 +10,10 @@ side already has.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,3 +116,34 @@ def islands(
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
     numbered = flagged.withColumn("__run", F.sum("__open").over(upto)).join(bases, part)
     return numbered.select(*df.columns, (F.col("__base") + F.col("__run")).alias(name))
+
+
+def per_key_stream(ordered: DataFrame, fold, schema: str) -> DataFrame:
+    """Runs ``fold`` once per key over rows already clustered and sorted, switching keys inside a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces():
+            for b in batches:
+                if len(b) == 0:
+                    continue
+                change = np.flatnonzero(b["key"].to_numpy()[1:] != b["key"].to_numpy()[:-1]) + 1
+                for lo, hi in zip([0, *change], [*change, len(b)]):
+                    yield b.iloc[lo:hi]
+
+        stream = pieces()
+        head = next(stream, None)
+        while head is not None:
+            current, box = head["key"].iloc[0], {"next": None}
+
+            def one_key(first=head, current=current, box=box):
+                yield first
+                for piece in stream:
+                    if piece["key"].iloc[0] != current:
+                        box["next"] = piece
+                        return
+                    yield piece
+
+            yield from fold(one_key())
+            head = box["next"]
+
+    return ordered.mapInPandas(run, schema)
