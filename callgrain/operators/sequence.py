@@ -52,27 +52,27 @@ def neighbours(
     ``among`` only rows for which it holds count as neighbours.
     """
     part = [*key, chunk]
-    inner = W.partitionBy(*part).orderBy(*order)
-    across = W.partitionBy(*key).orderBy(chunk)
     position = F.struct(*order)
     at = position if among is None else F.when(among, position)
+
+    def nearest(value: Column, by: Sequence[str], along: Sequence[str], backwards: bool) -> Column:
+        """Closest earlier (or later) non-null value; frames always grow from the start, which stays linear."""
+        w = W.partitionBy(*by).orderBy(*[F.desc(c) if backwards else F.asc(c) for c in along])
+        if among is None:
+            return F.lag(value).over(w)
+        return F.last(value, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+
     cols, edge_aggs, edge_cols, final = [], [], [], []
-    if previous:
-        row = F.struct(*[F.col(src).alias(new) for new, src in previous.items()])
-        seen = row if among is None else F.when(among, row)
-        cols.append(F.last(seen, ignorenulls=True).over(inner.rowsBetween(W.unboundedPreceding, -1)).alias("__p"))
-        edge_aggs.append(F.max_by(row, at).alias("__last"))
-        edge_cols.append(F.last("__last", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-        got = F.coalesce(F.col("__p"), F.col("__before"))
-        final += [got.getField(new).alias(new) for new in previous] + [got.isNull().alias("is_first")]
-    if following:
-        row = F.struct(*[F.col(src).alias(new) for new, src in following.items()])
+    for wanted, tag, backwards, flag in ((previous, "p", False, "is_first"), (following, "n", True, "is_last")):
+        if not wanted:
+            continue
+        row = F.struct(*[F.col(src).alias(new) for new, src in wanted.items()])
         seen = row if among is None else F.when(among, row)
-        cols.append(F.first(seen, ignorenulls=True).over(inner.rowsBetween(1, W.unboundedFollowing)).alias("__n"))
-        edge_aggs.append(F.min_by(row, at).alias("__first"))
-        edge_cols.append(F.first("__first", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
-        got = F.coalesce(F.col("__n"), F.col("__after"))
-        final += [got.getField(new).alias(new) for new in following] + [got.isNull().alias("is_last")]
+        cols.append(nearest(seen, part, order, backwards).alias(f"__{tag}"))
+        edge_aggs.append((F.min_by if backwards else F.max_by)(row, at).alias(f"__edge_{tag}"))
+        edge_cols.append(nearest(F.col(f"__edge_{tag}"), key, [chunk], backwards).alias(f"__far_{tag}"))
+        got = F.coalesce(F.col(f"__{tag}"), F.col(f"__far_{tag}"))
+        final += [got.getField(new).alias(new) for new in wanted] + [got.isNull().alias(flag)]
     edges = df.groupBy(*part).agg(*edge_aggs).select(*part, *edge_cols)
     return df.select("*", *cols).join(edges, part).select(*df.columns, *final)
 

@@ -314,7 +314,7 @@ def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=lambda
     ``settle`` may cut lineage of tables that are read several times.
     """
     numbered = settle(C.phrases(words))
-    fg = settle(foreground(measured_phrases(words, frames, hop_ms)))
+    fg = settle(foreground(settle(measured_phrases(words, frames, hop_ms))))
     voices = settle(voices_per_call(voice_groups(fg)))
     lone = background_words(numbered, fg, voices).withColumn("background", F.lit(True))
     flagged = numbered.drop("phrase_id").join(lone, WORD, "left").withColumn("background", F.coalesce("background", F.lit(False)))
@@ -322,7 +322,7 @@ def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=lambda
     costed = settle(word_costs(flagged.where("NOT background"), frames, voices, hop_ms))
     margin = F.abs(F.col("c0") - F.col("c1")) / (F.col("c0") + F.col("c1") + 1e-9)
     labelled = costed.join(smooth_two_voices(costed), WORD).withColumn("attribution", half_up(F.least(F.lit(0.98), F.lit(0.5) + margin), 2))
-    repaired = settle(repair_short_runs(labelled.drop("c0", "c1"))).select(*WORD, "voice", "attribution")
+    repaired = settle(repair_short_runs(settle(labelled.drop("c0", "c1")))).select(*WORD, "voice", "attribution")
 
     summary_in = voices.select("call_id", "groups", "centres", "delta")
     known = words.groupBy("call_id").agg(F.count_distinct("recognised").alias("recogniser_speakers"))

@@ -1,5 +1,5 @@
 """Registered queries over the driver tables, with their SQL counterparts."""
 
-from callgrain.plans import conversation, ledger, monitors, quality, speech, text
+from callgrain.plans import conversation, ledger, monitors, quality, speech, streams, text
 
-CATALOGS = (ledger.catalog, quality.catalog, monitors.catalog, conversation.catalog, text.catalog, speech.catalog)
+CATALOGS = (ledger.catalog, quality.catalog, monitors.catalog, conversation.catalog, text.catalog, speech.catalog, streams.catalog)

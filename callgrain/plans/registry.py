@@ -129,7 +129,7 @@ SELECT conv_id * 100 + turn AS pair_id, text AS ref, replace(replace(text, ' de
 """,
     "frames_v": """
 SELECT call_id, frame_idx,
-  (CASE WHEN speaker = 'user' THEN 110.0 ELSE 210.0 END + CAST((frame_idx * 7 + pos * 3) % 11 AS DOUBLE))::DOUBLE AS f0,
+  (CASE WHEN turn % 7 = 5 AND turn > 0 THEN 330.0 WHEN speaker = 'user' THEN 110.0 ELSE 210.0 END + CAST((frame_idx * 7 + pos * 3) % 11 AS DOUBLE))::DOUBLE AS f0,
   (CASE WHEN turn % 7 = 5 AND turn > 0 THEN -44.0 ELSE -20.0 END + CAST((frame_idx * 5) % 7 AS DOUBLE))::DOUBLE AS db
 FROM (SELECT call_id, turn, pos, speaker,
   unnest(range(CAST(floor(start_ms / 50) AS BIGINT), CAST(floor((end_ms - 1) / 50) AS BIGINT) + 1)) AS frame_idx FROM words_v) f

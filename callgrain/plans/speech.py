@@ -108,14 +108,14 @@ def two_groups(spark, d):
 
 def heard_words(spark, d):
     """Recogniser labels that miss the second voice in some calls and are wrong now and then."""
-    label = F.when(F.col("call_id") % 4 == 0, F.lit(0)).when((F.col("speaker") == "user") ^ (F.col("pos") % 13 == 5), 0).otherwise(1)
+    label = F.when(F.col("call_id") % 4 == 0, F.lit(0)).when((F.col("speaker") == "user") != (F.col("pos") % 13 == 5), 0).otherwise(1)
     one_voice = F.col("call_id") % 7 == 3
     return words_view(spark, d).where(~one_voice | (F.col("speaker") == "user")).withColumn("recognised", label).drop("speaker")
 
 
 def attributed(spark, d):
     words = settle(heard_words(spark, d))
-    return words, P.attribute(words, frames_view(spark, d, HOP_MS), HOP_MS, settle)
+    return words, P.attribute(words, settle(frames_view(spark, d, HOP_MS)), HOP_MS, settle)
 
 
 @q("w10_w13_word_attribution")
@@ -134,7 +134,7 @@ def attribution_summary(spark, d):
 def background_phrases(spark, d):
     words = settle(words_view(spark, d))
     numbered = C.phrases(words)
-    fg = settle(P.foreground(P.measured_phrases(words, frames_view(spark, d, HOP_MS), HOP_MS)))
+    fg = settle(P.foreground(settle(P.measured_phrases(words, frames_view(spark, d, HOP_MS), HOP_MS))))
     return P.background_words(numbered, fg, P.voices_per_call(P.voice_groups(fg)))
 
 

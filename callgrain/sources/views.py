@@ -20,7 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def calls_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "events").selectExpr(
+    return calls_from_events(table(spark, sf_dir, "events"))
+
+
+def calls_from_events(events: DataFrame) -> DataFrame:
+    """Call rows from event rows, as a table or a stream."""
+    base = events.selectExpr(
         "event_id AS id",
         "user_id AS owner_id",
         "ts AS started_at",
@@ -149,9 +154,10 @@ def frames_view(spark: SparkSession, sf_dir: str, hop_ms: int = 50) -> DataFrame
     """
     words = words_view(spark, sf_dir)
     span = F.sequence(F.floor(F.col("start_ms") / hop_ms), F.floor((F.col("end_ms") - 1) / hop_ms))
-    base = F.when(F.col("speaker") == "user", 110.0).otherwise(210.0)
+    aside = (F.col("turn") % 7 == 5) & (F.col("turn") > 0)  # a quiet third voice
+    base = F.when(aside, 330.0).when(F.col("speaker") == "user", 110.0).otherwise(210.0)
     wobble = ((F.col("frame_idx") * 7 + F.col("pos") * 3) % 11).cast("double")
-    level = F.when((F.col("turn") % 7 == 5) & (F.col("turn") > 0), -44.0).otherwise(-20.0)
+    level = F.when(aside, -44.0).otherwise(-20.0)
     return (
         words.select("call_id", "turn", "pos", "speaker", F.explode(span).alias("frame_idx"))
         .select(
