@@ -209,7 +209,8 @@ def grounded(value: Column, value_numbers: Column, text: Column, text_numbers: C
 
 def plain(text: str | Column) -> Column:
     """Lower case, letters, digits and $ . - kept, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(col(text)), r"[^a-z0-9$.\s-]", " "), r"\s+", " "))
+    # one pass: a run with any other character, or of several blanks, becomes one blank; single blanks are not touched
+    return F.trim(F.regexp_replace(F.lower(col(text)), r" *[^a-z0-9$. -][^a-z0-9$.-]*| {2,}", " "))
 
 
 def value_in_text(value: str | Column, text: str | Column) -> Column:

@@ -95,10 +95,10 @@ def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3) -
     """(fragment_id, text_id) pairs: the normalised fragment (four characters or more) occurs in the normalised text.
 
     A fragment of ``gram`` + 2 words or more has inner words that must occur
-    as whole words in the text, so it is looked up by its rarest inner word
-    group and then verified. Shorter fragments have no such anchor: a few are
-    tested against every text from a size-checked broadcast, more are looked
-    up by their first four characters.
+    as whole words in the text, so it is looked up by one inner word group (the
+    longest one, as long words are rare) and then verified. Shorter fragments
+    have no such anchor: a few are tested against every text from a
+    size-checked broadcast, more are looked up by their first four characters.
     """
     pieces = fragments.where(F.length(F.trim("fragment")) >= 4).select("fragment_id", spoken.plain("fragment").alias("f"))
     pieces = pieces.withColumn("w", F.split("f", " "))
@@ -114,14 +114,18 @@ def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3) -
 
         return let(words, hashed)
 
-    inner = pieces.where(long).select("fragment_id", "f", F.explode(grams(F.col("w"), 1)).alias("g"))
+    def anchor(words: Column) -> Column:
+        def longest(ws: Column) -> Column:
+            at = F.sequence(F.lit(2), F.size(ws) - gram)
+            sized = F.transform(at, lambda i: F.struct(
+                F.length(F.array_join(F.slice(ws, i, gram), "")).alias("n"), F.xxhash64(*[F.element_at(ws, i + k) for k in range(gram)]).alias("g")))
+            return F.array_max(sized)["g"]
+
+        return let(words, longest)
+
+    anchored = pieces.where(long).select("fragment_id", "f", anchor(F.col("w")).alias("g"))
     seen = docs.select("text_id", F.explode(grams(F.split("t", " "), 0)).alias("g"))
-    wanted = seen.join(inner.select("g").distinct(), "g", "left_semi")
-    freq = wanted.groupBy("g").agg(F.count("*").alias("df"))
-    scored = inner.join(freq, "g", "left")
-    everywhere = scored.groupBy("fragment_id").agg(F.bool_or(F.col("df").isNull()).alias("absent"), F.min_by("g", F.struct("df", "g")).alias("g"), F.first("f").alias("f"))
-    anchored = everywhere.where("NOT absent").select("fragment_id", "g", "f")
-    candidates = wanted.join(anchored, "g").select("fragment_id", "text_id", "f").join(docs, "text_id")
+    candidates = seen.join(anchored, "g").select("fragment_id", "text_id", "f").join(docs, "text_id")
     found = candidates.where(F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
 
     short = pieces.where(~long).select("fragment_id", "f")

@@ -22,6 +22,7 @@ from callgrain.operators import conversation as C
 from callgrain.operators.intervals import span_features
 from callgrain.operators.quantiles import nearest_rank_by
 from callgrain.operators.sequence import islands, neighbours, per_key_stream, running_sum
+from callgrain.sources.settle import settle
 
 WORD = ["call_id", "turn", "pos"]
 
@@ -307,11 +308,11 @@ def recogniser_agreement(words: DataFrame) -> DataFrame:
     return both.select("call_id", share.alias("a")).groupBy("call_id").agg(F.max(F.greatest(F.col("a"), 1 - F.col("a"))).alias("agreement"))
 
 
-def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=lambda df: df) -> tuple[DataFrame, DataFrame]:
+def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=settle) -> tuple[DataFrame, DataFrame]:
     """(words with voice, attribution and background; summary per call).
 
     ``words`` carries the recogniser's label as ``recognised`` (null = none).
-    ``settle`` may cut lineage of tables that are read several times.
+    ``settle`` cuts the lineage of tables that several later steps read; without it the plan would repeat them.
     """
     numbered = settle(C.phrases(words))
     fg = settle(foreground(settle(measured_phrases(words, frames, hop_ms))))

@@ -12,7 +12,7 @@ from callgrain.operators import conversation as C
 from callgrain.operators import grounding as G
 from callgrain.plans.ledger import rounded
 from callgrain.plans.registry import Catalog
-from callgrain.sources.views import pairs_view, table
+from callgrain.sources.views import conversations, documents, pairs_view, table
 
 catalog = Catalog()
 q = catalog.query
@@ -57,7 +57,7 @@ def said(spark, d):
         .when(n % 6 == 4, F.concat(F.lit(" order 20759"), s(n % 10), F.lit(". 20759"), s(n % 10), F.lit(" again 5500000000000004")))
         .otherwise(F.lit(""))
     )
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.concat("text", extra).alias("said"))
+    return documents(spark, d).select("doc_id", "lang", "source", F.concat("text", extra).alias("said"))
 
 
 @q("t01_redacted_documents", f"WITH d AS ({SAID}) SELECT doc_id, md5(redacted) AS digest, length(redacted) AS n_chars FROM ({REDACTED}) x")
@@ -115,7 +115,7 @@ SELECT lang, count(*) FILTER (WHERE trim(text) = '' OR len(string_split_regex(re
 FROM documents GROUP BY 1
 """)
 def incoherent(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count_if(P.incoherent("text")).alias("incoherent"), F.count("*").alias("n"))
+    return documents(spark, d).groupBy("lang").agg(F.count_if(P.incoherent("text")).alias("incoherent"), F.count("*").alias("n"))
 
 
 QA = """SELECT a.conv_id, a.turn, a.text || ' ' || a.conv_id AS question, CASE a.conv_id % 3 WHEN 0 THEN 'I''m sorry, I don''t have a record of order ' || (a.conv_id + a.turn % 2) || '.' WHEN 1 THEN b.text ELSE 'Unable to find it in ' || a.conv_id END AS reply
@@ -123,7 +123,7 @@ QA = """SELECT a.conv_id, a.turn, a.text || ' ' || a.conv_id AS question, CASE a
 
 
 def question_pairs(spark, d):
-    c = table(spark, d, "conversations")
+    c = conversations(spark, d)
     asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
     replied = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
     conv = F.col("conv_id").cast("string")
@@ -189,7 +189,7 @@ SELECT doc_id, sum(rc)::BIGINT AS expected, sum(least(rc, hc))::BIGINT AS matche
 def number_accuracy(spark, d):
     from callgrain.operators import textscore as X
 
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("ref"), F.replace("text", F.lit("3"), F.lit("8")).alias("hyp"))
+    docs = documents(spark, d).select("doc_id", F.col("text").alias("ref"), F.replace("text", F.lit("3"), F.lit("8")).alias("hyp"))
     rows = docs.select("doc_id", S.written_numbers("ref").alias("ref_numbers"), S.written_numbers("hyp").alias("hyp_numbers"))
     return X.number_accuracy(rows, ["doc_id"])
 
@@ -210,7 +210,7 @@ def number_sets(spark, d):
 
 def extracted(spark, d):
     """Values a model may have extracted from each conversation: some said, some invented."""
-    c = table(spark, d, "conversations")
+    c = conversations(spark, d)
     words = F.split("text", r"\s+")
     return c.where("turn < 4").select(
         F.col("conv_id").alias("call_id"), F.when(F.col("turn") % 2 == 0, "order_ids").otherwise("dates").alias("key"),
@@ -219,7 +219,7 @@ def extracted(spark, d):
 
 
 def numbered_turns(spark, d):
-    return table(spark, d, "conversations").select(
+    return conversations(spark, d).select(
         F.col("conv_id").alias("call_id"), F.col("turn").alias("turn_id"), F.when(F.col("role") == "user", 0).otherwise(1).alias("speaker"),
         F.concat("text", F.when(F.col("turn") == 1, F.concat(F.lit(" order "), F.col("conv_id").cast("string"))).otherwise(F.lit(""))).alias("text"), (F.col("turn") % 7 == 6).alias("uncertain"))
 
@@ -256,13 +256,13 @@ SELECT fragment_id, text_id FROM f JOIN t ON contains(t, f)
 def fragment_grounding(spark, d):
     passages = table(spark, d, "benchmark").select(F.col("item_id").alias("fragment_id"), F.col("text").alias("fragment"))
     names = table(spark, d, "nation").select((100000 + F.col("n_nationkey")).cast("bigint").alias("fragment_id"), F.col("n_name").alias("fragment"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("text_id"), "text")
     return G.ground_fragments(passages.unionByName(names), docs)
 
 
 @q("t13_ambiguous_amounts")
 def ambiguous_amounts(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<!\d)(\d{4}|\d{1,3}[ ,]\d{2})(?!\d)"), F.lit(1))).alias("amounts"))
+    docs = documents(spark, d).select("doc_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<!\d)(\d{4}|\d{1,3}[ ,]\d{2})(?!\d)"), F.lit(1))).alias("amounts"))
     notes = docs.select("doc_id", F.size("amounts").alias("amounts"), S.ambiguous_amounts(F.col("amounts"), "text").alias("notes"))
     return notes.select("doc_id", "amounts", F.size("notes").alias("flagged"), F.array_join("notes", "|").alias("notes"))
 
@@ -272,13 +272,13 @@ def spoken_corrections(spark, d):
     n = F.col("doc_id")
     s = lambda x: x.cast("string")
     line = F.when(n % 3 == 0, F.concat(F.lit(" it was $"), s(40 + n % 50), F.lit(" no sorry, $"), s(20 + n % 60), F.lit("."))).otherwise(F.lit(" the twelfth... no, the fourteenth. Then 5 or 4821."))
-    texts = table(spark, d, "documents").select("doc_id", F.concat("text", line).alias("text"))
+    texts = documents(spark, d).select("doc_id", F.concat("text", line).alias("text"))
     return texts.select("doc_id", F.inline(S.spoken_corrections("text")))
 
 
 @q("u05_new_corrections")
 def new_corrections(spark, d):
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("call_id"), F.concat("text", F.lit(" it was $40 no sorry, $"), (30 + F.col("doc_id") % 30).cast("string")).alias("text"))
+    texts = documents(spark, d).select(F.col("doc_id").alias("call_id"), F.concat("text", F.lit(" it was $40 no sorry, $"), (30 + F.col("doc_id") % 30).cast("string")).alias("text"))
     found = texts.select("call_id", F.inline(S.spoken_corrections("text")))
     known = texts.where("call_id % 2 = 0").select("call_id", (30 + F.col("call_id") % 30).cast("string").alias("corrected"))
     return G.undetected_corrections(found, known)

@@ -19,6 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Spreads a scan that is narrower than the cluster before row-heavy text work.
+
+    A large table has far more splits than cores and passes through unchanged;
+    only a table of a few small files is hashed over the cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
 def calls_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls_from_events(table(spark, sf_dir, "events"))
 
@@ -86,7 +104,7 @@ def words_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     operator partitions by, so one long call does not become one task.
     """
     words = (
-        table(spark, sf_dir, "conversations")
+        conversations(spark, sf_dir)
         .select(
             F.col("conv_id").alias("call_id"),
             F.expr(f"turn div {TURNS_PER_CHUNK}").alias("chunk"),
@@ -139,7 +157,7 @@ def truth_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr(
+    return conversations(spark, sf_dir).selectExpr(
         "conv_id * 100 + turn AS pair_id",
         "text AS ref",
         "replace(replace(text, ' de ', ' '), ' la ', ' le ') AS hyp",

@@ -2,7 +2,7 @@
 
 Rows wait in state until the watermark has passed them and are then replayed
 in event-time order, so the result does not depend on how the stream was cut
-into batches; rows behind the watermark are dropped by Spark. State holds the
+into batches; rows that arrive behind the watermark are dropped. State holds the
 rows younger than the watermark plus one window, and timers remove it.
 """
 
@@ -55,7 +55,9 @@ class Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fields = ["at_us", *[n for n, _ in self.payload]]
-        fresh = [r for b in rows for r in b[fields].itertuples(index=False, name=None)]
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        # rows at or behind the watermark are late: what they would have changed may be out already
+        fresh = [r for b in rows for r in b[fields].itertuples(index=False, name=None) if r[0] > passed_us]
         yield from self._replay(key, fresh, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
