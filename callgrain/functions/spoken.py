@@ -213,11 +213,6 @@ def plain(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(text)), r" *[^a-z0-9$. -][^a-z0-9$.-]*| {2,}", " "))
 
 
-def value_in_text(value: str | Column, text: str | Column) -> Column:
-    v, t = col(value), col(text)
-    return grounded(v, F.concat(number_tokens(v), ordinal_numbers(v)), t, number_set(t))
-
-
 # ----------------------------------------------------- corrections, ambiguity
 
 _ORDINAL_HINT = "|".join(V.ORDINAL_WORDS)

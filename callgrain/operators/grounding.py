@@ -28,6 +28,13 @@ def with_value_numbers(values: DataFrame, value: str = "value") -> DataFrame:
     ).drop("__spoken")
 
 
+def with_value_in_text(df: DataFrame, value: str, text: str, name: str = "said") -> DataFrame:
+    """Adds whether ``value`` occurs in ``text``; both number sets are made once per row, outside the expression."""
+    rows = with_value_numbers(with_numbers(df, text, "__text_numbers"), value)
+    said = spoken.grounded(F.col(value), F.col("value_numbers"), F.col(text), F.col("__text_numbers"))
+    return rows.withColumn(name, said).drop("__text_numbers", "value_numbers")
+
+
 def packed_values(values: DataFrame) -> DataFrame:
     """(call_id, values): the extracted values of a call as one array.
 
