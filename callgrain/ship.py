@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,4 +21,7 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
     context.addPyFile(str(target))
+    # the driver-side runner of stateful streaming reads the path from the environment, not from added files
+    known = context.environment.get("PYTHONPATH", "")
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(target), known]))
     context._callgrain_shipped = True

@@ -33,7 +33,7 @@ def audio_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _u32(content: Column, offset: int) -> Column:
     """Little-endian unsigned 32-bit number at a byte offset."""
-    byte = lambda i: F.conv(F.hex(F.substring(content, offset + 1 + i, 1)), 16, 10).cast("bigint")
+    byte = lambda i: F.conv(F.hex(F.substring(content, offset + 1 + i, 1)), 16, 10).try_cast("bigint")
     return byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
 
 
@@ -159,6 +159,8 @@ def audio_frames(files: DataFrame) -> DataFrame:
                     continue
                 fr = voice_frames(*pcm)
                 n = len(fr["db"])
+                if n == 0:
+                    continue
                 yield pd.DataFrame({
                     "path": path, "frame_idx": np.arange(n), "hop_s": fr["hop_s"], "f0": fr["f0"], "voicing": fr["voicing"], "db": fr["db"],
                     "floor_db": fr["floor_db"], "cep": list(fr["cep"]),
