@@ -38,7 +38,10 @@ def _u32(content: Column, offset: int) -> Column:
 
 
 def catalog(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """(id, kind, bytes, duration_s[, manifest columns]): duration from the WAV header, null for other formats."""
+    """(id, kind, bytes, duration_s[, manifest columns]): duration from the WAV header, null for other formats.
+
+    Zero-byte files never reach this point: Spark's binary source does not list them.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     size = F.length("content").cast("bigint")
     wav = (F.substring("content", 1, 4) == F.lit(b"RIFF")) & (F.substring("content", 9, 4) == F.lit(b"WAVE"))
