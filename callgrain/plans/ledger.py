@@ -400,7 +400,7 @@ def stage_latency_by_tenant(spark, d):
     return rounded(L.stage_latency(calls_view(spark, d), stages_view(spark, d), ["owner_id"]), 6)
 
 
-@q("a07_pipeline_seconds", """
+@q("a07_stage_seconds", """
 SELECT call_id, round(sum(duration_ms) / 1000.0, 6) AS pipeline_s FROM stages_v WHERE stage IN ('stt', 'llm', 'tts') GROUP BY 1
 """, ("stages_v",))
 def pipeline_seconds(spark, d):
