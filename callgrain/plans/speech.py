@@ -19,7 +19,7 @@ from callgrain.plans.ledger import rounded
 from callgrain.plans.registry import Catalog
 from callgrain.sources import audio, recogniser
 from callgrain.sources.settle import settle
-from callgrain.sources.views import acted_words_view, calls_view, frames_view, stages_view, table, truth_view, words_view
+from callgrain.sources.views import acted_words_view, calls_view, frames_view, spread, stages_view, table, truth_view, words_view
 
 catalog = Catalog()
 q = catalog.query
@@ -214,7 +214,7 @@ def recordings(spark, d):
                 out.append((f"/recordings/clip-{vid}.wav", head + pcm))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(render, "path string, content binary")
+    return spread(table(spark, d, "embeddings"), "vec_id").select("vec_id", "embedding").mapInPandas(render, "path string, content binary")
 
 
 @q("s08_audio_catalog", """
