@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import bpe, packing, sharding
+from callgrain.llm import bpe, packing, rules, sharding
 from callgrain.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severity", "level")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = dict.fromkeys(range(SHARDS), 1.0)
     placed = sharding.assign(table(spark, sf_dir, "documents"), even, even | {SHARDS: 1.0})
@@ -34,9 +39,40 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op5_rules, op9_sharding, op10_packing)}
 _UNIT = "((('0x' || substr(md5('shard:' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
+_RISK, _ERROR = 0.03, 0.1
+_TAILS = ", ".join(
+    f"""CASE WHEN x{i} >= n * {_RISK} THEN 1.0 ELSE list_sum(list_transform(range(CAST(x{i} AS BIGINT) + 1), lambda k:
+ exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + k * ln({_RISK}) + (n - k) * ln(1 - {_RISK})))) END <= {_ERROR} / strata AS ok{i}"""
+    for i in range(len(rules.LEVELS))
+)
+_LEVEL = "".join(f" WHEN NOT ok{i} THEN {rules.LEVELS[i - 1] if i else 'NULL'}" for i in range(len(rules.LEVELS)))
+_X = ", ".join(f"count(*) FILTER (WHERE severity > {v}) AS x{i}" for i, v in enumerate(rules.LEVELS))
+_SX = ", ".join(f"sum(x{i}) AS x{i}" for i in range(len(rules.LEVELS)))
+_BLANK = r"[\x20\x09-\x0D]+"
 SQL = {
+    "op5_rules": rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM d WHERE len(w) > 8) x),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) x WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) x GROUP BY doc_id),
+c AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_BLANK}', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words,
+  CAST(length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_capitals FROM d LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, greatest(n_symbols / greatest(word_chars, 1) / 0.05::DOUBLE, n_dup_lines / greatest(n_lines, 1) / 0.5::DOUBLE,
+  n_repeat_words / greatest(n_words, 1) / 0.3::DOUBLE, n_capitals / greatest(word_chars, 1) / 0.3::DOUBLE) AS severity,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+sums AS (SELECT lang, count(*) AS n, {_X}, (count(*) OVER ()) + 1 AS strata FROM v JOIN (SELECT doc_id, bool_and(quality = 1) AS good FROM labels GROUP BY doc_id) USING (doc_id)
+  WHERE good AND NOT base_failed GROUP BY lang),
+pooled AS (SELECT CASE WHEN n * ln(1 - {_RISK}) <= ln({_ERROR} / strata) THEN lang END AS s, sum(n) AS n, max(strata) AS strata, {_SX} FROM sums GROUP BY 1),
+tested AS (SELECT s, {_TAILS} FROM pooled),
+found AS (SELECT s, CASE{_LEVEL} ELSE {rules.LEVELS[-1]} END::DOUBLE AS level FROM tested),
+j AS (SELECT v.*, CASE WHEN f.s IS NOT NULL THEN f.level ELSE (SELECT level FROM found WHERE s IS NULL) END AS level FROM v LEFT JOIN found f ON v.lang = f.s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(severity > level, false) AS kept, severity, level FROM j
+""",
     "op9_sharding": f"""
 WITH bids AS (SELECT doc_id, text, s, -ln({_UNIT}) AS bid FROM documents, range({SHARDS + 1}) r(s)),
 won AS (SELECT doc_id, any_value(text) AS text, arg_min(s, bid) AS grown, arg_min(s, bid) FILTER (WHERE s < {SHARDS}) AS shard FROM bids GROUP BY doc_id)
