@@ -61,15 +61,15 @@ class Encoder:
         chunk = rf"[^{BLANK}]+" if self.whole_words else rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
         self.chunks = re.compile(chunk).findall
         self.parts = regex.compile(WORD_PATTERN if self.whole_words else BYTE_PATTERN).findall
-        self.part_ids = Kept(self.merged, most=600_000)
+        self.part_ids = Kept(self.merged, most=300_000)
 
-    def merged(self, part: str) -> tuple[int, ...]:
-        """Ids of one word: the merge of least rank first, the leftmost of equal rank."""
+    def merged(self, part: str) -> bytes:
+        """Little-endian 32-bit ids of one word: the merge of least rank first, the leftmost of equal rank."""
         letters = [self.letters[b] for b in part.encode()]
         letters[-1] += self.end
         symbol = [self.vocab[c] for c in letters]
         if len(symbol) == 1:
-            return tuple(symbol)
+            return np.array(symbol, "<u4").tobytes()
         ranks, last = self.ranks, len(symbol) - 1
         after, before = [*range(1, last + 1), -1], [*range(-1, last)]
         queue = [(*found, i, symbol[i], symbol[i + 1]) for i in range(last) if (found := ranks.get(symbol[i] << 20 | symbol[i + 1]))]
@@ -88,14 +88,14 @@ class Encoder:
                     heapq.heappush(queue, (found[0], i, found[1], new, symbol[k]))
             if (h := before[i]) >= 0 and (found := ranks.get(symbol[h] << 20 | new)):
                 heapq.heappush(queue, (found[0], h, found[1], symbol[h], new))
-        return tuple(s for s in symbol if s >= 0)
+        return np.array([s for s in symbol if s >= 0], "<u4").tobytes()
 
     def chunk_ids(self, chunk: str) -> bytes:
         """Little-endian 32-bit ids of a stretch between blanks."""
-        return np.array([i for p in self.parts(chunk) for i in self.part_ids[p]], "<u4").tobytes()
+        return b"".join(map(self.part_ids.__getitem__, self.parts(chunk)))
 
     def kept_chunks(self) -> Kept:
-        return Kept(self.chunk_ids)
+        return Kept(self.chunk_ids, most=250_000)
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         if self.marks is None or "<|" not in text:
@@ -166,7 +166,8 @@ def _encode(column: pa.Array, encoder: Encoder, known: Kept) -> pa.Array:
 
 
 def _decode(column: pa.Array, encoder: Encoder, known: Kept) -> pa.Array:
-    return pa.array((encoder.decode(x.as_py() or []) for x in column), pa.string())
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return pa.array((encoder.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -18,17 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder and read from there.
+def _shared(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset (a single machine, tests), one in the session's warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the one in ``spark.checkpoint.dir``. Where that is unset (a
-    single machine, tests) the warehouse folder of the session takes its place.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared checkpoint folder and read from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

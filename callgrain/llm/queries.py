@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import bpe, packing, rules, sharding
-from callgrain.llm.common import table
+from callgrain.llm import bpe, html, packing, rules, sharding, warc
+from callgrain.llm.common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,19 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "severity", "level")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.bundles(warc.with_roles(table(spark, sf_dir, "pages")))
+    read = warc.read_records(warc.save(made, shared_folder(spark, "warc")))
+    return read.select(
+        F.col("record").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = dict.fromkeys(range(SHARDS), 1.0)
     placed = sharding.assign(table(spark, sf_dir, "documents"), even, even | {SHARDS: 1.0})
@@ -39,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_rules, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op5_rules, op6_warc, op8_html, op9_sharding, op10_packing)}
 _UNIT = "((('0x' || substr(md5('shard:' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
 _RISK, _ERROR = 0.03, 0.1
 _TAILS = ", ".join(
@@ -52,6 +65,13 @@ _X = ", ".join(f"count(*) FILTER (WHERE severity > {v}) AS x{i}" for i, v in enu
 _SX = ", ".join(f"sum(x{i}) AS x{i}" for i in range(len(rules.LEVELS)))
 _BLANK = r"[\x20\x09-\x0D]+"
 SQL = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+heads AS (SELECT payload_digest, max(page_id) AS head FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN head <> page_id THEN head END AS refers_to
+FROM (SELECT p.*, CASE WHEN payload_bytes >= 1000 THEN head END AS head FROM p LEFT JOIN heads USING (payload_digest)) x
+""",
     "op5_rules": rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
