@@ -53,41 +53,48 @@ class Encoder:
         self.byte_level = spec.get("decoder") is not None
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
-        self.ranks = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.rank: dict[int, int] = {}
+        self.left, self.right, self.new = [], [], []
+        for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a] << 20 | self.vocab[b]] = (rank, self.vocab[a + b])
+            self.rank[self.vocab[a] << 20 | self.vocab[b]] = len(self.new)
+            self.left.append(self.vocab[a])
+            self.right.append(self.vocab[b])
+            self.new.append(self.vocab[a + b])
+        self.symbols = [self.vocab[c] for c in self.letters]
+        self.last_symbols = [self.vocab[c + self.end] for c in self.letters]
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         chunk = rf"[^{BLANK}]+" if self.whole_words else rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
         self.chunks = re.compile(chunk).findall
         self.parts = regex.compile(WORD_PATTERN if self.whole_words else BYTE_PATTERN).findall
-        self.part_ids = Kept(self.merged, most=300_000)
+        self.part_ids = Kept(self.merged)
 
     def merged(self, part: str) -> bytes:
         """Little-endian 32-bit ids of one word: the merge of least rank first, the leftmost of equal rank."""
-        letters = [self.letters[b] for b in part.encode()]
-        letters[-1] += self.end
-        symbol = [self.vocab[c] for c in letters]
-        if len(symbol) == 1:
-            return np.array(symbol, "<u4").tobytes()
-        ranks, last = self.ranks, len(symbol) - 1
-        after, before = [*range(1, last + 1), -1], [*range(-1, last)]
-        queue = [(*found, i, symbol[i], symbol[i + 1]) for i in range(last) if (found := ranks.get(symbol[i] << 20 | symbol[i + 1]))]
-        queue = [(r, i, new, a, b) for r, new, i, a, b in queue]
+        raw = part.encode()
+        symbols = self.symbols
+        symbol = [symbols[b] for b in raw]
+        symbol[-1] = self.last_symbols[raw[-1]]
+        last = len(symbol) - 1
+        rank_of, left, right = self.rank.get, self.left, self.right
+        # an entry is the rank of a merge and the place of its left symbol
+        queue = [r << 32 | i for i in range(last) if (r := rank_of(symbol[i] << 20 | symbol[i + 1])) is not None]
         heapq.heapify(queue)
+        after, before = [*range(1, last + 1), -1], [*range(-1, last)]
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
-            j = after[i]
-            if symbol[i] != a or j < 0 or symbol[j] != b:
+            entry = heapq.heappop(queue)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
+            if symbol[i] != left[r] or (j := after[i]) < 0 or symbol[j] != right[r]:
                 continue  # stale
-            symbol[i], symbol[j] = new, -1
+            new = symbol[i] = self.new[r]
+            symbol[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := ranks.get(new << 20 | symbol[k]):
-                    heapq.heappush(queue, (found[0], i, found[1], new, symbol[k]))
-            if (h := before[i]) >= 0 and (found := ranks.get(symbol[h] << 20 | new)):
-                heapq.heappush(queue, (found[0], h, found[1], symbol[h], new))
+                if (r := rank_of(new << 20 | symbol[k])) is not None:
+                    heapq.heappush(queue, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank_of(symbol[h] << 20 | new)) is not None:
+                heapq.heappush(queue, r << 32 | h)
         return np.array([s for s in symbol if s >= 0], "<u4").tobytes()
 
     def chunk_ids(self, chunk: str) -> bytes:
@@ -95,7 +102,7 @@ class Encoder:
         return b"".join(map(self.part_ids.__getitem__, self.parts(chunk)))
 
     def kept_chunks(self) -> Kept:
-        return Kept(self.chunk_ids, most=250_000)
+        return Kept(self.chunk_ids, most=150_000)
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         if self.marks is None or "<|" not in text:

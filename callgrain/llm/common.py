@@ -54,16 +54,22 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Kept(dict):
-    """Results of a function by argument. Forgets all once it holds ``most``; long arguments are not kept."""
+    """Results of a function by argument; at most twice ``most``. What was not asked for while ``most`` others came is forgotten.
 
-    def __init__(self, fn: Callable, most: int = 400_000, longest: int = 48) -> None:
+    Long arguments are not kept.
+    """
+
+    def __init__(self, fn: Callable, most: int = 200_000, longest: int = 48) -> None:
         super().__init__()
-        self.fn, self.most, self.longest = fn, most, longest
+        self.fn, self.most, self.longest, self.older = fn, most, longest, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -34,7 +34,7 @@ def fast_encoder(spec: str) -> tuple[Encoder, Kept]:
         e = Encoder(spec)
         ranks = {bytes(e.bytes_of[c] for c in s): i for s, i in e.vocab.items()}
         merge = tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _FAST[key] = (e, Kept(lambda chunk: np.array(merge(chunk), "<u4").tobytes(), most=600_000))
+        _FAST[key] = (e, Kept(lambda chunk: np.array(merge(chunk), "<u4").tobytes(), most=250_000))
     return _FAST[key]
 
 
