@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from callgrain.llm.common import Kept, arrays
 
@@ -154,34 +154,44 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def _udf(fn: Callable, kind: str, df: DataFrame, path: str):
-    """An Arrow function with the tokenizer file at hand; the file is read on the driver, once, and is a few MB."""
+def _mapped(df: DataFrame, path: str, added: dict[str, str], fn: Callable[[pa.RecordBatch, Encoder, Kept], list[pa.Array]], rows: int = 500) -> DataFrame:
+    """The columns of the input and those that ``fn`` makes of ``rows`` rows at a time.
+
+    The tokenizer file is read on the driver, once, and is a few MB.
+    """
     spec = df.sparkSession.sparkContext.broadcast(_read(path))
+    kept = [c for c in df.columns if c not in added]
+    schema = StructType([*(df.schema[c] for c in kept), *(StructField(c, _parse_datatype_string(t)) for c, t in added.items())])
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = loaded(spec.value)
-        for column in batches:
-            yield fn(column, encoder, known)
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *fn(part, encoder, known)], names=[*kept, *added])
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)
+    return df.mapInArrow(run, schema)
 
 
-def _encode(column: pa.Array, encoder: Encoder, known: Kept) -> pa.Array:
-    got = encoded(column, encoder, known)
+def _ids(got: list[bytes]) -> pa.Array:
     return arrays(np.frombuffer(b"".join(got), "<u4").astype(np.int32), np.array([len(x) // 4 for x in got], np.int32))
 
 
-def _decode(column: pa.Array, encoder: Encoder, known: Kept) -> pa.Array:
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return pa.array((encoder.decode(values[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
-
-
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each text. ``path``: a tokenizer file; special tokens are taken only where they stand in the text."""
-    return df.withColumn(ids, _udf(_encode, "array<int>", df, path)(F.col(text)))
+    return _mapped(df, path, {ids: "array<int>"}, lambda part, e, known: [_ids(encoded(part.column(text), e, known))])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text of each list of ids."""
-    return df.withColumn(text, _udf(_decode, "string", df, path)(F.col(ids)))
+    return _mapped(df, path, {text: "string"}, lambda part, e, _: [pa.array((e.decode(x or []) for x in part.column(ids).to_pylist()), pa.string())])
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds the ids of each text and what they decode to, in one pass."""
+
+    def both(part: pa.RecordBatch, e: Encoder, known: Kept) -> list[pa.Array]:
+        got = encoded(part.column(text), e, known)
+        return [_ids(got), pa.array((e.decode(np.frombuffer(x, "<u4").tolist()) for x in got), pa.string())]
+
+    return _mapped(df, path, {ids: "array<int>", decoded: "string"}, both)
