@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from callgrain.llm.common import Kept, arrays
 
@@ -161,7 +161,7 @@ def _mapped(df: DataFrame, path: str, added: dict[str, str], fn: Callable[[pa.Re
     """
     spec = df.sparkSession.sparkContext.broadcast(_read(path))
     kept = [c for c in df.columns if c not in added]
-    schema = StructType([*(df.schema[c] for c in kept), *(StructField(c, _parse_datatype_string(t)) for c, t in added.items())])
+    schema = StructType([*(df.schema[c] for c in kept), *(StructType.fromDDL(f"`{c}` {t}")[0] for c, t in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = loaded(spec.value)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import bpe, html, lm, minhash, packing, rules, sharding, warc
+from callgrain.llm import bpe, html, lm, minhash, packing, rules, sharding, suffix, warc
 from callgrain.llm.common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,15 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["to"] - s["from"]))
+    return suffix.remove(docs).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.round_trip(docs, WORD_BPE).drop("text")
@@ -60,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm, op3_bpe, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_lm, op2_suffix, op3_bpe, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing)}
 _UNIT = "((('0x' || substr(md5('shard:' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
 _RISK, _ERROR = 0.03, 0.1
 _TAILS = ", ".join(
