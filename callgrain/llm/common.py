@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,13 +74,51 @@ class Kept(dict):
         return value
 
 
-_WORDS = Kept(xxhash.xxh3_64_intdigest)
+_IS_SPACE = np.isin(np.arange(256), list(SPACE.encode()))
+_LETTER = mix(np.arange(256, dtype=np.uint64), np.full(1, 3, np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.ones((2, 1), np.uint64)
 
 
-def word_ids(text: bytes) -> np.ndarray:
-    """Identifiers of the words of one text, A-Z in lower case. bytes.split() parts at SPACE and at nothing else."""
-    words = text.lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def _powers(n: int) -> np.ndarray:
+    """Powers of _BASE and of its inverse modulo 2^64."""
+    global _POWERS
+    if _POWERS.shape[1] < n:
+        steps = np.full((2, max(n, 1 << 19)), _BASE, np.uint64)
+        steps[1] = pow(_BASE, -1, 1 << 64)
+        steps[:, 0] = 1
+        _POWERS = np.cumprod(steps, axis=1)
+    return _POWERS
+
+
+def word_ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the words of all texts in a row, A-Z in lower case, and the number of words of each text.
+
+    A word's identifier is a polynomial in its bytes, from differences of running sums over the joined texts.
+    """
+    ids, counts, first, size = [], [], 0, 0
+    for i, p in enumerate(parts):
+        size += len(p) + 1
+        if size >= 1 << 18 or i == len(parts) - 1:
+            got, n = _word_ids(parts[first : i + 1])
+            ids.append(got)
+            counts.append(n)
+            first, size = i + 1, 0
+    return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def _word_ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b" ".join(parts).lower() + b" ", np.uint8)
+    space = _IS_SPACE[data]
+    change = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = change if space[0] else np.append(0, change)
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
+    ids = mix((sums[ends] - sums[starts]) * inverse[starts], (ends - starts).astype(np.uint64))
+    bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    return ids, np.diff(np.searchsorted(starts, bounds))
 
 
 def texts(column: pa.Array) -> Iterable[bytes]:

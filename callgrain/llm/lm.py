@@ -33,8 +33,8 @@ STEP = 1.2
 LEAST = np.unique(np.floor(STEP ** np.arange(0, 200)).astype(np.int64))
 #: The count a level stands for: the geometric mean of its least and greatest.
 MEANT = np.concatenate([[0.0], np.sqrt(LEAST.astype(float) * np.append(LEAST[1:] - 1, LEAST[-1]))])
-PROBES = 4
-CHUNK = 250_000
+PROBES = 4  # bits of an entry, all in one 64-bit word
+CHUNK = 1_500_000
 SEGMENT_TOKENS, SEGMENTS = 2_000_000, 4096
 
 
@@ -42,32 +42,34 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def token_ids(text: bytes) -> np.ndarray:
-    return np.append(word_ids(text), END)
-
-
-def chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
-    """Batch, first row and token ids of a run of texts of about CHUNK tokens."""
+def chunks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Batch, first row, token ids and number of tokens of each text, for a run of texts of about CHUNK bytes."""
     for batch in batches:
         first, got, n = 0, [], 0
         for i, t in enumerate(texts(batch.column(column))):
-            got.append(token_ids(t))
-            n += len(got[-1])
-            if n >= CHUNK:
-                yield batch, first, got
+            got.append(t)
+            n += len(t)
+            if n >= CHUNK or i == batch.num_rows - 1:
+                yield batch, first, *tokens(got)
                 first, got, n = i + 1, [], 0
-        if got:
-            yield batch, first, got
 
 
-def pairs(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens in a row, and the token before each of them."""
-    now = np.concatenate(tokens)
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    starts = np.cumsum([0, *(len(t) for t in tokens[:-1])])
-    before[starts] = START
-    return now, before
+def tokens(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and ends of all texts in a row, and the number of tokens of each text."""
+    ids, counts = word_ids(parts)
+    lengths = counts + 1
+    out = np.full(lengths.sum(), END, np.uint64)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(lengths) - 1] = False
+    out[is_word] = ids
+    return out, lengths
+
+
+def before(now: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The token before each token."""
+    out = np.roll(now, 1)
+    out[np.cumsum(lengths) - lengths] = START
+    return out
 
 
 class Counter:
@@ -108,8 +110,8 @@ def word_counts(training: DataFrame, most: int = 1_000_000) -> DataFrame:
             k, n = counter.merge()
             return pa.RecordBatch.from_arrays([pa.array(as_long(k)), pa.array(n)], names=["word", "n"])
 
-        for _, _, tokens in chunks(batches):
-            counter.add(np.concatenate(tokens))
+        for _, _, now, _ in chunks(batches):
+            counter.add(now)
             if len(counter.keys) > most:
                 yield out()
                 counter = Counter()
@@ -134,11 +136,10 @@ def segment_counts(training: DataFrame, segments: int, most: int = 3_000_000) ->
                 [pa.array([s for s, _, _ in cuts], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in cuts], pa.binary()),
                  pa.array([small[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["segment", "keys", "counts"])
 
-        for _, _, tokens in chunks(batches):
-            now, before = pairs(tokens)
-            counter.add(mix(before, now))
-            counter.add(mix(now, ALONE))
-            counter.add(mix(np.array([START]), ALONE), np.array([len(tokens)]))
+        for _, _, now, lengths in chunks(batches):
+            counter.add(mix(before(now, lengths), now))
+            counter.add(mix(now, np.array([ALONE])))
+            counter.add(mix(np.array([START]), np.array([ALONE])), np.array([len(lengths)]))
             if len(counter.keys) > most:
                 yield out()
                 counter = Counter()
@@ -147,14 +148,14 @@ def segment_counts(training: DataFrame, segments: int, most: int = 3_000_000) ->
     return training.select("text").mapInArrow(run, "segment int, keys binary, counts binary")
 
 
-def places(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """The bits of a key at a level, by double hashing."""
+def place(keys: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of a key at a level, and the bits in it: one memory access tests all PROBES bits."""
     h = mix(keys, np.full(1, level, np.uint64))
-    step = (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    at = h >> np.uint64(32)
-    for _ in range(PROBES):
-        yield at % bits
-        at = at + step
+    word = ((h >> np.uint64(32)) * words) >> np.uint64(32)
+    mask = np.uint64(1) << (h & np.uint64(63))
+    for k in range(1, PROBES):
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return word, mask
 
 
 def build_segments(counted: DataFrame, segments: int, filter_bytes: int, bits_per_entry: int) -> DataFrame:
@@ -174,13 +175,15 @@ def build_segments(counted: DataFrame, segments: int, filter_bytes: int, bits_pe
             least += 1
         held = level >= least
         keys, level = keys[held], level[held]
-        n_bits = max(64, int(entries[least:].sum()) * bits_per_entry + 7 & ~7)
-        bits = np.zeros(n_bits, bool)
+        words = max(1, int(entries[least:].sum()) * bits_per_entry // 64)
+        bits = np.zeros(words, "<u8")
         for q in range(1, int(level.max(initial=0)) + 1):
-            inside = keys[level >= q]
-            for at in places(inside, q, np.uint64(n_bits)):
-                bits[at] = True
-        return np.packbits(bits, bitorder="little").tobytes()
+            word, mask = place(keys[level >= q], q, np.uint64(words))
+            order = np.argsort(word)
+            word, mask = word[order], mask[order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            bits[word[first]] |= np.bitwise_or.reduceat(mask, first)
+        return bits.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
@@ -206,30 +209,27 @@ class Filter:
 
     def __init__(self, segments: int, parts: dict[int, bytes]) -> None:
         self.shift = np.uint64(64 - segments.bit_length() + 1)
-        self.n_bits = np.array([8 * len(parts.get(s, b"\0" * 8)) for s in range(segments)], np.uint64)
-        self.offset = np.concatenate([[0], np.cumsum(self.n_bits)[:-1]]).astype(np.uint64)
+        self.words = np.array([len(parts.get(s, b"\0" * 8)) // 8 for s in range(segments)], np.uint64)
+        self.offset = np.concatenate([[0], np.cumsum(self.words)[:-1]]).astype(np.uint64)
         self.bytes = b"".join(parts.get(s, b"\0" * 8) for s in range(segments))
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        data = np.frombuffer(self.bytes, np.uint8)
+        data = np.frombuffer(self.bytes, "<u8")
         level = np.zeros(len(keys), np.int64)
         active = np.arange(len(keys))
+        segment = (keys >> self.shift).astype(np.int64)
+        words, offset = self.words[segment], self.offset[segment]
         for q in range(1, len(LEAST) + 1):
-            k = keys[active]
-            segment = (k >> self.shift).astype(np.int64)
-            offset = self.offset[segment]
-            found = np.ones(len(k), bool)
-            for at in places(k, q, self.n_bits[segment]):
-                at = at + offset
-                found &= (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            active = active[found]
-            if not len(active):
+            word, mask = place(keys, q, words)
+            found = np.flatnonzero(data[word + offset] & mask == mask)
+            if not len(found):
                 break
+            active, keys, words, offset = active[found], keys[found], words[found], offset[found]
             level[active] = q
         return MEANT[level]
 
 
-def build(training: DataFrame, tokens: int, filter_bytes: int = 1 << 26, bits_per_entry: int = 10) -> Filter:
+def build(training: DataFrame, tokens: int, filter_bytes: int = 1 << 26, bits_per_entry: int = 12) -> Filter:
     """The filter of at most ``filter_bytes`` (and 8 bytes for each empty segment)."""
     segments = 16
     while segments < SEGMENTS and segments * SEGMENT_TOKENS < tokens:
@@ -271,31 +271,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", smoothing: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, (hot, hot_n) = model.value, frequent.value
         base, done = TaskContext.get().partitionId() << 32, 0
-        for batch, first, tokens in chunks(batches, 1):
-            now, before = pairs(tokens)
-            lengths = np.array([len(t) for t in tokens])
+        for batch, first, now, lengths in chunks(batches, 1):
+            n = len(lengths)
             starts = np.cumsum(lengths) - lengths
-            doc = np.repeat(np.arange(len(tokens)), lengths)
+            doc = np.repeat(np.arange(n), lengths)
             words, word_at = np.unique(now, return_inverse=True)
-            two, two_at = np.unique(mix(before, now), return_inverse=True)
-            contexts, context_at = np.unique(before, return_inverse=True)
-            alone = (f.count(mix(words, ALONE)) + 0.1) / below
-            context = f.count(mix(contexts, ALONE))
-            chance = (f.count(two)[two_at] + smoothing * alone[word_at]) / (context[context_at] + smoothing)
+            two, two_at = np.unique(mix(before(now, lengths), now), return_inverse=True)
+            singles = f.count(mix(np.append(words, START), np.array([ALONE])))
+            context_at = np.roll(word_at, 1)
+            context_at[starts] = len(words)
+            # what differs only by word is computed once for each word
+            share, below_pair = smoothing * (singles + 0.1) / below, singles + smoothing
+            chance = (f.count(two)[two_at] + share[word_at]) / below_pair[context_at]
             at = np.searchsorted(hot, words).clip(0, max(len(hot) - 1, 0))
             is_hot = hot[at] == words if len(hot) else np.zeros(len(words), bool)
             exact = np.where(is_hot, hot_n[at], 0) if len(hot) else np.zeros(len(words), np.int64)
             known = is_hot[word_at]
-            part = np.where(known, np.log10((exact[word_at] + 0.1) / below), 0.0)
+            part = np.where(is_hot, np.log10((exact + 0.1) / below), 0.0)[word_at]
             rare = np.flatnonzero(~known)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(base + done + np.arange(len(tokens))), batch.column(0).slice(first, len(tokens)), batch.column(2).slice(first, len(tokens)),
+                [pa.array(base + done + np.arange(n)), batch.column(0).slice(first, n), batch.column(2).slice(first, n),
                  pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(part, starts)),
                  pa.array(np.add.reduceat(np.log10(chance), starts)),
-                 arrays(as_long(now[rare]), np.bincount(doc[rare], minlength=len(tokens)).astype(np.int32))],
+                 arrays(as_long(now[rare]), np.bincount(doc[rare], minlength=n).astype(np.int32))],
                 names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "rare"],
             )
-            done += len(tokens)
+            done += n
 
     scored = cut(rows.select("doc_id", "text", "held_out").mapInArrow(
         run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, rare array<long>"))

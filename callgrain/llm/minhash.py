@@ -34,16 +34,19 @@ _SEEDS = mix(np.arange(1, M + 1, dtype=np.uint64), np.full(M, 77, np.uint64))
 _FACTORS = mix(np.arange(1, M + 1, dtype=np.uint64), np.full(M, 78, np.uint64)) | np.uint64(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted identifiers of the distinct shingles; with fewer words, the whole sequence is one."""
-    w = word_ids(text)
-    if len(w) == 0:
-        return w
-    n = min(SHINGLE, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = mix(h, w[k : len(w) - n + 1 + k])
-    return np.unique(h)
+def shingles(parts: list[bytes]) -> list[np.ndarray]:
+    """Sorted identifiers of the distinct shingles of each text; with fewer words, the whole sequence is one."""
+    w, counts = word_ids(parts)
+    ends = np.cumsum(counts)
+
+    def of(words: np.ndarray, n: int) -> np.ndarray:
+        h = np.full(len(words) - n + 1, n, np.uint64)
+        for k in range(n):
+            h = mix(h, words[k : len(words) - n + 1 + k])
+        return h
+
+    every = of(w, SHINGLE) if len(w) >= SHINGLE else w[:0]
+    return [np.unique(every[b - n : b - SHINGLE + 1]) if n >= SHINGLE else of(w[b - n : b], int(n)) if n else w[:0] for n, b in zip(counts, ends)]
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -98,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, sets, n = 0, [], 0
+            first, held, n = 0, [], 0
 
             def out(first: int, sets: list[np.ndarray], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                 full = [s for s in sets if len(s)]
@@ -110,13 +113,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n", "rep", "registers"])
 
             for i, t in enumerate(texts(batch.column(1))):
-                sets.append(shingles(t))
-                n += len(sets[-1])
-                if n >= 100_000:
-                    yield out(first, sets)
-                    first, sets, n = i + 1, [], 0
-            if sets:
-                yield out(first, sets)
+                held.append(t)
+                n += len(t)
+                if n >= 500_000 or i == batch.num_rows - 1:
+                    yield out(first, shingles(held))
+                    first, held, n = i + 1, [], 0
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, rep long, registers binary")
@@ -192,7 +193,7 @@ def identity(s: np.ndarray) -> np.uint64:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 1000):
-            got = [shingles(t) for t in texts(batch.column(1).slice(first, 1000))]
+            got = shingles([*texts(batch.column(1).slice(first, 1000))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(as_long(np.array([identity(s) for s in got], np.uint64))), pa.array([s.tobytes() for s in got], pa.binary())], names=["rep", "set"])
 
