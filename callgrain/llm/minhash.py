@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from callgrain.llm.common import as_long, cut, mix, texts, word_ids
 
@@ -97,7 +98,7 @@ def margin(threshold: float) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, rep, registers) of each document; rep identifies its set."""
+    """(doc_id, text_hash, n, rep, registers) of each document; rep identifies its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +108,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 rows = iter(registers(full)) if full else iter(())
                 return pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                    [batch.column(0).slice(first, len(sets)), batch.column(2).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(as_long(np.array([identity(s) for s in sets], np.uint64))),
                      pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n", "rep", "registers"])
+                    names=["doc_id", "text_hash", "n", "rep", "registers"])
 
             for i, t in enumerate(texts(batch.column(1))):
                 held.append(t)
@@ -120,7 +121,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     first, held, n = i + 1, [], 0
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, rep long, registers binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, text_hash long, n long, rep long, registers binary")
 
 
 def with_bands(reps: DataFrame) -> DataFrame:
@@ -261,7 +262,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row; documents link from ``percent`` per cent similarity on."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) for each row; documents link from ``percent`` per cent similarity on."""
     docs = docs.select("doc_id", "text")
     every = cut(sketches(docs))
     with_set = every.where("n > 0 AND doc_id IS NOT NULL")
@@ -278,8 +279,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     further = cut(verify(rest, docs, reps, percent))
     if not further.isEmpty():
         found = components(links.unionByName(further))
-    rows = with_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("root"))
+    rows = with_set.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "rep").alias("root"))
     ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rows.join(ids, "root").select("doc_id", "n", "component_id")
-    alone = every.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    joined = rows.join(ids, "root").select("doc_id", "text_hash", "n", "component_id")
+    alone = every.where("n = 0 OR doc_id IS NULL").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return joined.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept, "text_hash")
+
+
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each group of near duplicates, that of the smallest id, with all its columns.
+
+    Of rows that repeat both id and text, one stays; rows with a null id all stay.
+    """
+    dropped = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    left = hashed.join(dropped, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))
+    return left.withColumn("_place", place).where("_place = 1 OR doc_id IS NULL").select(*docs.columns)

@@ -131,9 +131,11 @@ def levels(labelled: DataFrame, stratum: str, risk: float = 0.03, error: float =
     return pooled.select(F.col("_s").alias("stratum"), level.alias("level"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text", risk: float = 0.03, error: float = 0.1) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text", risk: float = 0.03, error: float = 0.1, keep: Sequence[str] = ()
+) -> DataFrame:
     """Counts, severity, the level of its stratum, base_failed and kept for each row. ``labels``: key and quality (1 is good)."""
-    counted = counts(df=docs, text=text, keep=(key, stratum)).withColumns({"severity": severity(), "base_failed": base_failed()})
+    counted = counts(df=docs, text=text, keep=(key, stratum, *keep)).withColumns({"severity": severity(), "base_failed": base_failed()})
     counted = cut(counted)
     marks = labels.select(F.col(key), (F.col("quality") == 1).alias("good")).where(F.col(key).isNotNull()).groupBy(key).agg(F.every("good").alias("good"))
     found = levels(counted.join(marks, key), stratum, risk, error)
@@ -143,3 +145,10 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
     by_stratum = found.withColumn("level", F.when(F.col("_own"), F.col("level")).otherwise(pooled)).where("_seen").select("_s", "level")
     judged = counted.join(by_stratum, F.col(stratum).eqNullSafe(F.col("_s")), "left")
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("severity") > F.col("level"), F.lit(False))).drop("_s")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns. Verdicts find their rows by id and text."""
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
+    good = judge(hashed, labels, key, stratum, text, keep=("_text_hash",)).where("kept").select(F.col(key).alias("_key"), F.col("_text_hash").alias("_hash")).distinct()
+    return hashed.join(good, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").select(*docs.columns)

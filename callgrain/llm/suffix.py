@@ -262,3 +262,11 @@ def remove(docs: DataFrame, text: str = "text", letters: bool = False) -> DataFr
                     [*(part.column(k) for k in range(len(others))), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*others, "spans", "kept"])
 
     return ready.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The rows with what is left of their texts, and its length where the input has such a column. Texts may become empty."""
+    got = remove(docs, text, letters=True).withColumn(text, F.col("kept").cast("string"))
+    if length in docs.columns:
+        got = got.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+    return got.select(*docs.columns)
