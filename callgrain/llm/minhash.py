@@ -17,7 +17,7 @@ no part and is kept; its component is null. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ SHINGLE, M, ROWS = 5, 256, 5
 BANDS = M // ROWS
 #: Base of the register scale, its rate, and the greatest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-_SEEDS = mix(np.arange(1, M + 1, dtype=np.uint64), np.full(M, 77, np.uint64))
-_FACTORS = mix(np.arange(1, M + 1, dtype=np.uint64), np.full(M, 78, np.uint64)) | np.uint64(1)
+#: Registers for the second look at buckets of several components, and how many ids may be broadcast (8 bytes each).
+FINE, FEW = 1024, 500_000
+_SEEDS = mix(np.arange(1, M + FINE + 1, dtype=np.uint64), np.full(1, 77, np.uint64))
+_FACTORS = mix(np.arange(1, M + FINE + 1, dtype=np.uint64), np.full(1, 78, np.uint64)) | np.uint64(1)
 
 
 def shingles(parts: list[bytes]) -> list[np.ndarray]:
@@ -50,13 +52,13 @@ def shingles(parts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(every[b - n : b - SHINGLE + 1]) if n >= SHINGLE else of(w[b - n : b], int(n)) if n else w[:0] for n, b in zip(counts, ends)]
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of M registers for each set; no set may be empty."""
+def registers(sets: list[np.ndarray], first: int = 0, count: int = M) -> np.ndarray:
+    """One row of registers for each set, from register ``first`` on; no set may be empty."""
     every = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.empty((len(sets), M), np.uint64)
-    for k in range(M):
-        least[:, k] = np.minimum.reduceat((every ^ _SEEDS[k]) * _FACTORS[k], starts)
+    least = np.empty((len(sets), count), np.uint64)
+    for k in range(count):
+        least[:, k] = np.minimum.reduceat((every ^ _SEEDS[first + k]) * _FACTORS[first + k], starts)
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP).astype("<u2")
 
@@ -92,9 +94,9 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (low + high) / 2
 
 
-def margin(threshold: float) -> float:
-    """Pairs of a lower estimate are not verified: six standard deviations below the threshold."""
-    return threshold - 6 * (threshold * (1 - threshold) / M) ** 0.5
+def margin(threshold: float, count: int = M) -> float:
+    """Pairs of a lower estimate are not verified: six standard deviations of ``count`` registers below the threshold."""
+    return threshold - 6 * (threshold * (1 - threshold) / count) ** 0.5
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -161,9 +163,8 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, blo
     placed = candidates.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "_parts").alias("_part"))
     left = placed.select(F.col("a").alias("rep"), F.col("a").alias("_at"), "_part", F.lit(False).alias("_right")).distinct()
     right = placed.select(F.col("b").alias("rep"), F.col("a").alias("_at"), "_part", F.lit(True).alias("_right"))
-    involved = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).distinct().join(reps.select("rep", "doc_id"), "rep")
-    sets = docs.join(involved.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "rep long, set binary")
-    sets = sets.groupBy("rep").agg(F.first("set").alias("set"))
+    involved = candidates.select(F.col("a").alias("rep")).union(candidates.select("b"))
+    sets = _of_reps(docs, reps, involved, "set", lambda s: s.tobytes())
     moved = left.unionByName(right).join(sets, "rep").repartition("_at", "_part").sortWithinPartitions("_at", "_part", "_right")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,33 +192,48 @@ def identity(s: np.ndarray) -> np.uint64:
     return np.bitwise_xor.reduce(mix(s, np.full(1, 5, np.uint64))) ^ mix(s, np.full(1, 6, np.uint64)).sum(dtype=np.uint64) if len(s) else np.uint64(0)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, 1000):
-            got = shingles([*texts(batch.column(1).slice(first, 1000))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(np.array([identity(s) for s in got], np.uint64))), pa.array([s.tobytes() for s in got], pa.binary())], names=["rep", "set"])
+def _of_reps(docs: DataFrame, reps: DataFrame, wanted: DataFrame, name: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(rep, name): what ``make`` gives for the sets of the wanted representatives, from their texts.
+
+    The ids of up to FEW of them are broadcast, so that the texts needn't move; more are joined.
+    """
+    ids = cut(wanted.distinct().join(reps.select("rep", "doc_id"), "rep").select("doc_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                got = shingles([*texts(batch.column(0).slice(first, 1000))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(as_long(np.array([identity(s) for s in got], np.uint64))), pa.array([make(s) for s in got], pa.binary())], names=["rep", name])
+
+    made = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, f"rep long, {name} binary")
+    return made.groupBy("rep").agg(F.first(name).alias(name))
 
 
-def more_links(members: DataFrame, reps: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose registers agree often enough.
+def more_links(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may reach the threshold.
 
-    ``members``: key, rep and component of the buckets with several components. Members of a bucket fall into blocks by
-    hash; each pair of blocks is compared by one task with array operations, and only likely pairs leave it. Every pair of
-    different components in a bucket is looked at, whatever the bucket's size.
+    ``members``: key, rep and component of the buckets with several components. Their representatives get FINE further
+    registers. Members of a bucket fall into blocks by hash; each pair of blocks is compared by one task with array
+    operations, and only likely pairs leave it. Every pair of different components in a bucket is looked at, whatever the
+    bucket's size.
     """
-    enough = int(np.floor(M * margin(percent / 100)))
+    enough = int(np.floor(FINE * margin(percent / 100, FINE)))
+    fine = _of_reps(docs, reps, members.select("rep"), "registers", lambda s: registers([s], M, FINE).tobytes())
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    placed = members.join(blocks, "key").join(reps.select("rep", "registers"), "rep")
+    placed = members.join(blocks, "key").join(fine, "rep").join(reps.select("rep", "n"), "rep")
     placed = placed.withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    placed = placed.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "component", "registers")
+    placed = placed.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "component", "n", "registers")
 
     def likely(rows: list[tuple], same_block: bool) -> tuple[np.ndarray, np.ndarray]:
-        own, rep, component = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        registers = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, M)
+        own, rep, component, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        registers = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, FINE)
         left, right = [], []
         for i in range(len(rows) - 1):
-            others = np.flatnonzero((component[i + 1 :] != component[i]) & ((own[i + 1 :] != own[i]) | same_block)) + i + 1
+            rest = slice(i + 1, None)
+            fits = 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
+            others = np.flatnonzero(fits & (component[rest] != component[i]) & ((own[rest] != own[i]) | same_block)) + i + 1
             hit = others[(registers[others] == registers[i]).sum(1) >= enough]
             left.append(np.full(len(hit), rep[i]))
             right.append(rep[hit])
@@ -275,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = components(links)
     named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = more_links(named.join(mixed, "key"), reps, percent).join(tried, ["a", "b"], "left_anti")
+    rest = more_links(cut(named.join(mixed, "key")), docs, reps, percent).join(tried, ["a", "b"], "left_anti")
     further = cut(verify(rest, docs, reps, percent))
     if not further.isEmpty():
         found = components(links.unionByName(further))
@@ -292,8 +308,8 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Of rows that repeat both id and text, one stays; rows with a null id all stay.
     """
-    dropped = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    left = hashed.join(dropped, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_anti")
-    place = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))
-    return left.withColumn("_place", place).where("_place = 1 OR doc_id IS NULL").select(*docs.columns)
+    dropped = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    left = rows.join(dropped, (F.col("id") == F.col("dropped_id")) & (F.col("hash") == F.col("dropped_hash")), "left_anti")
+    place = F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))
+    return left.withColumn("place", place).where("place = 1 OR id IS NULL").select("row.*")

@@ -149,6 +149,8 @@ def judge(
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
     """The rows that ``judge`` keeps, with all their columns. Verdicts find their rows by id and text."""
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
-    good = judge(hashed, labels, key, stratum, text, keep=("_text_hash",)).where("kept").select(F.col(key).alias("_key"), F.col("_text_hash").alias("_hash")).distinct()
-    return hashed.join(good, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").select(*docs.columns)
+    # the row is one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.col(stratum).alias("stratum"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    judged = judge(rows, labels.select(F.col(key).alias("key"), "quality"), "key", "stratum", "text", keep=("hash",))
+    good = judged.where("kept").select(F.col("key").alias("good_key"), F.col("hash").alias("good_hash")).distinct()
+    return rows.join(good, F.col("key").eqNullSafe(F.col("good_key")) & (F.col("hash") == F.col("good_hash")), "left_semi").select("row.*")

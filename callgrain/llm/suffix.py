@@ -32,6 +32,8 @@ from callgrain.llm.common import arrays, as_long, cut, mix, texts
 LENGTH, Q = 200, 50
 WINDOWS = LENGTH - Q + 1
 CHUNK = 1 << 19
+#: How many text keys may be broadcast, 8 bytes each.
+FEW = 500_000
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -202,7 +204,11 @@ def repeats(rows: DataFrame, bucket_rows: int = 2000) -> DataFrame:
     one = mixed.groupBy("bucket", "stretch").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("text_key", "lo", "hi")).alias("at"))
     listed = one.groupBy("at.text_key").agg(F.collect_list(F.struct(
         "bucket", "stretch", F.least("copies", F.lit(2)).alias("copies"), F.ceil(F.col("n") / bucket_rows).alias("parts"), "at.lo", "at.hi")).alias("listed"))
-    wanted = rows.select("text_key", "text").join(listed, "text_key").select("text_key", "text", "listed")
+    listed = cut(listed)
+    asked = rows.select("text_key", "text")
+    if listed.count() <= FEW:  # else all texts are moved
+        asked = asked.join(F.broadcast(listed.select("text_key")), "text_key", "left_semi")
+    wanted = asked.join(listed, "text_key").select("text_key", "text", "listed")
     tested = repeated_strings(string_rows(wanted)).groupBy("bucket", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     refined = mixed.join(tested, ["bucket", "stretch"]).select("text_key", (F.col("lo") + F.col("first")).alias("from"), (F.col("lo") + F.col("last") + LENGTH).alias("to"))
     agreed = held.where("agree").select("text_key", F.col("lo").alias("from"), (F.col("hi") + LENGTH).alias("to"))
@@ -238,12 +244,12 @@ def remove(docs: DataFrame, text: str = "text", letters: bool = False) -> DataFr
 
     With ``letters``, letters of which only some bytes repeat stay, so that ``kept`` is text again.
     """
-    keyed = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_key", F.xxhash64("_text"))
-    found = repeats(keyed.select(F.col("_key").alias("text_key"), F.col("_text").alias("text")))
-    joined = keyed.join(found.select(F.col("text_key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left")
-    others = [c for c in docs.columns if c not in ("spans", "kept")]
-    ready = joined.select(*others, "_text", "_spans")
-    schema = StructType([*docs.select(*others).schema, *StructType.fromDDL("spans array<struct<from: int, to: int>>, kept binary")])
+    content = F.coalesce(F.col(text), F.lit(""))
+    # the row is one column, so that no name of its own can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(content).alias("text_key"))
+    found = repeats(docs.select(F.xxhash64(content).alias("text_key"), content.alias("text")))
+    ready = keyed.join(found, "text_key", "left").select("row", "spans")
+    schema = StructType([ready.schema["row"], *StructType.fromDDL("spans array<struct<from: int, to: int>>, kept binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
@@ -251,22 +257,23 @@ def remove(docs: DataFrame, text: str = "text", letters: bool = False) -> DataFr
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
                 spans, kept = [], []
-                for data, raw in zip(texts(part.column(len(others))), part.column(len(others) + 1)):
+                for data, raw in zip(texts(part.column(0).field(text)), part.column(1)):
                     got = merged(raw.as_py())
                     if letters:
                         got = whole_letters(data, got)
                     spans.append([{"from": a, "to": b} for a, b in got])
                     edges = [0, *(x for s in got for x in s), len(data)]
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(len(others))), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*others, "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
 
-    return ready.mapInArrow(run, schema)
+    others = [f"row.`{c}`" for c in docs.columns if c not in ("spans", "kept")]
+    return ready.mapInArrow(run, schema).select(*others, "spans", "kept")
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The rows with what is left of their texts, and its length where the input has such a column. Texts may become empty."""
-    got = remove(docs, text, letters=True).withColumn(text, F.col("kept").cast("string"))
-    if length in docs.columns:
-        got = got.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return got.select(*docs.columns)
+    own = F.col(text).alias("text")
+    others = F.struct(*(c for c in docs.columns if c != text), F.lit(0).alias("_")).alias("others")
+    left = remove(docs.select(own, others), letters=True).select("others", F.col("kept").cast("string").alias("left"))
+    changed = {text: F.col("left"), length: F.length("left").cast(docs.schema[length].dataType) if length in docs.columns else None}
+    return left.select(*(changed[c].alias(c) if c in changed else F.col(f"others.`{c}`") for c in docs.columns))
