@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callgrain.llm import minhash, packing, rules, suffix
 from callgrain.llm.common import shared_folder, table
+from callgrain.ship import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +41,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         folder = shared_folder(spark, f"pipeline-{name}")
