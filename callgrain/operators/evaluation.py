@@ -35,27 +35,28 @@ def truth_events(lines: DataFrame, *, key: str = "call_id", order: str = "turn",
     return near.select(key, order, F.inline(both))
 
 
-def score_matrix(rows: DataFrame, checks: Mapping[str, tuple[Column, Column | None]], max_notes: int = 20) -> DataFrame:
-    """ok / total / percent per named check; a null check is not counted.
-
-    ``checks`` maps a name to (condition, note). The failure notes are a
-    sample for reading: the counts cover every row, the notes are the first
-    ``max_notes`` in text order.
-    """
+def _cells(rows: DataFrame, checks: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+    """(name, ok, note) of each counted check of each row."""
     cells = F.array(*[
         F.struct(F.lit(n).alias("name"), ok.alias("ok"), (F.lit(None).cast("string") if note is None else note).alias("note"))
         for n, (ok, note) in checks.items()
     ])
-    long = rows.select(F.inline(cells)).where("ok IS NOT NULL")
-    tally = long.groupBy("name").agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"))
-    from pyspark.sql import Window as W
-
-    bad = long.where("NOT ok AND note IS NOT NULL").groupBy("name", "note").agg(F.lit(1).alias("one"))
-    ranked = bad.withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("note"))).where(F.col("k") <= max_notes)
-    notes = ranked.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("note")), "; ").alias("notes"))
-    return tally.join(notes, "name", "left").select(
-        "name", "ok", "total", half_up(ratio("ok", "total") * 100).cast("bigint").alias("pct"), F.coalesce("notes", F.lit("")).alias("notes")
-    )
+    return rows.select(F.inline(cells)).where("ok IS NOT NULL")
+
+
+def score_matrix(rows: DataFrame, checks: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+    """ok / total / percent per named check; a null check is not counted.
+
+    ``checks`` maps a name to (condition, note); the notes of failures are a
+    table of their own, see ``failure_notes``.
+    """
+    tally = _cells(rows, checks).groupBy("name").agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"))
+    return tally.select("name", "ok", "total", half_up(ratio("ok", "total") * 100).cast("bigint").alias("pct"))
+
+
+def failure_notes(rows: DataFrame, checks: Mapping[str, tuple[Column, Column | None]]) -> DataFrame:
+    """(name, note): every different note of a failed check, one row each."""
+    return _cells(rows, checks).where("NOT ok AND note IS NOT NULL").select("name", "note").distinct()
 
 
 def matrix_rows(scores: DataFrame, category: str | Column, source: str) -> DataFrame:
@@ -65,7 +66,7 @@ def matrix_rows(scores: DataFrame, category: str | Column, source: str) -> DataF
     return scores.select(
         (F.lit(category) if isinstance(category, str) else category).alias("category"), F.col("name").alias("measure"),
         (cell if source == "live" else other).alias("live"), (cell if source == "offline" else other).alias("offline"),
-        F.when(F.col("notes") == "", F.lit("none")).otherwise(F.col("notes")).alias("failures"),
+        F.when(F.col("ok") == F.col("total"), F.lit("none")).otherwise(F.concat((F.col("total") - F.col("ok")).cast("string"), F.lit(" failed"))).alias("failures"),
     )
 
 

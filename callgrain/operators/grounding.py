@@ -11,7 +11,6 @@ from callgrain import vocab as V
 from callgrain.functions import redaction, spoken
 from callgrain.functions.columns import col, in_set, let
 
-SHORT_FRAGMENT_LIMIT = 1000
 
 
 def with_numbers(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -104,8 +103,8 @@ def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3) -
     A fragment of ``gram`` + 2 words or more has inner words that must occur
     as whole words in the text, so it is looked up by one inner word group (the
     longest one, as long words are rare) and then verified. Shorter fragments
-    have no such anchor: a few are tested against every text from a
-    size-checked broadcast, more are looked up by their first four characters.
+    are looked up by their first four characters, or fewer where normalising
+    leaves fewer, and verified in the same way at every size.
     """
     pieces = fragments.where(F.length(F.trim("fragment")) >= 4).select("fragment_id", spoken.plain("fragment").alias("f"))
     pieces = pieces.withColumn("w", F.split("f", " "))
@@ -135,18 +134,23 @@ def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3) -
     candidates = seen.join(anchored, "g").select("fragment_id", "text_id", "f").join(docs, "text_id")
     found = candidates.where(F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
 
-    short = pieces.where(~long).select("fragment_id", "f")
-    if short.limit(SHORT_FRAGMENT_LIMIT + 1).count() <= SHORT_FRAGMENT_LIMIT:
-        direct = docs.join(F.broadcast(short), F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
-    else:
-        lead = short.withColumn("g", F.substring("f", 1, 4))
-        starts = lambda t: F.when(F.length(t) >= 4, F.sequence(F.lit(1), F.length(t) - 3)).otherwise(F.array().cast("array<int>"))
-        quads = docs.select("text_id", "t", F.explode(
-            let(F.col("t"), lambda t: F.array_distinct(F.transform(starts(t), lambda i: F.substring(t, i, F.lit(4)))))).alias("g"))
-        direct = quads.join(lead, "g").where(F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
+    # without an inner word group: by the first four characters, or by the whole fragment where it is shorter; the
+    # empty fragment, which lies in every text, has the empty lead
+    short = pieces.where(~long).select("fragment_id", "f", F.substring("f", 1, 4).alias("g"))
+    leads = docs.select("text_id", "t", F.explode(let(F.col("t"), _leads)).alias("g"))
+    direct = leads.join(short, "g").where(F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
     return found.unionByName(direct)
 
 
+def _leads(t: Column) -> Column:
+    """Every different string of up to four characters of a text."""
+    def of(n: int) -> Column:
+        at = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substring(t, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in (1, 2, 3, 4)]))
+
+
 # -------------------------------------------------------------- model answers
 
 ANSWER = """summary STRING, customer_speaker INT, issues ARRAY<STRUCT<label STRING, quote STRING>>,

@@ -111,9 +111,16 @@ def failing_stage(calls: DataFrame, stages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- maintenance
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``delta`` replace rows of ``base`` with the same key; others are appended."""
-    return base.join(delta.select(*key), list(key), "left_anti").unionByName(delta)
+def upsert(base: DataFrame, delta: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``delta`` replace rows of ``base`` with the same key; others are appended.
+
+    Of rows of ``delta`` with the same key the last one by ``order`` counts (columns of ``delta``, dropped if ``base``
+    lacks them); without an order, or in a tie, the greatest row does.
+    """
+    columns = [c for c in base.columns if c not in key]
+    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("row")))
+    newest = delta.groupBy(*key).agg(last.alias("__last")).select(*key, *[F.col("__last.row").getField(c).alias(c) for c in columns])
+    return base.join(newest.select(*key), list(key), "left_anti").unionByName(newest)
 
 
 def abort_in_flight(calls: DataFrame, ended_at: Column) -> DataFrame:

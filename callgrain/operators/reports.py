@@ -27,7 +27,7 @@ def postmortems(calls: DataFrame, stages: DataFrame, order: Sequence[str]) -> Da
         "cause": F.concat(F.lit("Classified as "), F.col("predicted_category"), F.lit(".")),
         "chain": F.coalesce(numbered, F.lit("")),
         "factors": F.concat(F.lit("STT served by "), F.coalesce("stt_provider_used", F.lit("unknown")), failover, F.lit(".")),
-        "recommendation": F.concat(F.lit("Investigate the "), F.col("predicted_category"), F.lit(" pattern in aggregate on the Calibration page.")),
+        "recommendation": F.concat(F.lit("Investigate the "), F.col("predicted_category"), F.lit(" failures as a group before single calls.")),
     }
     parts = [F.concat(F.lit(f"## {HEADINGS[k]}\n"), v) for k, v in body.items()]
     return calls.join(steps, "id", "left").select("id", F.concat_ws("\n\n", *parts).alias("report_text"))

@@ -181,11 +181,15 @@ def reply_length_mismatch(spark, d):
 
 
 @q("f14_upsert", """
-SELECT id, status FROM calls_v WHERE id % 2 = 0 AND id % 5 <> 0 UNION ALL SELECT id, 'aborted' AS status FROM calls_v WHERE id % 5 = 0
+SELECT id, CASE WHEN status = 'in_progress' THEN 'aborted' ELSE status END AS status FROM calls_v UNION ALL SELECT -1 - id, 'failed' FROM calls_v WHERE status = 'failed'
 """, ("calls_v",))
 def upsert(spark, d):
     calls = calls_view(spark, d).select("id", "status")
-    return L.upsert(calls.where("id % 2 = 0"), calls.where("id % 5 = 0").withColumn("status", F.lit("aborted")), ["id"])
+    # two versions of each replaced row, the later one first, and two of each new row
+    stuck, failed = calls.where("status = 'in_progress'"), calls.where("status = 'failed'").withColumn("id", -1 - F.col("id"))
+    versions = F.explode(F.array(F.struct(F.lit(2).alias("version"), F.lit(True).alias("last")), F.struct(F.lit(1).alias("version"), F.lit(False).alias("last")))).alias("v")
+    delta = stuck.select("id", F.lit("aborted").alias("final"), versions).unionByName(failed.select("id", F.lit("failed").alias("final"), versions))
+    return L.upsert(calls, delta.select("id", F.when(F.col("v.last"), F.col("final")).otherwise(F.lit("queued")).alias("status"), F.col("v.version").alias("version")), ["id"], ["version"])
 
 
 @q("f15_abort_in_flight", """
@@ -519,7 +523,7 @@ def upper_median_per_call(spark, d):
 WITH st AS (SELECT call_id, string_agg(stage || ' (' || status || ', ' || duration_ms || 'ms)', ' > ' ORDER BY started_at, line_number, duration_ms, stage, status, part_key) AS chain FROM stages_v GROUP BY call_id)
 SELECT id, 'Classified as ' || predicted_category || '.' AS cause, COALESCE(chain, '') AS chain,
  'STT served by ' || stt_provider_used || CASE WHEN stt_failover_occurred THEN ' after failover from primary' ELSE '' END || '.' AS factors,
- 'Investigate the ' || predicted_category || ' pattern in aggregate on the Calibration page.' AS recommendation FROM calls_v LEFT JOIN st ON call_id = id WHERE status = 'failed'
+ 'Investigate the ' || predicted_category || ' failures as a group before single calls.' AS recommendation FROM calls_v LEFT JOIN st ON call_id = id WHERE status = 'failed'
 """, ("calls_v", "stages_v"))
 def postmortem(spark, d):
     from callgrain.operators import reports as R

@@ -17,9 +17,10 @@ from callgrain.operators import speakers as P
 from callgrain.operators import voices as O
 from callgrain.plans.ledger import rounded
 from callgrain.plans.registry import Catalog
-from callgrain.sources import audio, recogniser
+from callgrain.sources import audio, recogniser, sinks
 from callgrain.sources.settle import settle
-from callgrain.sources.views import acted_words_view, calls_view, frames_view, spread, stages_view, table, truth_view, words_view
+from callgrain.sources.views import acted_words_view, calls_view, frames_view, stages_view, table, truth_view, words_view
+from callgrain.streaming.source import work_dir
 
 catalog = Catalog()
 q = catalog.query
@@ -214,7 +215,7 @@ def recordings(spark, d):
                 out.append((f"/recordings/clip-{vid}.wav", head + pcm))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return spread(table(spark, d, "embeddings"), "vec_id").select("vec_id", "embedding").mapInPandas(render, "path string, content binary")
+    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(render, "path string, content binary")
 
 
 @q("s08_audio_catalog", """
@@ -268,7 +269,8 @@ def wide_rows(spark, d):
     t = settle(C.turns(w))
     b = settle(C.boundaries(t))
     metrics = C.speech_metrics(w, t, b)
-    cuts = C.first_n(b.where("kind = 'interruption'"), "call_id", ["at", "turn_id"], F.col("at"), 50, "cut_at")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "turn_id")))
+    cuts = b.where("kind = 'interruption'").groupBy("call_id").agg(F.transform(ordered, lambda x: x["at"]).alias("cut_at"))
     sims = b.groupBy("call_id").agg(F.count_if(F.col("kind") == "simultaneous").alias("simultaneous_n"))
     unsure = t.groupBy("call_id").agg(F.count_if("uncertain").alias("uncertain_turns"))
     speakers = C.speaker_counts(w)
@@ -314,30 +316,61 @@ def ledger_findings(spark, d):
 # --------------------------------------------------------------------- evaluation
 
 
-def document_checks(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+def labelled_documents(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+
+
+def document_checks():
     note = F.concat(F.lit("doc "), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
-    return E.score_matrix(docs, {
+    return {
         "Quality: long documents are good": (F.when(F.col("n_chars") > 800, F.col("quality") == 1), note),
-        "Toxic: clean text": (F.col("toxic") == 0, note), "Length: not empty": (F.col("n_chars") > 0, None)})
+        "Toxic: clean text": (F.col("toxic") == 0, note), "Length: not empty": (F.col("n_chars") > 0, None)}
 
 
-CHECKS = """SELECT name, count(*) FILTER (WHERE ok) AS ok, count(*) AS total, CAST(floor(100.0 * count(*) FILTER (WHERE ok) / count(*) + 0.5) AS BIGINT) AS pct FROM (
- SELECT 'Quality: long documents are good' AS name, quality = 1 AS ok FROM documents JOIN labels USING (doc_id) WHERE n_chars > 800 UNION ALL SELECT 'Toxic: clean text', toxic = 0 FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'Length: not empty', n_chars > 0 FROM documents JOIN labels USING (doc_id)) x GROUP BY 1"""
+CELLS = """SELECT 'Quality: long documents are good' AS name, quality = 1 AS ok, doc_id, lang, true AS noted FROM documents JOIN labels USING (doc_id) WHERE n_chars > 800
+ UNION ALL SELECT 'Toxic: clean text', toxic = 0, doc_id, lang, true FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'Length: not empty', n_chars > 0, doc_id, lang, false FROM documents JOIN labels USING (doc_id)"""
+CHECKS = f"""SELECT name, count(*) FILTER (WHERE ok) AS ok, count(*) AS total, CAST(floor(100.0 * count(*) FILTER (WHERE ok) / count(*) + 0.5) AS BIGINT) AS pct FROM ({CELLS}) x GROUP BY 1"""
 
 
 @q("e01_score_matrix", CHECKS)
 def score_matrix(spark, d):
-    return document_checks(spark, d).drop("notes")
+    return E.score_matrix(labelled_documents(spark, d), document_checks())
 
 
-@q("e12_s11_matrix", f"""
-SELECT 'Documents' AS category, name AS measure, 'n/a' AS live, ok || '/' || total || ' (' || pct || '%)' AS offline FROM ({CHECKS}) c
+@q("e01_failure_notes", f"""
+SELECT DISTINCT name, 'doc ' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS note FROM ({CELLS}) x WHERE NOT ok AND noted
 """)
+def failure_notes(spark, d):
+    return E.failure_notes(labelled_documents(spark, d), document_checks())
+
+
+_CELL = "ok || '/' || total || ' (' || pct || '%)'"
+_SIDE = """SELECT name, count(*) FILTER (WHERE ok) AS ok, count(*) AS total, CAST(floor(100.0 * count(*) FILTER (WHERE ok) / count(*) + 0.5) AS BIGINT) AS pct FROM ({cells}) x WHERE lang {op} 'en' GROUP BY 1"""
+_MATRIX = f"""SELECT 'Documents' AS category, name AS measure, coalesce(max(live), 'n/a') AS live, coalesce(max(offline), 'n/a') AS offline, coalesce(max(failures), 'none') AS failures FROM (
+ SELECT name, {_CELL} AS live, NULL AS offline, CASE WHEN ok < total THEN (total - ok) || ' failed' END AS failures FROM ({_SIDE.format(cells=CELLS, op="=")}) a
+ UNION ALL SELECT name, NULL, {_CELL}, CASE WHEN ok < total THEN (total - ok) || ' failed' END FROM ({_SIDE.format(cells=CELLS, op="<>")}) b) c GROUP BY name"""
+
+
+def document_matrix(spark, d):
+    """English documents stand for the live source, all others for the offline one."""
+    docs = labelled_documents(spark, d)
+    scores = lambda rows: E.score_matrix(rows, document_checks())
+    return E.assemble_matrix(E.matrix_rows(scores(docs.where("lang = 'en'")), "Documents", "live"), E.matrix_rows(scores(docs.where("lang <> 'en'")), "Documents", "offline"))
+
+
+@q("e12_s11_matrix", _MATRIX)
 def matrix(spark, d):
-    scores = document_checks(spark, d)
-    live = E.matrix_rows(scores.limit(0), "Documents", "live")
-    return E.assemble_matrix(live, E.matrix_rows(scores, "Documents", "offline")).drop("failures")
+    return document_matrix(spark, d)
+
+
+@q("s11_markdown_lines", f"""
+SELECT '| Category | Measure | Live | Offline | Failures |' AS line UNION ALL SELECT '| --- | --- | --- | --- | --- |'
+UNION ALL SELECT '| ' || category || ' | ' || measure || ' | ' || live || ' | ' || offline || ' | ' || failures || ' |' FROM ({_MATRIX}) m
+""")
+def markdown_lines(spark, d):
+    folder = work_dir(spark, "matrix")
+    sinks.write_markdown(document_matrix(spark, d), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
 
 
 @q("e02_entity_checks", """

@@ -108,7 +108,7 @@ def stream_outages(spark, d):
 WITH e AS (SELECT event_id // 4 AS call_id, event_id % 4 AS k, user_id, epoch_us(ts) AS us, event_id // 4 % 5 = 2 AS open FROM events),
 c AS (SELECT call_id, min(us) AS started_us, max(us) FILTER (WHERE k = 3 AND NOT open) AS done_us, string_agg(CASE k WHEN 1 THEN 'stt' ELSE 'llm' END || ':ok', ',' ORDER BY us) FILTER (WHERE k IN (1, 2)) AS stages FROM e WHERE NOT (open AND k = 3) GROUP BY 1)
 SELECT call_id, started_us, COALESCE(done_us, started_us + 259200000000) AS ended_us, CASE WHEN done_us IS NULL THEN 'aborted' ELSE 'completed' END AS status, COALESCE(stages, '') AS stages FROM c
-WHERE done_us IS NOT NULL OR started_us // 1000 + 259200000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events WHERE NOT (event_id // 4 % 5 = 2 AND event_id % 4 = 3))
+WHERE COALESCE(done_us, started_us + 259200000000) // 1000 < (SELECT epoch_ms(max(ts)) - 600000 FROM events WHERE NOT (event_id // 4 % 5 = 2 AND event_id % 4 = 3))
 """)
 def call_assembly(spark, d):
     e = F.col("event_id")

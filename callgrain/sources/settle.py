@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the session's warehouse, which executors share too."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
 
-def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
 
-    The files survive lost executors. Only where no folder is configured
-    (single-machine tests) one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def settle(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; the files survive lost executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="callgrain-checkpoint-"))
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)

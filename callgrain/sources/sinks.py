@@ -39,19 +39,23 @@ def split_malformed(df: DataFrame, column: str, schema: str) -> tuple[DataFrame,
 def route_batch(
     column: str, schema: str, accept: Callable[[DataFrame], None], dead_letter_path: str, attempts: int = 3
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body: malformed rows, and batches that failed ``attempts`` times, go to the side store."""
+    """foreachBatch body: malformed rows, and batches that failed ``attempts`` times, go to the side store.
+
+    ``accept`` is called again after a failure, so it must be idempotent.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         good, bad = split_malformed(batch, column, schema)
         stamp = F.current_timestamp().alias("dead_lettered_at")
-        bad.select("*", stamp).write.mode("append").parquet(dead_letter_path)
+        # each batch has a folder of its own, so that a batch that is run again replaces what it wrote
+        bad.select("*", stamp).write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}/kind=malformed")
         for attempt in range(1, attempts + 1):
             try:
                 return accept(good)
             except Exception as e:  # noqa: BLE001
                 if attempt == attempts:
                     failed = good.drop("parsed").select("*", F.lit(str(e)).alias("error"), stamp)
-                    failed.write.mode("append").parquet(dead_letter_path)
+                    failed.write.mode("overwrite").parquet(f"{dead_letter_path}/batch_id={batch_id}/kind=failed")
 
     return run
 
@@ -61,10 +65,15 @@ def write_metrics(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def markdown_matrix(rows: DataFrame) -> str:
-    """Markdown table of the metric matrix (category, measure, live, offline, failures): a few dozen rows."""
+def markdown_lines(rows: DataFrame) -> DataFrame:
+    """(line): Markdown table of the metric matrix, its head and then a line for each row in order of category and measure."""
     head = ["category", "measure", "live", "offline", "failures"]
-    lines = ["| " + " | ".join(h.capitalize() for h in head) + " |", "| " + " | ".join("---" for _ in head) + " |"]
-    for r in rows.select(*head).limit(1000).collect():
-        lines.append("| " + " | ".join("" if v is None else str(v) for v in r) + " |")
-    return "\n".join(lines) + "\n"
+    top = ["| " + " | ".join(h.capitalize() for h in head) + " |", "| " + " | ".join("---" for _ in head) + " |"]
+    body = rows.select(F.lit(2).alias("place"), "category", "measure", F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(h).cast("string"), F.lit("")) for h in head]), F.lit(" |")).alias("line"))
+    lines = rows.sparkSession.createDataFrame([(i, "", "", t) for i, t in enumerate(top)], body.schema)
+    return lines.unionByName(body).orderBy("place", "category", "measure").select("line")
+
+
+def write_markdown(rows: DataFrame, path: str) -> None:
+    """The Markdown table as text; sorted output keeps its order over the files of the folder."""
+    markdown_lines(rows).write.mode("overwrite").text(path)

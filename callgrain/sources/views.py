@@ -19,22 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Spreads a scan that is narrower than the cluster before row-heavy text work.
-
-    A large table has far more splits than cores and passes through unchanged;
-    only a table of a few small files is hashed over the cores.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return table(spark, sf_dir, "conversations")
 
 
 def calls_view(spark: SparkSession, sf_dir: str) -> DataFrame:

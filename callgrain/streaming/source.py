@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callgrain.sources.settle import shared_root
+
 WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,13 +27,8 @@ def for_tenant(stream: DataFrame, owner) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """New folder for checkpoints and results, inside the cluster's shared folder when it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"callgrain-{name}-")
-    import uuid
-
-    return f"{base.rstrip('/')}/callgrain-{name}-{uuid.uuid4().hex}"
+    """New folder for checkpoints and results, inside the folder that driver and executors share."""
+    return f"{shared_root(spark)}/callgrain-{name}-{uuid.uuid4().hex}"
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

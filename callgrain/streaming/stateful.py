@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
 
 from callgrain import vocab as V
 from callgrain.streaming.source import WATERMARK
@@ -22,13 +22,21 @@ from callgrain.streaming.source import WATERMARK
 MICROS = 1_000_000
 
 
-TYPES = {"BIGINT": LongType(), "STRING": StringType(), "BOOLEAN": BooleanType()}
+TYPES = {
+    "BIGINT": LongType(), "LONG": LongType(), "INT": IntegerType(), "SMALLINT": ShortType(), "STRING": StringType(), "BOOLEAN": BooleanType(),
+    "DOUBLE": DoubleType(), "FLOAT": FloatType(), "DATE": DateType(), "TIMESTAMP": TimestampType(),
+}
 
 
-def _schema(text: str) -> StructType:
-    """State and output schemas; spelled out because workers have no session to parse DDL."""
+def _schema(text: str, **given: DataType) -> StructType:
+    """State and output schemas, spelled out because workers have no session to parse DDL; ``given`` types need no name."""
     pairs = [field.split() for field in text.split(",")]
-    return StructType([StructField(name, TYPES[kind.upper()]) for name, kind in pairs])
+    return StructType([StructField(name, given[name] if name in given else TYPES[kind[0].upper()]) for name, *kind in pairs])
+
+
+def _order(row: tuple) -> tuple:
+    """Sorts rows that hold nulls; nulls come first."""
+    return tuple((v is not None, 0 if v is None else v) for v in row)
 
 
 class Replay(StatefulProcessor):
@@ -66,7 +74,7 @@ class Replay(StatefulProcessor):
     def _replay(self, key, fresh, timerValues) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        rows = sorted([*waiting, *[tuple(_plain(v) for v in r) for r in fresh]])
+        rows = sorted([*waiting, *[tuple(_plain(v) for v in r) for r in fresh]], key=_order)
         due = [r for r in rows if r[0] <= now_us]
         later = rows[len(due):]
         out = [o for o in (self.step(key, r) for r in due) if o is not None]
@@ -83,7 +91,7 @@ class Replay(StatefulProcessor):
 
 
 def _plain(v):
-    return v.item() if hasattr(v, "item") else v
+    return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
 
 
 class Spacing(Replay):
@@ -141,8 +149,10 @@ class Admission(Replay):
 class Assembly(StatefulProcessor):
     """Folds the started, stage and completed events of a call into one row.
 
-    A call whose completion does not come within ``timeout_ms`` of event time
-    after its first event is closed as aborted.
+    Events wait in state until the watermark has passed the first completion, or ``timeout_ms`` of event time after the
+    first event, if that comes before; only then the row is written, from the events up to that time, so that it doesn't
+    depend on how the stream was cut into batches. A call without a completion by then is aborted. A mark keeps the call
+    closed for another ``timeout_ms``; rows for a closed call and rows behind the watermark are dropped.
     """
 
     names = ("call_id", "owner_id", "started_us", "ended_us", "status", "stages")
@@ -153,28 +163,41 @@ class Assembly(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.events = handle.getListState("events", _schema("at_us BIGINT, type STRING, owner_id BIGINT, stage STRING, status STRING"))
+        self.closed = handle.getValueState("closed", _schema("until_ms BIGINT"))
 
     def handleInputRows(self, key, rows, timerValues):
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        columns = ["at_us", "type", "owner_id", "stage", "status"]
+        fresh = [tuple(_plain(v) for v in r) for b in rows for r in b[columns].itertuples(index=False, name=None)]
+        fresh = [r for r in fresh if r[0] > passed_us]
+        if not fresh or self.closed.exists():
+            return iter(())
         held = [tuple(r) for r in self.events.get()] if self.events.exists() else []
-        fresh = [tuple(None if pd.isna(v) else _plain(v) for v in r) for b in rows for r in b[["at_us", "type", "owner_id", "stage", "status"]].itertuples(index=False, name=None)]
-        events = sorted([*held, *fresh], key=lambda r: (r[0], r[1]))
-        done = [e for e in events if e[1] == "completed"]
-        if done:
-            yield self._row(key, events, done[0][0], done[0][4])
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            if held:
-                self.events.clear()
-            return
-        self.events.put(events)
-        if not held:
-            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, events[0][0] // 1000 + self.timeout_ms))
+        self.events.put([*held, *fresh])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, -(-self._end([*held, *fresh])[0] // 1000)))
+        return iter(())
+
+    def _end(self, events) -> tuple[int, str]:
+        """When the call ends, and how."""
+        limit = min(e[0] for e in events) + self.timeout_ms * 1000
+        done = min(((e[0], e[4]) for e in events if e[1] == "completed" and e[0] <= limit), key=_order, default=None)
+        return done or (limit, "aborted")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        events = [tuple(r) for r in self.events.get()] if self.events.exists() else []
-        if events:
-            self.events.clear()
-            yield self._row(key, events, events[0][0] + self.timeout_ms * 1000, "aborted")
+        if self.closed.exists():
+            self.closed.clear()
+            return
+        events = sorted((tuple(r) for r in self.events.get()), key=_order) if self.events.exists() else []
+        if not events:
+            return
+        ended_us, status = self._end(events)
+        self.events.clear()
+        until = timerValues.getCurrentWatermarkInMs() + self.timeout_ms
+        self.closed.update((until,))
+        self.handle.registerTimer(until)
+        yield self._row(key, [e for e in events if e[0] <= ended_us], ended_us, status)
 
     def _row(self, key, events, ended_us, status):
         owner = next((e[2] for e in events if e[2] is not None), None)
@@ -192,22 +215,21 @@ def _keyed(rows: DataFrame, key: str, at: str, tie: str, delay: str, **extra: st
 def spaced(rows: DataFrame, *, key: str, at: str, tie: str, gap_us: int, delay: str = WATERMARK) -> DataFrame:
     """Streaming twin of ``operators.monitors.greedy_spacing``."""
     keyed = _keyed(rows, key, at, tie, delay)
-    kt = keyed.schema["key"].dataType.simpleString()
+    kt = keyed.schema["key"].dataType
     return keyed.groupBy("key").transformWithStateInPandas(
-        Spacing(gap_us), _schema(f"key {kt}, at_us BIGINT, tie BIGINT"), "Append", "EventTime")
+        Spacing(gap_us), _schema("key, at_us BIGINT, tie BIGINT", key=kt), "Append", "EventTime")
 
 
 def admitted(rows: DataFrame, *, key: str, at: str, tie: str, units: str, window_us: int = 3600 * MICROS, max_units: int = V.HOURLY_UNITS_PER_ADDRESS, delay: str = WATERMARK) -> DataFrame:
     """Streaming twin of ``operators.monitors.quota_replay``."""
     keyed = _keyed(rows, key, at, tie, delay, units=units)
-    kt = keyed.schema["key"].dataType.simpleString()
+    kt = keyed.schema["key"].dataType
     return keyed.groupBy("key").transformWithStateInPandas(
-        Admission(window_us, max_units), _schema(f"key {kt}, at_us BIGINT, tie BIGINT, accepted BOOLEAN"), "Append", "EventTime")
+        Admission(window_us, max_units), _schema("key, at_us BIGINT, tie BIGINT, accepted BOOLEAN", key=kt), "Append", "EventTime")
 
 
 def assembled_calls(events: DataFrame, timeout_ms: int = 5 * 60_000, delay: str = WATERMARK) -> DataFrame:
     """Call rows from an event stream (call_id, owner_id, ts, type, stage, status)."""
     marked = events.withWatermark("ts", delay).select("call_id", "ts", F.unix_micros("ts").alias("at_us"), "type", "owner_id", "stage", "status")
-    kt = events.schema["call_id"].dataType.simpleString()
-    out = _schema(f"call_id {kt}, owner_id BIGINT, started_us BIGINT, ended_us BIGINT, status STRING, stages STRING")
+    out = _schema("call_id, owner_id BIGINT, started_us BIGINT, ended_us BIGINT, status STRING, stages STRING", call_id=events.schema["call_id"].dataType)
     return marked.groupBy("call_id").transformWithStateInPandas(Assembly(timeout_ms), out, "Append", "EventTime")
