@@ -31,10 +31,10 @@ SHINGLE, M, ROWS = 5, 256, 5
 BANDS = M // ROWS
 #: Base of the register scale, its rate, and the greatest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-#: Registers for the second look at buckets of several components, and how many ids may be broadcast (8 bytes each).
-FINE, FEW = 1024, 500_000
-_SEEDS = mix(np.arange(1, M + FINE + 1, dtype=np.uint64), np.full(1, 77, np.uint64))
-_FACTORS = mix(np.arange(1, M + FINE + 1, dtype=np.uint64), np.full(1, 78, np.uint64)) | np.uint64(1)
+#: How many ids may be broadcast, 8 bytes each.
+FEW = 500_000
+_SEEDS = mix(np.arange(1, M + 1, dtype=np.uint64), np.full(1, 77, np.uint64))
+_FACTORS = mix(np.arange(1, M + 1, dtype=np.uint64), np.full(1, 78, np.uint64)) | np.uint64(1)
 
 
 def shingles(parts: list[bytes]) -> list[np.ndarray]:
@@ -52,13 +52,13 @@ def shingles(parts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(every[b - n : b - SHINGLE + 1]) if n >= SHINGLE else of(w[b - n : b], int(n)) if n else w[:0] for n, b in zip(counts, ends)]
 
 
-def registers(sets: list[np.ndarray], first: int = 0, count: int = M) -> np.ndarray:
-    """One row of registers for each set, from register ``first`` on; no set may be empty."""
+def registers(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of M registers for each set; no set may be empty."""
     every = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    least = np.empty((len(sets), count), np.uint64)
-    for k in range(count):
-        least[:, k] = np.minimum.reduceat((every ^ _SEEDS[first + k]) * _FACTORS[first + k], starts)
+    least = np.empty((len(sets), M), np.uint64)
+    for k in range(M):
+        least[:, k] = np.minimum.reduceat((every ^ _SEEDS[k]) * _FACTORS[k], starts)
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP).astype("<u2")
 
@@ -94,9 +94,9 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return (low + high) / 2
 
 
-def margin(threshold: float, count: int = M) -> float:
-    """Pairs of a lower estimate are not verified: six standard deviations of ``count`` registers below the threshold."""
-    return threshold - 6 * (threshold * (1 - threshold) / count) ** 0.5
+def margin(threshold: float) -> float:
+    """Pairs of a lower estimate are not verified: six standard deviations below the threshold."""
+    return threshold - 6 * (threshold * (1 - threshold) / M) ** 0.5
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def with_bands(reps: DataFrame) -> DataFrame:
-    """(rep, n, key) for each band of each representative."""
+    """(rep, n, band, key) for each band of each representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +136,7 @@ def with_bands(reps: DataFrame) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(as_long(bands(rows).ravel())))
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), keys], names=["rep", "n", "keys"])
 
-    return reps.select("rep", "n", "registers").mapInArrow(run, "rep long, n long, keys array<long>").select("rep", "n", F.explode("keys").alias("key"))
+    return reps.select("rep", "n", "registers").mapInArrow(run, "rep long, n long, keys array<long>").select("rep", "n", F.posexplode("keys").alias("band", "key"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, block: int = 512) -> DataFrame:
@@ -212,32 +212,41 @@ def _of_reps(docs: DataFrame, reps: DataFrame, wanted: DataFrame, name: str, mak
 
 
 def more_links(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and may reach the threshold.
+    """Pairs (a, b) of different components that share a bucket and very likely reach the threshold.
 
-    ``members``: key, rep and component of the buckets with several components. Their representatives get FINE further
-    registers. Members of a bucket fall into blocks by hash; each pair of blocks is compared by one task with array
-    operations, and only likely pairs leave it. Every pair of different components in a bucket is looked at, whatever the
-    bucket's size.
+    ``members``: key, band, rep and component of the buckets with several components. Members of a bucket fall into blocks
+    by hash; each pair of blocks is compared by one task with array operations: first by registers, then by the leading 32
+    bits of the shingles' identifiers, which can only make sets look more alike. Every pair of different components in a
+    bucket is looked at, whatever the bucket's size, and leaves the task of the first band that it shares.
     """
-    enough = int(np.floor(FINE * margin(percent / 100, FINE)))
-    fine = _of_reps(docs, reps, members.select("rep"), "registers", lambda s: registers([s], M, FINE).tobytes())
+    enough = int(np.floor(M * margin(percent / 100)))
+    short = _of_reps(docs, reps, members.select("rep"), "short", lambda s: (s >> np.uint64(32)).astype("<u4").tobytes())
     blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    placed = members.join(blocks, "key").join(fine, "rep").join(reps.select("rep", "n"), "rep")
+    placed = members.join(blocks, "key").join(short, "rep").join(reps.select("rep", "registers"), "rep")
     placed = placed.withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    placed = placed.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "component", "n", "registers")
+    placed = placed.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "rep", "component", "band", "registers", "short")
 
     def likely(rows: list[tuple], same_block: bool) -> tuple[np.ndarray, np.ndarray]:
-        own, rep, component, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        registers = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, FINE)
+        own, rep, component = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        band = rows[0][3]
+        registers = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, M)
+        sets = [np.frombuffer(r[5], "<u4") for r in rows]
+        n = np.array([len(s) for s in sets])
         left, right = [], []
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
             fits = 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
             others = np.flatnonzero(fits & (component[rest] != component[i]) & ((own[rest] != own[i]) | same_block)) + i + 1
-            hit = others[(registers[others] == registers[i]).sum(1) >= enough]
-            left.append(np.full(len(hit), rep[i]))
-            right.append(rep[hit])
-        return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+            same = registers[others] == registers[i]
+            some = same.sum(1) >= enough
+            others, same = others[some], same[some]
+            first = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            for j in others[first == band]:
+                both = int((sets[i][np.searchsorted(sets[i], sets[j]).clip(0, n[i] - 1)] == sets[j]).sum())
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    left.append(rep[i])
+                    right.append(rep[j])
+        return np.array(left, np.int64), np.array(right, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -285,11 +294,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = cut(with_set.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("registers").alias("registers")))
     banded = with_bands(reps)
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
-    members = cut(banded.join(leaders, "key").select("key", "rep", "leader"))
+    members = cut(banded.join(leaders, "key").select("key", "band", "rep", "leader"))
     tried = cut(members.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(verify(tried, docs, reps, percent))
     found = components(links)
-    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     rest = more_links(cut(named.join(mixed, "key")), docs, reps, percent).join(tried, ["a", "b"], "left_anti")
     further = cut(verify(rest, docs, reps, percent))

@@ -20,34 +20,40 @@ from pyspark.sql import types as T
 from callgrain import vocab as V
 from callgrain.functions import predicates as P
 from callgrain.functions.columns import micros, ratio
-from callgrain.operators.sequence import islands, per_key_stream
+from callgrain.operators.sequence import islands, per_key_stream, running_sum
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 NEVER = -(2**62)
 
 
-def trailing(df: DataFrame, *, key: str, at: str, window_us: int, counters: Mapping[str, Column], spans: int = 4) -> DataFrame:
-    """Counts over (t - window, t] of the same key, at every row.
+def trailing(df: DataFrame, *, key: str, at: str, window_us: int | Column, counters: Mapping[str, Column], block_us: int = HOUR) -> DataFrame:
+    """Counts over (t - window, t] of the same key, at every row; the window may be a column that depends on the key.
 
-    Rows go to the span of ``spans`` windows they fall in; rows of the last
-    window of a span are copied to the next one, where they only feed frames.
+    The count is the running sum at t less the running sum at t - window. Each
+    instant of a key gives one row with its sums and one that asks for the sum
+    a window earlier; running sums are taken in blocks of ``block_us``, so a key
+    with very many rows is spread over the blocks of its time.
     """
-    width = spans * window_us
-    span = F.floor(F.col(at) / width).cast("bigint")
-    tail = F.col(at) >= (span + 1) * width - window_us
-    here, there = F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own"))
-    placed = df.select("*", F.inline(F.when(tail, F.array(here, there)).otherwise(F.array(here))))
-    frame = W.partitionBy(key, "span").orderBy(at).rangeBetween(-(window_us - 1), 0)
-    counted = placed.select("*", *[F.sum(c).over(frame).alias(n) for n, c in counters.items()])
-    return counted.where("own").drop("span", "own")
-
-
-def failure_rate_at_every_call(calls: DataFrame, window_us: int = V.SLA_WINDOW_MINUTES * MINUTE) -> DataFrame:
-    """(id, owner_id, at_us, total, failed, rate_pct) for finished calls."""
+    width = window_us if isinstance(window_us, Column) else F.lit(window_us)
+    points = df.groupBy(key, F.col(at).cast("bigint").alias("__for")).agg(F.max(width.cast("bigint")).alias("__w"), *[F.sum(c).alias(n) for n, c in counters.items()])
+    here = points.select(key, "__for", F.col("__for").alias("__t"), F.lit(0).alias("__asks"), *counters)
+    earlier = points.select(key, "__for", (F.col("__for") - F.col("__w")).alias("__t"), F.lit(1).alias("__asks"), *[F.lit(0).cast(points.schema[n].dataType).alias(n) for n in counters])
+    both = here.unionByName(earlier).withColumn("__block", F.floor(F.col("__t") / block_us).cast("bigint"))
+    summed = running_sum(both, key=[key], chunk="__block", order=["__t", "__asks"], sums={f"__{n}": F.col(n) for n in counters})
+    counted = summed.groupBy(key, "__for").agg(*[F.sum(F.when(F.col("__asks") == 0, F.col(f"__{n}")).otherwise(-F.col(f"__{n}"))).alias(n) for n in counters])
+    return df.withColumn("__for", F.col(at).cast("bigint")).join(counted, [key, "__for"]).select(*df.columns, *counters)
+
+
+def failure_rate_at_every_call(calls: DataFrame, window_us: int = V.SLA_WINDOW_MINUTES * MINUTE, config: DataFrame | None = None) -> DataFrame:
+    """(id, owner_id, at_us, total, failed, rate_pct) for finished calls, over the window of the tenant where ``config`` has one."""
     rows = calls.where(P.finished()).select("id", "owner_id", micros("started_at").alias("at_us"), "status")
+    width: int | Column = window_us
+    if config is not None:
+        rows = rows.join(config.select("owner_id", (F.col("window_minutes").cast("bigint") * MINUTE).alias("own_us")), "owner_id", "left")
+        width = F.coalesce("own_us", F.lit(window_us))
     one = F.lit(1).cast("bigint")
-    out = trailing(rows, key="owner_id", at="at_us", window_us=window_us, counters={
+    out = trailing(rows, key="owner_id", at="at_us", window_us=width, counters={
         "total": one, "failed": F.when(F.col("status") == "failed", one).otherwise(one - 1)})
     return out.select("id", "owner_id", "at_us", "total", "failed", (F.col("failed") * 100.0 / F.col("total")).alias("rate_pct"))
 

@@ -10,6 +10,7 @@ from callgrain.operators import conversation as C
 from callgrain.operators import intervals as I
 from callgrain.plans.ledger import rounded
 from callgrain.plans.registry import Catalog
+from callgrain.sources import recogniser
 from callgrain.sources.settle import settle
 from callgrain.sources.views import acted_words_view, frames_view, table, truth_view, words_view
 
@@ -22,6 +23,34 @@ def words(spark, d):
     return rounded(words_view(spark, d).drop("chunk"), 6)
 
 
+@q("s03_flat_documents", """
+SELECT CAST(call_id AS VARCHAR) AS call_id, row_number() OVER (PARTITION BY call_id ORDER BY turn, pos) - 1 AS pos, upper(word) AS word,
+ CASE WHEN pos % 7 = 3 THEN 0.0 ELSE round(confidence, 6) END AS confidence, CASE WHEN pos % 5 <> 2 THEN start_ms END AS start_ms, CASE WHEN pos % 5 <> 2 THEN end_ms END AS end_ms,
+ CASE WHEN turn % 4 <> 1 THEN CASE speaker WHEN 'user' THEN 0 ELSE 1 END END AS speaker FROM words_v
+""", ("words_v",))
+def flat_documents(spark, d):
+    """One recogniser document a call, as JSON text, some fields absent; then parsed and read like files."""
+    some = lambda when, value: F.when(when, value)
+    w = words_view(spark, d)
+    word = F.struct(
+        "turn", "pos", "word", F.upper("word").alias("punctuated_word"), some(F.col("pos") % 7 != 3, F.col("confidence")).alias("confidence"),
+        some(F.col("pos") % 5 != 2, F.col("start_ms") / 1000).alias("start"), some(F.col("pos") % 5 != 2, F.col("end_ms") / 1000).alias("end"),
+        some(F.col("turn") % 4 != 1, F.when(F.col("speaker") == "user", 0).otherwise(1)).alias("speaker"))
+    docs = w.groupBy(F.col("call_id").cast("string").alias("id")).agg(F.array_sort(F.collect_list(word)).alias("words"))
+    return rounded(recogniser.words_of(recogniser.parsed(docs.select(F.to_json(F.struct("id", "words")).alias("json")), "json", recogniser.FLAT)).drop("chunk", "turn"), 6)
+
+
+@q("s06_timeline_documents", """
+SELECT CAST(call_id AS VARCHAR) AS call_id, row_number() OVER (PARTITION BY call_id ORDER BY turn) - 1 AS turn, who, 'line ' || turn AS text, start_ms, end_ms
+FROM (SELECT call_id, turn, speaker AS who, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM words_v GROUP BY ALL) t
+""", ("words_v",))
+def timeline_documents(spark, d):
+    lines = words_view(spark, d).groupBy("call_id", "turn", F.col("speaker").alias("who")).agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
+    line = F.struct("turn", "who", F.concat(F.lit("line "), F.col("turn").cast("string")).alias("text"), (F.col("a") / 1000).alias("start"), (F.col("b") / 1000).alias("end"))
+    docs = lines.groupBy(F.col("call_id").cast("string").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("segments"))
+    return recogniser.timeline_of(recogniser.parsed(docs.select(F.to_json(F.struct("id", "segments")).alias("json")), "json", recogniser.TIMELINE)).drop("chunk")
+
+
 @q("s06_truth_lines", "SELECT call_id, turn, who, start_ms, end_ms FROM truth_v", ("truth_v",))
 def truth_lines(spark, d):
     return truth_view(spark, d)

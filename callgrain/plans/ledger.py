@@ -12,7 +12,9 @@ from callgrain.operators import ledger as L
 from callgrain.operators import quantiles
 from callgrain.plans.registry import Catalog
 from callgrain.sources import sinks
+from callgrain.sources.ledger import load_calls
 from callgrain.sources.views import calls_view, stages_view, table
+from callgrain.streaming.source import work_dir
 
 catalog = Catalog()
 q = catalog.query
@@ -41,6 +43,33 @@ def ledger_scan(spark, d):
         F.count("*").alias("n"), F.round(F.sum("total_cost_usd"), 6).alias("cost"))
 
 
+@q("s01_s13_appended_ledger", """
+SELECT CAST(id AS VARCHAR) AS id, epoch_us(started_at) AS started_us, status, CAST(owner_id AS VARCHAR) AS owner_id, round(total_cost_usd, 9) AS total_cost_usd FROM calls_v
+WHERE CAST(started_at AS DATE) = (SELECT CAST(max(started_at) AS DATE) - 1 FROM calls_v)
+""", ("calls_v",))
+def appended_ledger(spark, d):
+    """Two appends to a ledger cut by call date, then one day of it: the scan reads that day's folder alone."""
+    calls = calls_view(spark, d).select(F.col("id").cast("string").alias("id"), "started_at", "status", F.col("owner_id").cast("string").alias("owner_id"), F.round("total_cost_usd", 9).cast("decimal(18,9)").alias("total_cost_usd"))
+    folder = work_dir(spark, "ledger")
+    for part in (F.col("status") == "failed", F.col("status") != "failed"):
+        sinks.append_calls(calls.where(part), f"{folder}/calls")
+    day = calls.agg(F.date_sub(F.to_date(F.max("started_at")), 1)).first()[0]
+    return load_calls(spark, folder).where(F.col("call_date") == F.lit(day)).select("id", micros("started_at").alias("started_us"), "status", "owner_id", F.round("total_cost_usd", 9).alias("total_cost_usd"))
+
+
+@q("s13_appended_spend", """
+SELECT CAST(o_custkey AS VARCHAR) AS owner_id, round(sum(o_totalprice / 1000000), 6) AS cost_usd, count(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY 1
+""")
+def appended_spend(spark, d):
+    """A side ledger of order prices above a floor; entries that are not positive are not recorded."""
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_custkey").cast("string").alias("owner_id"), F.lit("order").alias("kind"),
+        F.when(F.col("o_totalprice") > 150000, F.col("o_totalprice") / 1000000).otherwise(F.lit(0.0)).alias("cost_usd"))
+    folder = work_dir(spark, "spend")
+    sinks.append_spend(orders, folder)
+    return spark.read.parquet(folder).groupBy("owner_id").agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.count("*").alias("n"))
+
+
 @q("s02_tenant_scope", """
 SELECT id, owner_id, status FROM (SELECT * REPLACE (CASE WHEN id % 13 <> 0 THEN owner_id END AS owner_id) FROM calls_v) c
 WHERE owner_id IS NULL OR owner_id = 7

@@ -47,13 +47,16 @@ def trailing_failure_rate(spark, d):
 
 @q("w08_r03_breach_cooldown", f"""
 WITH RECURSIVE cfg AS ({CONFIG}),
-b AS (SELECT DISTINCT owner_id, at_us FROM ({RATES}) r LEFT JOIN cfg USING (owner_id) WHERE total >= 5 AND 100.0 * failed / total > COALESCE(pct, 5.0)),
+f AS (SELECT owner_id, epoch_us(started_at) AS at_us, status, COALESCE(pct, 5.0) AS pct, COALESCE(mins, {WINDOW_MIN}) * 60000000 AS w FROM calls_v LEFT JOIN cfg USING (owner_id) WHERE status IN ('completed', 'failed')),
+b AS (SELECT DISTINCT owner_id, at_us FROM (SELECT x.owner_id, x.at_us, x.pct, count(*) AS total, count(*) FILTER (WHERE y.status = 'failed') AS failed
+  FROM (SELECT DISTINCT owner_id, at_us, pct, w FROM f) x JOIN f y ON y.owner_id = x.owner_id AND y.at_us > x.at_us - x.w AND y.at_us <= x.at_us GROUP BY ALL) r WHERE total >= 5 AND 100.0 * failed / total > pct),
 nx AS (SELECT owner_id, at_us, min(at_us) OVER (PARTITION BY owner_id ORDER BY at_us RANGE BETWEEN 10800000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM b),
 k AS (SELECT owner_id, min(at_us) AS at_us FROM b GROUP BY 1 UNION ALL SELECT k.owner_id, nx.nxt FROM k JOIN nx ON nx.owner_id = k.owner_id AND nx.at_us = k.at_us WHERE nx.nxt IS NOT NULL)
 SELECT owner_id, at_us FROM k
 """, ("calls_v",))
 def breach_cooldown(spark, d):
-    return M.breaches(rates(spark, d), config(spark, d), cooldown_us=3 * M.HOUR)
+    own = M.failure_rate_at_every_call(calls_view(spark, d), WINDOW_MIN * M.MINUTE, config(spark, d))
+    return M.breaches(own, config(spark, d), cooldown_us=3 * M.HOUR)
 
 
 @q("w18_debounce", """

@@ -113,9 +113,18 @@ def read_segmented_words(spark: SparkSession, path: str) -> DataFrame:
     return segmented_words(read_documents(spark, path, SEGMENTED))
 
 
+def parsed(docs: DataFrame, column: str, schema: str) -> DataFrame:
+    """Documents held as JSON text in a column, in the declared schema."""
+    return docs.select(F.from_json(column, schema).alias("__doc")).select("__doc.*")
+
+
 def read_timeline(spark: SparkSession, path: str) -> DataFrame:
+    return timeline_of(read_documents(spark, path, TIMELINE))
+
+
+def timeline_of(docs: DataFrame) -> DataFrame:
     """Scripted lines: (call_id, turn, chunk, who, text, start_ms, end_ms)."""
-    rows = read_documents(spark, path, TIMELINE).select(F.col("id").alias("call_id"), F.posexplode("segments").alias("turn", "s"))
+    rows = docs.select(F.col("id").alias("call_id"), F.posexplode("segments").alias("turn", "s"))
     return rows.select(
         "call_id", F.col("turn").cast("bigint").alias("turn"), F.expr(f"turn div {WORDS_PER_CHUNK}").alias("chunk"),
         "s.who", "s.text", _ms("s.start").alias("start_ms"), _ms("s.end").alias("end_ms"),
