@@ -24,7 +24,7 @@ def words(spark, d):
 
 
 @q("s03_flat_documents", """
-SELECT CAST(call_id AS VARCHAR) AS call_id, row_number() OVER (PARTITION BY call_id ORDER BY turn, pos) - 1 AS pos, upper(word) AS word,
+SELECT CAST(call_id AS VARCHAR) AS call_id, row_number() OVER (PARTITION BY call_id ORDER BY turn, pos) - 1 AS pos, word || '.' AS word,
  CASE WHEN pos % 7 = 3 THEN 0.0 ELSE round(confidence, 6) END AS confidence, CASE WHEN pos % 5 <> 2 THEN start_ms END AS start_ms, CASE WHEN pos % 5 <> 2 THEN end_ms END AS end_ms,
  CASE WHEN turn % 4 <> 1 THEN CASE speaker WHEN 'user' THEN 0 ELSE 1 END END AS speaker FROM words_v
 """, ("words_v",))
@@ -33,7 +33,7 @@ def flat_documents(spark, d):
     some = lambda when, value: F.when(when, value)
     w = words_view(spark, d)
     word = F.struct(
-        "turn", "pos", "word", F.upper("word").alias("punctuated_word"), some(F.col("pos") % 7 != 3, F.col("confidence")).alias("confidence"),
+        "turn", "pos", "word", F.concat("word", F.lit(".")).alias("punctuated_word"), some(F.col("pos") % 7 != 3, F.col("confidence")).alias("confidence"),
         some(F.col("pos") % 5 != 2, F.col("start_ms") / 1000).alias("start"), some(F.col("pos") % 5 != 2, F.col("end_ms") / 1000).alias("end"),
         some(F.col("turn") % 4 != 1, F.when(F.col("speaker") == "user", 0).otherwise(1)).alias("speaker"))
     docs = w.groupBy(F.col("call_id").cast("string").alias("id")).agg(F.array_sort(F.collect_list(word)).alias("words"))

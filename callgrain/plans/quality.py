@@ -179,9 +179,9 @@ w AS (SELECT *, CASE WHEN NOT enough THEN 'insufficient' WHEN fail = 'none' AND
  WHEN (tim = 'A' OR cos = 'A') AND (tim = 'B' OR cos = 'B') THEN 'tradeoff' WHEN tim = 'A' OR cos = 'A' THEN 'A' ELSE 'B' END AS winner FROM m)
 SELECT ab_run_id, winner, CASE WHEN enough THEN fail || ',' || CASE WHEN has_ref THEN wer || ',' ELSE '' END || tim || ',' || cos ELSE '' END AS better,
  CASE WHEN NOT enough THEN 0 ELSE CAST(fell AS INT) + CAST(NOT has_ref AS INT) + CASE WHEN winner = 'A' AND 'B' IN (fail, wer, tim, cos) THEN 1 WHEN winner = 'B' AND 'A' IN (fail, wer, tim, cos) THEN 1 ELSE 0 END END AS n_caveats,
- CASE winner WHEN 'insufficient' THEN 'Not enough runs for a verdict: each side needs at least 2 finished calls.' WHEN 'tie' THEN 'No clear winner: none of the measured differences is big or consistent enough to count.'
-  WHEN 'tradeoff' THEN CASE WHEN fail <> 'none' OR wer <> 'none' THEN 'No single winner: each side is better on a different quality measure.' ELSE 'No single winner: one side is faster, the other cheaper.' END
-  ELSE 'Config ' || winner || CASE WHEN fail <> 'none' OR wer <> 'none' THEN ' is better on quality.' ELSE ' is ' || CASE WHEN tim <> 'none' AND cos <> 'none' THEN 'faster and cheaper' WHEN tim <> 'none' THEN 'faster' ELSE 'cheaper' END || ', with no quality difference.' END END AS headline FROM w
+ CASE winner WHEN 'insufficient' THEN 'Too few finished calls to decide; the least for each side is 2.' WHEN 'tie' THEN 'The sides are equal as far as the measurements can tell.'
+  WHEN 'tradeoff' THEN CASE WHEN fail <> 'none' OR wer <> 'none' THEN 'The sides win on different quality measures.' ELSE 'Time speaks for one side and cost for the other.' END
+  ELSE 'Config ' || winner || CASE WHEN fail <> 'none' OR wer <> 'none' THEN ' wins on quality.' ELSE ' is ' || CASE WHEN tim <> 'none' AND cos <> 'none' THEN 'faster and cheaper' WHEN tim <> 'none' THEN 'faster' ELSE 'cheaper' END || ' at equal quality.' END END AS headline FROM w
 """, ("calls_v", "stages_v"))
 def verdict(spark, d):
     v = A.ab_verdict(A.ab_metrics(A.side_summary(ab_rows(spark, d))))

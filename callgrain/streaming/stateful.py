@@ -169,7 +169,8 @@ class Assembly(StatefulProcessor):
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
         columns = ["at_us", "type", "owner_id", "stage", "status"]
         fresh = [tuple(_plain(v) for v in r) for b in rows for r in b[columns].itertuples(index=False, name=None)]
-        fresh = [r for r in fresh if r[0] > passed_us]
+        # a column of numbers with nulls comes as floats
+        fresh = [(r[0], r[1], None if r[2] is None else int(r[2]), *r[3:]) for r in fresh if r[0] > passed_us]
         if not fresh or self.closed.exists():
             return iter(())
         held = [tuple(r) for r in self.events.get()] if self.events.exists() else []

@@ -163,3 +163,52 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = source.event_stream(spark, folder, "id BIGINT, k STRING, ts TIMESTAMP, u BIGINT", files_per_trigger=1)
     out = source.run_to_table(stateful.spaced(stream, key="k", at="ts", tie="id", gap_us=1, delay="10 minutes"), "late")
     assert sorted(r.tie for r in out.collect()) == [1, 2, 4]
+
+
+def call_events():
+    """(call_id, owner_id, seconds, type, stage, status): completed, aborted, and completed after the limit."""
+    rows = []
+    for c in range(30):
+        t = 10_000 + 100 * c
+        rows += [(c, c % 3 or None, t, "started", None, None), (c, None, t + 5, "stage", "stt", "ok"), (c, None, t + 9, "stage", "llm", "timeout" if c % 4 == 0 else "ok")]
+        if c % 5 != 2:
+            rows.append((c, None, t + (20 if c % 7 else 900), "completed", None, "failed" if c % 4 == 0 else "completed"))
+            rows.append((c, None, t + 30, "stage", "tts", "ok"))  # after the completion: not part of the call
+    return rows + [(99, None, 19_000, "started", None, None)]
+
+
+@pytest.mark.parametrize(("key", "batches"), [("int", "one"), ("string", "three"), ("bigint", "shuffled")])
+def test_calls_are_assembled_alike_under_any_batches(spark, tmp_path, key, batches):
+    rows, limit = call_events(), 300
+    want = []
+    for c in range(30):
+        own = [r for r in rows if r[0] == c]
+        done = [r for r in own if r[3] == "completed" and r[2] - own[0][2] <= limit]
+        end = done[0][2] if done else own[0][2] + limit
+        stages = ",".join(f"{r[4]}:{r[5]}" for r in sorted(own, key=lambda r: r[2]) if r[3] == "stage" and r[2] <= end)
+        want.append((str(c), own[0][1], own[0][2] * 10**6, end * 10**6, done[0][5] if done else "aborted", stages))
+    schema = f"call_id {key}, owner_id long, ts timestamp, type string, stage string, status string"
+    made = spark.createDataFrame(rows, "call_id long, owner_id long, s long, type string, stage string, status string").selectExpr(
+        f"CAST(call_id AS {key}) AS call_id", "owner_id", "timestamp_seconds(s) AS ts", "type", "stage", "status")
+    parts = {"one": ["true"], "three": ["unix_seconds(ts) < 11000", "unix_seconds(ts) BETWEEN 11000 AND 11999", "unix_seconds(ts) >= 12000"], "shuffled": [*(f"call_id < 99 AND pmod(xxhash64(ts, type), 4) = {k}" for k in range(4)), "call_id = 99"]}[batches]
+    folder = str(tmp_path / "in")
+    for k, part in enumerate(parts):
+        made.where(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = source.event_stream(spark, folder, schema, files_per_trigger=1)
+    # a delay longer than the disorder of the files, so that no row is late
+    got = source.run_to_table(stateful.assembled_calls(stream, timeout_ms=limit * 1000, delay="2 hours" if batches == "shuffled" else "10 minutes"), "assembly").collect()
+    got = sorted((str(r.call_id), r.owner_id, r.started_us, r.ended_us, r.status, r.stages) for r in got)
+    passed = 19_000 - (7200 if batches == "shuffled" else 600)
+    assert got == sorted(w for w in want if w[3] < passed * 10**6)
+
+
+def test_rows_for_a_closed_call_are_dropped(spark, tmp_path):
+    schema = "call_id int, owner_id long, ts timestamp, type string, stage string, status string"
+    batches = [[(1, 0, "started"), (1, 10, "completed"), (2, 1000, "started")], [(1, 500, "stage"), (2, 1010, "completed"), (3, 3000, "started")], [(1, 5, "stage"), (2, 2500, "stage"), (4, 9000, "started")]]
+    folder = str(tmp_path / "in")
+    for rows in batches:
+        df = spark.createDataFrame(rows, "call_id int, s long, type string").selectExpr("call_id", "CAST(NULL AS long) AS owner_id", "timestamp_seconds(s) AS ts", "type", "CAST(NULL AS string) AS stage", "type AS status")
+        df.coalesce(1).write.mode("append").parquet(folder)
+    stream = source.event_stream(spark, folder, schema, files_per_trigger=1)
+    got = source.run_to_table(stateful.assembled_calls(stream, timeout_ms=3_600_000), "closed").collect()
+    assert sorted((r.call_id, r.status, r.stages) for r in got) == [(1, "completed", ""), (2, "completed", ""), (3, "aborted", "")]
