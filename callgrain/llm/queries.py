@@ -127,9 +127,14 @@ j AS (SELECT v.*, CASE WHEN f.s IS NOT NULL THEN f.level ELSE (SELECT level FROM
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(severity > level, false) AS kept, severity, level FROM j
 """,
     "op9_sharding": f"""
-WITH bids AS (SELECT doc_id, text, s, -ln({_UNIT}) AS bid FROM documents, range({SHARDS + 1}) r(s)),
-won AS (SELECT doc_id, any_value(text) AS text, arg_min(s, bid) AS grown, arg_min(s, bid) FILTER (WHERE s < {SHARDS}) AS shard FROM bids GROUP BY doc_id)
-SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, 'key' AS law, CAST(shard AS INT) AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown AS INT) AS grown_shard FROM won
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+   lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+sums AS (SELECT doc_id, n, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST('0x' || x AS BIGINT))),
+   lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+bids AS (SELECT doc_id, s, -ln({_UNIT}) AS bid FROM documents, range({SHARDS + 1}) r(s)),
+won AS (SELECT doc_id, arg_min(s, bid) AS grown, arg_min(s, bid) FILTER (WHERE s < {SHARDS}) AS shard FROM bids GROUP BY doc_id)
+SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown AS INT) AS grown_shard FROM won JOIN sums USING (doc_id)
 """,
 }
