@@ -97,14 +97,15 @@ def undetected_corrections(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.withColumn("__to", digits(F.col("corrected"))).join(listed, ["call_id", "__to"], "left_anti").drop("__to")
 
 
-def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3) -> DataFrame:
+def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3, few: int = 1000) -> DataFrame:
     """(fragment_id, text_id) pairs: the normalised fragment (four characters or more) occurs in the normalised text.
 
     A fragment of ``gram`` + 2 words or more has inner words that must occur
     as whole words in the text, so it is looked up by one inner word group (the
     longest one, as long words are rare) and then verified. Shorter fragments
-    are looked up by their first four characters, or fewer where normalising
-    leaves fewer, and verified in the same way at every size.
+    have no such anchor: up to ``few`` are broadcast and tested against every
+    text, more are looked up by their first four characters, or fewer where
+    normalising leaves fewer. Both ways give the same pairs.
     """
     pieces = fragments.where(F.length(F.trim("fragment")) >= 4).select("fragment_id", spoken.plain("fragment").alias("f"))
     pieces = pieces.withColumn("w", F.split("f", " "))
@@ -134,19 +135,21 @@ def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3) -
     candidates = seen.join(anchored, "g").select("fragment_id", "text_id", "f").join(docs, "text_id")
     found = candidates.where(F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
 
-    # without an inner word group: by the first four characters, or by the whole fragment where it is shorter; the
-    # empty fragment, which lies in every text, has the empty lead
-    short = pieces.where(~long).select("fragment_id", "f", F.substring("f", 1, 4).alias("g"))
-    leads = docs.select("text_id", "t", F.explode(let(F.col("t"), _leads)).alias("g"))
-    direct = leads.join(short, "g").where(F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
-    return found.unionByName(direct)
+    short = pieces.where(~long).select("fragment_id", "f")
+    if short.limit(few + 1).count() <= few:
+        direct = docs.join(F.broadcast(short), F.col("t").contains(F.col("f")))
+    else:
+        # the empty fragment lies in every text and has the empty lead
+        leads = docs.select("text_id", "t", F.explode(let(F.split("t", ""), _leads)).alias("g"))
+        direct = leads.join(short.withColumn("g", F.substring("f", 1, 4)), "g").where(F.col("t").contains(F.col("f")))
+    return found.unionByName(direct.select("fragment_id", "text_id"))
 
 
-def _leads(t: Column) -> Column:
-    """Every different string of up to four characters of a text."""
+def _leads(letters: Column) -> Column:
+    """Every different string of up to four of the letters in a row."""
     def of(n: int) -> Column:
-        at = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.substring(t, i, F.lit(n)))
+        at = F.when(F.size(letters) >= n, F.sequence(F.lit(0), F.size(letters) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(*[F.get(letters, i + k) for k in range(n)]))
 
     return F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in (1, 2, 3, 4)]))
 

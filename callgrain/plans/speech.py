@@ -109,9 +109,9 @@ def two_groups(spark, d):
 
 def heard_words(spark, d):
     """Recogniser labels that miss the second voice in some calls and are wrong now and then."""
-    label = F.when(F.col("call_id") % 4 == 0, F.lit(0)).when((F.col("speaker") == "user") != (F.col("pos") % 13 == 5), 0).otherwise(1)
-    one_voice = F.col("call_id") % 7 == 3
-    return words_view(spark, d).where(~one_voice | (F.col("speaker") == "user")).withColumn("recognised", label).drop("speaker")
+    one_voice = (F.col("call_id") % 7 == 3) | (F.col("call_id") % 4 == 0)
+    label = F.when(one_voice, F.lit(0)).when((F.col("speaker") == "user") != (F.col("pos") % 13 == 5), 0).otherwise(1)
+    return words_view(spark, d).withColumn("recognised", label).drop("speaker")
 
 
 def attributed(spark, d):

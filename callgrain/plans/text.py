@@ -212,9 +212,10 @@ def extracted(spark, d):
     """Values a model may have extracted from each conversation: some said, some invented."""
     c = conversations(spark, d)
     words = F.split("text", r"\s+")
-    return c.where("turn < 4").select(
-        F.col("conv_id").alias("call_id"), F.when(F.col("turn") % 2 == 0, "order_ids").otherwise("dates").alias("key"),
-        F.when(F.col("turn") == 3, F.concat(F.lit("invented "), F.col("conv_id").cast("string"))).when(F.col("turn") == 2, F.col("conv_id").cast("string"))
+    kind = F.col("turn") % 4
+    return c.select(
+        F.col("conv_id").alias("call_id"), F.when(kind % 2 == 0, "order_ids").otherwise("dates").alias("key"),
+        F.when(kind == 3, F.concat_ws(" ", F.lit("invented"), "conv_id", "turn")).when(kind == 2, F.col("conv_id").cast("string"))
         .otherwise(F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(2)))).alias("value"))
 
 

@@ -156,3 +156,10 @@ def test_fragments_equal_plain_containment(spark, sf):
     want = {(i, d) for i, raw in frags if len(raw.strip()) >= 4 for d, t in norm.items() if fnorm[i] in t}
     got = {(r.fragment_id, r.text_id) for r in G.ground_fragments(fdf, docs).collect()}
     assert got == want
+
+
+def test_short_fragments_are_found_alike_by_either_way(spark):
+    texts = spark.createDataFrame([(1, "ab cd ef"), (2, "xyz"), (3, ""), (4, "a"), (5, "Hello, abcd! abcdef"), (6, None), (7, "é ñandú")], "text_id int, text string")
+    fragments = spark.createDataFrame([(1, "ab!!"), (2, "!!!!"), (3, "abcd"), (4, "xyz!"), (5, "a..."), (6, "cd ef"), (7, "bcde"), (8, "ab"), (9, "ñand"), (10, "zzzz")], "fragment_id int, fragment string")
+    by = [{tuple(r) for r in G.ground_fragments(fragments, texts, few=few).collect()} for few in (1000, 0)]
+    assert by[0] == by[1] and (3, 5) in by[0] and (1, 1) in by[0] and not {f for f, _ in by[0]} & {8, 10}
