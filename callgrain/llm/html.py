@@ -27,6 +27,7 @@ ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in the class, id or role of an element that is not part of the article.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation"
@@ -53,9 +54,9 @@ def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
     return any(NAMED.search(a or b or c) for a, b, c in _NAMES.findall(attributes))
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """Text of each block in page order, and whether it stands in the article."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool]]:
+    """Text of each block in page order, whether it stands in the article, and whether it is a heading."""
+    out: list[tuple[str, bool, bool]] = []
     piece: list[str] = []
     stack: list[tuple[str, bool]] = []
     muted = articles = 0
@@ -66,7 +67,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             if text:
-                out.append((text, articles > 0))
+                out.append((text, articles > 0, any(name in HEADINGS for name, _ in stack[-4:])))
             piece = []
 
     while True:
@@ -126,11 +127,13 @@ def between(sizes: list[int], threshold: int) -> tuple[int, int]:
 
 def main_text(page: str) -> str:
     found = lines(page)
-    marked = any(article for _, article in found)
+    marked = any(article for _, article, _ in found)
     # where an article is marked, all its lines are text, so that a single letter is a surge
-    sizes = [len(x) if article or not marked else 0 for x, article in found]
+    sizes = [len(x) if article or not marked else 0 for x, article, _ in found]
     first, last = between(sizes, 1 if marked else LONG_LINE * WINDOW)
-    return "\n\n".join(x for (x, _), n in zip(found[first:last], sizes[first:last]) if n)
+    while not marked and first > 0 and found[first - 1][2]:
+        first -= 1  # the headings above the surge
+    return "\n\n".join(x for (x, _, _), n in zip(found[first:last], sizes[first:last]) if n)
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -57,6 +57,7 @@ def test_bundles_hold_all_records(spark, pages, tmp_path):
         ("<article><p>text</p><section id=\"comments\"><p>first!</p></section></article><div class='cookie-notice'>ok?</div>", "text"),
         ("<article><p>1 < 2 <i>and</i> <b>3</b></p><!-- <p>no</p> --><p title='a>b'>&#233;&nbsp;x</p><ul><li>l</li></ul>", "1 < 2 and 3\n\né x\n\nl"),
         ("<article><p>broken <b>bold<p>next <article>", "broken bold\n\nnext"), ("<p title=\"never closed", '<p title="never closed'),
+        ("<ul><li>a</li><li>b</li></ul><h1>Title</h1><p>" + "word " * 30 + "</p>", "Title\n\n" + "word " * 29 + "word"),
         ("<ul><li>a</li><li>b</li><li>c</li><li>d</li></ul><p>" + "word " * 30 + "</p><p>End.</p><p>" + "more " * 30 + "</p><p>x</p><p>y</p><p>z</p><p>w</p>",
          "word " * 29 + "word\n\nEnd.\n\n" + "more " * 29 + "more"),
     ],
