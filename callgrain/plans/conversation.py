@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callgrain.functions import predicates as P
-from callgrain.functions.columns import half_up
 from callgrain.operators import conversation as C
 from callgrain.operators import intervals as I
 from callgrain.plans.ledger import rounded

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from callgrain import vocab as V
 from callgrain.functions import spoken as S
-from callgrain.functions.columns import half_up, ratio
-from callgrain.operators import calibration, classify, findings
+from callgrain.functions.columns import ratio
+from callgrain.operators import classify, findings
 from callgrain.operators import conversation as C
 from callgrain.operators import evaluation as E
 from callgrain.operators import intervals as I
@@ -19,7 +19,7 @@ from callgrain.plans.ledger import rounded
 from callgrain.plans.registry import Catalog
 from callgrain.sources import audio, recogniser, sinks
 from callgrain.sources.settle import settle
-from callgrain.sources.views import acted_words_view, calls_view, frames_view, stages_view, table, truth_view, words_view
+from callgrain.sources.views import acted_words_view, calls_view, frames_view, stages_view, table, words_view
 from callgrain.streaming.source import work_dir
 
 catalog = Catalog()
