@@ -211,7 +211,7 @@ def _of_reps(docs: DataFrame, reps: DataFrame, wanted: DataFrame, name: str, mak
     return made.groupBy("rep").agg(F.first(name).alias(name))
 
 
-def more_links(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+def more_links(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, block: int = 4096) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and very likely reach the threshold.
 
     ``members``: key, band, rep and component of the buckets with several components. Members of a bucket fall into blocks
