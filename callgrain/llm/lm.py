@@ -5,10 +5,12 @@ once for every level up to that of its count. Probing the levels of a key in tur
 back, never too low. The chance of a word after another is its pair count, smoothed with the word's own chance:
 (c(u, v) + m p(v)) / (c(u) + m).
 
-The filter is built in segments, each by the task that has all counts of its keys, and has a proven bound: a segment that
-would outgrow its part of ``filter_bytes`` leaves out the lowest counts, from 1 upwards, until it fits. Counting covers all
-training texts at every size. Exact word counts, for the base score, are broadcast for at most ``HOT`` of the most
-frequent words; all others are joined.
+The filter holds every word and pair of all training texts at every size: it is built in segments, each as large as its
+entries need, by the task that has all counts of its keys, and the segments are kept in a table. At most ``filter_bytes`` of
+them are broadcast at a time; where they are more, the texts are read once for each such round and the parts of their scores
+are added up. For that, the pairs of a word lie in the segment of the word. Only those of the most frequent words, at most
+``HOT``, are spread over all segments; the exact counts of these words are broadcast, for the base score too, and those of
+all others are joined to it.
 
 Null and empty texts have one token, their end. Texts are read whole. Rows with a null id are held out. Repeated rows
 train and are scored each by itself. With no training rows, all counts are 0. An empty table gives an empty result.
@@ -16,12 +18,13 @@ train and are scored each by itself. With no training rows, all counts are 0. An
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.llm.common import arrays, as_long, cut, mix, texts, word_ids
@@ -35,7 +38,9 @@ LEAST = np.unique(np.floor(STEP ** np.arange(0, 200)).astype(np.int64))
 MEANT = np.concatenate([[0.0], np.sqrt(LEAST.astype(float) * np.append(LEAST[1:] - 1, LEAST[-1]))])
 PROBES = 4  # bits of an entry, all in one 64-bit word
 CHUNK = 1_500_000
-SEGMENT_TOKENS, SEGMENTS = 2_000_000, 4096
+SEGMENT_TOKENS, SEGMENTS = 2_000_000, 1 << 16
+#: The bits of a key that choose its segment.
+LEAD = np.uint64((SEGMENTS - 1) << 48)
 
 
 def held_out(key: Column) -> Column:
@@ -72,6 +77,23 @@ def before(now: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def alone(words: np.ndarray) -> np.ndarray:
+    """The key of each single word."""
+    return mix(words, np.array([ALONE]))
+
+
+def pairs(last: np.ndarray, now: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The key of each pair, in the segment of its second word unless that is frequent."""
+    keys = mix(last, now)
+    return np.where(frequent, keys, alone(now) & LEAD | keys & ~LEAD)
+
+
+def known(hot: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each word among the sorted hot ones, and whether it is one of them."""
+    at = np.searchsorted(hot, words).clip(0, max(len(hot) - 1, 0))
+    return at, hot[at] == words if len(hot) else np.zeros(len(words), bool)
+
+
 class Counter:
     """Counts of keys; new keys are merged into sorted ones now and then."""
 
@@ -120,12 +142,13 @@ def word_counts(training: DataFrame, most: int = 1_000_000) -> DataFrame:
     return training.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def segment_counts(training: DataFrame, segments: int, most: int = 3_000_000) -> DataFrame:
-    """(segment, keys, counts): counts of words and pairs of each task, parted by the leading bits of the key."""
+def segment_counts(training: DataFrame, segments: int, frequent: Broadcast | None = None, most: int = 3_000_000) -> DataFrame:
+    """(segment, keys, counts): counts of pairs and of words that aren't frequent in each task, parted by the leading bits of the key."""
     shift = np.uint64(64 - segments.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
+        hot = frequent.value[0] if frequent else np.empty(0, np.uint64)
 
         def out() -> pa.RecordBatch:
             keys, counts = counter.merge()
@@ -137,9 +160,10 @@ def segment_counts(training: DataFrame, segments: int, most: int = 3_000_000) ->
                  pa.array([small[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["segment", "keys", "counts"])
 
         for _, _, now, lengths in chunks(batches):
-            counter.add(mix(before(now, lengths), now))
-            counter.add(mix(now, np.array([ALONE])))
-            counter.add(mix(np.array([START]), np.array([ALONE])), np.array([len(lengths)]))
+            _, is_hot = known(hot, now)
+            counter.add(pairs(before(now, lengths), now, is_hot))
+            counter.add(alone(now[~is_hot]))
+            counter.add(alone(np.array([START])), np.array([len(lengths)]))
             if len(counter.keys) > most:
                 yield out()
                 counter = Counter()
@@ -158,9 +182,8 @@ def place(keys: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple[
     return word, mask
 
 
-def build_segments(counted: DataFrame, segments: int, filter_bytes: int, bits_per_entry: int) -> DataFrame:
+def build_segments(counted: DataFrame, segments: int, bits_per_entry: int) -> DataFrame:
     """(segment, bits): the filter of each segment."""
-    budget = filter_bytes // segments * 8
 
     def one(parts: list[tuple[bytes, bytes]]) -> bytes:
         counter = Counter()
@@ -168,14 +191,7 @@ def build_segments(counted: DataFrame, segments: int, filter_bytes: int, bits_pe
             counter.add(np.frombuffer(k, "<u8"), np.frombuffer(n, "<u4").astype(np.int64))
         keys, counts = counter.merge()
         level = np.searchsorted(LEAST, counts, "right")
-        by_level = np.bincount(level, minlength=len(LEAST) + 1)
-        entries = by_level * np.arange(len(by_level))
-        least = 1
-        while least < len(entries) and entries[least:].sum() * bits_per_entry > budget:
-            least += 1
-        held = level >= least
-        keys, level = keys[held], level[held]
-        words = max(1, int(entries[least:].sum()) * bits_per_entry // 64)
+        words = max(1, int(level.sum()) * bits_per_entry // 64)
         bits = np.zeros(words, "<u8")
         for q in range(1, int(level.max(initial=0)) + 1):
             word, mask = place(keys[level >= q], q, np.uint64(words))
@@ -205,19 +221,28 @@ def build_segments(counted: DataFrame, segments: int, filter_bytes: int, bits_pe
 
 
 class Filter:
-    """The joined segments; ``count`` probes level after level, each key as long as it is found."""
+    """The joined segments from ``first`` up to ``last``; ``count`` probes level after level, each key as long as it is found."""
 
-    def __init__(self, segments: int, parts: dict[int, bytes]) -> None:
+    def __init__(self, segments: int, parts: dict[int, bytes], first: int = 0, last: int | None = None) -> None:
+        self.first, self.last = first, segments if last is None else last
         self.shift = np.uint64(64 - segments.bit_length() + 1)
-        self.words = np.array([len(parts.get(s, b"\0" * 8)) // 8 for s in range(segments)], np.uint64)
+        held = [parts.get(s, b"\0" * 8) for s in range(self.first, self.last)]
+        self.words = np.array([len(x) // 8 for x in held], np.uint64)
         self.offset = np.concatenate([[0], np.cumsum(self.words)[:-1]]).astype(np.uint64)
-        self.bytes = b"".join(parts.get(s, b"\0" * 8) for s in range(segments))
+        self.bytes = b"".join(held)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key's segment is one of these."""
+        segment = (keys >> self.shift).astype(np.int64)
+        return (segment >= self.first) & (segment < self.last)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key, 0 outside these segments."""
         data = np.frombuffer(self.bytes, "<u8")
         level = np.zeros(len(keys), np.int64)
-        active = np.arange(len(keys))
-        segment = (keys >> self.shift).astype(np.int64)
+        active = np.flatnonzero(self.holds(keys))
+        keys = keys[active]
+        segment = (keys >> self.shift).astype(np.int64) - self.first
         words, offset = self.words[segment], self.offset[segment]
         for q in range(1, len(LEAST) + 1):
             word, mask = place(keys, q, words)
@@ -229,13 +254,39 @@ class Filter:
         return MEANT[level]
 
 
-def build(training: DataFrame, tokens: int, filter_bytes: int = 1 << 26, bits_per_entry: int = 12) -> Filter:
-    """The filter of at most ``filter_bytes`` (and 8 bytes for each empty segment)."""
+class Segments:
+    """The table of all segments, and the rounds in which they are probed: runs of segments of at most ``filter_bytes``."""
+
+    def __init__(self, table: DataFrame, segments: int, filter_bytes: int) -> None:
+        self.table, self.segments = table, segments
+        self.sizes = np.full(segments, 8)
+        for r in table.select("segment", F.octet_length("bits").alias("n")).collect():
+            self.sizes[r["segment"]] = r["n"]
+        self.rounds: list[tuple[int, int]] = []
+        first = 0
+        for s in range(1, segments + 1):
+            if s == segments or self.sizes[first : s + 1].sum() > filter_bytes:
+                self.rounds.append((first, s))
+                first = s
+
+    def filter(self, k: int) -> Filter:
+        """The segments of a round."""
+        first, last = self.rounds[k]
+        held = {r["segment"]: r["bits"] for r in self.table.where(F.col("segment").between(first, last - 1)).collect()}
+        return Filter(self.segments, held, first, last)
+
+    @property
+    def bytes(self) -> bytes:
+        """The bits of the largest round, the most that is held at a time."""
+        return self.filter(max(range(len(self.rounds)), key=lambda k: self.sizes[slice(*self.rounds[k])].sum())).bytes
+
+
+def build(training: DataFrame, tokens: int, filter_bytes: int = 1 << 26, bits_per_entry: int = 12, frequent: Broadcast | None = None) -> Segments:
+    """All segments, so many that several fit ``filter_bytes``. A token adds two entries at most."""
     segments = 16
-    while segments < SEGMENTS and segments * SEGMENT_TOKENS < tokens:
+    while segments < SEGMENTS and (segments * SEGMENT_TOKENS < tokens or segments * filter_bytes < tokens * bits_per_entry):
         segments *= 2
-    rows = build_segments(segment_counts(training, segments), segments, filter_bytes, bits_per_entry).collect()
-    return Filter(segments, {r["segment"]: bytes(r["bits"]) for r in rows})
+    return Segments(cut(build_segments(segment_counts(training, segments, frequent), segments, bits_per_entry)), segments, filter_bytes)
 
 
 def hot_words(counts: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -264,45 +315,76 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", smoothing: f
     counts = cut(word_counts(training))
     total, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     below = total + 0.1 * (different + 1)
-    model = spark.sparkContext.broadcast(build(training, total, filter_bytes))
     frequent = spark.sparkContext.broadcast(hot_words(counts))
+    model = build(training, total, filter_bytes, frequent=frequent)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    def parts(f: Filter, now: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct words, the place of each token among them, which are frequent and their counts; the texts' scores as far as their keys lie in f."""
+        hot, hot_n = frequent.value
+        starts = np.cumsum(lengths) - lengths
+        words, word_at = np.unique(now, return_inverse=True)
+        at, is_hot = known(hot, words)
+        exact = np.where(is_hot, hot_n[at], 0) if len(hot) else np.zeros(len(words), np.int64)
+        own = alone(words)
+        singles = np.where(is_hot, MEANT[np.searchsorted(LEAST, exact, "right")], f.count(own))
+        # what differs only by word is computed once for each word
+        share, below_pair = smoothing * (singles + 0.1) / below, np.log10(singles + smoothing)
+        # a word divides the chance of the next one, in the round of its segment or in the first; the end has no next one
+        below_pair[(words == END) | np.where(is_hot, f.first > 0, ~f.holds(own))] = 0.0
+        two, two_at = np.unique(pairs(before(now, lengths), now, is_hot[word_at]), return_inverse=True)
+        chance = np.where(f.holds(two)[two_at], np.log10(f.count(two)[two_at] + share[word_at]), 0.0) - below_pair[word_at]
+        start = alone(np.array([START]))
+        return words, word_at, is_hot, exact, np.add.reduceat(chance, starts) - np.where(f.holds(start), np.log10(f.count(start) + smoothing), 0.0)
+
+    first_round = spark.sparkContext.broadcast(model.filter(0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (hot, hot_n) = model.value, frequent.value
+        f = first_round.value
         base, done = TaskContext.get().partitionId() << 32, 0
         for batch, first, now, lengths in chunks(batches, 1):
             n = len(lengths)
             starts = np.cumsum(lengths) - lengths
             doc = np.repeat(np.arange(n), lengths)
-            words, word_at = np.unique(now, return_inverse=True)
-            two, two_at = np.unique(mix(before(now, lengths), now), return_inverse=True)
-            singles = f.count(mix(np.append(words, START), np.array([ALONE])))
-            context_at = np.roll(word_at, 1)
-            context_at[starts] = len(words)
-            # what differs only by word is computed once for each word
-            share, below_pair = smoothing * (singles + 0.1) / below, singles + smoothing
-            chance = (f.count(two)[two_at] + share[word_at]) / below_pair[context_at]
-            at = np.searchsorted(hot, words).clip(0, max(len(hot) - 1, 0))
-            is_hot = hot[at] == words if len(hot) else np.zeros(len(words), bool)
-            exact = np.where(is_hot, hot_n[at], 0) if len(hot) else np.zeros(len(words), np.int64)
-            known = is_hot[word_at]
+            _, word_at, is_hot, exact, score = parts(f, now, lengths)
+            hot_at = is_hot[word_at]
             part = np.where(is_hot, np.log10((exact + 0.1) / below), 0.0)[word_at]
-            rare = np.flatnonzero(~known)
+            rare = np.flatnonzero(~hot_at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(base + done + np.arange(n)), batch.column(0).slice(first, n), batch.column(2).slice(first, n),
-                 pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(part, starts)),
-                 pa.array(np.add.reduceat(np.log10(chance), starts)),
+                [pa.array(base + done + np.arange(n)), *(batch.column(k).slice(first, n) for k in (0, 2, 3)),
+                 pa.array(lengths), pa.array(np.add.reduceat(hot_at.astype(np.int64), starts)), pa.array(np.add.reduceat(part, starts)), pa.array(score),
                  arrays(as_long(now[rare]), np.bincount(doc[rare], minlength=n).astype(np.int32))],
-                names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "rare"],
+                names=["row", "doc_id", "held_out", "text_key", "n_tokens", "hot_known", "hot_base", "score", "rare"],
             )
             done += n
 
-    scored = cut(rows.select("doc_id", "text", "held_out").mapInArrow(
-        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, rare array<long>"))
+    keyed = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    scored = cut(keyed.select("doc_id", "text", "held_out", "text_key").mapInArrow(
+        run, f"row long, doc_id {kind}, held_out boolean, text_key long, n_tokens long, hot_known long, hot_base double, score double, rare array<long>"))
+    first_round.destroy()
+    more = [_round(spark, model.filter(k), parts, keyed) for k in range(1, len(model.rounds))]
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(below))).alias("base"))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    scored = scored.drop("rare").join(rare, "row", "left")
+    if more:  # a score depends on the text alone
+        added = reduce(DataFrame.unionByName, more).groupBy("text_key").agg(F.sum("part").alias("part"))
+        scored = scored.join(added, "text_key").withColumn("score", F.col("score") + F.col("part"))
+    return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score",
     )
+
+
+def _round(spark: SparkSession, held: Filter, parts: Callable, keyed: DataFrame) -> DataFrame:
+    """(text_key, part): what a round adds to the score of each text."""
+    model = spark.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, now, lengths in chunks(batches, 1):
+            score = parts(model.value, now, lengths)[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lengths)), pa.array(score)], names=["text_key", "part"])
+
+    found = keyed.select("text_key", "text").mapInArrow(run, "text_key long, part double")
+    found = cut(found.groupBy("text_key").agg(F.max("part").alias("part")))
+    model.destroy()
+    return found

@@ -250,6 +250,30 @@ def test_pairs_seen_before_make_held_out_texts_likelier(spark):
     assert len(held) > 20 and all(r["score"] > r["base_score"] + 5 for r in held)
 
 
+def test_every_pair_counts_where_the_filter_takes_many_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(str(int(rng.paretovariate(0.7))) for _ in range(80))) for i in range(300)] + [(300, None), (3, "again 1 2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            tokens = ["start", *lowered(t), "end"]
+            seen.update(tokens)
+            seen.update(zip(tokens, tokens[1:]))
+    held = lambda x: lm.MEANT[np.searchsorted(lm.LEAST, seen[x], "right")]
+    total = sum(n for x, n in seen.items() if isinstance(x, str) and x != "start")
+    below = total + 0.1 * (sum(isinstance(x, str) and x != "start" for x in seen) + 1)
+    frequent = lm.hot_words
+    for hot in (40, lm.HOT):
+        monkeypatch.setattr(lm, "hot_words", lambda counts, hot=hot: frequent(counts, hot))
+        got = collected(lm.score(docs, filter_bytes=9000).where("NOT held_out"))
+        for i, t in rows:
+            if i in got:
+                tokens = ["start", *lowered(t), "end"]
+                want = sum(math.log10((held((u, v)) + 50 * (held(v) + 0.1) / below) / (held(u) + 50)) for u, v in zip(tokens, tokens[1:]))
+                assert any(r["n_tokens"] == len(tokens) - 1 and r["score"] == pytest.approx(want, abs=0.02 * len(tokens)) for r in got[i])
+
+
 # --------------------------------------------------------------- near copies
 
 
