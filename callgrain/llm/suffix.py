@@ -35,6 +35,8 @@ CHUNK = 1 << 19
 #: How many text keys may be broadcast, 8 bytes each.
 FEW = 500_000
 _LOW = np.uint64((1 << 24) - 1)
+#: Strings whose anchors are looked for at a time, so that places fit _LOW and memory is bounded in texts of any length.
+SLICE = 1 << 23
 
 
 class Buckets:
@@ -69,6 +71,19 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
     ``data`` holds whole texts, each of at least LENGTH bytes, in a row.
     """
+    parts = []
+    for at in range(0, len(data) - LENGTH + 1, SLICE):
+        end = min(at + SLICE + LENGTH - 1, len(data))
+        t = np.flatnonzero(np.minimum(ends, end) - np.maximum(starts, at) >= LENGTH)
+        if len(t):
+            found, bucket, stretch, lo, hi = _anchors(data[at:end], np.maximum(starts[t], at) - at, np.minimum(ends[t], end) - at)
+            t = t[found]
+            parts.append((t, bucket, stretch, lo + at - starts[t], hi + at - starts[t]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same for one slice, with strings counted from its start."""
     b = Buckets(data)
     place = np.arange(len(b.short), dtype=np.uint64)
     least = _sliding_least((b.short & ~_LOW) | (_LOW - place), WINDOWS)
@@ -79,7 +94,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     last = np.append(first[1:], len(strings)) - 1
     lo, hi, a, t = strings[first], strings[last], anchor[first], text[first]
     shape = ((a - lo) << 16 | (hi - lo)).astype(np.uint64)
-    return t, b.short[a], mix(mix(b.long[lo], b.long[hi]), shape), lo - starts[t], hi - starts[t]
+    return t, b.short[a], mix(mix(b.long[lo], b.long[hi]), shape), lo, hi
 
 
 def _long_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,9 +145,11 @@ def string_rows(wanted: DataFrame) -> DataFrame:
                 if key in seen:
                     continue
                 seen.add(key)
-                long = Buckets(np.frombuffer(text, np.uint8)).long
+                data = np.frombuffer(text, np.uint8)
+                long = Buckets(data).long if len(data) <= SLICE else None
                 for x in listed.as_py():
-                    ids, at = long[x["lo"] : x["hi"] + 1], np.arange(x["hi"] - x["lo"] + 1, dtype=np.int32)
+                    ids = long[x["lo"] : x["hi"] + 1] if long is not None else Buckets(data[x["lo"] : x["hi"] + LENGTH]).long
+                    at = np.arange(x["hi"] - x["lo"] + 1, dtype=np.int32)
                     part = (ids % np.uint64(x["parts"])).astype(np.int32)
                     for p in np.unique(part) if x["parts"] > 1 else (0,):
                         here = part == p

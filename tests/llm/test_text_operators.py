@@ -396,6 +396,25 @@ def test_repeats_against_all_strings(spark, odd_docs, no_docs):
     assert suffix.without_repeats(odd_docs).columns == odd_docs.columns
 
 
+def test_anchors_in_very_long_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 17_500_000, np.uint8)
+    data[17_000_000:17_001_000] = data[5_000:6_000]
+
+    def covered(first):  # the buckets and stretches that lie within the copied passage
+        inside = (lo >= first) & (hi + suffix.LENGTH <= first + 1000)
+        return list(zip(bucket[inside], stretch[inside], lo[inside] - first))
+
+    _, bucket, stretch, lo, hi = suffix.anchors(data, np.array([0]), np.array([len(data)]))
+    assert len(covered(5_000)) > 3 and covered(5_000) == covered(17_000_000)
+    # slices own each string once, with the bucket that it has without slices
+    starts, ends = np.array([0, 700, 5000, 5200]), np.array([700, 5000, 5200, 9000])
+    spread = lambda found: [(t, k, b) for t, b, _, lo, hi in zip(*found) for k in range(lo, hi + 1)]
+    want = spread(suffix.anchors(data[:9000], starts, ends))
+    monkeypatch.setattr(suffix, "SLICE", 1000)
+    assert sorted(spread(suffix.anchors(data[:9000], starts, ends))) == sorted(want) and len(want) == sum(ends - starts - suffix.LENGTH + 1)
+
+
 def test_letters_stay_whole():
     data = "aéb".encode()
     assert suffix.whole_letters(data, [(0, 2)]) == [(0, 1)] and suffix.whole_letters(data, [(2, 4)]) == [(3, 4)] and suffix.whole_letters(data, [(2, 3)]) == []
