@@ -13,7 +13,8 @@ is never cut. Parsing is linear in the length of a page; broken mark-up is read
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -28,6 +29,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose end may be left out: the open ones that each closes as it begins, and the elements that keep what is open outside of them.
+BLOCKS = frozenset("ul ol menu dl table td th article main section nav aside header footer form blockquote figure fieldset details dialog".split())
+CELLS = frozenset("td th".split())
+CLOSES = {"li": ({"li"}, BLOCKS), "dt": ({"dt", "dd"}, BLOCKS), "dd": ({"dt", "dd"}, BLOCKS), "td": (CELLS, {"table", "tr"}), "th": (CELLS, {"table", "tr"}),
+          "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 #: Words in the class, id or role of an element that is not part of the article.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation"
@@ -59,6 +65,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     piece: list[str] = []
     stack: list[tuple[str, bool]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each name
     muted = articles = 0
     at = 0
 
@@ -70,6 +77,18 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                 out.append((text, articles > 0, any(name in HEADINGS for name, _ in stack[-4:])))
             piece = []
 
+    def close(depth: int) -> None:
+        """Closes the element at this depth and all that is open inside it."""
+        nonlocal muted, articles
+        while len(stack) > depth:
+            name, quiet = stack.pop()
+            places[name].pop()
+            muted -= quiet
+            articles -= name in ARTICLE
+
+    def last(names: Iterable[str]) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
     while True:
         found = _TAG.search(page, at)
         if not muted:
@@ -86,12 +105,8 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             piece.append(" ")
         if found[1]:
             # closes the nearest open element of that name, and what was left open inside it
-            depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 256), -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                for name, quiet in stack[depth:]:
-                    muted -= quiet
-                    articles -= name in ARTICLE
-                del stack[depth:]
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
@@ -100,8 +115,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if tag in VOID or found[3].endswith("/") and tag not in ARTICLE:
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
-            muted -= stack.pop()[1]
+            close(len(stack) - 1)
+        if tag in CLOSES:
+            depth = last(CLOSES[tag][0])
+            if depth > last(CLOSES[tag][1]):
+                close(depth)
         quiet = tag in SILENT or _is_aside(tag, found[3], articles > 0)
+        places[tag].append(len(stack))
         stack.append((tag, quiet))
         muted += quiet
         articles += tag in ARTICLE

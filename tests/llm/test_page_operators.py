@@ -72,6 +72,16 @@ def test_main_text_is_linear_and_total():
     assert len(html.main_text("<article><p>" + "long " * 200_000)) == 5 * 200_000 - 1
 
 
+def test_ends_that_are_left_out():
+    body = "<article><p>Body.</p></article>"
+    for many in (3, 300, 20_000):
+        assert html.main_text("<nav><ul>" + "<li>item" * many + "</ul></nav>" + body) == "Body."
+        assert html.main_text("<nav>" + "<div>item" * many + "</nav>" + body) == "Body."
+        assert html.main_text("<nav><table>" + "<tr><td>a<td>b" * many + "</table></nav>" + body) == "Body."
+        assert html.main_text("<article><dl>" + "<dt>t<dd>d" * many + "</dl></article><footer>no</footer>") == "\n\n".join(["t", "d"] * many)
+    assert html.main_text("<article><ul><li class=ad>buy<li>one<ul><li>two</ul><li>three</ul><table><tr><td><table><tr><td>in</table>out</table></article>") == "one\n\ntwo\n\nthree\n\nin\n\nout"
+
+
 def test_main_text_keeps_ties_and_columns(spark, sf, pages):
     got = html.extract(pages)
     assert got.count() == pages.count() and got.columns.count("text") == 1 and html.extract(pages.limit(0)).count() == 0
