@@ -1,7 +1,9 @@
 """Main text of web pages by the distribution of line blocks.
 
 Mark-up is stripped so that each block of a page becomes one line; scripts, styles, forms and other parts that hold no
-text, and parts that are named as navigation, advertising, notices or comments, give none. Lines outside the article
+text, and parts that are named as navigation, advertising, notices or comments, give none; a name counts as a whole, and not
+where the part holds an article or main element that isn't inside another one. Hidden elements, and nav, footer, aside, menu
+and dialog elements, give no text whatever they hold. Lines outside the article
 count nothing where the page marks one. The lengths of the lines are summed over sliding windows of ``WINDOW`` lines. The
 text begins at the surge, where a sum first passes the threshold, and ends at the dive, after which the sums stay below
 it; what lies between is kept, short lines included.
@@ -34,37 +36,58 @@ BLOCKS = frozenset("ul ol menu dl table td th article main section nav aside hea
 CELLS = frozenset("td th".split())
 CLOSES = {"li": ({"li"}, BLOCKS), "dt": ({"dt", "dd"}, BLOCKS), "dd": ({"dt", "dd"}, BLOCKS), "td": (CELLS, {"table", "tr"}), "th": (CELLS, {"table", "tr"}),
           "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
-#: Words in the class, id or role of an element that is not part of the article.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation"
-    r"|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|site-?header|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])",
-    re.I,
+#: Words in the class, id or role of an element that is not part of the article, and words that may stand beside them in a name.
+_WORDS = (
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation"
+    r"|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|site-?header|social|sponsor\w*|subscribe|toolbar|widgets?"
 )
+_BESIDE = r"site|page|global|main|primary|secondary|top|bottom|left|right|area|bar|block|box|buttons?|form|icons?|items?|links?|list|posts?|section|slot|unit|\d+"
+NAMED = re.compile(rf"[_-]*(?:(?:{_BESIDE})[_-]+)*(?:{_WORDS})(?:[_-]+(?:{_WORDS}|{_BESIDE}))*[_-]*", re.I)
 WINDOW = 3
 LONG_LINE = 40
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*+)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe")}
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_aside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is not part of the article, and whether it is one even if it holds an article."""
     if tag in ASIDE or (tag == "header" and not in_article):
-        return True
-    if "=" not in attributes or tag in ("html", "body") or tag in ARTICLE:
-        return False
-    if re.search(r"\bhidden\b|display:\s*none", attributes, re.I):
-        return True
-    return any(NAMED.search(a or b or c) for a, b, c in _NAMES.findall(attributes))
+        return True, tag not in ("form", "header", "fieldset")
+    if not attributes or attributes.isspace() or tag in ("html", "body") or tag in ARTICLE:
+        return False, False
+    named = False
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True, True
+        if name == "style" and re.search(r"display:\s*none", value, re.I):
+            return True, True
+        if name in ("class", "id", "role"):
+            named = named or any(map(NAMED.fullmatch, value.split()))
+        elif name == "aria-label":
+            named = named or bool(NAMED.fullmatch("-".join(value.split())))
+    return named, False
+
+
+class Aside:
+    """An element that is not part of the article unless one is found in it, and that around it."""
+
+    def __init__(self, outer: Aside | None) -> None:
+        self.outer, self.quiet = outer, True
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
     """Text of each block in page order, whether it stands in the article, and whether it is a heading."""
     out: list[tuple[str, bool, bool]] = []
+    inside: list[Aside | None] = []  # of each line
+    asides: list[Aside] = []
+    aside: Aside | None = None
     piece: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, Aside | None]] = []
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each name
     muted = articles = 0
     at = 0
@@ -74,14 +97,18 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             if text:
-                out.append((text, articles > 0, any(name in HEADINGS for name, _ in stack[-4:])))
+                out.append((text, articles > 0, any(name in HEADINGS for name, _, _ in stack[-4:])))
+                inside.append(aside)
             piece = []
 
     def close(depth: int) -> None:
         """Closes the element at this depth and all that is open inside it."""
-        nonlocal muted, articles
+        nonlocal muted, articles, aside
         while len(stack) > depth:
-            name, quiet = stack.pop()
+            name, quiet, own = stack.pop()
+            if own:
+                block()
+                aside = own.outer
             places[name].pop()
             muted -= quiet
             articles -= name in ARTICLE
@@ -120,13 +147,25 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             depth = last(CLOSES[tag][0])
             if depth > last(CLOSES[tag][1]):
                 close(depth)
-        quiet = tag in SILENT or _is_aside(tag, found[3], articles > 0)
+        quiet, own = tag in SILENT, None
+        if not quiet:
+            quiet, always = _is_aside(tag, found[3], articles > 0)
+            if quiet and not always and tag not in INLINE:
+                quiet, own = False, Aside(aside)
+                aside = own
+                asides.append(own)
+        if tag in ARTICLE and not articles and not muted:
+            around = aside
+            while around and around.quiet:
+                around.quiet, around = False, around.outer
         places[tag].append(len(stack))
-        stack.append((tag, quiet))
+        stack.append((tag, quiet, own))
         muted += quiet
         articles += tag in ARTICLE
     block()
-    return out
+    for x in asides:  # those outside come first
+        x.quiet = x.quiet or bool(x.outer and x.outer.quiet)
+    return [x for x, own in zip(out, inside) if not (own and own.quiet)]
 
 
 def between(sizes: list[int], threshold: int) -> tuple[int, int]:

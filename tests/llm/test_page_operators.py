@@ -82,6 +82,17 @@ def test_ends_that_are_left_out():
     assert html.main_text("<article><ul><li class=ad>buy<li>one<ul><li>two</ul><li>three</ul><table><tr><td><table><tr><td>in</table>out</table></article>") == "one\n\ntwo\n\nthree\n\nin\n\nout"
 
 
+def test_wrappers_of_the_article_are_read():
+    article, comments = "<article><p>Body.</p></article>", "<div id='comments'><p>first!</p></div>"
+    for attributes in ("class='overflow-hidden'", "aria-hidden=false", "class='layout has-sidebar'", "class=no-sidebar", "class='share-price'"):
+        assert html.main_text(f"<article><div {attributes}><p>Inner.</p></div><p>Body.</p></article>{comments}") == "Inner.\n\nBody."
+        assert html.main_text(f"<div {attributes}><div class='widget'>{article}</div></div>{comments}") == "Body."
+    assert html.main_text("<form class=page><main><p>Body.</p></main></form>") == "Body."
+    for attributes in ("hidden", "aria-hidden='true'", "style='display: none'", "class='site-nav'", "id=ad-12", "class='x social-links'", "aria-label='Main navigation'", "role=navigation"):
+        assert html.main_text(f"<article><div {attributes}><p>no</p></div><p>Body.</p></article>") == "Body."
+    assert html.main_text("<article><p>Body.</p><div class=comments><article><p>first!</p></article></div></article>") == "Body."
+
+
 def test_main_text_keeps_ties_and_columns(spark, sf, pages):
     got = html.extract(pages)
     assert got.count() == pages.count() and got.columns.count("text") == 1 and html.extract(pages.limit(0)).count() == 0
