@@ -6,7 +6,8 @@ where the part holds an article or main element that isn't inside another one. H
 and dialog elements, give no text whatever they hold. Lines outside the article
 count nothing where the page marks one. The lengths of the lines are summed over sliding windows of ``WINDOW`` lines. The
 text begins at the surge, where a sum first passes the threshold, and ends at the dive, after which the sums stay below
-it; what lies between is kept, short lines included.
+it; what lies between is kept, short lines included, and short lines beside it that aren't links. The threshold follows the
+page's own sums.
 
 A null or empty page has the empty text. Pages are independent, so ties and repeated rows give the same text again. Text
 is never cut. Parsing is linear in the length of a page; broken mark-up is read as far as it goes.
@@ -18,6 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +82,19 @@ class Aside:
         self.outer, self.quiet = outer, True
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """Text of each block in page order, whether it stands in the article, and whether it is a heading."""
-    out: list[tuple[str, bool, bool]] = []
+class Line(NamedTuple):
+    """Text of a block, and whether it stands in the article, is a heading, stands in a list, and has letters outside of links."""
+
+    text: str
+    article: bool
+    heading: bool
+    item: bool
+    unlinked: bool
+
+
+def lines(page: str) -> list[Line]:
+    """The text of each block in page order."""
+    out: list[Line] = []
     inside: list[Aside | None] = []  # of each line
     asides: list[Aside] = []
     aside: Aside | None = None
@@ -91,15 +103,16 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each name
     muted = articles = 0
     at = 0
+    unlinked = False
 
     def block() -> None:
-        nonlocal piece
+        nonlocal piece, unlinked
         if piece:
             text = " ".join(unescape("".join(piece)).split())
             if text:
-                out.append((text, articles > 0, any(name in HEADINGS for name, _, _ in stack[-4:])))
+                out.append(Line(text, articles > 0, any(name in HEADINGS for name, _, _ in stack[-4:]), bool(places.get("li")), unlinked))
                 inside.append(aside)
-            piece = []
+            piece, unlinked = [], False
 
     def close(depth: int) -> None:
         """Closes the element at this depth and all that is open inside it."""
@@ -120,6 +133,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         found = _TAG.search(page, at)
         if not muted:
             piece.append(page[at : found.start() if found else len(page)])
+            unlinked = unlinked or not places.get("a") and any(map(str.isalnum, piece[-1]))
         if not found:
             break
         at = found.end()
@@ -168,31 +182,35 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     return [x for x, own in zip(out, inside) if not (own and own.quiet)]
 
 
-def between(sizes: list[int], threshold: int) -> tuple[int, int]:
+def between(sizes: list[int], threshold: float | None = None) -> tuple[int, int]:
     """First line of the text and the one after its last: the surge and the dive of the window sums."""
     if not any(sizes):
         return 0, 0
     sums = np.convolve(sizes, np.ones(WINDOW, int), "valid") if len(sizes) >= WINDOW else np.array([sum(sizes)])
-    over = np.flatnonzero(sums >= min(threshold, sums.max()))
-    first, last = int(over[0]), min(int(over[-1]) + WINDOW, len(sizes))
-    # a window surges or dives with the lines at its edge that hold text worth a window's share, or any where none does
-    share = threshold // WINDOW
-    for least in (max(1, min(share, max(sizes[first:last]))), 1):
-        long = [k for k in range(first, last) if sizes[k] >= least]
-        if long:
-            return long[0], long[-1] + 1
-    return first, last
+    # half the sum around a usual letter of this page, so that pages of short lines have a surge too
+    threshold = threshold or min(LONG_LINE * WINDOW, (sums.astype(float) ** 2).sum() / sums.sum() / 2)
+    over = np.flatnonzero(sums >= threshold)
+    # a window surges or dives with the lines at its edge that hold text worth a window's share
+    long = [k for k in range(int(over[0]), min(int(over[-1]) + WINDOW, len(sizes))) if sizes[k] >= threshold / WINDOW]
+    return long[0], long[-1] + 1
+
+
+def _goes_on(line: Line, below: bool) -> bool:
+    """Whether a short line beside the text belongs to it: lines of several words that aren't links, headings above, lists below."""
+    return line.unlinked and (" " in line.text or below and line.item and len(line.text) > 1) or not below and line.heading
 
 
 def main_text(page: str) -> str:
     found = lines(page)
-    marked = any(article for _, article, _ in found)
+    marked = any(x.article for x in found)
     # where an article is marked, all its lines are text, so that a single letter is a surge
-    sizes = [len(x) if article or not marked else 0 for x, article, _ in found]
-    first, last = between(sizes, 1 if marked else LONG_LINE * WINDOW)
-    while not marked and first > 0 and found[first - 1][2]:
-        first -= 1  # the headings above the surge
-    return "\n\n".join(x for (x, _, _), n in zip(found[first:last], sizes[first:last]) if n)
+    sizes = [len(x.text) if x.article or not marked else 0 for x in found]
+    first, last = between(sizes, 1 if marked else None)
+    while not marked and first > 0 and _goes_on(found[first - 1], False):
+        first -= 1
+    while not marked and last < len(found) and _goes_on(found[last], True):
+        last += 1
+    return "\n\n".join(x.text for x, n in zip(found[first:last], sizes[first:last]) if n)
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -93,6 +93,16 @@ def test_wrappers_of_the_article_are_read():
     assert html.main_text("<article><p>Body.</p><div class=comments><article><p>first!</p></article></div></article>") == "Body."
 
 
+def test_short_lines_of_the_text_are_kept():
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Topic number {k}</a></li>" for k in range(6)) + "</ul>"
+    paragraphs = ["Oslo, 3 May", "He said no.", "long " * 30 + "end", "Why?", "more " * 40 + "end", "He left.", "two eggs", "flour"]
+    page = menu + "".join(f"<p>{x}</p>" for x in paragraphs[:6]) + "<ul>" + "".join(f"<li>{x}</li>" for x in paragraphs[6:]) + "</ul>" + menu
+    assert html.main_text(page) == "\n\n".join(paragraphs)
+    verse = [f"line {k} of a verse la" + "la" * (k % 8) for k in range(50)]
+    for extra in ([], ["a longer note of the editor " * 5 + "end"]):
+        assert html.main_text("".join(f"<p>{x}</p>" for x in verse + extra)) == "\n\n".join(verse + extra)
+
+
 def test_main_text_keeps_ties_and_columns(spark, sf, pages):
     got = html.extract(pages)
     assert got.count() == pages.count() and got.columns.count("text") == 1 and html.extract(pages.limit(0)).count() == 0
