@@ -4,7 +4,7 @@ Mark-up is stripped so that each block of a page becomes one line; scripts, styl
 text, and parts that are named as navigation, advertising, notices or comments, give none; a name counts as a whole, and not
 where the part holds an article or main element that isn't inside another one. Hidden elements, and nav, footer, aside, menu
 and dialog elements, give no text whatever they hold. Lines outside the article
-count nothing where the page marks one. The lengths of the lines are summed over sliding windows of ``WINDOW`` lines. The
+count a quarter where the page marks one. The lengths of the lines are summed over sliding windows of ``WINDOW`` lines. The
 text begins at the surge, where a sum first passes the threshold, and ends at the dive, after which the sums stay below
 it; what lies between is kept, short lines included, and short lines beside it that aren't links. The threshold follows the
 page's own sums.
@@ -47,6 +47,8 @@ _BESIDE = r"site|page|global|main|primary|secondary|top|bottom|left|right|area|b
 NAMED = re.compile(rf"[_-]*(?:(?:{_BESIDE})[_-]+)*(?:{_WORDS})(?:[_-]+(?:{_WORDS}|{_BESIDE}))*[_-]*", re.I)
 WINDOW = 3
 LONG_LINE = 40
+#: What a letter outside the article counts less where a page marks one.
+OUTSIDE = 4
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -182,13 +184,13 @@ def lines(page: str) -> list[Line]:
     return [x for x, own in zip(out, inside) if not (own and own.quiet)]
 
 
-def between(sizes: list[int], threshold: float | None = None) -> tuple[int, int]:
+def between(sizes: list[int]) -> tuple[int, int]:
     """First line of the text and the one after its last: the surge and the dive of the window sums."""
     if not any(sizes):
         return 0, 0
     sums = np.convolve(sizes, np.ones(WINDOW, int), "valid") if len(sizes) >= WINDOW else np.array([sum(sizes)])
     # half the sum around a usual letter of this page, so that pages of short lines have a surge too
-    threshold = threshold or min(LONG_LINE * WINDOW, (sums.astype(float) ** 2).sum() / sums.sum() / 2)
+    threshold = min(LONG_LINE * WINDOW, (sums.astype(float) ** 2).sum() / sums.sum() / 2)
     over = np.flatnonzero(sums >= threshold)
     # a window surges or dives with the lines at its edge that hold text worth a window's share
     long = [k for k in range(int(over[0]), min(int(over[-1]) + WINDOW, len(sizes))) if sizes[k] >= threshold / WINDOW]
@@ -203,14 +205,18 @@ def _goes_on(line: Line, below: bool) -> bool:
 def main_text(page: str) -> str:
     found = lines(page)
     marked = any(x.article for x in found)
-    # where an article is marked, all its lines are text, so that a single letter is a surge
-    sizes = [len(x.text) if x.article or not marked else 0 for x in found]
-    first, last = between(sizes, 1 if marked else None)
-    while not marked and first > 0 and _goes_on(found[first - 1], False):
-        first -= 1
-    while not marked and last < len(found) and _goes_on(found[last], True):
-        last += 1
-    return "\n\n".join(x.text for x, n in zip(found[first:last], sizes[first:last]) if n)
+    first, last = between([len(x.text) if x.article or not marked else len(x.text) // OUTSIDE for x in found])
+    # a text that begins or ends in an article goes on to the edge of that
+    for end, below in ((0, False), (len(found), True)):
+        at = last if below else first
+        edge = last - 1 if below else first
+        while at != end:
+            line = found[at if below else at - 1]
+            if not (line.article if found[edge].article else _goes_on(line, below)):
+                break
+            at += 1 if below else -1
+        first, last = (first, at) if below else (at, last)
+    return "\n\n".join(x.text for x in found[first:last])
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -103,6 +103,14 @@ def test_short_lines_of_the_text_are_kept():
         assert html.main_text("".join(f"<p>{x}</p>" for x in verse + extra)) == "\n\n".join(verse + extra)
 
 
+def test_marked_pages_have_a_surge_and_dive_too():
+    body = [f"Paragraph {k} of the body, " + "long " * 30 + "end." for k in range(8)]
+    page = "<div>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    assert html.main_text(page + "<article><a href='/x'>A card</a></article>") == "\n\n".join(body)
+    assert html.main_text("<article><p>A card.</p></article>" + page).endswith("\n\n".join(body))
+    assert html.main_text("<p>A short line outside of it.</p><article><p>x</p>" + page + "<p>y</p></article><p>Another one.</p>") == "\n\n".join(["x", *body, "y"])
+
+
 def test_main_text_keeps_ties_and_columns(spark, sf, pages):
     got = html.extract(pages)
     assert got.count() == pages.count() and got.columns.count("text") == 1 and html.extract(pages.limit(0)).count() == 0
