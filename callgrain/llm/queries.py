@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import ann, bpe, html, lm, minhash, packing, rules, sharding, suffix, warc
+from callgrain.llm import ann, bpe, html, lm, middle, minhash, packing, rules, sharding, suffix, warc
 from callgrain.llm.common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,7 +74,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm, op2_suffix, op3_bpe, op4_ann, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing)}
+def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm, op2_suffix, op3_bpe, op4_ann, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing, op12_middle)}
 _UNIT = "((('0x' || substr(md5('shard:' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
 _RISK, _ERROR = 0.03, 0.1
 _TAILS = ", ".join(
@@ -136,5 +140,17 @@ bids AS (SELECT doc_id, s, -ln({_UNIT}) AS bid FROM documents, range({SHARDS + 1
 won AS (SELECT doc_id, arg_min(s, bid) AS grown, arg_min(s, bid) FILTER (WHERE s < {SHARDS}) AS shard FROM bids GROUP BY doc_id)
 SELECT doc_id, CAST(n + 1 AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown AS INT) AS grown_shard FROM won JOIN sums USING (doc_id)
+""",
+    "op12_middle": r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+  sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT doc_id, t, units, len(units) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS h FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, CAST(n AS BIGINT) AS n, form, t, array_to_string(units[1 : low], '') AS a, array_to_string(units[low + 1 : high], '') AS m,
+  array_to_string(units[high + 1 :], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
 """,
 }
