@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import ann, bpe, html, lm, middle, minhash, packing, rules, sharding, suffix, warc
+from callgrain.llm import ann, bpe, html, lm, middle, minhash, packing, prefixes, rules, sharding, suffix, warc
 from callgrain.llm.common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARDS = 16
 
 
@@ -78,7 +79,11 @@ def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm, op2_suffix, op3_bpe, op4_ann, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing, op12_middle)}
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm, op2_suffix, op3_bpe, op4_ann, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing, op12_middle, op13_prefixes)}
 _UNIT = "((('0x' || substr(md5('shard:' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
 _RISK, _ERROR = 0.03, 0.1
 _TAILS = ", ".join(
