@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrain.llm import ann, bpe, html, lm, middle, minhash, packing, prefixes, rules, sharding, suffix, warc
+from callgrain.llm import ann, bpe, html, lm, middle, minhash, packing, prefixes, rules, sharding, suffix, warc, whiten
 from callgrain.llm.common import shared_folder, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it doesn't fit a long; ``exact_deviation`` has it then."""
+    made = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    exact = F.col("deviation")
+    return made.select("vec_id", "component", "n", exact.try_cast("long").alias("deviation"), "whitened", "explained", "identity_error", exact.alias("exact_deviation"))
+
+
 def op12_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(table(spark, sf_dir, "documents"))
 
@@ -83,7 +90,7 @@ def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm, op2_suffix, op3_bpe, op4_ann, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing, op12_middle, op13_prefixes)}
+QUERIES = {f.__name__: f for f in (op1_lm, op2_suffix, op3_bpe, op4_ann, op5_rules, op6_warc, op7_minhash, op8_html, op9_sharding, op10_packing, op11_whiten, op12_middle, op13_prefixes)}
 _UNIT = "((('0x' || substr(md5('shard:' || s || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
 _RISK, _ERROR = 0.03, 0.1
 _TAILS = ", ".join(
