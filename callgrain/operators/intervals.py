@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from callgrain import vocab as V
 from callgrain.functions.columns import nearest_rank
-from callgrain.operators.sequence import islands
+from callgrain.operators.sequence import per_key_stream, running_sum
+from callgrain.sources.settle import settle
 
 
 def slot_of(value: Column, width: int) -> Column:
@@ -107,45 +109,147 @@ def span_features(
 def match_events(truth: DataFrame, detected: DataFrame, *, key: str, tolerance: int, span: int) -> DataFrame:
     """Each truth event takes the first unused detection within +-tolerance.
 
-    Both inputs: (key, at, kind). Events further apart than the tolerance
-    cannot influence each other, so a key is cut into clusters at such gaps
-    (``span`` is the width of the chunks the cut runs in) and every cluster is
-    matched on its own. Returns one row per event:
+    Both inputs: (key, at, kind). Detections are taken in their order, so all that an event has to know of the
+    earlier ones is the position of the next detection that is free. Time is cut into cells of ``span`` (two tolerances
+    at least):
+
+    1. a cell is summarised as a step function from the next free position at its start to that at its end;
+    2. the step functions of a key are chained in order, which sees a few numbers per cell;
+    3. every cell matches its own events from its now known start.
+
+    A key with very many events is spread over its cells. Returns one row per event:
     (key, side, at, kind, matched, kind_right).
     """
-    both = truth.select(key, F.col("at").cast("bigint").alias("at"), "kind", F.lit("truth").alias("side")).unionByName(
-        detected.select(key, F.col("at").cast("bigint").alias("at"), "kind", F.lit("detected").alias("side"))
-    ).withColumn("chunk", F.floor(F.col("at") / span).cast("bigint"))
-    order = ["at", "side", "kind"]
-    cut = islands(
-        both, key=[key], chunk="chunk", order=["at", "side", "kind"], uses=["at"],
-        starts=lambda cur, prev: cur("at") - prev("at") > tolerance, name="cluster",
-    )
-    item = F.struct("at", "kind")
-    packed = cut.groupBy(key, "cluster").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == "truth", item))).alias("t"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == "detected", item))).alias("d"),
-    )
+    span = max(span, 2 * tolerance)
     key_type = truth.schema[key].dataType.simpleString()
+    event = [F.col(key).alias("key"), F.col("at").cast("bigint").alias("at"), "kind"]
+    cell = lambda c: F.floor(c / span).cast("bigint")
+    numbered = running_sum(
+        detected.select(*event).withColumn("chunk", cell(F.col("at"))), key=["key"], chunk="chunk", order=["at", "kind"], sums={"pos": F.lit(1).cast("bigint")}
+    )
+    # a detection is within reach of the cells up to a tolerance away from it
+    reached = F.explode(F.sequence(cell(F.col("at") - tolerance), cell(F.col("at") + tolerance)))
+    found = numbered.select("key", reached.alias("cell"), F.lit(1).alias("side"), "at", "kind", "pos")
+    wanted = truth.select(*event).select("key", cell(F.col("at")).alias("cell"), F.lit(2).alias("side"), "at", "kind", F.lit(None).cast("bigint").alias("pos"))
+    feed = settle(found.unionByName(wanted))
+
+    def laid_out(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "side", "at", "kind", "pos")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in _cells(batches):
+            if not len(c.truth_at) or not len(c.at):
+                continue
+            # what earlier cells may have used lies before the start of this one and a tolerance
+            starts = np.arange(c.first, c.first + np.searchsorted(c.at, c.cell * span + tolerance, side="left") + 1)
+            ends = c.ends(starts, tolerance)
+            last = np.append(np.diff(ends) != 0, True)
+            yield pd.DataFrame({"key": c.key, "cell": c.cell, "until": starts[last], "free": ends[last]})
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free, at, taken = 0, None, False
         for b in batches:
             rows = []
-            for k, ts, ds in zip(b[key], b["t"], b["d"]):
-                at = np.array([x["at"] for x in ds], dtype=np.int64)
-                used = np.zeros(len(ds), dtype=bool)
-                nxt = 0
-                for e in ts:
-                    # detections before ``nxt`` are used or were too early for an earlier truth event
-                    j = max(nxt, int(np.searchsorted(at, e["at"] - tolerance, side="left")))
-                    hit = j < len(at) and at[j] <= e["at"] + tolerance
-                    rows.append((k, "truth", e["at"], e["kind"], hit, hit and ds[j]["kind"] == e["kind"]))
-                    if hit:
-                        used[j], nxt = True, j + 1
-                rows.extend((k, "detected", x["at"], x["kind"], bool(u), False) for x, u in zip(ds, used))
-            yield pd.DataFrame(rows, columns=[key, "side", "at", "kind", "matched", "kind_right"])
-
-    return packed.mapInPandas(run, f"{key} {key_type}, side string, at bigint, kind string, matched boolean, kind_right boolean")
+            for k, c, until, end in zip(b["key"], b["cell"], b["until"], b["free"]):
+                if c != at:
+                    at, taken = c, False
+                    rows.append((k, c, free))
+                if not taken and until >= free:
+                    free, taken = end, True
+            yield pd.DataFrame(rows, columns=["key", "cell", "free"])
+
+    steps = laid_out(feed).mapInPandas(summarise, f"key {key_type}, cell bigint, until bigint, free bigint")
+    ordered = steps.repartition("key").sortWithinPartitions("key", "cell", "until")
+    entries = per_key_stream(ordered, chain, f"key {key_type}, cell bigint, free bigint")
+    started = entries.select("key", "cell", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("kind"), F.col("free").alias("pos"))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for c in _cells(batches):
+            used = c.used(tolerance)
+            hit = used >= 0
+            right = np.zeros(len(used), bool)
+            right[hit] = c.kind[used[hit] - c.first] == c.truth_kind[hit]
+            yield pd.DataFrame({"key": c.key, "at": c.truth_at, "kind": c.truth_kind, "pos": used, "kind_right": right})
+
+    matches = settle(laid_out(feed.unionByName(started)).mapInPandas(match, f"key {key_type}, at bigint, kind string, pos bigint, kind_right boolean"))
+    taken = matches.where("pos >= 0").select("key", "pos", F.lit(True).alias("taken"))
+    own = found.where(F.col("cell") == cell(F.col("at"))).join(taken, ["key", "pos"], "left")
+    return matches.select(F.col("key").alias(key), F.lit("truth").alias("side"), "at", "kind", (F.col("pos") >= 0).alias("matched"), "kind_right").unionByName(
+        own.select(F.col("key").alias(key), F.lit("detected").alias("side"), "at", "kind", F.col("taken").isNotNull().alias("matched"), F.lit(False).alias("kind_right"))
+    )
+
+
+@dataclass
+class _Cell:
+    """The events of a cell in order. ``first``: the position of the first detection within reach; ``free``: that of the next unused one."""
+
+    key: object
+    cell: int
+    free: int
+    first: int
+    at: np.ndarray
+    kind: np.ndarray
+    truth_at: np.ndarray
+    truth_kind: np.ndarray
+
+    def reach(self, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the first detection within reach of each truth event, and of the first one beyond it."""
+        low = np.searchsorted(self.at, self.truth_at - tolerance, side="left")
+        return low + self.first, np.searchsorted(self.at, self.truth_at + tolerance, side="right") + self.first
+
+    def ends(self, free: np.ndarray, tolerance: int) -> np.ndarray:
+        """The next free position after the cell for each (rising) one before it. They never change order, and those that meet stay together."""
+        low, high = self.reach(tolerance)
+        groups = np.arange(len(free))
+        k = 0
+        while k < len(low) and len(free) > 1:
+            free = np.maximum(free, low[k])
+            free = free + (free < high[k])
+            k += 1
+            if free[0] == free[-1] or k % 16 == 0:
+                free, place = np.unique(free, return_inverse=True)
+                groups = place[groups]
+        at = int(free[0])
+        if len(free) == 1:
+            for a, b in zip(low[k:].tolist(), high[k:].tolist()):
+                at = max(at, a)
+                at += at < b
+            free = np.array([at])
+        return free[groups]
+
+    def used(self, tolerance: int) -> np.ndarray:
+        """The position that each truth event takes; -1 for none."""
+        out, at = [], self.free
+        for a, b in zip(*(x.tolist() for x in self.reach(tolerance))):
+            at = max(at, a)
+            out.append(at if at < b else -1)
+            at += at < b
+        return np.array(out, dtype=np.int64)
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[_Cell]:
+    """The cells of rows clustered by (key, cell) and sorted by (side, at, kind, pos)."""
+
+    def made(rows: pd.DataFrame) -> _Cell:
+        side = rows["side"].to_numpy()
+        start, found, truth = (rows[side == k] for k in range(3))
+        (at, kind), (truth_at, truth_kind) = ((x["at"].to_numpy(np.int64), x["kind"].to_numpy(object)) for x in (found, truth))
+        first = int(found["pos"].iloc[0]) if len(found) else 0
+        return _Cell(rows["key"].iloc[0], int(rows["cell"].iloc[0]), int(start["pos"].iloc[0]) if len(start) else 0, first, at, kind, truth_at, truth_kind)
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        change = np.flatnonzero((b["key"].to_numpy()[1:] != b["key"].to_numpy()[:-1]) | (b["cell"].to_numpy()[1:] != b["cell"].to_numpy()[:-1])) + 1
+        for lo, hi in zip([0, *change], [*change, len(b)]):
+            piece = b.iloc[lo:hi]
+            if held and (held[0]["key"].iloc[0] != piece["key"].iloc[0] or held[0]["cell"].iloc[0] != piece["cell"].iloc[0]):
+                yield made(pd.concat(held))
+                held = []
+            held.append(piece)
+    if held:
+        yield made(pd.concat(held))
 
 
 def detection_scores(matched: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -124,6 +124,42 @@ def test_event_matching_is_one_to_one_and_first_fit(spark):
     assert got == want
 
 
+def first_fit(truth, det, tol):
+    """(key, at, kind, matched, kind_right) of each truth event, and (key, at, kind) of each detection used."""
+    want, taken = [], []
+    for k in {t[0] for t in truth}:
+        ts, ds = sorted(t[1:] for t in truth if t[0] == k), sorted(d[1:] for d in det if d[0] == k)
+        used = set()
+        for at, kind in ts:
+            j = next((j for j, d in enumerate(ds) if j not in used and abs(d[0] - at) <= tol), None)
+            if j is not None:
+                used.add(j)
+                taken.append((k, *ds[j]))
+            want.append((k, at, kind, j is not None, j is not None and ds[j][1] == kind))
+    return sorted(want), sorted(taken)
+
+
+@pytest.mark.parametrize("found_step, span", [(7, 3_000), (10, 4_000), (13, 10**9)])
+def test_a_dense_key_is_matched_over_cells(spark, found_step, span):
+    # no gap anywhere: more detections than events, as many in lockstep with a lag that never ends, and fewer; ties too
+    truth = [("hot", 500 + 10 * i, "ab"[i % 2]) for i in range(1500)] + [("hot", 3000, "a")] * 3 + [("cold", 10, "a")]
+    det = [("hot", found_step * i, "abc"[i % 3]) for i in range(1500)] + [("hot", 3010, "b")] * 2
+    schema, tol = "k string, at long, kind string", 60
+    out = match_events(spark.createDataFrame(truth, schema), spark.createDataFrame(det, schema), key="k", tolerance=tol, span=span).collect()
+    want, used = first_fit(truth, det, tol)
+    assert sorted((r.k, r.at, r.kind, r.matched, r.kind_right) for r in out if r.side == "truth") == want
+    assert sorted((r.k, r.at, r.kind) for r in out if r.side == "detected") == sorted(det)
+    assert sorted((r.k, r.at, r.kind) for r in out if r.side == "detected" and r.matched) == used
+
+
+def test_matching_without_events_or_detections(spark):
+    schema = "k string, at long, kind string"
+    none, one = spark.createDataFrame([], schema), spark.createDataFrame([("a", 5, "x")], schema)
+    assert match_events(none, none, key="k", tolerance=1, span=10).count() == 0
+    assert [(r.side, r.matched) for r in match_events(one, none, key="k", tolerance=1, span=10).collect()] == [("truth", False)]
+    assert [(r.side, r.matched) for r in match_events(none, one, key="k", tolerance=1, span=10).collect()] == [("detected", False)]
+
+
 def _stream_of(spark, rows, folder, shuffled):
     """Writes the rows as several files, in time order or slightly shuffled, and reads them one file per batch."""
     rows = sorted(rows, key=lambda r: r[2])
