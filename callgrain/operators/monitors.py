@@ -21,6 +21,7 @@ from callgrain import vocab as V
 from callgrain.functions import predicates as P
 from callgrain.functions.columns import micros, ratio
 from callgrain.operators.sequence import islands, per_key_stream, running_sum
+from callgrain.sources.settle import settle
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
@@ -181,7 +182,7 @@ def breaches(rates: DataFrame, config: DataFrame, cooldown_us: int = V.SLA_COOLD
 
 def quota_replay(
     df: DataFrame, *, key: str, at: str, tie: str, units: str,
-    window_us: int = HOUR, max_units: int = V.HOURLY_UNITS_PER_ADDRESS,
+    window_us: int = HOUR, max_units: int = V.HOURLY_UNITS_PER_ADDRESS, cell_windows: int = 24, patience: int = 3,
 ) -> DataFrame:
     """Adds ``accepted``: accepted units of the last window plus the request must not exceed the limit.
 
@@ -189,6 +190,9 @@ def quota_replay(
     always accepted, so only *contended* stretches need replay. A stretch ends
     where one full window holds no contended request; the rows of the window
     before its first contended request are its exact starting state.
+
+    A stretch, which may be the whole life of a key, is replayed in time cells of ``cell_windows`` windows, each by a
+    task of its own (``_replay_cells``).
     """
     typed = df.withColumns({"__at": F.col(at).cast("bigint"), "__u": F.col(units).cast("bigint")})
     asked = trailing(typed, key=key, at="__at", window_us=window_us, counters={"__asked": F.col("__u")})
@@ -200,44 +204,112 @@ def quota_replay(
         starts=lambda cur, prev: cur("__at") - prev("__at") >= window_us, name="__stretch",
     )
     spans = stretch.groupBy(key, "__stretch").agg(F.min("__at").alias("__from"), F.max("__at").alias("__to"))
-    # warm-up window before the stretch, everything inside it, and one window after it
+    # warm-up window before the stretch and everything inside it
     bucket = lambda c: F.floor(c / window_us).cast("bigint")
     spans = spans.select(key, "__stretch", "__from", "__to", F.explode(F.sequence(bucket(F.col("__from")) - 1, bucket(F.col("__to")))).alias("__bucket"))
     touched = rows.withColumn("__bucket", bucket(F.col("__at"))).join(spans, [key, "__bucket"]).where(
         (F.col("__at") > F.col("__from") - window_us) & (F.col("__at") <= F.col("__to"))
     )
-    key_type, tie_type = df.schema[key].dataType.simpleString(), df.schema[tie].dataType.simpleString()
-    feed = touched.select(
-        F.struct(F.col(key).alias("k"), F.col("__stretch").alias("s")).alias("__g"),
-        F.concat_ws("|", F.col(key).cast("string"), F.col("__stretch").cast("string")).alias("key"),
-        F.col(key).alias("owner"), F.col("__at").alias("at"), F.col(tie).alias("tie"), F.col("__u").alias("units"), F.col("__hot").alias("hot"),
-    ).drop("__g").repartition("key").sortWithinPartitions("key", "at", "tie")
-
-    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window: list[tuple[int, int]] = []
-        used, head = 0, 0
-        for b in batches:
-            out = []
-            for k, t, i, u, h in zip(b["owner"], b["at"], b["tie"], b["units"], b["hot"]):
-                while head < len(window) and t - window[head][0] >= window_us:
-                    used -= window[head][1]
-                    head += 1
-                if head > 4096:
-                    window, head = window[head:], 0
-                ok = used + u <= max_units
-                if ok:
-                    window.append((t, u))
-                    used += u
-                if not ok:
-                    out.append((k, t, i))
-            yield pd.DataFrame(out, columns=["owner", "at", "tie"])
-
-    refused = per_key_stream(feed, admit, f"owner {key_type}, at bigint, tie {tie_type}").select(
-        F.col("owner").alias(key), F.col("at").alias("__at"), F.col("tie").alias(tie), F.lit(True).alias("__refused")
-    ).distinct()
+    feed = settle(touched.select(
+        F.concat_ws("|", F.col(key).cast("string"), F.col("__stretch").cast("string")).alias("key"), F.col(key).alias("owner"),
+        F.col("__at").alias("at"), F.lit(1).alias("side"), F.col(tie).alias("tie"), F.col("__u").alias("units"),
+    ))
+    refused = _replay_cells(feed, window_us, max_units, cell_windows * window_us, patience)
+    refused = refused.select(F.col("owner").alias(key), F.col("at").alias("__at"), F.col("tie").alias(tie), F.lit(True).alias("__refused")).distinct()
     return typed.join(refused, [key, "__at", tie], "left").select(*df.columns, F.col("__refused").isNull().alias("accepted"))
 
 
+def _replay_cells(feed: DataFrame, window_us: int, max_units: int, width: int, patience: int) -> DataFrame:
+    """The refused rows of ``feed``: (key, owner, at, side, tie, units).
+
+    What a cell has to know of the ones before are the accepted requests of the last window, at most as many as the limit.
+    Every cell is first replayed as if that were empty, then again from what its predecessor left, as long as that
+    differs from what it was replayed from. As a cell forgets its start after some windows of irregular requests, two or three
+    rounds are enough as a rule, and all cells run at the same time. The result is exact: it stands only when each cell has run
+    from what its predecessor left. Where starts are not forgotten (requests as regular as a clock), cells become twice as
+    wide after ``patience`` rounds, so the number of rounds grows with the logarithm of the number of cells; only
+    cells that haven't settled run again.
+    """
+    kinds = {c: feed.schema[c].dataType.simpleString() for c in ("owner", "tie")}
+    out_schema = f"key string, cell bigint, owner {kinds['owner']}, at bigint, side int, tie {kinds['tie']}, units bigint"
+    fields = ["key", "cell", "owner", "at", "side", "tie", "units"]
+    origin = feed.groupBy("key").agg(F.min("at").alias("__first"))
+    feed = settle(feed.join(origin, "key").select("*", F.floor((F.col("at") - F.col("__first")) / width).cast("bigint").alias("fine")))
+
+    def replay(scale: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Rows of side 0 are what was accepted before. Gives refused rows (side 2) and what is left at the end of a cell (side 0, of the next cell)."""
+            at_cell, taken, head, used, end, last = None, [], 0, 0, 0, None
+
+            def left() -> list[tuple]:
+                return [(at_cell[0], at_cell[1] + 1, last[0], t, 0, last[1], u) for t, u in taken[head:] if t > end - window_us]
+
+            for b in batches:
+                out = []
+                for k, c, owner, first, t, side, i, u in zip(*(b[n] for n in ("key", "cell", "owner", "first", "at", "side", "tie", "units"))):
+                    if (k, c) != at_cell:
+                        if at_cell is not None:
+                            out += left()
+                        at_cell, taken, head, used, end = (k, c), [], 0, 0, first + (c + 1) * width * scale
+                    last = owner, i
+                    while head < len(taken) and t - taken[head][0] >= window_us:
+                        used -= taken[head][1]
+                        head += 1
+                    if head > 4096:
+                        taken, head = taken[head:], 0
+                    if side == 0 or used + u <= max_units:
+                        taken.append((t, u))
+                        used += u
+                    else:
+                        out.append((k, c, owner, t, 2, i, u))
+                yield pd.DataFrame(out, columns=fields)
+            if at_cell is not None:
+                yield pd.DataFrame(left(), columns=fields)
+
+        return run
+
+    def run(active: DataFrame | None, starts: DataFrame | None, scale: int) -> DataFrame:
+        """The replay of the active cells (all) from their starts (empty)."""
+        rows = feed.select("key", F.floor(F.col("fine") / scale).cast("bigint").alias("cell"), "owner", F.col("__first").alias("first"), "at", "side", "tie", "units")
+        if active is not None:
+            before = starts.join(origin, "key").select("key", "cell", "owner", F.col("__first").alias("first"), "at", "side", "tie", "units")
+            # settled, so that the union has no partitioning of its own: of two sides dealt alike Spark would leave out the repartition, though it coalesces each by itself
+            rows = rows.join(active, ["key", "cell"], "left_semi").unionByName(settle(before.join(active, ["key", "cell"], "left_semi")))
+        laid = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "at", "side", "tie")
+        return settle(laid.mapInPandas(replay(scale), out_schema))
+
+    def digest(starts: DataFrame, name: str) -> DataFrame:
+        return starts.groupBy("key", "cell").agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("at", "units").cast("decimal(38,0)")).alias("h")).alias(name))
+
+    def cells(scale: int) -> DataFrame:
+        return feed.select("key", F.floor(F.col("fine") / scale).cast("bigint").alias("cell")).distinct()
+
+    scale, rounds = 1, 0
+    result = run(None, None, scale)
+    used = result.where("side = 0").limit(0)
+    while True:
+        starts = result.where("side = 0").join(cells(scale), ["key", "cell"], "left_semi")
+        changed = digest(starts, "now").join(digest(used, "then"), ["key", "cell"], "full_outer").where("NOT (now <=> then)").select("key", "cell")
+        changed = settle(changed)
+        if changed.isEmpty():
+            return result.where("side = 2").select("owner", "at", "tie")
+        rounds += 1
+        if rounds % patience == 0:
+            # a wide cell starts as its first half did; it has run if its second half ran from what the first half left
+            scale *= 2
+            half = lambda df: df.withColumn("cell", F.floor(F.col("cell") / 2).cast("bigint"))
+            used = used.where("cell % 2 = 0")
+            result = result.where("side = 2 OR cell % 2 = 0")
+            changed, used = half(changed).distinct(), half(used)
+            result = result.withColumn("cell", F.floor(F.col("cell") / 2).cast("bigint"))
+            starts = half(starts.where("cell % 2 = 0"))
+        again = run(changed, starts, scale)
+        follows = F.when(F.col("side") == 0, F.col("cell") - 1).otherwise(F.col("cell"))
+        kept = result.withColumn("__by", follows).join(changed.withColumnRenamed("cell", "__by"), ["key", "__by"], "left_anti").drop("__by")
+        result = settle(kept.select(fields).unionByName(again.select(fields)))
+        used = settle(starts)
+
+
 # ------------------------------------------------------------------ idempotence
 
 

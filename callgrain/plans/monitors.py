@@ -70,7 +70,16 @@ def debounce(spark, d):
     return M.greedy_spacing(rows, key="event_type", at="at_us", gap_us=30 * M.MINUTE)
 
 
-@q("w19_quota_replay")
+ADMITTED = """
+WITH RECURSIVE e AS (SELECT event_id AS id, event_type AS address, epoch_us(ts) AS us, event_id % 4 + 1 AS units, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT id, address, us, units, rn, units <= 40 AS accepted, CASE WHEN units <= 40 THEN [{'us': us, 'units': units}] ELSE [] END AS taken FROM e WHERE rn = 1
+ UNION ALL SELECT id, address, us, units, rn, used + units <= 40, CASE WHEN used + units <= 40 THEN list_append(recent, {'us': us, 'units': units}) ELSE recent END
+ FROM (SELECT e.*, list_filter(r.taken, lambda x: x.us > e.us - 21600000000) AS recent, coalesce(list_sum(list_transform(list_filter(r.taken, lambda x: x.us > e.us - 21600000000), lambda x: x.units)), 0) AS used
+  FROM r JOIN e ON e.address = r.address AND e.rn = r.rn + 1) x)
+"""
+
+
+@q("w19_quota_replay", f"{ADMITTED} SELECT id, address, us AS at_us, units, accepted FROM r")
 def quota_replay(spark, d):
     rows = table(spark, d, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("address"), micros("ts").alias("at_us"), (F.col("event_id") % 4 + 1).alias("units"))

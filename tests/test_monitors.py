@@ -77,6 +77,18 @@ def test_quota_replay_equals_sequential(spark, window_s, limit):
     assert out.count() == len(rows)
 
 
+@pytest.mark.parametrize(("step", "cell_windows", "patience"), [([1, 2, 3, 7], 4, 3), ([5], 1, 2), ([5], 2, 1)])
+def test_a_key_over_its_limit_for_its_whole_life(spark, step, cell_windows, patience):
+    # irregular requests, whose cells forget where they started, and requests as regular as a clock, whose cells never do
+    rng, t, rows = random.Random(3), 0, []
+    for i in range(4000):
+        t += rng.choice(step) * 1_000_000
+        rows.append((i, "only", t, 1 + (i % 3 if len(step) > 1 else 0)))
+    df = spark.createDataFrame(rows, "id long, k string, at long, u long")
+    out = M.quota_replay(df, key="k", at="at", tie="id", units="u", window_us=300_000_000, max_units=20, cell_windows=cell_windows, patience=patience)
+    assert {r.id for r in out.where("NOT accepted").collect()} == admission(rows, 300_000_000, 20)
+
+
 def test_trailing_counts_open_lower_end(spark):
     rows = hot_rows(800)
     df = spark.createDataFrame(rows, "id long, k string, at long, u long")
