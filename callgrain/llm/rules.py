@@ -124,10 +124,9 @@ def levels(labelled: DataFrame, stratum: str, risk: float = 0.03, error: float =
     pooled = counted.withColumn("_s", F.when(~small, F.col("_s")))
     pooled = pooled.groupBy("_s").agg(F.sum("n").alias("n"), F.max("strata").alias("strata"), *(F.sum(f"x{i}").alias(f"x{i}") for i in range(len(LEVELS))))
     passed = [binomial_tail(F.col(f"x{i}"), F.col("n"), risk) <= F.lit(error) / F.col("strata") for i in range(len(LEVELS))]
-    level, so_far = F.lit(None).cast("double"), F.lit(True)
-    for v, ok in zip(LEVELS, passed):
-        so_far = so_far & ok
-        level = F.when(so_far, F.lit(v)).otherwise(level)
+    # the level before the first that fails; each tail stands once in the plan
+    failed = F.array_position(F.array(*passed), F.lit(False))
+    level = let(failed, lambda p: F.when(p == 0, F.lit(LEVELS[-1])).when(p > 1, F.element_at(F.array(*map(F.lit, LEVELS)), (p - 1).cast("int"))))
     return pooled.select(F.col("_s").alias("stratum"), level.alias("level"))
 
 
