@@ -18,7 +18,7 @@ train and are scored each by itself. With no training rows, all counts are 0. An
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import numpy as np
@@ -38,6 +38,7 @@ LEAST = np.unique(np.floor(STEP ** np.arange(0, 200)).astype(np.int64))
 MEANT = np.concatenate([[0.0], np.sqrt(LEAST.astype(float) * np.append(LEAST[1:] - 1, LEAST[-1]))])
 PROBES = 4  # bits of an entry, all in one 64-bit word
 CHUNK = 1_500_000
+PART = 1 << 23  # bytes of the filter that are collected at a time
 SEGMENT_TOKENS, SEGMENTS = 2_000_000, 1 << 16
 #: The bits of a key that choose its segment.
 LEAD = np.uint64((SEGMENTS - 1) << 48)
@@ -221,15 +222,25 @@ def build_segments(counted: DataFrame, segments: int, bits_per_entry: int) -> Da
 
 
 class Filter:
-    """The joined segments from ``first`` up to ``last``; ``count`` probes level after level, each key as long as it is found."""
+    """The joined segments from ``first`` up to ``last``; ``count`` probes level after level, each key as long as it is found.
 
-    def __init__(self, segments: int, parts: dict[int, bytes], first: int = 0, last: int | None = None) -> None:
+    Segments are ``parts``, or are put in one by one where their ``sizes`` in bytes are given.
+    """
+
+    def __init__(self, segments: int, parts: Mapping[int, bytes], first: int = 0, last: int | None = None, sizes: np.ndarray | None = None) -> None:
         self.first, self.last = first, segments if last is None else last
         self.shift = np.uint64(64 - segments.bit_length() + 1)
-        held = [parts.get(s, b"\0" * 8) for s in range(self.first, self.last)]
-        self.words = np.array([len(x) // 8 for x in held], np.uint64)
+        sizes = np.array([len(parts.get(s, b"\0" * 8)) for s in range(segments)]) if sizes is None else sizes
+        self.words = (sizes[self.first : self.last] // 8).astype(np.uint64)
         self.offset = np.concatenate([[0], np.cumsum(self.words)[:-1]]).astype(np.uint64)
-        self.bytes = b"".join(held)
+        self.bytes = bytearray(8 * int(self.words.sum()))
+        for segment, bits in parts.items():
+            if self.first <= segment < self.last:
+                self.put(segment, bits)
+
+    def put(self, segment: int, bits: bytes) -> None:
+        at = 8 * int(self.offset[segment - self.first])
+        self.bytes[at : at + len(bits)] = bits
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key's segment is one of these."""
@@ -272,11 +283,20 @@ class Segments:
     def filter(self, k: int) -> Filter:
         """The segments of a round."""
         first, last = self.rounds[k]
-        held = {r["segment"]: r["bits"] for r in self.table.where(F.col("segment").between(first, last - 1)).collect()}
-        return Filter(self.segments, held, first, last)
+        made = Filter(self.segments, {}, first, last, self.sizes)
+        # a few MB at a time, so that the driver holds little beside the filter itself
+        at = first
+        while at < last:
+            stop = at + 1
+            while stop < last and self.sizes[at : stop + 1].sum() <= PART:
+                stop += 1
+            for r in self.table.where(F.col("segment").between(at, stop - 1)).collect():
+                made.put(r["segment"], r["bits"])
+            at = stop
+        return made
 
     @property
-    def bytes(self) -> bytes:
+    def bytes(self) -> bytearray:
         """The bits of the largest round, the most that is held at a time."""
         return self.filter(max(range(len(self.rounds)), key=lambda k: self.sizes[slice(*self.rounds[k])].sum())).bytes
 
