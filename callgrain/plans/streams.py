@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callgrain.functions.columns import micros
 from callgrain.operators import calibration
+from callgrain.plans.monitors import ADMITTED, CONFIG, WINDOW_MIN, config
 from callgrain.plans.registry import Catalog
 from callgrain.sources.views import calls_from_events
 from callgrain.streaming import source, stateful, windows
@@ -47,6 +48,18 @@ def failure_rate_windows(spark, d):
     return at_us(source.run_to_table(out, "rates"), "at").withColumn("rate_pct", F.round("rate_pct", 9))
 
 
+@q("r02_trailing_rate", f"""
+WITH cfg AS ({CONFIG}),
+f AS (SELECT id, owner_id, epoch_us(started_at) AS at_us, status, COALESCE(mins, {WINDOW_MIN}) * 60000000 AS w FROM calls_v LEFT JOIN cfg USING (owner_id) WHERE status IN ('completed', 'failed')),
+n AS (SELECT x.id, x.owner_id, x.at_us, count(*) AS total, count(*) FILTER (WHERE y.status = 'failed') AS failed FROM f x JOIN f y ON y.owner_id = x.owner_id AND y.at_us > x.at_us - x.w AND y.at_us <= x.at_us GROUP BY ALL)
+SELECT *, round(100.0 * failed / total, 9) AS rate_pct FROM n WHERE at_us <= ((SELECT max(at_us) FROM f) // 1000 - 600000) * 1000
+""", ("calls_v",))
+def trailing_rate(spark, d):
+    own = config(spark, d).select("owner_id", "window_minutes")
+    out = stateful.trailing_rates(calls(spark, d), own, window_us=WINDOW_MIN * 60 * stateful.MICROS)
+    return source.run_to_table(out, "trailing").withColumn("rate_pct", F.round("rate_pct", 9))
+
+
 @q("r03_stream_cooldown", """
 WITH RECURSIVE b AS (SELECT DISTINCT user_id AS key, epoch_us(ts) AS at_us FROM events WHERE event_type = 'error' AND epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM events WHERE event_type = 'error')),
 nx AS (SELECT key, at_us, min(at_us) OVER (PARTITION BY key ORDER BY at_us RANGE BETWEEN 86400000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM b),
@@ -88,7 +101,7 @@ def daily_spend(spark, d):
     return at_us(source.run_to_table(windows.daily_spend(ledger), "spend"), "day").withColumn("spent_usd", F.round("spent_usd", 6))
 
 
-@q("r07_stream_admission")
+@q("r07_stream_admission", f"{ADMITTED} SELECT address AS key, us AS at_us, id AS tie, accepted FROM r WHERE us <= ((SELECT max(us) FROM e) // 1000 - 600000) * 1000")
 def stream_admission(spark, d):
     rows = events(spark, d).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 4 + 1).alias("units"))
     return source.run_to_table(stateful.admitted(rows, key="event_type", at="ts", tie="event_id", units="units", window_us=6 * 3600 * stateful.MICROS, max_units=40), "admission")

@@ -8,15 +8,18 @@ rows younger than the watermark plus one window, and timers remove it.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
 
 from callgrain import vocab as V
+from callgrain.functions import predicates as P
 from callgrain.streaming.source import WATERMARK
 
 MICROS = 1_000_000
@@ -125,27 +128,130 @@ class Admission(Replay):
 
     def open_state(self, handle) -> None:
         self.taken = handle.getListState("taken", _schema("at_us BIGINT, units BIGINT"))
-        self.recent = None
+        self.recent: deque | None = None
 
     def step(self, key, row):
         if self.recent is None:
-            self.recent = [tuple(r) for r in self.taken.get()] if self.taken.exists() else []
+            self.recent = deque(tuple(r) for r in self.taken.get()) if self.taken.exists() else deque()
+            self.used = sum(u for _, u in self.recent)
         at, tie, units = row
-        self.recent = [r for r in self.recent if at - r[0] < self.window_us]
-        ok = sum(r[1] for r in self.recent) + units <= self.max_units
+        while self.recent and at - self.recent[0][0] >= self.window_us:
+            self.used -= self.recent.popleft()[1]
+        ok = self.used + units <= self.max_units
         if ok:
             self.recent.append((at, units))
+            self.used += units
         return key[0], at, tie, ok
 
     def finish(self) -> None:
         if self.recent is not None:
             if self.recent:
-                self.taken.put(self.recent)
+                self.taken.put([*self.recent])
             else:
                 self.taken.clear()
         self.recent = None
 
 
+class TrailingCounts(StatefulProcessor):
+    """Rows and failed rows in (t - window, t] at each row of a key, once the watermark has passed it.
+
+    State is a ring of time cells, ``cells`` in a window: a counter of each, and its rows. A count is what came up to t
+    less what came up to t - window. Each is the counters of whole cells and a look into one cell, so a batch reads the counters
+    and the rows of the cells at both ends of its windows, not those between. Cells that no later row can ask for are removed.
+    Rows carry the window of their key; one that changes holds from the rows on that carry it, a longer one as far back as rows are kept.
+    """
+
+    names = ("key", "at_us", "tie", "total", "failed")
+    payload = ("at_us", "tie", "failed", "window_us")
+
+    def __init__(self, cells: int = 64) -> None:
+        self.cells = cells
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        cell = _schema("cell BIGINT")
+        self.pending = handle.getListState("pending", _schema("at_us BIGINT, tie BIGINT, failed BIGINT, window_us BIGINT"))
+        self.setting = handle.getValueState("setting", _schema("width BIGINT, keep BIGINT"))
+        self.counts = handle.getMapState("counts", cell, _schema("total BIGINT, failed BIGINT"))
+        self.rows = handle.getMapState("rows", cell, StructType([StructField(n, BinaryType()) for n in ("at_us", "failed")]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = [np.stack([b[c].to_numpy(np.int64) for c in self.payload]) for b in rows]
+        fresh = np.concatenate(fresh, axis=1)
+        yield from self._count(key, fresh[:, fresh[0] > passed_us], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._count(key, np.empty((4, 0), np.int64), timerValues)
+
+    def _count(self, key, fresh: np.ndarray, timerValues) -> Iterator[pd.DataFrame]:
+        now_us = timerValues.getCurrentWatermarkInMs() * 1000
+        held = np.array([tuple(r) for r in self.pending.get()], np.int64).T if self.pending.exists() else np.empty((4, 0), np.int64)
+        every = np.concatenate([held, fresh], axis=1)
+        every = every[:, np.lexsort((every[1], every[0]))]
+        due, later = every[:, every[0] <= now_us], every[:, every[0] > now_us]
+        if due.shape[1]:
+            yield self._counted(key, due)
+        self._forget(now_us)
+        if later.shape[1]:
+            self.pending.put([tuple(r) for r in later.T.tolist()])
+            self.handle.registerTimer(int(later[0, 0]) // 1000 + 1)
+        elif held.shape[1]:
+            self.pending.clear()
+
+    def _read(self, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        at, failed = self.rows.getValue((cell,))
+        return np.frombuffer(at, np.int64), np.frombuffer(failed, np.int64)
+
+    def _counted(self, key, due: np.ndarray) -> pd.DataFrame:
+        at, tie, failed, window = due
+        width, keep = self.setting.get() if self.setting.exists() else (max(1, int(window[0]) // self.cells), 0)
+        self.setting.update((width, max(keep, int(window.max()))))
+        counts = {int(c[0]): tuple(n) for c, n in self.counts.iterator()}
+        loaded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for c in np.unique(at // width).tolist():
+            mine = at // width == c
+            old = self._read(c) if c in counts else (np.empty(0, np.int64),) * 2
+            loaded[c] = np.concatenate([old[0], at[mine]]), np.concatenate([old[1], failed[mine]])
+            counts[c] = len(loaded[c][0]), int(loaded[c][1].sum())
+            self.counts.updateValue((c,), counts[c])
+            self.rows.updateValue((c,), tuple(x.tobytes() for x in loaded[c]))
+        cells = np.array(sorted(counts), np.int64)
+        before = np.concatenate([[(0, 0)], np.cumsum([counts[c] for c in cells.tolist()], axis=0)])
+
+        def up_to(x: np.ndarray) -> np.ndarray:
+            own = x // width
+            out = before[np.searchsorted(cells, own)]
+            for c in np.unique(own[np.isin(own, cells)]).tolist():
+                times, bad = loaded[c] if c in loaded else self._read(c)
+                mine = own == c
+                n = np.searchsorted(times, x[mine], side="right")
+                out[mine] += np.stack([n, np.append(0, np.cumsum(bad))[n]], axis=1)
+            return out
+
+        total = up_to(at) - up_to(at - window)
+        return pd.DataFrame({"key": key[0], "at_us": at, "tie": tie, "total": total[:, 0], "failed": total[:, 1]})
+
+    def _forget(self, now_us: int) -> None:
+        """Removes the cells that end before the window of any row still to come, and looks again when the last one does."""
+        if not self.setting.exists():
+            return
+        width, keep = self.setting.get()
+        left = []
+        for (c,) in list(self.counts.keys()):
+            if (c + 1) * width <= now_us - keep:
+                self.counts.removeKey((c,))
+                self.rows.removeKey((c,))
+            else:
+                left.append(c)
+        if left:
+            self.handle.registerTimer(((max(left) + 1) * width + keep) // 1000 + 1)
+        else:
+            self.setting.clear()
+
+    def close(self) -> None: ...
+
+
 class Assembly(StatefulProcessor):
     """Folds the started, stage and completed events of a call into one row.
 
@@ -229,6 +335,26 @@ def admitted(rows: DataFrame, *, key: str, at: str, tie: str, units: str, window
         Admission(window_us, max_units), _schema("key, at_us BIGINT, tie BIGINT, accepted BOOLEAN", key=kt), "Append", "EventTime")
 
 
+def trailing_rates(
+    calls: DataFrame, config: DataFrame | None = None, window_us: int = V.SLA_WINDOW_MINUTES * 60 * MICROS, delay: str = WATERMARK, id_: str = "id"
+) -> DataFrame:
+    """Streaming twin of ``operators.monitors.failure_rate_at_every_call``: (id, owner_id, at_us, total, failed, rate_pct) of finished calls.
+
+    ``config``: a static table (owner_id, window_minutes), joined on its own terms; tenants that aren't in it have ``window_us``.
+    """
+    rows = calls.where(P.finished()).withWatermark("started_at", delay)
+    width = F.lit(window_us).cast("bigint")
+    if config is not None:
+        rows = rows.join(config.select("owner_id", (F.col("window_minutes").cast("bigint") * 60 * MICROS).alias("own_us")), "owner_id", "left")
+        width = F.coalesce("own_us", width)
+    keyed = rows.select(
+        F.col("owner_id").alias("key"), F.col("started_at").alias("event_at"), F.unix_micros("started_at").alias("at_us"), F.col(id_).cast("bigint").alias("tie"),
+        (F.col("status") == "failed").cast("bigint").alias("failed"), width.alias("window_us"))
+    out = _schema("key, at_us BIGINT, tie BIGINT, total BIGINT, failed BIGINT", key=keyed.schema["key"].dataType)
+    counted = keyed.groupBy("key").transformWithStateInPandas(TrailingCounts(), out, "Append", "EventTime")
+    return counted.select(F.col("tie").alias(id_), F.col("key").alias("owner_id"), "at_us", "total", "failed", (F.col("failed") * 100.0 / F.col("total")).alias("rate_pct"))
+
+
 def assembled_calls(events: DataFrame, timeout_ms: int = 5 * 60_000, delay: str = WATERMARK) -> DataFrame:
     """Call rows from an event stream (call_id, owner_id, ts, type, stage, status)."""
     marked = events.withWatermark("ts", delay).select("call_id", "ts", F.unix_micros("ts").alias("at_us"), "type", "owner_id", "stage", "status")

@@ -198,6 +198,28 @@ def test_stream_equals_batch(spark, tmp_path, shuffled):
     assert {r.tie for r in out.where("NOT accepted").collect()} == admission(rows[:-1], 600_000_000, 20)
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_streamed_rates_equal_those_at_every_call(spark, tmp_path, shuffled):
+    """Several batches, one hot tenant, ties, own windows; then a quiet year, after which the state is empty and fills again."""
+    rng = random.Random(8)
+    rows, t = [], 1_700_000_000
+    for i in range(900):
+        t += rng.choice([0, 1, 5, 90]) if i != 600 else 366 * 86_400
+        rows.append((i, 7 if i % 3 else i % 5, t * 1_000_000, rng.choice(["failed", "completed", "completed", "in_progress"])))
+    make = lambda r: spark.createDataFrame(r, "id long, owner_id long, at long, status string").selectExpr("id", "owner_id", "timestamp_micros(at) AS started_at", "status")
+    own = spark.createDataFrame([(7, 20), (2, 300)], "owner_id long, window_minutes int")
+    want = {tuple(r) for r in M.failure_rate_at_every_call(make(rows), 30 * M.MINUTE, own).select("id", "owner_id", "at_us", "total", "failed").collect()}
+    delay = 3600 if shuffled else 0
+    closing = [(10_000, 99, (t + delay + 10) * 1_000_000, "completed")]
+    parts = sorted(rows, key=lambda r: r[2] + (rng.uniform(0, 1.8e9) if shuffled else 0))
+    folder = str(tmp_path / "in")
+    for part in [*(parts[k : k + 150] for k in range(0, 900, 150)), closing]:
+        make(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = source.event_stream(spark, folder, "id BIGINT, owner_id BIGINT, started_at TIMESTAMP, status STRING", files_per_trigger=1)
+    out = source.run_to_table(stateful.trailing_rates(stream, own, window_us=30 * M.MINUTE, delay=f"{delay} seconds"), "rates")
+    assert {tuple(r) for r in out.select("id", "owner_id", "at_us", "total", "failed").collect() if r.id != 10_000} == want
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     base = 1_700_000_000
     first = [(1, "a", base * 1_000_000, 1), (2, "a", (base + 7200) * 1_000_000, 1)]
