@@ -341,10 +341,25 @@ def session_spend(costs: DataFrame, cap: float = V.SESSION_SPEND_CAP_USD) -> Dat
     )
 
 
-def quota(calls: DataFrame, as_of: Column, limit: int = V.DAILY_CALL_LIMIT) -> DataFrame:
-    return calls.groupBy("owner_id").agg(F.count_if(F.col("started_at") > as_of - hours(24)).alias("used")).withColumn(
-        "remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used"))
-    )
+def since(calls: DataFrame, bound: Column, at: str = "started_at", day: str = "call_date") -> DataFrame:
+    """Rows after ``bound``. Where the table is cut by the day of ``at``, only the folders from the bound's day on are read; the bound may be known at run time only."""
+    if day in calls.columns:
+        calls = calls.where(F.col(day) >= F.to_date(bound))
+    return calls.where(F.col(at) > bound)
+
+
+def for_every_tenant(counts: DataFrame, tenants: DataFrame, zeros: Sequence[str]) -> DataFrame:
+    """``counts`` by owner_id, with a row of zeros for each tenant that has none. Tenants may be null."""
+    known = tenants.select(F.col("owner_id").alias("__owner"))
+    joined = known.join(counts, F.col("__owner").eqNullSafe(F.col("owner_id")), "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros}).withColumn("owner_id", F.col("__owner")).drop("__owner")
+
+
+def quota(calls: DataFrame, as_of: Column, limit: int = V.DAILY_CALL_LIMIT, tenants: DataFrame | None = None) -> DataFrame:
+    """Calls of the last day and what is left of the quota. ``tenants``: those to report (owner_id); without it all that ever called, whose names are read from the whole history."""
+    everyone = (calls if tenants is None else tenants).select("owner_id").distinct()
+    used = since(calls, as_of - hours(24)).groupBy("owner_id").agg(F.count("*").alias("used"))
+    return for_every_tenant(used, everyone, ["used"]).withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("used")))
 
 
 def counts_by(df: DataFrame, *by: str) -> DataFrame:

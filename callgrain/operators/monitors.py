@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from callgrain import vocab as V
 from callgrain.functions import predicates as P
 from callgrain.functions.columns import micros, ratio
+from callgrain.operators.ledger import for_every_tenant, since
 from callgrain.operators.sequence import islands, per_key_stream, running_sum
 from callgrain.sources.settle import settle
 
@@ -72,16 +73,22 @@ def breaching(total: Column, rate: Column, threshold: Column) -> Column:
     return (total >= V.SLA_MIN_CALLS) & (rate > threshold)
 
 
-def sla_status(calls: DataFrame, config: DataFrame, as_of: Column) -> DataFrame:
-    """Failure rate of every tenant over its own window ending at ``as_of``."""
-    now = micros(as_of)
-    rows = with_config(calls.where(P.finished()).select("owner_id", "started_at", "status"), config)
-    recent = micros("started_at") > now - F.col("window_minutes").cast("bigint") * MINUTE
-    agg = rows.groupBy("owner_id", "max_failure_rate_pct", "window_minutes").agg(
-        F.count_if(recent).alias("total"), F.count_if(recent & (F.col("status") == "failed")).alias("failed")
-    )
+def sla_status(calls: DataFrame, config: DataFrame, as_of: Column, tenants: DataFrame | None = None) -> DataFrame:
+    """Failure rate of every tenant over its own window ending at ``as_of``. Only calls within the widest window are read.
+
+    ``tenants``: those to report (owner_id); without it all with a finished call, whose names are read from the whole history.
+    """
+    finished = calls.where(P.finished())
+    everyone = with_config((finished if tenants is None else tenants).select("owner_id").distinct(), config)
+    widest = F.greatest(F.lit(V.SLA_WINDOW_MINUTES), config.agg(F.max("window_minutes")).scalar()).cast("int")
+    recent = since(finished, as_of - F.make_dt_interval(F.lit(0), F.lit(0), widest, F.lit(0)))
+    rows = with_config(recent.select("owner_id", "started_at", "status"), config)
+    inside = rows.where(micros("started_at") > micros(as_of) - F.col("window_minutes").cast("bigint") * MINUTE)
+    counts = inside.groupBy("owner_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "failed").alias("failed"))
     rate = F.coalesce(ratio(F.col("failed") * 100, "total"), F.lit(0.0))
-    return agg.select("*", rate.alias("observed_pct"), breaching(F.col("total"), rate, F.col("max_failure_rate_pct")).alias("breached"))
+    agg = for_every_tenant(counts, everyone, ["total", "failed"]).join(everyone.withColumnRenamed("owner_id", "__owner"), F.col("owner_id").eqNullSafe(F.col("__owner"))).drop("__owner")
+    return agg.select(
+        "owner_id", "max_failure_rate_pct", "window_minutes", "total", "failed", rate.alias("observed_pct"), breaching(F.col("total"), rate, F.col("max_failure_rate_pct")).alias("breached"))
 
 
 # -------------------------------------------------------- keep one, then wait

@@ -489,6 +489,21 @@ def quota(spark, d):
     return L.quota(calls, newest(calls))
 
 
+@q("a17_quota_of_a_ledger", """
+WITH t AS (SELECT CAST(max(started_at) AS DATE) AS today FROM calls_v), w AS (SELECT owner_id, count(*) AS n FROM calls_v, t WHERE started_at > CAST(today AS TIMESTAMP) - INTERVAL 24 HOUR AND started_at < today GROUP BY 1)
+SELECT CAST(o.owner_id AS VARCHAR) AS owner_id, coalesce(n, 0) AS used, greatest(0, 25 - coalesce(n, 0)) AS remaining FROM (SELECT DISTINCT owner_id FROM calls_v) o LEFT JOIN w USING (owner_id)
+""", ("calls_v",))
+def quota_of_a_ledger(spark, d):
+    """At the last midnight, from a ledger cut by call date: the scan reads the folders of one day of it, tenants come from their own table."""
+    calls = calls_view(spark, d)
+    past = calls.where(F.col("started_at") < F.date_trunc("day", newest(calls)))
+    rows = past.select(F.col("id").cast("string").alias("id"), "started_at", "status", F.col("owner_id").cast("string").alias("owner_id"), F.col("total_cost_usd").cast("decimal(18,9)").alias("total_cost_usd"))
+    folder = work_dir(spark, "quota")
+    sinks.append_calls(rows.repartition(F.to_date("started_at")), f"{folder}/calls")
+    as_of = F.date_trunc("day", newest(calls))
+    return L.quota(load_calls(spark, folder), as_of, tenants=calls.select(F.col("owner_id").cast("string").alias("owner_id")))
+
+
 @q("a23_status_counts", "SELECT status, count(*) AS n FROM calls_v GROUP BY 1", ("calls_v",))
 def status_counts(spark, d):
     return L.counts_by(calls_view(spark, d), "status")

@@ -1,6 +1,7 @@
 """Ledger arithmetic on hand-made rows, sinks, sources and registered names."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -11,8 +12,10 @@ from callgrain.functions import register
 from callgrain.operators import calibration as K
 from callgrain.operators import compare as A
 from callgrain.operators import ledger as L
+from callgrain.operators import monitors as M
 from callgrain.operators import reports
 from callgrain.sources import audio, recogniser, sinks
+from callgrain.sources.ledger import load_calls
 
 CALL = "id int, owner_id int, status string, injected_fault string, label_source string, predicted_category string, total_cost_usd double, t string"
 
@@ -164,3 +167,27 @@ def test_entry_and_catalog(spark):
     assert entry.entry(spark).count() == 3
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) >= 150
+
+
+def test_trailing_windows_read_only_the_folders_of_their_days(spark, tmp_path):
+    rows = [(str(10 * d + k), f"2024-01-{d:02d} {6 * k:02d}:30:00", "failed" if k == 1 else "completed", "ab"[k % 2]) for d in range(1, 21) for k in range(4)]
+    df = spark.createDataFrame(rows, "id string, t string, status string, owner_id string").selectExpr("id", "to_timestamp(t) AS started_at", "status", "owner_id", "CAST(0.1 AS decimal(18,9)) AS total_cost_usd")
+    sinks.append_calls(df, f"{tmp_path}/calls")
+    ledger = load_calls(spark, str(tmp_path))
+    tenants = spark.createDataFrame([("a",), ("b",), ("idle",)], "owner_id string")
+    config = spark.createDataFrame([("b", 10.0, 2 * 1440)], "owner_id string, max_failure_rate_pct double, window_minutes int")
+    clock = ledger.agg(F.max("started_at")).scalar()  # known at run time only
+    for made in (L.quota(ledger, F.expr("timestamp'2024-01-20 18:30:00'"), tenants=tenants), M.sla_status(ledger, config, F.expr("timestamp'2024-01-20 18:30:00'"), tenants)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*call_date#\d+ >= ", plan), plan
+    used = {r.owner_id: (r.used, r.remaining) for r in L.quota(ledger, clock, tenants=tenants).collect()}
+    assert used == {"a": (2, 23), "b": (2, 23), "idle": (0, 25)}
+    status = {r.owner_id: (r.total, r.failed, r.window_minutes, r.breached) for r in M.sla_status(ledger, config, clock, tenants).collect()}
+    assert status == {"a": (0, 0, 60, False), "b": (4, 2, 2880, False), "idle": (0, 0, 60, False)}
+
+
+def test_quota_of_tenants_without_a_name(spark):
+    df = calls(spark, [(1, None, "completed", None, None, "ok", .1, "2024-01-02 00:00:00"), (2, 4, "completed", None, None, "ok", .1, "2024-01-01 00:00:00")])
+    got = {r.owner_id: r.used for r in L.quota(df, F.expr("timestamp'2024-01-02 00:00:00'")).collect()}
+    assert got == {None: 1, 4: 0}
