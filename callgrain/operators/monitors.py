@@ -8,6 +8,7 @@ a small step function before the spans of a tenant are chained.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -187,6 +188,38 @@ def breaches(rates: DataFrame, config: DataFrame, cooldown_us: int = V.SLA_COOLD
 # ------------------------------------------------------------ quota admission
 
 
+class Quota:
+    """Requests accepted in the last window, and which of the next ones are: those whose units fit beside them."""
+
+    def __init__(self, window_us: int, max_units: int) -> None:
+        self.window_us, self.max_units = window_us, max_units
+        self.taken: deque[tuple[int, int]] = deque()
+        self.used = 0
+
+    def take(self, at: np.ndarray, units: np.ndarray) -> None:
+        self.taken.extend(zip(at.tolist(), units.tolist()))
+        self.used += int(units.sum())
+
+    def admit(self, at: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """Whether each request is accepted, in order. Where not even the smallest fits, those up to the next that leaves the window are passed over at once."""
+        accepted = np.zeros(len(at), bool)
+        least = int(units.min(initial=self.max_units + 1))
+        times, asked, i = at.tolist(), units.tolist(), 0
+        while i < len(times):
+            t = times[i]
+            while self.taken and t - self.taken[0][0] >= self.window_us:
+                self.used -= self.taken.popleft()[1]
+            if self.used + asked[i] <= self.max_units:
+                self.taken.append((t, asked[i]))
+                self.used += asked[i]
+                accepted[i] = True
+            if self.taken and self.used + least > self.max_units:
+                i = max(i + 1, int(np.searchsorted(at, self.taken[0][0] + self.window_us, side="left")))
+            else:
+                i += 1
+        return accepted
+
+
 def quota_replay(
     df: DataFrame, *, key: str, at: str, tie: str, units: str,
     window_us: int = HOUR, max_units: int = V.HOURLY_UNITS_PER_ADDRESS, cell_windows: int = 24, patience: int = 3,
@@ -246,32 +279,31 @@ def _replay_cells(feed: DataFrame, window_us: int, max_units: int, width: int, p
     def replay(scale: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """Rows of side 0 are what was accepted before. Gives refused rows (side 2) and what is left at the end of a cell (side 0, of the next cell)."""
-            at_cell, taken, head, used, end, last = None, [], 0, 0, 0, None
+            at_cell, quota, last = None, None, None
 
-            def left() -> list[tuple]:
-                return [(at_cell[0], at_cell[1] + 1, last[0], t, 0, last[1], u) for t, u in taken[head:] if t > end - window_us]
+            def left() -> pd.DataFrame:
+                end = last["first"] + (last["cell"] + 1) * width * scale
+                rows = [(last["key"], last["cell"] + 1, last["owner"], t, 0, last["tie"], u) for t, u in quota.taken if t > end - window_us]
+                return pd.DataFrame(rows, columns=fields)
 
             for b in batches:
-                out = []
-                for k, c, owner, first, t, side, i, u in zip(*(b[n] for n in ("key", "cell", "owner", "first", "at", "side", "tie", "units"))):
-                    if (k, c) != at_cell:
+                if not len(b):
+                    continue
+                change = np.flatnonzero((b["key"].to_numpy()[1:] != b["key"].to_numpy()[:-1]) | (b["cell"].to_numpy()[1:] != b["cell"].to_numpy()[:-1])) + 1
+                for lo, hi in zip([0, *change], [*change, len(b)]):
+                    piece = b.iloc[lo:hi]
+                    if (piece["key"].iloc[0], piece["cell"].iloc[0]) != at_cell:
                         if at_cell is not None:
-                            out += left()
-                        at_cell, taken, head, used, end = (k, c), [], 0, 0, first + (c + 1) * width * scale
-                    last = owner, i
-                    while head < len(taken) and t - taken[head][0] >= window_us:
-                        used -= taken[head][1]
-                        head += 1
-                    if head > 4096:
-                        taken, head = taken[head:], 0
-                    if side == 0 or used + u <= max_units:
-                        taken.append((t, u))
-                        used += u
-                    else:
-                        out.append((k, c, owner, t, 2, i, u))
-                yield pd.DataFrame(out, columns=fields)
+                            yield left()
+                        at_cell, quota = (piece["key"].iloc[0], piece["cell"].iloc[0]), Quota(window_us, max_units)
+                    last = {n: piece[n].iloc[-1] for n in ("key", "cell", "owner", "first", "tie")}
+                    before = piece["side"].to_numpy() == 0
+                    quota.take(piece["at"].to_numpy()[before], piece["units"].to_numpy()[before])
+                    rest = piece[~before]
+                    refused = rest[~quota.admit(rest["at"].to_numpy(), rest["units"].to_numpy())]
+                    yield refused.assign(side=2)[fields]
             if at_cell is not None:
-                yield pd.DataFrame(left(), columns=fields)
+                yield left()
 
         return run
 

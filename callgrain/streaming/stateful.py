@@ -1,25 +1,26 @@
-"""Exact per-key monitors with state: cooldown, debounce, quota admission, call assembly.
+"""Exact per-key monitors with state: cooldown, debounce, quota admission, trailing rates, call assembly.
 
 Rows wait in state until the watermark has passed them and are then replayed
 in event-time order, so the result does not depend on how the stream was cut
 into batches; rows that arrive behind the watermark are dropped. State holds the
-rows younger than the watermark plus one window, and timers remove it.
+rows younger than the watermark plus one window, and timers remove it. Cooldown and
+admission hold and sort rows by (key, time cell) and chain the cells of a key in a second step.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
 
 from callgrain import vocab as V
 from callgrain.functions import predicates as P
+from callgrain.operators.monitors import Quota
 from callgrain.streaming.source import WATERMARK
 
 MICROS = 1_000_000
@@ -42,114 +43,123 @@ def _order(row: tuple) -> tuple:
     return tuple((v is not None, 0 if v is None else v) for v in row)
 
 
-class Replay(StatefulProcessor):
-    """Buffers (at_us, payload) rows and replays those the watermark has passed."""
+def _plain(v):
+    return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
 
-    #: payload columns as (name, SQL type); subclasses set these
-    payload: tuple[tuple[str, str], ...] = ()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        cols = ", ".join(["at_us BIGINT", *[f"{n} {t}" for n, t in self.payload]])
-        self.handle = handle
-        self.pending = handle.getListState("pending", _schema(cols))
-        self.open_state(handle)
+_PACKED = StructType([StructField(n, BinaryType()) for n in ("at_us", "tie", "units")])
 
-    def open_state(self, handle: StatefulProcessorHandle) -> None: ...
 
-    def step(self, key, row: tuple) -> tuple | None:
-        """Handles one row in event-time order; returns an output row or nothing."""
-        raise NotImplementedError
+def _unpacked(parts: Iterable[tuple]) -> np.ndarray:
+    """Times, ties and units of packed rows, one after the other."""
+    held = [np.stack([np.frombuffer(x, np.int64) for x in p]) for p in parts]
+    return np.concatenate(held, axis=1) if held else np.empty((3, 0), np.int64)
 
-    def finish(self) -> None: ...
 
-    names: tuple[str, ...] = ()
+class Packed(StatefulProcessor):
+    """First step, for each (key, time cell): rows wait in packed pieces until the watermark has passed them, and leave sorted, as one packed row.
+
+    Rows at or behind the watermark are late, what they would have changed may be out already: they are dropped. As the cell is
+    part of the key, a hot key is held, sorted and thinned by many tasks.
+    """
+
+    def __init__(self, thin: Callable[[np.ndarray], np.ndarray] | None = None) -> None:
+        self.thin = thin
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", _PACKED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fields = ["at_us", *[n for n, _ in self.payload]]
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
-        # rows at or behind the watermark are late: what they would have changed may be out already
-        fresh = [r for b in rows for r in b[fields].itertuples(index=False, name=None) if r[0] > passed_us]
-        yield from self._replay(key, fresh, timerValues)
+        fresh = np.concatenate([np.stack([b[c].to_numpy(np.int64) for c in ("at_us", "tie", "units")]) for b in rows], axis=1)
+        fresh = fresh[:, fresh[0] > passed_us]
+        if fresh.shape[1]:
+            self.pending.appendValue(tuple(x.tobytes() for x in fresh))
+            # a later piece may hold an earlier row; a timer that comes for nothing does no harm
+            self.handle.registerTimer(int(fresh[0].min()) // 1000 + 1)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._replay(key, [], timerValues)
-
-    def _replay(self, key, fresh, timerValues) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        rows = sorted([*waiting, *[tuple(_plain(v) for v in r) for r in fresh]], key=_order)
-        due = [r for r in rows if r[0] <= now_us]
-        later = rows[len(due):]
-        out = [o for o in (self.step(key, r) for r in due) if o is not None]
-        self.finish()
-        if later:
-            self.pending.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        elif waiting:
+        rows = _unpacked(tuple(r) for r in self.pending.get()) if self.pending.exists() else _unpacked(())
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]
+        due, later = rows[:, rows[0] <= now_us], rows[:, rows[0] > now_us]
+        if not due.shape[1]:
+            return
+        if later.shape[1]:
+            self.pending.put([tuple(x.tobytes() for x in later)])
+            self.handle.registerTimer(int(later[0, 0]) // 1000 + 1)
+        else:
             self.pending.clear()
-        if out:
-            yield pd.DataFrame(out, columns=list(self.names))
+        out = due if self.thin is None else self.thin(due)
+        yield pd.DataFrame([(key[0], pd.Timestamp(int(due[0, -1]), unit="us"), *(x.tobytes() for x in out))], columns=["key", "event_at", "at_us", "tie", "units"])
 
     def close(self) -> None: ...
 
 
-def _plain(v):
-    return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
-
-
-class Spacing(Replay):
-    """Keeps a row only if none of its key was kept in the last ``gap_us`` (breach cooldown, debounce)."""
-
-    payload = (("tie", "BIGINT"),)
-    names = ("key", "at_us", "tie")
+class Spacing(StatefulProcessor):
+    """Second step: keeps a row only if none of its key was kept in the last ``gap_us`` (breach cooldown, debounce)."""
 
     def __init__(self, gap_us: int) -> None:
         self.gap_us = gap_us
 
-    def open_state(self, handle) -> None:
+    def thin(self, rows: np.ndarray) -> np.ndarray:
+        """Only rows that some last kept time before them lets through: those of the first gap, and what may follow each."""
+        rows = rows[:, np.append(True, np.diff(rows[0]) != 0)]
+        t = rows[0]
+        follows = np.searchsorted(t, t + self.gap_us, side="left")
+        reached = np.zeros(len(t) + 1, bool)
+        reached[: int(np.searchsorted(t, t[0] + self.gap_us, side="left")) + 1] = True
+        for i in range(len(t)):
+            if reached[i]:
+                reached[follows[i]] = True
+        return rows[:, reached[:-1]]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", _schema("at_us BIGINT"))
 
-    def step(self, key, row):
-        last = self.last.get()[0] if self.last.exists() else None
-        if last is not None and row[0] - last < self.gap_us:
-            return None
-        self.last.update((row[0],))
-        return key[0], row[0], row[1]
+    def handleInputRows(self, key, rows, timerValues):
+        at, tie, _ = _unpacked(p for b in rows for p in b[["at_us", "tie", "units"]].itertuples(index=False, name=None))
+        order = np.lexsort((tie, at))
+        at, tie = at[order], tie[order]
+        i = int(np.searchsorted(at, self.last.get()[0] + self.gap_us, side="left")) if self.last.exists() else 0
+        kept = []
+        while i < len(at):
+            kept.append(i)
+            i = int(np.searchsorted(at, at[i] + self.gap_us, side="left"))
+        if kept:
+            self.last.update((int(at[kept[-1]]),))
+            yield pd.DataFrame({"key": key[0], "at_us": at[kept], "tie": tie[kept]})
+
+    def close(self) -> None: ...
 
 
-class Admission(Replay):
-    """Accepts a request when the accepted units of the last window plus its own stay within the limit."""
+class Admission(StatefulProcessor):
+    """Second step: accepts a request when the accepted units of the last window plus its own stay within the limit.
 
-    payload = (("tie", "BIGINT"), ("units", "BIGINT"))
-    names = ("key", "at_us", "tie", "accepted")
+    The work is that of the accepted requests; where nothing fits, those up to the next one that leaves the window are passed over.
+    """
 
     def __init__(self, window_us: int, max_units: int) -> None:
         self.window_us, self.max_units = window_us, max_units
 
-    def open_state(self, handle) -> None:
+    def init(self, handle: StatefulProcessorHandle) -> None:
         self.taken = handle.getListState("taken", _schema("at_us BIGINT, units BIGINT"))
-        self.recent: deque | None = None
-
-    def step(self, key, row):
-        if self.recent is None:
-            self.recent = deque(tuple(r) for r in self.taken.get()) if self.taken.exists() else deque()
-            self.used = sum(u for _, u in self.recent)
-        at, tie, units = row
-        while self.recent and at - self.recent[0][0] >= self.window_us:
-            self.used -= self.recent.popleft()[1]
-        ok = self.used + units <= self.max_units
-        if ok:
-            self.recent.append((at, units))
-            self.used += units
-        return key[0], at, tie, ok
-
-    def finish(self) -> None:
-        if self.recent is not None:
-            if self.recent:
-                self.taken.put([*self.recent])
-            else:
-                self.taken.clear()
-        self.recent = None
+
+    def handleInputRows(self, key, rows, timerValues):
+        at, tie, units = _unpacked(p for b in rows for p in b[["at_us", "tie", "units"]].itertuples(index=False, name=None))
+        order = np.lexsort((tie, at))
+        at, tie, units = at[order], tie[order], units[order]
+        quota = Quota(self.window_us, self.max_units)
+        if self.taken.exists():
+            quota.take(*np.array([tuple(r) for r in self.taken.get()], np.int64).T)
+        accepted = quota.admit(at, units)
+        if quota.taken:
+            self.taken.put([*quota.taken])
+        yield pd.DataFrame({"key": key[0], "at_us": at, "tie": tie, "accepted": accepted})
+
+    def close(self) -> None: ...
 
 
 class TrailingCounts(StatefulProcessor):
@@ -314,25 +324,27 @@ class Assembly(StatefulProcessor):
     def close(self) -> None: ...
 
 
-def _keyed(rows: DataFrame, key: str, at: str, tie: str, delay: str, **extra: str) -> DataFrame:
-    marked = rows.withWatermark(at, delay)
-    return marked.select(F.col(key).alias("key"), F.col(at).alias("event_at"), F.unix_micros(at).alias("at_us"), F.col(tie).cast("bigint").alias("tie"), *[F.col(c).cast("bigint").alias(n) for n, c in extra.items()])
+def _chained(rows: DataFrame, key: str, at: str, tie: str, units: Column, cell_us: int, delay: str, first: StatefulProcessor, second: StatefulProcessor, out: str) -> DataFrame:
+    """Both steps: (key, cell of ``cell_us``), then key. The watermark of the first holds for what it gives, so the second gets all of a key up to it in one batch."""
+    us = F.unix_micros(at)
+    marked = rows.withWatermark(at, delay).select(
+        F.col(key).alias("key"), F.floor(us / cell_us).cast("bigint").alias("cell"), F.col(at).alias("event_at"), us.alias("at_us"), F.col(tie).cast("bigint").alias("tie"), units.cast("bigint").alias("units"))
+    kt = marked.schema["key"].dataType
+    packed = marked.groupBy("key", "cell").transformWithStateInPandas(
+        first, StructType([StructField("key", kt), StructField("event_at", TimestampType()), *_PACKED]), "Append", "EventTime", eventTimeColumnName="event_at")
+    return packed.groupBy("key").transformWithStateInPandas(second, _schema(f"key, {out}", key=kt), "Append", "EventTime")
 
 
-def spaced(rows: DataFrame, *, key: str, at: str, tie: str, gap_us: int, delay: str = WATERMARK) -> DataFrame:
-    """Streaming twin of ``operators.monitors.greedy_spacing``."""
-    keyed = _keyed(rows, key, at, tie, delay)
-    kt = keyed.schema["key"].dataType
-    return keyed.groupBy("key").transformWithStateInPandas(
-        Spacing(gap_us), _schema("key, at_us BIGINT, tie BIGINT", key=kt), "Append", "EventTime")
+def spaced(rows: DataFrame, *, key: str, at: str, tie: str, gap_us: int, delay: str = WATERMARK, spans: int = 8) -> DataFrame:
+    """Streaming twin of ``operators.monitors.greedy_spacing``; a cell holds ``spans`` gaps."""
+    second = Spacing(gap_us)
+    return _chained(rows, key, at, tie, F.lit(0), spans * gap_us, delay, Packed(second.thin), second, "at_us BIGINT, tie BIGINT")
 
 
 def admitted(rows: DataFrame, *, key: str, at: str, tie: str, units: str, window_us: int = 3600 * MICROS, max_units: int = V.HOURLY_UNITS_PER_ADDRESS, delay: str = WATERMARK) -> DataFrame:
-    """Streaming twin of ``operators.monitors.quota_replay``."""
-    keyed = _keyed(rows, key, at, tie, delay, units=units)
-    kt = keyed.schema["key"].dataType
-    return keyed.groupBy("key").transformWithStateInPandas(
-        Admission(window_us, max_units), _schema("key, at_us BIGINT, tie BIGINT, accepted BOOLEAN", key=kt), "Append", "EventTime")
+    """Streaming twin of ``operators.monitors.quota_replay``; a cell is as long as the window."""
+    second = Admission(window_us, max_units)
+    return _chained(rows, key, at, tie, F.col(units), window_us, delay, Packed(), second, "at_us BIGINT, tie BIGINT, accepted BOOLEAN")
 
 
 def trailing_rates(
