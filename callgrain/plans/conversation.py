@@ -100,12 +100,12 @@ def turns(spark, d):
 
 
 BG = """SELECT *, sum(CASE WHEN pe IS NULL OR NOT (start_ms - pe < 600) THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY turn, pos)::BIGINT AS run_id FROM
- (SELECT *, lag(end_ms) OVER (PARTITION BY call_id ORDER BY turn, pos) AS pe FROM words_v WHERE turn % 4 = 3) a"""
+ (SELECT *, lag(end_ms) OVER (PARTITION BY call_id ORDER BY turn, pos) AS pe FROM words_v WHERE confidence < 0.7) a"""
 
 
 @q("w04_background_runs", f"SELECT call_id, run_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(word, ' ' ORDER BY turn, pos) AS text, count(*) AS words FROM ({BG}) b GROUP BY 1, 2", ("words_v",))
 def background_runs(spark, d):
-    return C.background_runs(words_view(spark, d).where("turn % 4 = 3"))
+    return C.background_runs(words_view(spark, d).where("confidence < 0.7"))
 
 
 @q("w05_boundaries", """

@@ -345,13 +345,12 @@ def first_report_per_call(spark, d):
 
 
 @q("j14_library_merge", """
-SELECT p_partkey AS item, 'server' AS origin, p_name AS label FROM part WHERE p_partkey % 3 = 0
-UNION ALL SELECT p_partkey, 'bundled', p_brand FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0
+SELECT s_suppkey AS item, 'server' AS origin, s_name AS label FROM supplier
+UNION ALL SELECT p_partkey, 'bundled', p_brand FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)
 """)
 def library_merge(spark, d):
-    part = table(spark, d, "part")
-    server = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item"), F.lit("server").alias("origin"), F.col("p_name").alias("label"))
-    bundled = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item"), F.lit("bundled").alias("origin"), F.col("p_brand").alias("label"))
+    server = table(spark, d, "supplier").select(F.col("s_suppkey").alias("item"), F.lit("server").alias("origin"), F.col("s_name").alias("label"))
+    bundled = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.lit("bundled").alias("origin"), F.col("p_brand").alias("label"))
     return L.merge_libraries(server, bundled, "item", [0, 6, 2]).select("item", "origin", "label")
 
 

@@ -94,12 +94,12 @@ def live_feed(spark, d):
 
 
 @q("j11_outage_windows", """
-SELECT DISTINCT c.id, c.owner_id FROM calls_v c JOIN (SELECT user_id AS owner_id, ts AS lo, ts + to_seconds(least(43200, greatest(1, CAST(value * 4000 AS BIGINT)))) AS hi FROM events WHERE event_id % 10 = 3) o
+SELECT DISTINCT c.id, c.owner_id FROM calls_v c JOIN (SELECT user_id AS owner_id, ts + INTERVAL 1 HOUR AS lo, ts + INTERVAL 1 HOUR + to_seconds(least(43200, greatest(1, CAST(value * 40 AS BIGINT)))) AS hi FROM events) o
  ON o.owner_id = c.owner_id AND c.started_at BETWEEN o.lo AND o.hi
 """, ("calls_v",))
 def outage_windows(spark, d):
-    outages = table(spark, d, "events").where("event_id % 10 = 3").select(
-        F.col("user_id").alias("owner_id"), F.col("ts").alias("enabled_at"), F.round(F.col("value") * 4000).cast("bigint").alias("seconds"))
+    outages = table(spark, d, "events").select(
+        F.col("user_id").alias("owner_id"), F.expr("ts + INTERVAL 1 HOUR").alias("enabled_at"), F.round(F.col("value") * 40).cast("bigint").alias("seconds"))
     return M.affected_by_outage(calls_view(spark, d), outages, max_seconds=43200).select("id", "owner_id")
 
 
@@ -117,17 +117,23 @@ def matched(spark, d):
     return I.match_events(truth, found, key="owner_id", tolerance=90 * M.MINUTE, span=24 * M.HOUR)
 
 
-MATCHED = """
-WITH RECURSIVE ev AS (SELECT user_id % 40 AS owner_id, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN 'simultaneous' ELSE 'interruption' END AS kind, event_type FROM events),
-t AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY us, kind) AS rn FROM ev WHERE event_type = 'error'),
-d AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY us, kind) AS pos FROM ev WHERE event_type = 'click'),
-b AS (SELECT t.owner_id, rn, t.us, t.kind, min(pos) AS lo, max(pos) AS hi FROM t LEFT JOIN d ON d.owner_id = t.owner_id AND d.us BETWEEN t.us - 5400000000 AND t.us + 5400000000 GROUP BY ALL),
+#: First-fit matching of t (owner_id, us, kind, rn) with d (the same, pos): rows m, and scores c of each owner.
+FIRST_FIT = """
+b AS (SELECT t.owner_id, rn, t.us, t.kind, min(pos) AS lo, max(pos) AS hi FROM t LEFT JOIN d ON d.owner_id = t.owner_id AND d.us BETWEEN t.us - {tolerance} AND t.us + {tolerance} GROUP BY ALL),
 r AS (SELECT owner_id, rn, us, kind, lo AS used, coalesce(lo, 0) AS last FROM b WHERE rn = 1
  UNION ALL SELECT b.owner_id, b.rn, b.us, b.kind, CASE WHEN greatest(b.lo, r.last + 1) <= b.hi THEN greatest(b.lo, r.last + 1) END, CASE WHEN greatest(b.lo, r.last + 1) <= b.hi THEN greatest(b.lo, r.last + 1) ELSE r.last END
  FROM r JOIN b ON b.owner_id = r.owner_id AND b.rn = r.rn + 1),
 m AS (SELECT r.owner_id, 'truth' AS side, r.us AS "at", r.kind, used IS NOT NULL AS matched, coalesce(d.kind = r.kind, false) AS kind_right FROM r LEFT JOIN d ON d.owner_id = r.owner_id AND d.pos = r.used
- UNION ALL SELECT d.owner_id, 'detected', d.us, d.kind, used IS NOT NULL, false FROM d LEFT JOIN r ON r.owner_id = d.owner_id AND r.used = d.pos)
+ UNION ALL SELECT d.owner_id, 'detected', d.us, d.kind, used IS NOT NULL, false FROM d LEFT JOIN r ON r.owner_id = d.owner_id AND r.used = d.pos),
+c AS (SELECT owner_id, count(*) FILTER (WHERE side = 'truth' AND matched) AS tp, count(*) FILTER (WHERE side = 'truth' AND NOT matched) AS fn,
+ count(*) FILTER (WHERE side = 'detected' AND NOT matched) AS fp, count(*) FILTER (WHERE kind_right) AS kind_right FROM m GROUP BY 1)
 """
+SCORES = "SELECT *, round(tp / nullif(tp + fn, 0), 9) AS recall, round(tp / greatest(1, tp + fp), 9) AS precision FROM c"
+MATCHED = f"""
+WITH RECURSIVE ev AS (SELECT user_id % 40 AS owner_id, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN 'simultaneous' ELSE 'interruption' END AS kind, event_type FROM events),
+t AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY us, kind) AS rn FROM ev WHERE event_type = 'error'),
+d AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY us, kind) AS pos FROM ev WHERE event_type = 'click'),
+{FIRST_FIT.format(tolerance=5_400_000_000)}"""
 
 
 @q("j10_event_matching", f"{MATCHED} SELECT * FROM m")
@@ -135,8 +141,6 @@ def event_matching(spark, d):
     return matched(spark, d)
 
 
-@q("e06_detection_scores", f"""{MATCHED}, c AS (SELECT owner_id, count(*) FILTER (WHERE side = 'truth' AND matched) AS tp, count(*) FILTER (WHERE side = 'truth' AND NOT matched) AS fn,
- count(*) FILTER (WHERE side = 'detected' AND NOT matched) AS fp, count(*) FILTER (WHERE kind_right) AS kind_right FROM m GROUP BY 1)
-SELECT *, round(tp / nullif(tp + fn, 0), 9) AS recall, round(tp / greatest(1, tp + fp), 9) AS precision FROM c""")
+@q("e06_detection_scores", f"{MATCHED} {SCORES}")
 def detection_scores(spark, d):
     return rounded(I.detection_scores(matched(spark, d), ["owner_id"]))

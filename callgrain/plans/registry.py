@@ -117,8 +117,9 @@ FROM (SELECT call_id, turn, speaker, pos, word, dur_ms,
 """,
     "acted_v": """
 SELECT * REPLACE (CASE WHEN pos = 0 AND turn % 3 = 1 THEN start_ms - 550 ELSE start_ms END AS start_ms,
-  CASE WHEN turn % 5 = 2 AND pos = 0 THEN 'Yeah,' WHEN turn % 5 = 2 THEN 'okay.' WHEN turn % 4 = 0 THEN regexp_replace(word, '[.?!]+$', '') ELSE word END AS word)
-FROM words_v WHERE turn % 5 <> 2 OR pos < 2
+  CASE WHEN turn % 5 = 2 AND pos = 0 THEN 'Yeah,' WHEN turn % 5 = 2 AND pos = 1 THEN 'okay.' WHEN turn % 4 = 0 THEN regexp_replace(word, '[.?!]+$', '') ELSE word END AS word,
+  CASE WHEN turn % 5 = 2 AND pos >= 2 THEN CASE WHEN speaker = 'user' THEN 'assistant' ELSE 'user' END ELSE speaker END AS speaker)
+FROM words_v
 """,
     "truth_v": """
 SELECT call_id, turn, speaker AS who, min(start_ms) + 200 AS start_ms, max(end_ms) - 200 AS end_ms

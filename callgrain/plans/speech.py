@@ -16,6 +16,7 @@ from callgrain.operators import intervals as I
 from callgrain.operators import speakers as P
 from callgrain.operators import voices as O
 from callgrain.plans.ledger import rounded
+from callgrain.plans.monitors import FIRST_FIT, SCORES
 from callgrain.plans.registry import Catalog
 from callgrain.sources import audio, recogniser, sinks
 from callgrain.sources.settle import settle
@@ -410,12 +411,21 @@ def truth_events(spark, d):
     return E.truth_events(lines)
 
 
-@q("e06_interruption_scores")
+@q("e06_interruption_scores", f"""
+WITH RECURSIVE l AS (SELECT call_id, turn, arg_min(speaker, pos) AS who, min(start_ms) AS s, max(end_ms) AS e FROM acted_v GROUP BY 1, 2),
+n AS (SELECT *, lag(who) OVER w AS pw, lag(e) OVER w AS pe, lead(who) OVER w AS nw, lead(s) OVER w AS ns FROM l WINDOW w AS (PARTITION BY call_id ORDER BY turn)),
+ev AS (SELECT call_id AS owner_id, s AS us, 'simultaneous' AS kind FROM n WHERE who <> pw AND s < pe - 50 UNION ALL SELECT call_id, ns, 'interruption' FROM n WHERE turn % 4 = 0 AND nw <> who),
+f AS (SELECT call_id AS owner_id, CAST(trunc(floor(start_ms / 1000.0 * 100 + 0.5) / 100 * 1000) AS BIGINT) AS us, kind FROM boundaries_v WHERE kind IN ('simultaneous', 'interruption')),
+t AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY us, kind) AS rn FROM ev),
+d AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY us, kind) AS pos FROM f),
+{FIRST_FIT.format(tolerance=1500)}
+{SCORES.replace("*", "c.* EXCLUDE (owner_id), owner_id AS call_id", 1)}
+""", ("acted_v", "boundaries_v"))
 def interruption_scores(spark, d):
     """Detected boundaries against the scripted early starts of the same lines."""
     w = acted_words_view(spark, d)
     found = C.boundaries(settle(C.turns(w))).where("kind IN ('simultaneous', 'interruption')").select("call_id", (F.col("at") * 1000).cast("bigint").alias("at"), "kind")
-    lines = w.groupBy("call_id", "turn").agg(F.min("chunk").alias("chunk"), F.min("speaker").alias("who"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    lines = w.groupBy("call_id", "turn").agg(F.min("chunk").alias("chunk"), F.min_by("speaker", "pos").alias("who"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     scripted = E.truth_events(lines.withColumn("text", F.when(F.col("turn") % 4 == 0, "and —").otherwise("done."))).select("call_id", "at", "kind")
     return rounded(I.detection_scores(I.match_events(scripted, found, key="call_id", tolerance=1500, span=600_000), ["call_id"]))
 

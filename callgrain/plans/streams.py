@@ -108,12 +108,12 @@ def stream_admission(spark, d):
 
 
 @q("r08_stream_outages", """
-SELECT DISTINCT c.id FROM calls_v c JOIN (SELECT user_id AS owner_id, ts AS lo, ts + to_seconds(least(43200, greatest(1, CAST(value * 4000 AS BIGINT)))) AS hi FROM events WHERE event_id % 10 = 3) o
+SELECT DISTINCT c.id FROM calls_v c JOIN (SELECT user_id AS owner_id, ts + INTERVAL 1 HOUR AS lo, ts + INTERVAL 1 HOUR + to_seconds(least(43200, greatest(1, CAST(value * 40 AS BIGINT)))) AS hi FROM events) o
  ON o.owner_id = c.owner_id AND c.started_at BETWEEN o.lo AND o.hi
 """, ("calls_v",))
 def stream_outages(spark, d):
-    outages = events(spark, d).where("event_id % 10 = 3").select(
-        F.col("user_id").alias("owner_id"), F.col("ts").cast("timestamp").alias("enabled_at"), F.round(F.col("value") * 4000).cast("bigint").alias("seconds"))
+    outages = events(spark, d).select(
+        F.col("user_id").alias("owner_id"), F.expr("ts + INTERVAL 1 HOUR").cast("timestamp").alias("enabled_at"), F.round(F.col("value") * 40).cast("bigint").alias("seconds"))
     return source.run_to_table(windows.affected_by_outage(calls(spark, d), outages, max_seconds=43200).select("id"), "outages")
 
 

@@ -124,16 +124,18 @@ def words_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acted_words_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with scripted events: early starts, short acknowledgements and cut sentences."""
+    """All words, with scripted events: early starts, cut sentences, and short acknowledgements after which the other speaker goes on."""
     early = (F.col("pos") == 0) & (F.col("turn") % 3 == 1)
+    nod = F.col("turn") % 5 == 2
     said = (
-        F.when((F.col("turn") % 5 == 2) & (F.col("pos") == 0), "Yeah,")
-        .when(F.col("turn") % 5 == 2, "okay.")
+        F.when(nod & (F.col("pos") == 0), "Yeah,")
+        .when(nod & (F.col("pos") == 1), "okay.")
         .when(F.col("turn") % 4 == 0, F.regexp_replace("word", "[.?!]+$", ""))
         .otherwise(F.col("word"))
     )
-    return words_view(spark, sf_dir).where("turn % 5 <> 2 OR pos < 2").withColumns({
+    return words_view(spark, sf_dir).withColumns({
         "start_ms": F.when(early, F.col("start_ms") - 550).otherwise(F.col("start_ms")), "word": said,
+        "speaker": F.when(nod & (F.col("pos") >= 2), F.when(F.col("speaker") == "user", "assistant").otherwise("user")).otherwise(F.col("speaker")),
     })
 
 
