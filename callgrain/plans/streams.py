@@ -8,8 +8,8 @@ from callgrain.functions.columns import micros
 from callgrain.operators import calibration
 from callgrain.plans.monitors import ADMITTED, CONFIG, WINDOW_MIN, config
 from callgrain.plans.registry import Catalog
-from callgrain.sources.views import calls_from_events
-from callgrain.streaming import source, stateful, windows
+from callgrain.sources.views import calls_from_events, table
+from callgrain.streaming import ingest, source, stateful, windows
 
 catalog = Catalog()
 q = catalog.query
@@ -78,6 +78,41 @@ def stream_idempotent(spark, d):
     return source.run_to_table(windows.first_requests(rows, ["request"], delay="400 days").select("request"), "idempotent")
 
 
+@q("r04_first_request_wins", """
+SELECT event_id AS id, arg_min(event_id, (event_id % 4, ts, event_id)) OVER (PARTITION BY user_id, k) AS answered_by
+FROM (SELECT event_id, ts, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 50 AS k FROM events) e
+""")
+def first_request_wins(spark, d):
+    """Requests of a key come in four runs; the table of accepted requests decides, without any state of the stream."""
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("owner_id"),
+        (F.get_json_object("props", "$.k").cast("bigint") % 50).alias("k"))
+    folder = source.run_in_steps(
+        rows.withColumn("step", F.col("id") % 4), "step", 4, "requests", lambda stream, out: ingest.accept_once(stream, out, ["owner_id", "k"]))
+    return ingest.answered(rows, spark.read.parquet(folder), ["owner_id", "k"]).select("id", "answered_by")
+
+
+@q("r12_late_and_repeated_rows", """
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS us, CAST(floor((epoch_us(ts) - lo) * 4.0 / (hi - lo + 1)) AS BIGINT) + CAST(event_id % 10 = 0 AS BIGINT) AS step
+  FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events) r),
+a AS (SELECT * FROM e UNION ALL SELECT event_id, event_type, us, step + 1 FROM e WHERE event_id % 7 = 0),
+w AS (SELECT s.step, coalesce((SELECT max(us) FROM a WHERE a.step < s.step) // 1000 - 172800000, 0) * 1000 AS wm FROM (SELECT DISTINCT step FROM a) s)
+SELECT DISTINCT event_id, event_type FROM a JOIN w USING (step) WHERE us > wm
+""")
+def late_and_repeated_rows(spark, d):
+    """Every tenth event comes one run late, every seventh comes again in the next run; the watermark is two days behind."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    lo, hi = (rows.agg(f(micros("ts"))).scalar() for f in (F.min, F.max))
+    step = F.floor((micros("ts") - lo) * 4.0 / (hi - lo + 1)).cast("bigint") + (F.col("event_id") % 10 == 0).cast("bigint")
+    first = rows.withColumn("step", step)
+    again = first.where("event_id % 7 = 0").withColumn("step", F.col("step") + 1)
+    folder = source.run_in_steps(
+        first.unionByName(again), "step", 6, "late",
+        lambda stream, out: ingest.on_time_once(stream, ["event_id"], "ts", "2 days").writeStream.format("parquet").option("path", out))
+    return spark.read.parquet(folder).select("event_id", "event_type")
+
+
 @q("r05_hourly_accuracy", f"""
 SELECT epoch_us(date_trunc('hour', started_at)) AS bucket, count(*) AS total, count(*) FILTER (WHERE COALESCE(injected_fault, 'ok') = predicted_category) AS correct FROM calls_v
 WHERE status IN ('completed', 'failed') AND predicted_category IS NOT NULL AND (injected_fault IS NOT NULL OR label_source = 'control')

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from callgrain.sources.settle import shared_root
 
@@ -41,3 +44,19 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def run_in_steps(arrivals: DataFrame, step: str, steps: int, name: str, write: Callable[[DataFrame, str], DataStreamWriter]) -> str:
+    """Feeds a stream in ``steps`` runs: the rows of the next step are appended to a folder, then the query works off what is new and stops.
+
+    This is how a scheduled incremental job runs: one checkpoint, a batch for each run, state and watermark kept between them.
+    ``write`` makes the writer from the stream and the folder for results, which is returned.
+    """
+    spark = arrivals.sparkSession
+    root = work_dir(spark, name)
+    rows = arrivals.drop(step)
+    for k in range(steps):
+        arrivals.where(F.col(step) == k).drop(step).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        write(stream, f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{root}/out"

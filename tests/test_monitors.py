@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from callgrain.operators import monitors as M
 from callgrain.operators.intervals import match_events
-from callgrain.streaming import source, stateful
+from callgrain.streaming import ingest, source, stateful
 
 
 def hot_rows(n=3000, seed=5, step=40):
@@ -282,3 +282,16 @@ def test_rows_for_a_closed_call_are_dropped(spark, tmp_path):
     stream = source.event_stream(spark, folder, schema, files_per_trigger=1)
     got = source.run_to_table(stateful.assembled_calls(stream, timeout_ms=3_600_000), "closed").collect()
     assert sorted((r.call_id, r.status, r.stages) for r in got) == [(1, "completed", ""), (2, "completed", ""), (3, "aborted", "")]
+
+
+def test_the_first_request_wins_whatever_comes_again(spark, tmp_path):
+    folder, schema = str(tmp_path / "accepted"), "owner_id string, k int, id int, ts int, note string"
+    batches = [[("a", 1, 5, 50, "x"), ("a", 1, 4, 50, "y"), ("a", 2, 6, 10, None), (None, 1, 7, 1, "null owner")], [("a", 1, 1, 0, "late"), ("b", 1, 8, 3, "z"), (None, 1, 9, 2, "again")], []]
+    once = ingest.first_wins(folder, ["owner_id", "k"], buckets=3)
+    frames = [spark.createDataFrame(rows, schema) for rows in batches]
+    for k in (0, 1, 1, 2, 0):  # batches run again after a failure give the same
+        once(frames[k], k)
+    accepted = spark.read.parquet(folder)
+    assert sorted((r.owner_id or "", r.k, r.id) for r in accepted.collect()) == [("", 1, 7), ("a", 1, 4), ("a", 2, 6), ("b", 1, 8)]
+    every = frames[0].unionByName(frames[1])
+    assert {r.id: r.answered_by for r in ingest.answered(every, accepted, ["owner_id", "k"]).collect()} == {5: 4, 4: 4, 1: 4, 6: 6, 7: 7, 9: 7, 8: 8}
