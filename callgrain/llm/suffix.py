@@ -289,8 +289,11 @@ def remove(docs: DataFrame, text: str = "text", letters: bool = False) -> DataFr
 
 def without_repeats(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The rows with what is left of their texts, and its length where the input has such a column. Texts may become empty."""
-    own = F.col(text).alias("text")
-    others = F.struct(*(c for c in docs.columns if c != text), F.lit(0).alias("_")).alias("others")
-    left = remove(docs.select(own, others), letters=True).select("others", F.col("kept").cast("string").alias("left"))
-    changed = {text: F.col("left"), length: F.length("left").cast(docs.schema[length].dataType) if length in docs.columns else None}
-    return left.select(*(changed[c].alias(c) if c in changed else F.col(f"others.`{c}`") for c in docs.columns))
+    # the other columns go by number inside one column, so that no name of theirs can clash with another or with that of the text
+    names = [c for c in docs.columns if c != text]
+    others = F.struct(F.lit(0).alias("c"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names))).alias("others")
+    left = remove(docs.select(F.col(f"`{text}`").alias("text"), others), letters=True).select("others", F.col("kept").cast("string").alias("left"))
+    made = {c: F.col(f"others.c{k}") for k, c in enumerate(names)} | {text: F.col("left")}
+    if length in docs.columns:
+        made[length] = F.length("left").cast(docs.schema[length].dataType)
+    return left.select(*(made[c].alias(c) for c in docs.columns))

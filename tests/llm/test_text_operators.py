@@ -418,3 +418,22 @@ def test_anchors_in_very_long_texts(monkeypatch):
 def test_letters_stay_whole():
     data = "aéb".encode()
     assert suffix.whole_letters(data, [(0, 2)]) == [(0, 1)] and suffix.whole_letters(data, [(2, 4)]) == [(3, 4)] and suffix.whole_letters(data, [(2, 3)]) == []
+
+
+# ------------------------------------------------------------------ pipeline
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_take_odd_rows_and_clashing_names(spark, sf, odd_docs, no_docs, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = (odd_docs if rows == "odd" else no_docs).withColumn("n_chars", F.length("text")).withColumn("_", F.lit(7)).withColumn("c0", F.lit(8)).withColumn("others", F.lit(9)).withColumn("left", F.lit(10))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns == columns or name == "packing"
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "repeats":
+            assert all((r["_"], r["c0"], r["others"], r["left"]) == (7, 8, 9, 10) and r["n_chars"] == len(r["text"]) for r in docs.collect())
+    assert (docs.count() == 0) == (rows == "none")
