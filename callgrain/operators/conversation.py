@@ -81,6 +81,20 @@ def turns(words: DataFrame, attribution_confidence: str = "confidence") -> DataF
     return merged.withColumn("uncertain", F.col("speaker").isNull() | (F.col("confidence") < V.TURN_UNCERTAIN_BELOW))
 
 
+#: What counts as white space at the ends of a transcript.
+_EDGE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def with_bare_transcripts(turn_rows: DataFrame, words: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The turns, and one of speaker 0 without times for each call that has a transcript (call_id, transcript) but no words. Blank transcripts give none."""
+    trimmed = F.regexp_replace("transcript", f"^{_EDGE}|{_EDGE}$", "")
+    bare_calls = transcripts.select("call_id", trimmed.alias("text")).where("text <> ''").join(words.select("call_id").distinct(), "call_id", "left_anti")
+    made = {"turn_id": F.lit(1), "speaker": F.lit("0"), "words": F.lit(0), "text": F.col("text"), "confidence": F.lit(0.5), "uncertain": F.lit(False), "chunk": F.lit(0)}
+    kinds = {f.name: f.dataType for f in turn_rows.schema}
+    one = bare_calls.select("call_id", *[made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in turn_rows.columns if c != "call_id"])
+    return turn_rows.unionByName(one)
+
+
 def background_runs(words: DataFrame) -> DataFrame:
     """Background words (taken out of the conversation) merged while the gap stays under 0.6 s."""
     numbered = islands(
@@ -156,12 +170,16 @@ def first_n(rows: DataFrame, key: str, order: list[str], value: Column, n: int,
     return top.groupBy(key).agg(F.transform(items, lambda x: x["__v"]).alias(name))
 
 
-def speech_metrics(words: DataFrame, turn_rows: DataFrame, boundary_rows: DataFrame) -> DataFrame:
-    """Per call: words, rate, confidence, fillers, pauses, turns and overlaps.
+def speech_metrics(words: DataFrame, turn_rows: DataFrame, boundary_rows: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Per call: words, rate, confidence, fillers, pauses, speakers, turns and overlaps.
 
     ``word_confidence`` (boolean column of words) tells whether the recogniser
     gives a real confidence per word; without it those metrics stay empty.
+    ``calls``: (call_id, speakers, duration_s) from the attribution and the recording; a call without them has one speaker
+    if it has turns, and no duration.
     """
+    if calls is None:
+        calls = words.select("call_id", F.lit(None).cast("int").alias("speakers"), F.lit(None).cast("double").alias("duration_s")).distinct()
     rows = words if "word_confidence" in words.columns else words.withColumn("word_confidence", F.lit(True))
     low = F.col("word_confidence") & (F.col("confidence") < V.LOW_WORD_CONFIDENCE)
     filler = bare("word", "a-z'").isin(*V.FILLERS)
@@ -183,12 +201,13 @@ def speech_metrics(words: DataFrame, turn_rows: DataFrame, boundary_rows: DataFr
     span = (F.col("t1") - F.col("t0")) / 1000.0
     zero = F.lit(0).cast("bigint")
     return (
-        base.join(spoken, "call_id", "left").join(events, "call_id", "left").join(unclear, "call_id", "left")
+        base.join(spoken, "call_id", "left").join(events, "call_id", "left").join(unclear, "call_id", "left").join(calls, "call_id", "left")
         .select(
-            "call_id", "word_count", F.when(span > 2, half_up(F.col("word_count") / span * 60)).cast("bigint").alias("words_per_minute"),
+            "call_id", "duration_s", "word_count", F.when(span > 2, half_up(F.col("word_count") / span * 60)).cast("bigint").alias("words_per_minute"),
             "avg_confidence", F.coalesce("low_confidence_words", F.array().cast("array<string>")).alias("low_confidence_words"),
             (F.col("low_n") / F.col("word_count")).alias("low_confidence_ratio"), "filler_count",
-            "pause_count", "long_pause_count", "longest_pause_s", F.coalesce("turn_count", zero).alias("turn_count"),
+            "pause_count", "long_pause_count", "longest_pause_s",
+            F.coalesce(F.col("speakers").cast("int"), F.when(F.col("turn_count") > 0, 1).otherwise(0)).alias("speakers"), F.coalesce("turn_count", zero).alias("turn_count"),
             F.coalesce("overlap_count", zero).alias("overlap_count"), F.coalesce("overlap_s", F.lit(0.0)).alias("overlap_s"),
             F.coalesce("interruption_count", zero).alias("interruption_count"), F.coalesce("backchannel_count", zero).alias("backchannel_count"),
         )

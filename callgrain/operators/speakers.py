@@ -376,3 +376,28 @@ def without_audio(words: DataFrame) -> DataFrame:
     return words.withColumns({
         "voice": F.col("recognised").cast("int"), "attribution": F.when(F.col("recognised").isNull(), 0.0).otherwise(0.5), "background": F.lit(False),
     })
+
+
+def unheard_summary(calls: DataFrame, words: DataFrame) -> DataFrame:
+    """The summary of calls without frames, like ``attribution_summary``: of labelled, of unlabelled and of no words at all. ``calls``: (call_id)."""
+    known = words.groupBy("call_id").agg(F.count_distinct("recognised").alias("n"), F.lit(True).alias("worded"))
+    labelled = F.coalesce("n", F.lit(0)) > 0
+    # fixed values: wording of the notes
+    note = F.when(F.col("worded"), "Audio could not be analysed, so speaker labels come from the speech recogniser only and were not verified.").otherwise(
+        "This transcript has no word timings, so speakers could not be separated.")
+    source = F.when(labelled, "recognizer").otherwise("unavailable")
+    return calls.select("call_id").distinct().join(known, "call_id", "left").select(
+        "call_id", F.when(labelled, F.col("n")).when(F.col("worded"), 1).otherwise(0).cast("int").alias("speakers"), source.alias("source"),
+        source.isin(*V.RELIABLE_SOURCES).alias("reliable"), F.lit(None).cast("double").alias("pitch_gap_semitones"), F.array().cast("array<int>").alias("voice_pitch_hz"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("recogniser_speakers"), F.lit(None).cast("double").alias("agreement"), F.array(note).alias("notes"),
+    )
+
+
+def attribute_calls(calls: DataFrame, words: DataFrame, frames: DataFrame, hop_ms: float) -> tuple[DataFrame, DataFrame]:
+    """``attribute`` for the calls that have frames and words, recogniser labels for the others: (words, summary of every call)."""
+    heard = settle(frames.select("call_id").distinct().join(words.select("call_id").distinct(), "call_id", "left_semi"))
+    voiced_words, summary = attribute(words.join(heard, "call_id", "left_semi"), frames, hop_ms)
+    rest = words.join(heard, "call_id", "left_anti")
+    others = without_audio(rest)
+    return voiced_words.unionByName(others.select(*[F.col(c).cast(voiced_words.schema[c].dataType).alias(c) for c in voiced_words.columns])), summary.unionByName(
+        unheard_summary(calls.join(heard, "call_id", "left_anti"), rest))

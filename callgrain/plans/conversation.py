@@ -99,6 +99,21 @@ def turns(spark, d):
     return C.turns(words_view(spark, d)).drop("chunk")
 
 
+#: Conversations have words; documents are calls of which only a transcript is left.
+BARE = 1_000_000_000
+
+
+@q("w04_turns_of_bare_transcripts", rf"""
+SELECT call_id, turn_id::BIGINT AS turn_id, speaker, start_ms, end_ms, words, text, confidence, confidence < 0.6 AS uncertain FROM turns_v
+UNION ALL SELECT doc_id + {BARE}, 1, '0', NULL, NULL, 0, t, 0.5, false FROM (SELECT doc_id, regexp_replace(text, '^{C._EDGE}|{C._EDGE}$', '', 'g') AS t FROM documents) x WHERE t <> ''
+""", ("turns_v",))
+def turns_of_bare_transcripts(spark, d):
+    words = words_view(spark, d)
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("call_id"), F.col("text").alias("transcript"))
+    bare = table(spark, d, "documents").select((F.col("doc_id") + BARE).alias("call_id"), F.col("text").alias("transcript"))
+    return C.with_bare_transcripts(C.turns(words), words, said.unionByName(bare)).drop("chunk")
+
+
 BG = """SELECT *, sum(CASE WHEN pe IS NULL OR NOT (start_ms - pe < 600) THEN 1 ELSE 0 END) OVER (PARTITION BY call_id ORDER BY turn, pos)::BIGINT AS run_id FROM
  (SELECT *, lag(end_ms) OVER (PARTITION BY call_id ORDER BY turn, pos) AS pe FROM words_v WHERE confidence < 0.7) a"""
 
@@ -148,13 +163,15 @@ t AS (SELECT call_id, count(*) AS turns FROM acted_turns_v GROUP BY 1),
 e AS (SELECT call_id, count(*) FILTER (WHERE kind = 'simultaneous') AS sim, floor(COALESCE(sum(floor(overlap * 100 + 0.5) / 100) FILTER (WHERE kind = 'simultaneous'), 0) * 10 + 0.5) / 10 AS sim_s, count(*) FILTER (WHERE kind = 'interruption') AS cut, count(*) FILTER (WHERE kind = 'backchannel') AS ack FROM boundaries_v GROUP BY 1),
 l AS (SELECT call_id, string_agg(regexp_replace(word, '[.,?!]', '', 'g'), '|' ORDER BY k) AS ws FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY turn, pos) AS k FROM acted_v WHERE confidence < 0.7) x WHERE k <= 12 GROUP BY 1)
 SELECT base.call_id, n AS word_count, CASE WHEN span > 2 THEN CAST(floor(n / span * 60 + 0.5) AS BIGINT) END AS words_per_minute, round(conf, 9) AS avg_confidence, COALESCE(ws, '') AS low_confidence_words, round(low / n, 9) AS low_confidence_ratio, fillers AS filler_count,
- p AS pause_count, lp AS long_pause_count, longest AS longest_pause_s, turns AS turn_count, COALESCE(sim, 0) AS overlap_count, COALESCE(sim_s, 0) AS overlap_s, COALESCE(cut, 0) AS interruption_count, COALESCE(ack, 0) AS backchannel_count
-FROM base LEFT JOIN g USING (call_id) LEFT JOIN t USING (call_id) LEFT JOIN e USING (call_id) LEFT JOIN l USING (call_id)
+ p AS pause_count, lp AS long_pause_count, longest AS longest_pause_s, turns AS turn_count, COALESCE(sim, 0) AS overlap_count, COALESCE(sim_s, 0) AS overlap_s, COALESCE(cut, 0) AS interruption_count, COALESCE(ack, 0) AS backchannel_count,
+ speakers, duration_s
+FROM base JOIN (SELECT call_id, CAST(count(DISTINCT speaker) AS INT) AS speakers, (max(end_ms) + 500) / 1000.0 AS duration_s FROM acted_v GROUP BY 1) d USING (call_id) LEFT JOIN g USING (call_id) LEFT JOIN t USING (call_id) LEFT JOIN e USING (call_id) LEFT JOIN l USING (call_id)
 """, ("acted_v", "boundaries_v"))
 def speech_metrics(spark, d):
     w = acted_words_view(spark, d)
     t = settle(C.turns(w))  # read by the turn counts and, twice, by the boundaries
-    m = C.speech_metrics(w, t, C.boundaries(t))
+    length = w.groupBy("call_id").agg(((F.max("end_ms") + 500) / 1000).alias("duration_s"))
+    m = C.speech_metrics(w, t, C.boundaries(t), C.speaker_counts(w).join(length, "call_id"))
     return rounded(m.withColumn("low_confidence_words", F.array_join("low_confidence_words", "|")))
 
 
@@ -244,3 +261,18 @@ def span_features(spark, d):
     spans = C.phrase_spans(C.phrases(words_view(spark, d))).select("call_id", "phrase_id", "start_ms", "end_ms")
     out = I.span_features(frames_view(spark, d), spans, span_key=["call_id", "phrase_id"], hop_ms=50)
     return out.drop("start_ms", "end_ms")
+
+
+_CEP = ", ".join(f"avg((f.frame_idx * {i + 3} % 17) / 8.0)" for i in range(12))
+
+
+@q("j07_span_cepstra", f"""
+WITH ph AS (SELECT call_id, phrase_id, min(start_ms) AS start_ms, arg_max(end_ms, (turn, pos)) AS end_ms FROM ({PHRASES}) p GROUP BY 1, 2)
+SELECT ph.call_id, ph.phrase_id, array_to_string(list_transform([{_CEP}], lambda x: CAST(floor(x * 1000000 + 0.5) AS BIGINT)), ',') AS cep FROM ph JOIN frames_v f ON f.call_id = ph.call_id AND f.frame_idx >= floor(ph.start_ms / 50.0) AND f.frame_idx < ceil(ph.end_ms / 50.0) GROUP BY 1, 2
+""", ("words_v", "frames_v"))
+def span_cepstra(spark, d):
+    """Mean cepstrum of the voiced frames of each phrase, in millionths."""
+    spans = C.phrase_spans(C.phrases(words_view(spark, d))).select("call_id", "phrase_id", "start_ms", "end_ms")
+    frames = frames_view(spark, d).withColumn("cep", F.transform(F.sequence(F.lit(3), F.lit(14)), lambda k: (F.col("frame_idx") * k % 17) / 8.0))
+    out = I.span_features(frames, spans, span_key=["call_id", "phrase_id"], hop_ms=50, with_cep=True).where("frames > 0")
+    return out.select("call_id", "phrase_id", F.array_join(F.transform("cep", lambda x: F.floor(x * 1000000 + 0.5).cast("string")), ",").alias("cep"))

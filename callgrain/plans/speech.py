@@ -132,6 +132,19 @@ def attribution_summary(spark, d):
     return summary.withColumns({"notes": F.array_join("notes", " "), "voice_pitch_hz": F.array_join(F.col("voice_pitch_hz").cast("array<string>"), ",")})
 
 
+@q("w15_unheard_calls", """
+WITH k AS (SELECT call_id, count(DISTINCT CASE WHEN call_id % 2 = 0 THEN speaker = 'user' END) AS n FROM words_v GROUP BY 1)
+SELECT call_id, CAST(greatest(n, 1) AS INT) AS speakers, CASE WHEN n > 0 THEN 'recognizer' ELSE 'unavailable' END AS source, false AS reliable, n AS recogniser_speakers,
+ 'Audio could not be analysed, so speaker labels come from the speech recogniser only and were not verified.' AS notes FROM k
+UNION ALL SELECT doc_id + 1000000000, 0, 'unavailable', false, 0, 'This transcript has no word timings, so speakers could not be separated.' FROM documents
+""", ("words_v",))
+def unheard_calls(spark, d):
+    """No call has audio: conversations have words, with the recogniser's labels in every other one, documents are transcripts only."""
+    words = words_view(spark, d).withColumn("recognised", F.when(F.col("call_id") % 2 == 0, F.when(F.col("speaker") == "user", 0).otherwise(1)))
+    calls = words.select("call_id").union(table(spark, d, "documents").select((F.col("doc_id") + 1_000_000_000).alias("call_id")))
+    return P.unheard_summary(calls, words).select("call_id", "speakers", "source", "reliable", "recogniser_speakers", F.array_join("notes", " ").alias("notes"))
+
+
 @q("w14_background_phrases")
 def background_phrases(spark, d):
     words = settle(words_view(spark, d))
@@ -269,7 +282,7 @@ def wide_rows(spark, d):
     w = settle(acted_words_view(spark, d))
     t = settle(C.turns(w))
     b = settle(C.boundaries(t))
-    metrics = C.speech_metrics(w, t, b)
+    metrics = C.speech_metrics(w, t, b).drop("speakers", "duration_s")
     ordered = F.array_sort(F.collect_list(F.struct("at", "turn_id")))
     cuts = b.where("kind = 'interruption'").groupBy("call_id").agg(F.transform(ordered, lambda x: x["at"]).alias("cut_at"))
     sims = b.groupBy("call_id").agg(F.count_if(F.col("kind") == "simultaneous").alias("simultaneous_n"))

@@ -262,3 +262,33 @@ def test_scripted_words_and_background(spark):
     assert got == {0: "customer", 2: "agent"}  # b lies in both lines
     s = E.background_scores(words, truth).collect()[0]
     assert (s.tp, s.fn, s.fp) == (1, 0, 1)
+
+
+def test_a_call_of_which_only_a_transcript_is_left_is_one_turn(spark):
+    words = spark.createDataFrame([(1, 0, 0, 0, "hi", 0, 300, 0, 0.9)], "call_id int, chunk long, turn long, pos long, word string, start_ms long, end_ms long, speaker int, confidence double")
+    said = spark.createDataFrame([(1, "ignored, it has words"), (2, " \u00a0 hello there \n"), (3, " \t\u3000"), (4, None)], "call_id int, transcript string")
+    got = {r.call_id: r for r in C.with_bare_transcripts(C.turns(words), words, said).collect()}
+    assert set(got) == {1, 2} and got[1].text == "hi"
+    assert (got[2].speaker, got[2].start_ms, got[2].end_ms, got[2].text, got[2].confidence, got[2].uncertain) == (0, None, None, "hello there", 0.5, False)
+
+
+def test_calls_without_audio_or_words(spark):
+    schema = "call_id int, chunk long, turn long, pos long, word string, start_ms long, end_ms long, speaker int, recognised int, confidence double"
+    word = lambda call, pos, label: (call, 0, 0, pos, "w", 300 * pos, 300 * pos + 200, label, label, 0.9)
+    words = spark.createDataFrame([word(1, 0, 0), word(1, 1, 1), word(2, 0, None), word(3, 0, 0)], schema)
+    calls = spark.createDataFrame([(1,), (2,), (3,), (4,)], "call_id int")
+    frames = spark.createDataFrame([(3, k, 120.0, -20.0, -60.0) for k in range(8)], "call_id int, frame_idx long, f0 double, db double, floor_db double")
+    made, summary = P.attribute_calls(calls, words, frames, 50)
+    got = {r.call_id: r for r in summary.collect()}
+    assert [(got[k].speakers, got[k].source, got[k].reliable, got[k].recogniser_speakers) for k in (1, 2, 4)] == [(2, "recognizer", False, 2), (1, "unavailable", False, 0), (0, "unavailable", False, 0)]
+    assert got[1].notes == got[2].notes != got[4].notes and got[3].source == "single_voice"
+    labels = {(r.call_id, r.pos): (r.voice, r.attribution, r.background) for r in made.collect()}
+    assert labels[1, 1] == (1, 0.5, False) and labels[2, 0] == (None, 0.0, False)
+
+
+def test_speakers_and_duration_of_the_metrics(spark):
+    words = spark.createDataFrame([(1, 0, 0, k, "word", 400 * k, 400 * k + 300, 0, 0.9) for k in range(10)], "call_id int, chunk long, turn long, pos long, word string, start_ms long, end_ms long, speaker int, confidence double")
+    t = C.turns(words)
+    known = spark.createDataFrame([(1, 2, 7.5)], "call_id int, speakers int, duration_s double")
+    a, b = C.speech_metrics(words, t, C.boundaries(t), known).first(), C.speech_metrics(words, t, C.boundaries(t)).first()
+    assert (a.speakers, a.duration_s, b.speakers, b.duration_s) == (2, 7.5, 1, None)
