@@ -8,6 +8,7 @@ from callgrain.functions import predicates as P
 from callgrain.functions import redaction as R
 from callgrain.functions import spoken as S
 from callgrain.functions.columns import half_up, ratio
+from callgrain.functions.register import register
 from callgrain.operators import conversation as C
 from callgrain.operators import grounding as G
 from callgrain.plans.ledger import rounded
@@ -66,6 +67,22 @@ def redacted_documents(spark, d):
     return out.select("doc_id", F.md5("redacted").alias("digest"), F.length("redacted").cast("bigint").alias("n_chars"))
 
 
+@q("t01_t09_sql_names", rf"""
+WITH d AS ({SAID}), r AS ({REDACTED}),
+n AS (SELECT doc_id, list_contains(list_transform(regexp_extract_all(said, '\d[\d,]*(?:\.\d+)?'), lambda x: replace(x, ',', '')), '20759' || doc_id % 10) AS w FROM d),
+j AS (SELECT documents.lang AS lang, length(redacted) AS chars, w FROM r JOIN n USING (doc_id) JOIN documents USING (doc_id))
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE w) AS with_value, count(*) FILTER (WHERE w) AS with_number, sum(chars)::BIGINT AS redacted_chars,
+ list_sort(list(chars::DOUBLE))[CAST(least(count(*) - 1, floor(count(*) * 0.9)) AS BIGINT) + 1] AS p90 FROM j GROUP BY 1
+""")
+def sql_names(spark, d):
+    """The same rules by their SQL names."""
+    register(spark)
+    return spark.sql("""
+        WITH s AS (SELECT lang, redact(said) AS r, value_in_text(concat('20759', doc_id % 10), said) AS v, array_contains(number_set(said), concat('20759', doc_id % 10)) AS w FROM {docs})
+        SELECT lang, count(*) AS n, count_if(v) AS with_value, count_if(w) AS with_number, sum(length(r)) AS redacted_chars, nearest_rank(collect_list(CAST(length(r) AS DOUBLE)), 0.9D) AS p90
+        FROM s GROUP BY lang""", docs=said(spark, d))
+
+
 def _tag(name: str) -> str:
     return f"len(regexp_extract_all(redacted, '\\[REDACTED_{name}\\]'))"
 

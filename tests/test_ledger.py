@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from callgrain.functions import register
+from callgrain.functions import redaction, register
 from callgrain.operators import calibration as K
 from callgrain.operators import compare as A
+from callgrain.operators import grounding as G
 from callgrain.operators import ledger as L
 from callgrain.operators import monitors as M
 from callgrain.operators import reports
@@ -163,6 +164,19 @@ def test_registered_names(spark):
     assert [(r.heading, r.body) for r in rows] == [("A", "x"), ("B", "y")]
 
 
+def test_sql_names_follow_the_column_builders(spark, sf):
+    register.register(spark)
+    odd = ["mail a.b@c.de, card 4111 1111 1111 1111 or 4111111111111112", "call (415) 555-0132 or 1.2.3.4 5", "ssn 123-45-6789 x", "four one five, five five five zero one three two", "the twenty-first, 1,234.5 and twenty two", "", None]
+    said = spark.read.parquet(f"{sf}/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t in odd], "text string"))
+    rows = said.withColumns({"value": F.expr("concat_ws(' ', slice(split(text, ' '), 3, 2))"), "one": F.regexp_extract("text", r"(\d[\d ,]*)", 1)})
+    rows = G.with_value_in_text(G.with_value_in_text(G.with_numbers(rows, "text", "numbers"), "value", "text", "said"), "one", "text", "said_one")
+    rows = rows.withColumn("clean", redaction.redact("text"))
+    named = spark.sql("SELECT clean, redact(text) AS clean2, numbers, number_set(text) AS numbers2, said, value_in_text(value, text) AS said2, said_one, value_in_text(one, text) AS said_one2 FROM {rows}", rows=rows)
+    for r in named.collect():
+        assert (r.clean, r.numbers, r.said, r.said_one) == (r.clean2, r.numbers2, r.said2, r.said_one2)
+    assert spark.sql("SELECT k % 2 AS g, nearest_rank(collect_list(CAST(k AS DOUBLE)), 0.5D) AS m FROM range(9) AS t(k) GROUP BY 1 ORDER BY 1").collect() == [(0, 4.0), (1, 5.0)]
+
+
 def test_entry_and_catalog(spark):
     assert entry.entry(spark).count() == 3
     queries, sql = entry.queries(), entry.oracle_sql()
