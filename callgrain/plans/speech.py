@@ -164,16 +164,19 @@ def voice_rows(spark, d):
 _NR = "{v}[CAST(least(len({v}) - 1, floor(len({v}) * {p})) AS BIGINT) + 1]"
 
 
-@q("a25_voice_measurements", f"""
+VOICES = f"""
 WITH w AS (SELECT *, CASE WHEN speaker = 'user' THEN 0 ELSE 1 END AS voice FROM words_v),
 g AS (SELECT *, (start_ms - lag(end_ms) OVER (PARTITION BY call_id, voice ORDER BY turn, pos)) / 1000.0 AS gap FROM w),
 b AS (SELECT call_id, voice, count(*) AS n, count(*) FILTER (WHERE regexp_replace(lower(word), '[^a-z]', '', 'g') IN ('uh','um','uhm','uhh','umm','er','erm','ah','hmm','mm','mmm')) AS fl, COALESCE(sum(gap) FILTER (WHERE gap > 0.3 AND gap < 8), 0) AS pause, count(*) FILTER (WHERE gap > 1 AND gap < 8) AS lp,
   (max(end_ms) - min(start_ms)) / 1000.0 AS span FROM g GROUP BY 1, 2 HAVING count(*) >= 5),
-f AS (SELECT w.call_id, w.voice, count(*) AS fr, list(12 * log2(f0 / 100) ORDER BY f0) AS st, stddev_pop(db) AS sd FROM w JOIN frames_v f ON f.call_id = w.call_id AND f.frame_idx >= floor(w.start_ms / 50.0 + 0.5) AND f.frame_idx < floor(w.end_ms / 50.0 + 0.5) GROUP BY 1, 2)
-SELECT call_id, voice, n AS words, round(COALESCE(fr, 0) * 0.05, 6) AS speech_s, floor(100 * pow(2, {_NR.format(v="st", p=0.5)} / 12) + 0.5) AS pitch_hz, floor(({_NR.format(v="st", p=0.9)} - {_NR.format(v="st", p=0.1)}) * 10 + 0.5) / 10 AS pitch_range_st,
+f AS (SELECT w.call_id, w.voice, count(*) AS fr, list(12 * log2(f0 / 100) ORDER BY f0) AS st, stddev_pop(db) AS sd FROM w JOIN frames_v f ON f.call_id = w.call_id AND f.frame_idx >= floor(w.start_ms / 50.0 + 0.5) AND f.frame_idx < floor(w.end_ms / 50.0 + 0.5) GROUP BY 1, 2),
+v AS (SELECT call_id, voice, n AS words, round(COALESCE(fr, 0) * 0.05, 6) AS speech_s, floor(100 * pow(2, {_NR.format(v="st", p=0.5)} / 12) + 0.5) AS pitch_hz, floor(({_NR.format(v="st", p=0.9)} - {_NR.format(v="st", p=0.1)}) * 10 + 0.5) / 10 AS pitch_range_st,
  floor(sd * 10 + 0.5) / 10 AS loudness_sd_db, CASE WHEN span > 2 THEN floor((n - fl) / greatest(0.5, span - pause) * 60 + 0.5) END AS articulation_wpm, floor(pause / greatest(span, 1) * 100 + 0.5) / 100 AS pause_ratio, lp AS long_pauses, floor(fl / greatest(span, 1) * 60 * 10 + 0.5) / 10 AS fillers_per_min, fl AS filler_count
-FROM b LEFT JOIN f USING (call_id, voice)
-""", ("words_v", "frames_v"))
+FROM b LEFT JOIN f USING (call_id, voice))
+"""
+
+
+@q("a25_voice_measurements", f"{VOICES} SELECT * FROM v", ("words_v", "frames_v"))
 def voice_measurements(spark, d):
     return rounded(voice_rows(spark, d), 6)
 
@@ -184,7 +187,29 @@ def with_signal(df):
         "clipping_ratio": (F.col("call_id") % 10) / 1000.0, "dynamics_compressed": F.col("call_id") % 9 == 2})
 
 
-@q("t18_delivery")
+_S = r"regexp_replace(CAST({c} AS VARCHAR), '\.0$', '')"
+
+
+@q("t18_delivery", f"""{VOICES},
+s AS (SELECT v.*, CASE WHEN call_id % 6 <> 0 THEN 10.0 + call_id % 30 END AS snr, call_id % 8 = 3 AS band, (call_id % 10) / 1000.0 AS clip, call_id % 9 = 2 AS comp FROM v),
+c AS (SELECT *, list_filter([CASE WHEN articulation_wpm >= {V.FAST_WPM} THEN 'fast' END, CASE WHEN articulation_wpm <= {V.SLOW_WPM} THEN 'slow' END,
+  CASE WHEN fillers_per_min >= {V.HESITANT_FILLERS_PER_MIN} OR (pause_ratio >= {V.HESITANT_PAUSE_RATIO} AND long_pauses >= {V.LONG_PAUSE_COUNT}) THEN 'hesitant' WHEN long_pauses >= {V.LONG_PAUSE_COUNT} THEN 'long_pauses' END,
+  CASE WHEN pitch_range_st >= {V.WIDE_ST} THEN 'wide_pitch' END, CASE WHEN pitch_range_st <= {V.NARROW_ST} THEN 'narrow_pitch' END,
+  CASE WHEN NOT comp AND snr >= {V.MIN_LOUDNESS_SNR_DB} AND loudness_sd_db >= {V.SWING_DB} THEN 'loudness_swings' END,
+  CASE WHEN NOT comp AND snr >= {V.MIN_LOUDNESS_SNR_DB} AND loudness_sd_db <= {V.STEADY_DB} THEN 'steady_loudness' END], lambda x: x IS NOT NULL) AS ids FROM s),
+u AS (SELECT *, len(list_filter(ids, lambda x: x IN ('fast', 'wide_pitch', 'loudness_swings'))) AS up, len(list_filter(ids, lambda x: x IN ('slow', 'narrow_pitch', 'steady_loudness'))) AS down FROM c),
+a AS (SELECT *, CASE WHEN speech_s < {V.MIN_TONE_SPEECH_S} OR snr IS NULL OR snr < {V.MIN_TONE_SNR_DB} THEN 'unclear' WHEN up - down >= 2 AND down = 0 THEN 'high' WHEN up - down <= -2 AND up = 0 THEN 'low' WHEN up = 0 AND down = 0 THEN 'medium' ELSE 'unclear' END AS arousal,
+  COALESCE(snr >= {V.MIN_TONE_SNR_DB} AND NOT band AND clip < {V.CLIPPING_RATIO}, false) AS clean FROM u)
+SELECT call_id, voice, array_to_string(ids, ',') AS cues, array_to_string(list_transform(ids, lambda x: CASE x WHEN 'fast' THEN 'fast speech (' || {_S.format(c="articulation_wpm")} || ' words per minute)' WHEN 'slow' THEN 'slow speech (' || {_S.format(c="articulation_wpm")} || ' words per minute)'
+  WHEN 'hesitant' THEN 'hesitant delivery (' || {_S.format(c="fillers_per_min")} || ' fillers/min, ' || CAST(floor(pause_ratio * 100 + 0.5) AS BIGINT) || '% of the time in pauses)' WHEN 'long_pauses' THEN long_pauses || ' long pauses'
+  WHEN 'wide_pitch' THEN 'wide pitch movement (' || {_S.format(c="pitch_range_st")} || ' semitones)' WHEN 'narrow_pitch' THEN 'narrow pitch movement (' || {_S.format(c="pitch_range_st")} || ' semitones)'
+  WHEN 'loudness_swings' THEN 'large loudness swings (' || {_S.format(c="loudness_sd_db")} || ' dB)' ELSE 'very steady loudness (' || {_S.format(c="loudness_sd_db")} || ' dB)' END), '; ') AS cue_texts, arousal,
+ CASE WHEN arousal <> 'unclear' AND clean AND abs(up - down) >= 2 AND speech_s >= {V.MEDIUM_CONFIDENCE_SPEECH_S} THEN 'medium' ELSE 'low' END AS voice_confidence,
+ CASE WHEN speech_s < {V.MIN_TONE_SPEECH_S} THEN 'Only ' || CAST(floor(speech_s + 0.5) AS BIGINT) || ' s of clear speech from this speaker; too little to judge how it sounds.'
+  WHEN snr IS NULL OR snr < {V.MIN_TONE_SNR_DB} THEN 'The recording is too noisy (or could not be measured) to judge how the voice sounds.' WHEN arousal = 'high' THEN up || ' cues agree on an animated delivery.' WHEN arousal = 'low' THEN down || ' cues agree on a subdued delivery.'
+  WHEN arousal = 'medium' THEN 'Rate, pitch movement and loudness are all in the ordinary range.' ELSE 'The delivery cues point in different directions, so no activation level is claimed.' END
+  || CASE WHEN arousal <> 'unclear' AND NOT clean THEN ' The recording is noisy or band-limited, which distorts pitch and loudness, so this is a weak indication.' ELSE '' END AS reason FROM a
+""", ("words_v", "frames_v"))
 def delivery(spark, d):
     out = O.judge_delivery(with_signal(voice_rows(spark, d)))
     return out.select("call_id", "voice", F.array_join("cues", ",").alias("cues"), F.array_join("cue_texts", "; ").alias("cue_texts"), "arousal", "voice_confidence", "reason")
@@ -472,7 +497,12 @@ def finding_checks(spark, d):
     return ledger_findings(spark, d).select(c.alias("c")).agg(*[F.sum(f"c.{k}").alias(k) for k in ("present", "expected", "quiet", "forbidden")])
 
 
-@q("t24_customer_voice_rows")
+@q("t24_customer_voice_rows", f"""{VOICES},
+c AS (SELECT call_id, speakers, COALESCE(CASE call_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END, CASE WHEN speakers <= 1 THEN 0 END) AS want FROM (SELECT call_id, count(DISTINCT speaker) AS speakers FROM words_v GROUP BY 1) x),
+l AS (SELECT call_id, count(*) AS n, min(voice) AS lone FROM v GROUP BY 1),
+p AS (SELECT c.call_id, CASE WHEN x.call_id IS NOT NULL THEN want WHEN n = 1 AND speakers <= 1 THEN lone END AS voice FROM c LEFT JOIN l USING (call_id) LEFT JOIN v x ON x.call_id = c.call_id AND x.voice = c.want)
+SELECT call_id, voice, words, round(articulation_wpm, 6) AS articulation_wpm FROM v JOIN p USING (call_id, voice)
+""", ("words_v", "frames_v"))
 def customer_voice_rows(spark, d):
     calls = C.speaker_counts(words_view(spark, d)).withColumn("customer_speaker", F.when(F.col("call_id") % 3 == 0, 1).when(F.col("call_id") % 3 == 1, 0))
     return rounded(O.customer_voice_rows(voice_rows(spark, d), calls).select("call_id", "voice", "words", "articulation_wpm"), 6)
