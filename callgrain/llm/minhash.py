@@ -12,7 +12,8 @@ all members against one leader, then, while a bucket still holds members of seve
 
 Null and empty texts, and texts without words, have no set, link with nothing and are kept. Rows are joined through their
 sets, so rows that repeat an id, with the same text or another, are judged by their own text. A row with a null id takes
-no part and is kept; its component is null. Other columns are not read.
+no part and is kept; its component is null. Other columns are not read. Texts of any length are read whole, one batch of texts of
+about half a MB, or one longer text, at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations

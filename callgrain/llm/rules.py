@@ -10,7 +10,8 @@ more than ``risk`` of its good texts to its level. Strata with too few labelled
 Null and empty texts have no words and fail the base rule. A null stratum is one of the strata without labels, which use
 the level of the pooled ones. With no labels, or where no level is passed, only the base rule rejects. Repeated rows are
 judged alike, each by itself; a labelled id that occurs on several rows counts once for each. Columns of the input are
-dropped, but for the id and the stratum (and those named in ``keep``), so that clashing names do no harm.
+dropped, but for the id and the stratum (and those named in ``keep``), so that clashing names do no harm. Texts of any length are
+read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

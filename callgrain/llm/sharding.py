@@ -4,7 +4,8 @@ Each shard bids for a key with -ln(u) / weight, where u is a hash of key and sha
 A further shard wins only the keys for which its own bid is lowest, so all others stay where they are. Bids are column
 expressions; nothing is collected and no table of keys is kept.
 
-A null key is a key like any other. Equal keys always share a shard; equal rows are told apart only by their slot.
+A null key is a key like any other. Equal keys always share a shard; equal rows are told apart only by their slot. A null or
+empty text has the size 1 and the checksum 0; texts of any length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
