@@ -43,7 +43,7 @@ _GROUPS = r"filter(split(h, r'\D+'), g -> g <> '')"
 _IS_CARD = f"length({_DIGITS}) BETWEEN 13 AND 19 AND (luhn_check({_DIGITS}) OR trim(h) RLIKE r'{R.CARD_GROUPS}')"
 _IS_PHONE = rf"""length({_DIGITS}) >= 10 AND NOT h RLIKE r'[.,;][{R.BLANK}]' AND (size({_GROUPS}) = 1 OR forall({_GROUPS}, g -> length(g) <= 4)
  OR regexp_replace(h, r'^[{R.BLANK}]+', '') RLIKE r'^[+(]' OR (size({_GROUPS}) = 2 AND length(try_element_at({_GROUPS}, 1)) <= 4))"""
-_WORDS = r"split(regexp_replace(lower(t), r'[^a-z\s-]', ' '), r'[\s-]+')"
+_WORDS = f"split(regexp_replace(lower(t), r'{spoken.ORDINAL_OTHER}', ' '), r'{spoken.ORDINAL_BREAKS}')"
 _VALUE = f"try_element_at({_map(V.ORDINAL_WORDS)}, x.w)"
 _STOP = ", ".join(f"'{w}'" for w in (*V.ORDINAL_SUFFIXES, *V.VALUE_STOP_WORDS))
 
@@ -54,19 +54,19 @@ SQL_FUNCTIONS = [
     ("redact_spelled(t STRING) RETURNS STRING", f"regexp_replace(regexp_replace(t, r'{R.SSN}', '{R.TAGS['ssn']}'), r'{R.SPOKEN}', '{R.TAGS['spoken']}')"),
     ("redact_phones(t STRING) RETURNS STRING", _swapped(R.PHONE, _IS_PHONE, R.TAGS["phone"])),
     ("redact(t STRING) RETURNS STRING", "redact_phones(redact_spelled(redact_cards(redact_emails(t))))"),
-    ("written_numbers(t STRING) RETURNS ARRAY<STRING>", r"transform(regexp_extract_all(t, r'(\d[\d,]*(?:\.\d+)?)', 1), x -> regexp_replace(x, ',', ''))"),
+    ("written_numbers(t STRING) RETURNS ARRAY<STRING>", f"transform(regexp_extract_all(t, r'{spoken.WRITTEN}', 1), x -> regexp_replace(x, ',', ''))"),
     ("ordinal_numbers(t STRING) RETURNS ARRAY<STRING>", f"""transform(array_compact(transform(zip_with(concat(array(''), {_WORDS}), {_WORDS}, (p, w) -> struct(p AS p, w AS w)),
  x -> {_VALUE} + CASE WHEN {_VALUE} < 10 THEN coalesce(try_element_at({_map(V.ORDINAL_TENS)}, x.p), 0) ELSE 0 END)), n -> CAST(n AS STRING))"""),
     ("all_numbers(t STRING, spoken ARRAY<STRING>) RETURNS ARRAY<STRING>", "array_distinct(concat(written_numbers(t), spoken, ordinal_numbers(t)))"),
     ("plain_text(t STRING) RETURNS STRING", r"trim(regexp_replace(lower(t), r' *[^a-z0-9$. -][^a-z0-9$.-]*| {2,}', ' '))"),
-    ("compact_text(t STRING) RETURNS STRING", "regexp_replace(lower(t), '[^a-z0-9]', '')"),
+    ("compact_text(t STRING) RETURNS STRING", f"regexp_replace(lower(t), r'{spoken.COMPACT}', '')"),
     ("grounded(v STRING, core STRING, parts ARRAY<STRING>, spelled ARRAY<STRING>, t STRING, numbers ARRAY<STRING>) RETURNS BOOLEAN", rf"""coalesce(CASE WHEN v = '' THEN false
- WHEN v RLIKE r'\d' THEN core <> '' AND forall(filter(regexp_extract_all(lower(v), r'([a-z]{{3,}})', 1), w -> w NOT IN ({_STOP})), w -> contains(lower(t), w)) AND (array_contains(numbers, core)
-  OR (size(parts) > 1 AND regexp_like(t, array_join(transform(parts, x -> concat(r'(?<!\d)', x, r'(?!\d)')), r'\D{{1,4}}'))) OR (v RLIKE '[a-zA-Z]' AND contains(compact_text(t), compact_text(v))))
+ WHEN v RLIKE r'\d' THEN core <> '' AND forall(filter(regexp_extract_all(lower(v), r'{spoken.VALUE_NAMES}', 1), w -> w NOT IN ({_STOP})), w -> contains(lower(t), w)) AND (array_contains(numbers, core)
+  OR (size(parts) > 1 AND regexp_like(t, array_join(transform(parts, x -> concat(r'{spoken.NOT_AFTER_DIGIT}', x, r'{spoken.NOT_BEFORE_DIGIT}')), r'{spoken.PART_GAP}'))) OR (v RLIKE '[a-zA-Z]' AND contains(compact_text(t), compact_text(v))))
  ELSE (size(spelled) > 0 AND forall(spelled, n -> array_contains(numbers, n)))
   OR (size(filter(split(plain_text(v), ' '), w -> length(w) > 2)) > 0 AND forall(filter(split(plain_text(v), ' '), w -> length(w) > 2), w -> contains(concat(' ', plain_text(t), ' '), w))) END, false)"""),
     ("is_said(v STRING, value_spoken ARRAY<STRING>, t STRING, text_spoken ARRAY<STRING>) RETURNS BOOLEAN",
-     r"grounded(trim(v), regexp_replace(regexp_replace(trim(v), r'[^\d.]', ''), r'^\.+|\.+$', ''), regexp_extract_all(trim(v), r'(\d+)', 1), concat(value_spoken, ordinal_numbers(v)), t, all_numbers(t, text_spoken))"),
+     f"grounded(trim(v), regexp_replace(regexp_replace(trim(v), r'{spoken.VALUE_CORE}', ''), r'{spoken.VALUE_CORE_EDGES}', ''), regexp_extract_all(trim(v), r'{spoken.VALUE_PARTS}', 1), concat(value_spoken, ordinal_numbers(v)), t, all_numbers(t, text_spoken))"),
     ("nearest_rank(items ARRAY<DOUBLE>, p DOUBLE) RETURNS DOUBLE", "try_element_at(array_sort(items), least(size(items) - 1, CAST(floor(size(items) * p) AS INT)) + 1)"),
     ("number_set(t STRING) RETURNS ARRAY<STRING>", "all_numbers(t, number_tokens(t))"),
     ("value_in_text(v STRING, t STRING) RETURNS BOOLEAN", "is_said(v, number_tokens(v), t, number_tokens(t))"),

@@ -20,6 +20,21 @@ from callgrain.functions.columns import col, in_set, let, lookup
 MARK = "|"  # sentence end inside a token list
 _SKIP = frozenset(V.FILLERS) | frozenset(V.CURRENCY_WORDS)
 
+# --- fixed values: patterns of the reader, the strict tokens, the number sets and of value matching
+_GROUPED = re.compile(r"(\d),(\d)", re.ASCII)
+_SENTENCE = re.compile(r"[.?!;](\s|\ufeff|\Z)")
+_OTHER = re.compile(r"[^a-z0-9' |]")
+STRICT_GROUPED = r"(\d),(?=\d)"
+STRICT_OTHER = r"[^a-z0-9'.$ -]"
+STRICT_MARKS = r"(^|\s)[.$]+(?=\s|$)"
+STRICT_EDGES = r"^[.']+|[.']+$"
+ORDINAL_OTHER, ORDINAL_BREAKS = r"[^a-z\s-]", r"[\s-]+"
+WRITTEN = r"(\d[\d,]*(?:\.\d+)?)"
+VALUE_NAMES = r"([a-z]{3,})"
+VALUE_CORE, VALUE_CORE_EDGES = r"[^\d.]", r"^\.+|\.+$"
+VALUE_PARTS, NOT_AFTER_DIGIT, NOT_BEFORE_DIGIT, PART_GAP = r"(\d+)", r"(?<!\d)", r"(?!\d)", r"\D{1,4}"
+COMPACT = "[^a-z0-9]"
+
 
 # ------------------------------------------------------------- token machine
 
@@ -60,11 +75,6 @@ def read_numbers(tokens: list[str]) -> list[str]:
     return out
 
 
-_GROUPED = re.compile(r"(\d),(\d)", re.ASCII)
-_SENTENCE = re.compile(r"[.?!;](\s|\ufeff|\Z)")
-_OTHER = re.compile(r"[^a-z0-9' |]")
-
-
 def spoken_tokens(text: str) -> list[str]:
     """Comparable tokens of a transcript: numbers as digits, digit-by-digit numbers joined within a sentence."""
     t = _SENTENCE.sub(f" {MARK} ", _GROUPED.sub(r"\1\2", text.lower()))
@@ -94,10 +104,10 @@ def number_tokens(texts: pd.Series) -> pd.Series:
 
 def strict_tokens(text: str | Column) -> Column:
     """Tokens with only case, punctuation and fillers removed."""
-    t = F.regexp_replace(F.lower(col(text)), r"(\d),(?=\d)", "$1")
-    t = F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9'.$ -]", " "), "-", " ")
-    t = F.regexp_replace(t, r"(^|\s)[.$]+(?=\s|$)", " ")
-    bare = F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(w, r"^[.']+|[.']+$", ""))
+    t = F.regexp_replace(F.lower(col(text)), STRICT_GROUPED, "$1")
+    t = F.regexp_replace(F.regexp_replace(t, STRICT_OTHER, " "), "-", " ")
+    t = F.regexp_replace(t, STRICT_MARKS, " ")
+    bare = F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(w, STRICT_EDGES, ""))
     return F.filter(bare, lambda w: (w != "") & ~in_set(w, V.FILLERS))
 
 
@@ -160,7 +170,7 @@ def word_error_rate(edits: Column, hyp_tokens: Column) -> Column:
 
 def ordinal_numbers(text: str | Column) -> Column:
     """Spoken ordinals as numbers: "fourteenth" -> 14, "twenty-first" -> 21."""
-    words = F.split(F.regexp_replace(F.lower(col(text)), r"[^a-z\s-]", " "), r"[\s-]+")
+    words = F.split(F.regexp_replace(F.lower(col(text)), ORDINAL_OTHER, " "), ORDINAL_BREAKS)
     value = lambda w: lookup(V.ORDINAL_WORDS, w)
     pairs = F.zip_with(F.concat(F.array(F.lit("")), words), words, lambda p, w: F.struct(p.alias("p"), w.alias("w")))
     read = F.transform(pairs, lambda x: F.when(
@@ -171,7 +181,7 @@ def ordinal_numbers(text: str | Column) -> Column:
 
 
 def written_numbers(text: str | Column) -> Column:
-    found = F.regexp_extract_all(col(text), F.lit(r"(\d[\d,]*(?:\.\d+)?)"), F.lit(1))
+    found = F.regexp_extract_all(col(text), F.lit(WRITTEN), F.lit(1))
     return F.transform(found, lambda x: F.regexp_replace(x, ",", ""))
 
 
@@ -189,12 +199,12 @@ def grounded(value: Column, value_numbers: Column, text: Column, text_numbers: C
     """
     v = F.trim(value)
     stop = [*V.ORDINAL_SUFFIXES, *V.VALUE_STOP_WORDS]
-    named = F.filter(F.regexp_extract_all(F.lower(v), F.lit("([a-z]{3,})"), F.lit(1)), lambda w: ~w.isin(*stop))
+    named = F.filter(F.regexp_extract_all(F.lower(v), F.lit(VALUE_NAMES), F.lit(1)), lambda w: ~w.isin(*stop))
     names_said = let(F.lower(text), lambda low: F.forall(named, lambda w: low.contains(w)))
-    core = F.regexp_replace(F.regexp_replace(v, r"[^\d.]", ""), r"^\.+|\.+$", "")
-    parts = F.regexp_extract_all(v, F.lit(r"(\d+)"), F.lit(1))
-    side_by_side = F.array_join(F.transform(parts, lambda x: F.concat(F.lit(r"(?<!\d)"), x, F.lit(r"(?!\d)"))), r"\D{1,4}")
-    compact = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    core = F.regexp_replace(F.regexp_replace(v, VALUE_CORE, ""), VALUE_CORE_EDGES, "")
+    parts = F.regexp_extract_all(v, F.lit(VALUE_PARTS), F.lit(1))
+    side_by_side = F.array_join(F.transform(parts, lambda x: F.concat(F.lit(NOT_AFTER_DIGIT), x, F.lit(NOT_BEFORE_DIGIT))), PART_GAP)
+    compact = lambda x: F.regexp_replace(F.lower(x), COMPACT, "")
     numeric = names_said & (core != "") & (
         F.array_contains(text_numbers, core)
         | ((F.size(parts) > 1) & F.regexp_like(text, side_by_side))

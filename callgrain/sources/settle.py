@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the session's warehouse, which executors share too."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the session's warehouse, if all machines can see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if not one_machine and (":" not in warehouse or warehouse.startswith("file:")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_work"
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -205,3 +205,20 @@ def test_quota_of_tenants_without_a_name(spark):
     df = calls(spark, [(1, None, "completed", None, None, "ok", .1, "2024-01-02 00:00:00"), (2, 4, "completed", None, None, "ok", .1, "2024-01-01 00:00:00")])
     got = {r.owner_id: r.used for r in L.quota(df, F.expr("timestamp'2024-01-02 00:00:00'")).collect()}
     assert got == {None: 1, 4: 0}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from callgrain.sources.settle import shared_root
+
+    def session(master, **conf):
+        conf = {k.replace("_", "."): v for k, v in conf.items()}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_root(session("local[4]", spark_sql_warehouse_dir="/x/wh")) == "/x/wh/_work"
+    assert shared_root(session("yarn", spark_sql_warehouse_dir="hdfs://n/wh")) == "hdfs://n/wh/_work"
+    assert shared_root(session("local-cluster[2,1,1024]", spark_checkpoint_dir="file:///shared/")) == "file:///shared"
+    for place in ("/x/wh", "file:/x/wh"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_root(session("spark://h:7077", spark_sql_warehouse_dir=place))
