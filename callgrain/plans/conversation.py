@@ -154,7 +154,7 @@ def turn_boundaries(spark, d):
     return C.attach_boundaries(t, C.boundaries(t)).select("call_id", "turn_id", "kind")
 
 
-@q("a24_k05_speech_metrics", """
+METRICS = """
 WITH base AS (SELECT call_id, count(*) AS n, count(*) FILTER (WHERE confidence < 0.7) AS low, count(*) FILTER (WHERE regexp_replace(lower(word), '[^a-z'']', '', 'g') IN ('uh','um','uhm','uhh','umm','er','erm','ah','hmm','mm','mmm')) AS fillers,
   avg(confidence) AS conf, (arg_max(end_ms, (turn, pos)) - arg_min(start_ms, (turn, pos))) / 1000.0 AS span FROM acted_v GROUP BY 1),
 g AS (SELECT call_id, count(*) FILTER (WHERE gap > 700) AS p, count(*) FILTER (WHERE gap > 1500) AS lp, floor(greatest(0, COALESCE(max(gap), 0)) / 1000.0 * 10 + 0.5) / 10 AS longest FROM
@@ -166,7 +166,10 @@ SELECT base.call_id, n AS word_count, CASE WHEN span > 2 THEN CAST(floor(n / spa
  p AS pause_count, lp AS long_pause_count, longest AS longest_pause_s, turns AS turn_count, COALESCE(sim, 0) AS overlap_count, COALESCE(sim_s, 0) AS overlap_s, COALESCE(cut, 0) AS interruption_count, COALESCE(ack, 0) AS backchannel_count,
  speakers, duration_s
 FROM base JOIN (SELECT call_id, CAST(count(DISTINCT speaker) AS INT) AS speakers, (max(end_ms) + 500) / 1000.0 AS duration_s FROM acted_v GROUP BY 1) d USING (call_id) LEFT JOIN g USING (call_id) LEFT JOIN t USING (call_id) LEFT JOIN e USING (call_id) LEFT JOIN l USING (call_id)
-""", ("acted_v", "boundaries_v"))
+"""
+
+
+@q("a24_k05_speech_metrics", METRICS, ("acted_v", "boundaries_v"))
 def speech_metrics(spark, d):
     w = acted_words_view(spark, d)
     t = settle(C.turns(w))  # read by the turn counts and, twice, by the boundaries

@@ -15,6 +15,7 @@ from callgrain.operators import evaluation as E
 from callgrain.operators import intervals as I
 from callgrain.operators import speakers as P
 from callgrain.operators import voices as O
+from callgrain.plans.conversation import METRICS
 from callgrain.plans.ledger import rounded
 from callgrain.plans.monitors import FIRST_FIT, SCORES
 from callgrain.plans.registry import Catalog
@@ -322,14 +323,42 @@ def wide_rows(spark, d):
         "intent_confidence": F.when(F.col("call_id") % 6 == 1, "low").otherwise("high"), "dropped_unverified": (F.col("call_id") % 3).cast("bigint")})
 
 
-@q("t21_a27_findings")
+#: Findings of each call in order: [id, severity, area, title], null where a rule does not hold.
+FOUND = f"""
+WITH m AS ({METRICS}),
+b AS (SELECT call_id, count(*) FILTER (WHERE kind = 'interruption') AS cuts, count(*) FILTER (WHERE kind = 'simultaneous') AS sims FROM boundaries_v GROUP BY 1),
+u AS (SELECT call_id, count(*) FILTER (WHERE confidence < 0.6) AS unsure FROM acted_turns_v GROUP BY 1),
+w AS (SELECT m.*, COALESCE(cuts, 0) AS cuts, COALESCE(sims, 0) AS sims, COALESCE(unsure, 0) AS unsure, CASE WHEN call_id % 6 <> 0 THEN 10.0 + call_id % 30 END AS snr,
+  len(string_split(NULLIF(low_confidence_words, ''), '|')) AS unclear, call_id % 3 = 0 AS reliable, call_id % 4 <> 0 AS understood FROM m LEFT JOIN b USING (call_id) LEFT JOIN u USING (call_id)),
+f AS (SELECT call_id, list_filter([
+  CASE WHEN snr < 12 THEN ['noise_heavy', 'issue', 'audio', 'Heavy background noise'] END, CASE WHEN snr >= 12 AND snr < 26 THEN ['noise', 'warn', 'audio', 'Background noise'] END,
+  CASE WHEN snr IS NOT NULL AND call_id % 8 = 3 THEN ['band_limited', 'warn', 'audio', 'Limited bandwidth (phone-like, muffled or low-rate audio)'] END,
+  CASE WHEN snr IS NOT NULL AND call_id % 9 = 2 THEN ['compressed', 'info', 'audio', ''] END, CASE WHEN snr IS NOT NULL AND (call_id % 10) / 1000.0 > 0.005 THEN ['clipping', 'warn', 'audio', 'Audio clipping'] END,
+  CASE WHEN snr IS NULL AND low_confidence_ratio >= 0.1 THEN ['noise', 'warn', 'audio', 'Degraded audio'] END, CASE WHEN avg_confidence < 0.85 THEN ['stt_low', 'issue', 'speech', 'Low transcription confidence'] END,
+  CASE WHEN avg_confidence >= 0.85 AND (avg_confidence < 0.95 OR unclear >= 3) THEN ['stt_reduced', 'warn', 'speech', 'Reduced transcription confidence'] END,
+  CASE WHEN filler_count >= 8 THEN ['hesitation_heavy', 'warn', 'speech', 'Very hesitant speech'] WHEN filler_count >= 3 THEN ['hesitation', 'warn', 'speech', 'Hesitant speech'] END,
+  CASE WHEN long_pause_count >= 1 THEN ['long_pauses', 'warn', 'speech', 'Long pauses'] WHEN pause_count >= 4 THEN ['pauses', 'info', 'speech', ''] END,
+  CASE WHEN words_per_minute > 185 THEN ['fast', 'warn', 'speech', 'Fast speech'] WHEN words_per_minute < 105 THEN ['slow', 'info', 'speech', ''] END,
+  CASE WHEN speakers >= 2 THEN ['speakers', 'info', 'conversation', ''] END, CASE WHEN NOT reliable THEN ['attribution_uncertain', 'warn', 'conversation', 'Who said what is uncertain'] END,
+  CASE WHEN reliable AND unsure > 0 AND speakers >= 2 THEN ['attribution_partial', 'info', 'conversation', ''] END, CASE WHEN sims > 0 OR cuts > 0 THEN ['overlap', 'warn', 'conversation', 'Interruptions'] END,
+  CASE WHEN speakers > 1 AND sims = 0 THEN ['overlap_limited', 'info', 'conversation', ''] END, CASE WHEN understood AND call_id % 5 = 0 THEN ['two_intents', 'info', 'content', ''] END,
+  CASE WHEN understood AND call_id % 6 = 1 THEN ['intent_unclear', 'warn', 'content', 'Intent is unclear'] END, CASE WHEN understood AND call_id % 3 > 0 THEN ['ungrounded', 'info', 'content', ''] END
+ ], lambda x: x IS NOT NULL) AS found FROM w)
+"""
+
+
+@q("t21_a27_findings", f"""{FOUND},
+s AS (SELECT *, COALESCE(list_sum(list_transform(found, lambda x: CASE x[2] {" ".join(f"WHEN '{k}' THEN {v}" for k, v in V.SEVERITY_WEIGHT.items())} ELSE 0 END)), 0) AS score FROM f)
+SELECT call_id, array_to_string(list_transform(found, lambda x: x[1]), ',') AS ids, score, CASE WHEN score < 2 THEN 'Easy' WHEN score < 5 THEN 'Moderate' WHEN score < 9 THEN 'Hard' ELSE 'Severe' END AS label,
+ array_to_string(list_transform(list_filter(found, lambda x: x[2] <> 'info'), lambda x: x[4])[1:3], ' | ') AS notable FROM s
+""", ("acted_v", "acted_turns_v", "boundaries_v"))
 def call_findings(spark, d):
     out = findings.with_findings(wide_rows(spark, d))
     diff = findings.difficulty(F.col("findings"))
     return out.select("call_id", F.array_join(F.transform("findings", lambda f: f["id"]), ",").alias("ids"), diff["score"].alias("score"), diff["label"].alias("label"), F.array_join(findings.notable(F.col("findings")), " | ").alias("notable"))
 
 
-@q("a33_findings_per_area")
+@q("a33_findings_per_area", f"{FOUND} SELECT x[3] AS area, x[1] AS id, x[2] AS severity, count(*) AS n FROM (SELECT unnest(found) AS x FROM f) u GROUP BY ALL", ("acted_v", "acted_turns_v", "boundaries_v"))
 def findings_per_area(spark, d):
     return findings.per_area(findings.with_findings(wide_rows(spark, d)))
 
