@@ -68,7 +68,12 @@ def two_groups(df: DataFrame, *, key: Sequence[str], value: str, weight: str, ti
 
 def measured_phrases(words: DataFrame, frames: DataFrame, hop_ms: float) -> DataFrame:
     """Phrases with their voiced frames, pitch (semitones) and level."""
-    spans = C.phrase_spans(C.phrases(words)).select("call_id", "phrase_id", "chunk", "start_ms", "end_ms")
+    return measured_spans(C.phrase_spans(C.phrases(words)), frames, hop_ms)
+
+
+def measured_spans(phrase_spans: DataFrame, frames: DataFrame, hop_ms: float) -> DataFrame:
+    """``measured_phrases`` for phrases that were found already."""
+    spans = phrase_spans.select("call_id", "phrase_id", "chunk", "start_ms", "end_ms")
     feats = span_features(frames, spans, span_key=["call_id", "phrase_id"], hop_ms=hop_ms)
     return feats.withColumn("pitch", semitones("f0_median")).select(
         "call_id", "phrase_id", "chunk", "start_ms", "end_ms", "frames", "pitch", "level_db"
@@ -90,12 +95,12 @@ def foreground(phrase_rows: DataFrame) -> DataFrame:
     return joined.withColumn("fg", F.col("reliable") & ~F.col("quiet")).drop("med_level")
 
 
-def voice_groups(fg_phrases: DataFrame) -> DataFrame:
+def voice_groups(fg_phrases: DataFrame, settle=lambda df: df) -> DataFrame:
     """Per call and pitch group: centre, spread and first start. One group (0) where no split is accepted."""
     fg = fg_phrases.where("fg").select("call_id", "phrase_id", "pitch", "frames", "start_ms")
     split = two_groups(fg, key=["call_id"], value="pitch", weight="frames", tie="phrase_id")
     enough = fg.groupBy("call_id").agg((F.count("*") >= 3).alias("enough"))
-    ok = split.join(enough, "call_id").where("accepted AND enough").select("call_id", "cut", "delta")
+    ok = settle(split.join(enough, "call_id").where("accepted AND enough").select("call_id", "cut", "delta"))
     grouped = fg.join(ok, "call_id", "left").withColumn(
         "grp", F.when(F.col("cut").isNotNull() & (F.col("pitch") >= F.col("cut")), 1).otherwise(0)
     )
@@ -141,7 +146,7 @@ def word_costs(words: DataFrame, frames: DataFrame, voices: DataFrame, hop_ms: f
     return words.join(costs, WORD)
 
 
-def smooth_two_voices(costed: DataFrame) -> DataFrame:
+def smooth_two_voices(costed: DataFrame, settle=lambda df: df) -> DataFrame:
     """Cheapest label path over the words of each call (0/1), a switch being cheaper at pauses and sentence ends.
 
     A chunk is first reduced to the 2x2 matrix of path costs from entry label
@@ -153,7 +158,7 @@ def smooth_two_voices(costed: DataFrame) -> DataFrame:
     easy = (F.col("start_ms") - F.col("__end") >= V.SWITCH_PAUSE_S * 1000) | C.ends_sentence("__word")
     switch = F.when(F.col("is_first"), F.lit(-1.0)).when(easy, V.SWITCH_COST * V.SWITCH_DISCOUNT).otherwise(V.SWITCH_COST)
     steps = near.select("call_id", "chunk", F.struct("turn", "pos", "c0", "c1", switch.alias("sw")).alias("s"))
-    packed = steps.groupBy(F.col("call_id").alias("key"), "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    packed = settle(steps.groupBy(F.col("call_id").alias("key"), "chunk").agg(F.array_sort(F.collect_list("s")).alias("s")))
     key_type = costed.schema["call_id"].dataType.simpleString()
 
     def forward(items, a0: float, a1: float):
@@ -220,8 +225,8 @@ def smooth_two_voices(costed: DataFrame) -> DataFrame:
 
     mats = packed.mapInPandas(matrices, f"key {key_type}, chunk bigint, m00 double, m01 double, m10 double, m11 double")
     entries = per_key_stream(mats.repartition("key").sortWithinPartitions("key", "chunk"), chain, f"key {key_type}, chunk bigint, a0 double, a1 double")
-    traced = packed.join(entries, ["key", "chunk"]).mapInPandas(
-        trace, f"key {key_type}, chunk bigint, w array<struct<turn:bigint,pos:bigint>>, p0 array<int>, p1 array<int>, e0 int, e1 int, best int")
+    traced = settle(packed.join(entries, ["key", "chunk"]).mapInPandas(
+        trace, f"key {key_type}, chunk bigint, w array<struct<turn:bigint,pos:bigint>>, p0 array<int>, p1 array<int>, e0 int, e1 int, best int"))
     ends = traced.select("key", "chunk", "e0", "e1", "best").repartition("key").sortWithinPartitions("key", F.desc("chunk"))
     picked = per_key_stream(ends, choose, f"key {key_type}, chunk bigint, label int")
     path = F.when(F.col("label") == 1, F.col("p1")).otherwise(F.col("p0"))
@@ -312,28 +317,29 @@ def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=settle)
     """(words with voice, attribution and background; summary per call).
 
     ``words`` carries the recogniser's label as ``recognised`` (null = none).
-    ``settle`` cuts the lineage of tables that several later steps read; without it the plan would repeat them.
+    ``settle`` cuts the lineage of tables that several later steps read; without it the plan would repeat them, and a plan that
+    holds the same steps tens of times takes the driver more memory than its rows.
     """
     numbered = settle(C.phrases(words))
-    fg = settle(foreground(settle(measured_phrases(words, frames, hop_ms))))
-    voices = settle(voices_per_call(voice_groups(fg)))
-    lone = background_words(numbered, fg, voices).withColumn("background", F.lit(True))
+    fg = settle(foreground(settle(measured_spans(C.phrase_spans(numbered), frames, hop_ms))))
+    voices = settle(voices_per_call(voice_groups(fg, settle)))
+    lone = settle(background_words(numbered, fg, voices)).withColumn("background", F.lit(True))
     flagged = numbered.drop("phrase_id").join(lone, WORD, "left").withColumn("background", F.coalesce("background", F.lit(False)))
 
     costed = settle(word_costs(flagged.where("NOT background"), frames, voices, hop_ms))
     margin = F.abs(F.col("c0") - F.col("c1")) / (F.col("c0") + F.col("c1") + 1e-9)
-    labelled = costed.join(smooth_two_voices(costed), WORD).withColumn("attribution", half_up(F.least(F.lit(0.98), F.lit(0.5) + margin), 2))
+    labelled = costed.join(smooth_two_voices(costed, settle), WORD).withColumn("attribution", half_up(F.least(F.lit(0.98), F.lit(0.5) + margin), 2))
     repaired = settle(repair_short_runs(settle(labelled.drop("c0", "c1")))).select(*WORD, "voice", "attribution")
 
     summary_in = voices.select("call_id", "groups", "centres", "delta")
     known = words.groupBy("call_id").agg(F.count_distinct("recognised").alias("recogniser_speakers"))
     calls = known.join(summary_in, "call_id", "left").join(fg.groupBy("call_id").agg(F.count_if("reliable").alias("n_reliable")), "call_id", "left")
-    info = calls.select(
+    info = settle(calls.select(
         "call_id", "recogniser_speakers", "delta", "centres", F.coalesce("n_reliable", F.lit(0)).alias("n_reliable"),
         (F.coalesce("groups", F.lit(0)) == 2).alias("two_voices"),
-    )
-    joined = flagged.join(repaired, WORD, "left").join(info.select("call_id", "two_voices", "recogniser_speakers", "n_reliable"), "call_id")
-    two = number_by_first_appearance(fill_from_nearest(joined.where("two_voices")))
+    ))
+    joined = settle(flagged.join(repaired, WORD, "left").join(info.select("call_id", "two_voices", "recogniser_speakers", "n_reliable"), "call_id"))
+    two = number_by_first_appearance(settle(fill_from_nearest(joined.where("two_voices"))))
     many = F.col("recogniser_speakers") >= 2
     one = joined.where("NOT two_voices").withColumns({
         "voice": F.when(many, F.col("recognised").cast("int")).otherwise(F.lit(0)),

@@ -214,6 +214,34 @@ def test_two_voices_found_from_the_audio(spark):
     assert s.voice_pitch_hz[0] > 200 > 120 > s.voice_pitch_hz[1]
 
 
+def test_attribution_leaves_short_plans(spark):
+    """The results read settled tables: tens of repeated steps in a plan cost the driver more memory than the rows."""
+    words, frames = scene([(210, 0, TALK, -20), (110, 5, TALK, -20)])
+    df = words_df(spark, words, chunk=4).drop("speaker").withColumn("recognised", F.lit(0))
+    fr = spark.createDataFrame(frames, "call_id long, frame_idx long, f0 double, db double, floor_db double")
+    for out in P.attribute(df, fr, 10.0):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") < 12 and plan.count("Window [") < 4
+
+
+def test_recordings_are_made_a_few_at_a_time(spark, tmp_path):
+    """A batch of rows is rendered in pieces, so that Python holds a few recordings, not those of the whole batch."""
+    from callgrain.plans import speech
+
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST((i * 7 + id) % 11 - 5 AS FLOAT)) AS embedding")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield b[["path"]].iloc[:1].assign(path=str(len(b)))
+
+    clips = speech.recordings(spark, str(tmp_path))
+    assert clips.count() == 2000
+    assert max(int(r.path) for r in clips.mapInPandas(sizes, "path string").collect()) <= 400
+    audio = clips.where("path LIKE '%clip-7.wav' OR path LIKE '%clip-1999.wav'").selectExpr("length(content) AS n").collect()
+    assert [r.n for r in audio] == [32044, 32044]
+
+
 def test_one_voice_is_not_split(spark):
     lines = [(140, 0, TALK, -20), (146, 5, TALK, -20), (150, 10, TALK, -20), (143, 15, TALK, -20)]
     words, s = attribute(spark, lines)
