@@ -43,8 +43,8 @@ _GROUPS = r"filter(split(h, r'\D+'), g -> g <> '')"
 _IS_CARD = f"length({_DIGITS}) BETWEEN 13 AND 19 AND (luhn_check({_DIGITS}) OR trim(h) RLIKE r'{R.CARD_GROUPS}')"
 _IS_PHONE = rf"""length({_DIGITS}) >= 10 AND NOT h RLIKE r'[.,;][{R.BLANK}]' AND (size({_GROUPS}) = 1 OR forall({_GROUPS}, g -> length(g) <= 4)
  OR regexp_replace(h, r'^[{R.BLANK}]+', '') RLIKE r'^[+(]' OR (size({_GROUPS}) = 2 AND length(try_element_at({_GROUPS}, 1)) <= 4))"""
-_WORDS = f"split(regexp_replace(lower(t), r'{spoken.ORDINAL_OTHER}', ' '), r'{spoken.ORDINAL_BREAKS}')"
-_VALUE = f"try_element_at({_map(V.ORDINAL_WORDS)}, x.w)"
+_WORDS = f"split(h, r'{spoken.ORDINAL_BREAKS}')"
+_VALUE = f"try_element_at({_map(V.ORDINAL_WORDS)}, element_at({_WORDS}, -1))"
 _STOP = ", ".join(f"'{w}'" for w in (*V.ORDINAL_SUFFIXES, *V.VALUE_STOP_WORDS))
 
 #: (signature, body) in the order in which they use each other. The rules are those of the Column builders.
@@ -55,8 +55,8 @@ SQL_FUNCTIONS = [
     ("redact_phones(t STRING) RETURNS STRING", _swapped(R.PHONE, _IS_PHONE, R.TAGS["phone"])),
     ("redact(t STRING) RETURNS STRING", "redact_phones(redact_spelled(redact_cards(redact_emails(t))))"),
     ("written_numbers(t STRING) RETURNS ARRAY<STRING>", f"transform(regexp_extract_all(t, r'{spoken.WRITTEN}', 1), x -> regexp_replace(x, ',', ''))"),
-    ("ordinal_numbers(t STRING) RETURNS ARRAY<STRING>", f"""transform(array_compact(transform(zip_with(concat(array(''), {_WORDS}), {_WORDS}, (p, w) -> struct(p AS p, w AS w)),
- x -> {_VALUE} + CASE WHEN {_VALUE} < 10 THEN coalesce(try_element_at({_map(V.ORDINAL_TENS)}, x.p), 0) ELSE 0 END)), n -> CAST(n AS STRING))"""),
+    ("ordinal_numbers(t STRING) RETURNS ARRAY<STRING>", f"""transform(regexp_extract_all(lower(t), r'{spoken.ORDINALS}', 0),
+ h -> CAST({_VALUE} + CASE WHEN {_VALUE} < 10 THEN coalesce(try_element_at({_map(V.ORDINAL_TENS)}, {_WORDS}[0]), 0) ELSE 0 END AS STRING))"""),
     ("all_numbers(t STRING, spoken ARRAY<STRING>) RETURNS ARRAY<STRING>", "array_distinct(concat(written_numbers(t), spoken, ordinal_numbers(t)))"),
     ("plain_text(t STRING) RETURNS STRING", r"trim(regexp_replace(lower(t), r' *[^a-z0-9$. -][^a-z0-9$.-]*| {2,}', ' '))"),
     ("compact_text(t STRING) RETURNS STRING", f"regexp_replace(lower(t), r'{spoken.COMPACT}', '')"),

@@ -24,11 +24,15 @@ _SKIP = frozenset(V.FILLERS) | frozenset(V.CURRENCY_WORDS)
 _GROUPED = re.compile(r"(\d),(\d)", re.ASCII)
 _SENTENCE = re.compile(r"[.?!;](\s|\ufeff|\Z)")
 _OTHER = re.compile(r"[^a-z0-9' |]")
+_ASCII_DIGITS = frozenset("0123456789")
+_NUMBER_WORDS = frozenset(V.UNIT_WORDS) | frozenset(V.TEN_WORDS) | {"hundred"}
 STRICT_GROUPED = r"(\d),(?=\d)"
 STRICT_OTHER = r"[^a-z0-9'.$ -]"
 STRICT_MARKS = r"(^|\s)[.$]+(?=\s|$)"
 STRICT_EDGES = r"^[.']+|[.']+$"
-ORDINAL_OTHER, ORDINAL_BREAKS = r"[^a-z\s-]", r"[\s-]+"
+#: An ordinal with the word of ten before it, if any. Words are runs of a-z; those of ten are no ordinals, so matches never overlap.
+ORDINALS = rf"(?<![a-z])(?=[{''.join(sorted({w[0] for w in (*V.ORDINAL_WORDS, *V.ORDINAL_TENS)}))}])(?:(?:{'|'.join(V.ORDINAL_TENS)})[^a-z]+)?(?:{'|'.join(V.ORDINAL_WORDS)})(?![a-z])"
+ORDINAL_BREAKS = "[^a-z]+"
 WRITTEN = r"(\d[\d,]*(?:\.\d+)?)"
 VALUE_NAMES = r"([a-z]{3,})"
 VALUE_CORE, VALUE_CORE_EDGES = r"[^\d.]", r"^\.+|\.+$"
@@ -40,7 +44,7 @@ COMPACT = "[^a-z0-9]"
 
 
 def _is_number_word(w: str | None) -> bool:
-    return w is not None and (w in V.UNIT_WORDS or w in V.TEN_WORDS or w == "hundred")
+    return w in _NUMBER_WORDS
 
 
 def read_numbers(tokens: list[str]) -> list[str]:
@@ -49,7 +53,10 @@ def read_numbers(tokens: list[str]) -> list[str]:
     out: list[str] = []
     value, last = None, ""
     for i, w in enumerate(tokens):
-        number = _is_number_word(w)
+        number = w in _NUMBER_WORDS
+        if not number and value is None:
+            out.append(V.WRITTEN_ORDINALS.get(w, w))
+            continue
         if w == "oh" and value is None:
             around = (tokens[i - 1] if i else None, tokens[i + 1] if i + 1 < len(tokens) else None)
             number = any(map(_is_number_word, around))
@@ -80,12 +87,11 @@ def spoken_tokens(text: str) -> list[str]:
     t = _SENTENCE.sub(f" {MARK} ", _GROUPED.sub(r"\1\2", text.lower()))
     words = [w for w in _OTHER.sub(" ", t.replace("-", " ")).split() if w not in _SKIP]
     nums = read_numbers(words)
-    starts_digit = [w[:1].isascii() and w[:1].isdigit() for w in nums] + [False]
     out: list[str] = []
     for i, w in enumerate(nums):
-        if w == "and" and i and starts_digit[i - 1] and starts_digit[i + 1]:
+        if w == "and" and 0 < i < len(nums) - 1 and nums[i - 1][0] in _ASCII_DIGITS and nums[i + 1][0] in _ASCII_DIGITS:
             continue
-        if len(w) == 1 and w.isdigit() and out and out[-1].isdigit() and len(out[-1]) < 9:
+        if w in _ASCII_DIGITS and out and out[-1].isdigit() and len(out[-1]) < 9:
             out[-1] += w
         else:
             out.append(w)
@@ -169,15 +175,12 @@ def word_error_rate(edits: Column, hyp_tokens: Column) -> Column:
 
 
 def ordinal_numbers(text: str | Column) -> Column:
-    """Spoken ordinals as numbers: "fourteenth" -> 14, "twenty-first" -> 21."""
-    words = F.split(F.regexp_replace(F.lower(col(text)), ORDINAL_OTHER, " "), ORDINAL_BREAKS)
-    value = lambda w: lookup(V.ORDINAL_WORDS, w)
-    pairs = F.zip_with(F.concat(F.array(F.lit("")), words), words, lambda p, w: F.struct(p.alias("p"), w.alias("w")))
-    read = F.transform(pairs, lambda x: F.when(
-        value(x["w"]).isNotNull(),
-        value(x["w"]) + F.when(value(x["w"]) < 10, lookup(V.ORDINAL_TENS, x["p"], 0)).otherwise(F.lit(0)),
-    ))
-    return F.transform(F.array_compact(read), lambda n: n.cast("string"))
+    """Spoken ordinals as numbers: "fourteenth" -> 14, "twenty-first" -> 21. One search finds them, only they are read."""
+    hits = F.regexp_extract_all(F.lower(col(text)), F.lit(ORDINALS), F.lit(0))
+    words = F.transform(hits, lambda h: F.split(h, ORDINAL_BREAKS))
+    value = lambda ws: lookup(V.ORDINAL_WORDS, F.element_at(ws, -1))
+    tens = lambda ws: lookup(V.ORDINAL_TENS, ws[0], 0)
+    return F.transform(words, lambda ws: (value(ws) + F.when(value(ws) < 10, tens(ws)).otherwise(F.lit(0))).cast("string"))
 
 
 def written_numbers(text: str | Column) -> Column:
