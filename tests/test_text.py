@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callgrain.functions import redaction as R
 from callgrain.functions import spoken as S
+from callgrain.functions.register import register
 from callgrain.operators import grounding as G
 
 
@@ -119,6 +120,33 @@ def test_value_in_text(spark):
     assert got == [c[2] for c in cases]
 
 
+def test_ordinals_are_found_by_one_search(spark):
+    """Ordinals next to other letters, digits and words of ten; the column does no work for words that are none."""
+    cases = {
+        "Twenty-first": ["21"], "thirty\n\tthird, fourth": ["33", "4"], "twenty twenty second second": ["22", "2"], "twenty thirtieth": ["30"], "twenty tenth": ["10"],
+        "firsts fifths éfirst 1first first_": ["1", "1", "1"], "twentythird": [], "forty fifth": ["5"], "": [], "no number": [],
+    }
+    register(spark)
+    df = one_column(spark, [*cases, None]).select("i", S.ordinal_numbers("t").alias("a"), F.expr("ordinal_numbers(t)").alias("b")).orderBy("i")
+    got = [(r.a, r.b) for r in df.collect()]
+    assert got == [(x, x) for x in [*cases.values(), None]]
+    assert "zip_with" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf, tmp_path):
+    """Token lists take ten times their bytes in Python: a batch is bounded by bytes, not only by its rows."""
+    from callgrain.sources.views import conversations
+
+    spark.range(0, 3000, 1, 1).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "repeat('word of a text ', 400) AS text").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def sizes(batches):
+        for b in batches:
+            yield b[["text"]].iloc[:1].assign(text=str(len(b)))
+
+    seen = [int(r.text) for r in conversations(spark, str(tmp_path)).select("text").mapInPandas(sizes, "text string").collect()]
+    assert sum(seen) == 3000 and max(seen) <= 1000
+
+
 def test_spoken_corrections(spark):
     cases = {
         "It says 40... No. 48 something": [("40", "48")], "$49 sorry, $59": [("$49", "$59")], "it was 5 no wait 4821": [],
