@@ -38,6 +38,10 @@ VALUE_NAMES = r"([a-z]{3,})"
 VALUE_CORE, VALUE_CORE_EDGES = r"[^\d.]", r"^\.+|\.+$"
 VALUE_PARTS, NOT_AFTER_DIGIT, NOT_BEFORE_DIGIT, PART_GAP = r"(\d+)", r"(?<!\d)", r"(?!\d)", r"\D{1,4}"
 COMPACT = "[^a-z0-9]"
+#: A run with any other character, or of several blanks; single blanks are not touched. The letters are listed, not given as
+#: ranges: Java looks listed ones up in a table, tasks of one process that test ranges hold each other up.
+_KEPT = "abcdefghijklmnopqrstuvwxyz0123456789$."
+PLAIN_OTHER = rf" *[^{_KEPT} -][^{_KEPT}-]*| {{2,}}"
 
 
 # ------------------------------------------------------------- token machine
@@ -222,8 +226,7 @@ def grounded(value: Column, value_numbers: Column, text: Column, text_numbers: C
 
 def plain(text: str | Column) -> Column:
     """Lower case, letters, digits and $ . - kept, single spaces."""
-    # one pass: a run with any other character, or of several blanks, becomes one blank; single blanks are not touched
-    return F.trim(F.regexp_replace(F.lower(col(text)), r" *[^a-z0-9$. -][^a-z0-9$.-]*| {2,}", " "))
+    return F.trim(F.regexp_replace(F.lower(col(text)), PLAIN_OTHER, " "))
 
 
 # ----------------------------------------------------- corrections, ambiguity

@@ -111,6 +111,8 @@ def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3, f
     pieces = pieces.withColumn("w", F.split("f", " "))
     long = F.size("w") >= gram + 2
     docs = texts.select("text_id", spoken.plain("text").alias("t"))
+    # coalesce keeps Spark from adding a filter on not-null texts, which would normalise each of them once more
+    inside = lambda text: F.coalesce(text.contains(F.col("f")), F.lit(False))
 
     def grams(words: Column, skip: int) -> Column:
         """Hashes of the word groups of a text, without the first and last ``skip`` words."""
@@ -132,16 +134,17 @@ def ground_fragments(fragments: DataFrame, texts: DataFrame, *, gram: int = 3, f
 
     anchored = pieces.where(long).select("fragment_id", "f", anchor(F.col("w")).alias("g"))
     seen = docs.select("text_id", F.explode(grams(F.split("t", " "), 0)).alias("g"))
-    candidates = seen.join(anchored, "g").select("fragment_id", "text_id", "f").join(docs, "text_id")
-    found = candidates.where(F.col("t").contains(F.col("f"))).select("fragment_id", "text_id")
+    # few texts are candidates: they are normalised after the join, the others are not
+    candidates = seen.join(anchored, "g").select("fragment_id", "text_id", "f").join(texts.select("text_id", "text"), "text_id")
+    found = candidates.where(inside(spoken.plain("text"))).select("fragment_id", "text_id")
 
     short = pieces.where(~long).select("fragment_id", "f")
     if short.limit(few + 1).count() <= few:
-        direct = docs.join(F.broadcast(short), F.col("t").contains(F.col("f")))
+        direct = docs.join(F.broadcast(short), inside(F.col("t")))
     else:
         # the empty fragment lies in every text and has the empty lead
         leads = docs.select("text_id", "t", F.explode(let(F.split("t", ""), _leads)).alias("g"))
-        direct = leads.join(short.withColumn("g", F.substring("f", 1, 4)), "g").where(F.col("t").contains(F.col("f")))
+        direct = leads.join(short.withColumn("g", F.substring("f", 1, 4)), "g").where(inside(F.col("t")))
     return found.unionByName(direct.select("fragment_id", "text_id"))
 
 

@@ -191,3 +191,14 @@ def test_short_fragments_are_found_alike_by_either_way(spark):
     fragments = spark.createDataFrame([(1, "ab!!"), (2, "!!!!"), (3, "abcd"), (4, "xyz!"), (5, "a..."), (6, "cd ef"), (7, "bcde"), (8, "ab"), (9, "ñand"), (10, "zzzz")], "fragment_id int, fragment string")
     by = [{tuple(r) for r in G.ground_fragments(fragments, texts, few=few).collect()} for few in (1000, 0)]
     assert by[0] == by[1] and (3, 5) in by[0] and (1, 1) in by[0] and not {f for f, _ in by[0]} & {8, 10}
+
+
+def test_fragments_normalise_each_text_once_a_scan(spark):
+    texts = spark.createDataFrame([(1, "The  Order-Number is\n$5.20 Ünow"), (2, None), (3, "four nation_1, here")], "text_id BIGINT, text STRING")
+    fragments = spark.createDataFrame([(1, "the order-number IS $5.20 now"), (2, "the order-number is $5.20 nowhere"), (3, "Nation_1")], "fragment_id BIGINT, fragment STRING")
+    for few in (1000, 0):
+        out = G.ground_fragments(fragments, texts, few=few)
+        assert {tuple(r) for r in out.collect()} == {(1, 1), (3, 3)}
+        filters = [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in n and "lower(text#" in n]
+        assert not filters, "texts are normalised once more to leave out nulls"
+    assert "a-z" not in S.PLAIN_OTHER and "0-9" not in S.PLAIN_OTHER
