@@ -47,6 +47,13 @@ def _plain(v):
     return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
 
 
+def _runs(cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each different value and where it stands, in order; one sort for all of them."""
+    order = np.argsort(cells, kind="stable")
+    values, first = np.unique(cells[order], return_index=True)
+    return zip(values.tolist(), np.split(order, first[1:]))
+
+
 _PACKED = StructType([StructField(n, BinaryType()) for n in ("at_us", "tie", "units")])
 
 
@@ -201,7 +208,7 @@ class TrailingCounts(StatefulProcessor):
         every = every[:, np.lexsort((every[1], every[0]))]
         due, later = every[:, every[0] <= now_us], every[:, every[0] > now_us]
         if due.shape[1]:
-            yield self._counted(key, due)
+            yield self._counted(key, due, now_us)
         self._forget(now_us)
         if later.shape[1]:
             self.pending.put([tuple(r) for r in later.T.tolist()])
@@ -213,28 +220,31 @@ class TrailingCounts(StatefulProcessor):
         at, failed = self.rows.getValue((cell,))
         return np.frombuffer(at, np.int64), np.frombuffer(failed, np.int64)
 
-    def _counted(self, key, due: np.ndarray) -> pd.DataFrame:
+    def _counted(self, key, due: np.ndarray, now_us: int) -> pd.DataFrame:
         at, tie, failed, window = due
         width, keep = self.setting.get() if self.setting.exists() else (max(1, int(window[0]) // self.cells), 0)
-        self.setting.update((width, max(keep, int(window.max()))))
+        keep = max(keep, int(window.max()))
+        self.setting.update((width, keep))
         counts = {int(c[0]): tuple(n) for c, n in self.counts.iterator()}
         loaded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for c in np.unique(at // width).tolist():
-            mine = at // width == c
+        for c, mine in _runs(at // width):
             old = self._read(c) if c in counts else (np.empty(0, np.int64),) * 2
             loaded[c] = np.concatenate([old[0], at[mine]]), np.concatenate([old[1], failed[mine]])
             counts[c] = len(loaded[c][0]), int(loaded[c][1].sum())
-            self.counts.updateValue((c,), counts[c])
-            self.rows.updateValue((c,), tuple(x.tobytes() for x in loaded[c]))
+            # each write is a call to the JVM: cells that no later row can ask for are not written, only to be removed again
+            if self._needed(c, width, keep, now_us):
+                self.counts.updateValue((c,), counts[c])
+                self.rows.updateValue((c,), tuple(x.tobytes() for x in loaded[c]))
         cells = np.array(sorted(counts), np.int64)
         before = np.concatenate([[(0, 0)], np.cumsum([counts[c] for c in cells.tolist()], axis=0)])
 
         def up_to(x: np.ndarray) -> np.ndarray:
             own = x // width
             out = before[np.searchsorted(cells, own)]
-            for c in np.unique(own[np.isin(own, cells)]).tolist():
+            for c, mine in _runs(own):
+                if c not in counts:
+                    continue
                 times, bad = loaded[c] if c in loaded else self._read(c)
-                mine = own == c
                 n = np.searchsorted(times, x[mine], side="right")
                 out[mine] += np.stack([n, np.append(0, np.cumsum(bad))[n]], axis=1)
             return out
@@ -242,6 +252,10 @@ class TrailingCounts(StatefulProcessor):
         total = up_to(at) - up_to(at - window)
         return pd.DataFrame({"key": key[0], "at_us": at, "tie": tie, "total": total[:, 0], "failed": total[:, 1]})
 
+    @staticmethod
+    def _needed(cell: int, width: int, keep: int, now_us: int) -> bool:
+        return (cell + 1) * width > now_us - keep
+
     def _forget(self, now_us: int) -> None:
         """Removes the cells that end before the window of any row still to come, and looks again when the last one does."""
         if not self.setting.exists():
@@ -249,11 +263,11 @@ class TrailingCounts(StatefulProcessor):
         width, keep = self.setting.get()
         left = []
         for (c,) in list(self.counts.keys()):
-            if (c + 1) * width <= now_us - keep:
+            if self._needed(c, width, keep, now_us):
+                left.append(c)
+            else:
                 self.counts.removeKey((c,))
                 self.rows.removeKey((c,))
-            else:
-                left.append(c)
         if left:
             self.handle.registerTimer(((max(left) + 1) * width + keep) // 1000 + 1)
         else:

@@ -295,3 +295,62 @@ def test_the_first_request_wins_whatever_comes_again(spark, tmp_path):
     assert sorted((r.owner_id or "", r.k, r.id) for r in accepted.collect()) == [("", 1, 7), ("a", 1, 4), ("a", 2, 6), ("b", 1, 8)]
     every = frames[0].unionByName(frames[1])
     assert {r.id: r.answered_by for r in ingest.answered(every, accepted, ["owner_id", "k"]).collect()} == {5: 4, 4: 4, 1: 4, 6: 6, 7: 7, 9: 7, 8: 8}
+
+
+class _Held:
+    """State variables of one key in memory, counting what is written."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held.get("all", ())
+
+    def update(self, value):
+        self.held["all"] = value
+
+    put = update
+
+    def clear(self):
+        self.held.clear()
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.writes += 1
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def keys(self):
+        return list(self.held)
+
+    def iterator(self):
+        return list(self.held.items())
+
+
+def test_trailing_counts_write_only_cells_that_are_asked_for_again():
+    import numpy as np
+    import pandas as pd
+
+    monitor = stateful.TrailingCounts(cells=4)
+    monitor.pending, monitor.setting, monitor.counts, monitor.rows = (_Held() for _ in range(4))
+    monitor.handle = type("Handle", (), {"registerTimer": lambda self, ms: None})()
+    at = np.sort(np.random.default_rng(5).integers(0, 500_000_000, 400))
+    frame = pd.DataFrame({"at_us": at, "tie": np.arange(400), "failed": np.arange(400) % 3 == 0, "window_us": 8_000_000})
+    clock = type("Clock", (), {"now": 0, "getCurrentWatermarkInMs": lambda self: self.now})()
+    assert not list(monitor.handleInputRows((1,), iter([frame]), clock))
+    got = []
+    for clock.now in (400_000, 600_000):
+        got += [b for b in monitor.handleExpiredTimer((1,), clock, None)]
+    got = pd.concat(got)
+    want = [int(((at > t - 8_000_000) & (at <= t)).sum()) for t in at]
+    bad = [int((frame.failed & (at > t - 8_000_000) & (at <= t)).sum()) for t in at]
+    assert got.total.tolist() == want and got.failed.tolist() == bad
+    assert monitor.counts.writes <= 5 and monitor.rows.writes <= 5  # 4 cells in a window and the open one; all were written before
+    assert not monitor.counts.held and not monitor.setting.held
