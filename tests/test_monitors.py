@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callgrain.operators import monitors as M
-from callgrain.operators.intervals import match_events
+from callgrain.operators.intervals import match_events, span_features
 from callgrain.streaming import ingest, source, stateful
 
 
@@ -354,3 +354,13 @@ def test_trailing_counts_write_only_cells_that_are_asked_for_again():
     assert got.total.tolist() == want and got.failed.tolist() == bad
     assert monitor.counts.writes <= 5 and monitor.rows.writes <= 5  # 4 cells in a window and the open one; all were written before
     assert not monitor.counts.held and not monitor.setting.held
+
+
+def test_span_features_sort_each_list_once(spark):
+    frames = spark.createDataFrame([(1, i, float((i * 7) % 11 + 100), -20.0 - i, -70.0) for i in range(11)], "call_id BIGINT, frame_idx BIGINT, f0 DOUBLE, db DOUBLE, floor_db DOUBLE")
+    spans = spark.createDataFrame([(1, 1, 0, 550), (1, 2, 5000, 5100)], "call_id BIGINT, phrase_id BIGINT, start_ms BIGINT, end_ms BIGINT")
+    out = span_features(frames, spans, span_key=["call_id", "phrase_id"], hop_ms=50)
+    got = {r.phrase_id: (r.frames, r.f0_median, r.f0_p10, r.f0_p90, r.level_db) for r in out.collect()}
+    assert got == {1: (11, 105.0, 101.0, 109.0, -25.0), 2: (0, None, None, None, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and plan.count("sort_array(") == 2
