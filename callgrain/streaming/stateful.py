@@ -4,11 +4,13 @@ Rows wait in state until the watermark has passed them and are then replayed
 in event-time order, so the result does not depend on how the stream was cut
 into batches; rows that arrive behind the watermark are dropped. State holds the
 rows younger than the watermark plus one window, and timers remove it. Cooldown and
-admission hold and sort rows by (key, time cell) and chain the cells of a key in a second step.
+admission hold rows by (bucket of keys, time cell) and chain the cells of a key in a second step.
 """
 
 from __future__ import annotations
 
+import pickle
+
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -54,20 +56,36 @@ def _runs(cells: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     return zip(values.tolist(), np.split(order, first[1:]))
 
 
-_PACKED = StructType([StructField(n, BinaryType()) for n in ("at_us", "tie", "units")])
+#: Keys that share a group of state: each call for state or timers serves all keys of a bucket.
+BUCKETS = 1024
+_COLUMNS = ("key", "at_us", "tie", "units")
+_PACKED = StructType([StructField("rows", BinaryType())])
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    return pickle.dumps([rows[c].to_numpy() for c in _COLUMNS])
+
 
+def _unpacked(parts: Iterable[bytes]) -> pd.DataFrame:
+    """Packed rows, one after the other."""
+    held = [pd.DataFrame(dict(zip(_COLUMNS, pickle.loads(p)))) for p in parts]
+    return pd.concat(held, ignore_index=True) if held else pd.DataFrame({c: np.empty(0, np.int64) for c in _COLUMNS})
 
-def _unpacked(parts: Iterable[tuple]) -> np.ndarray:
-    """Times, ties and units of packed rows, one after the other."""
-    held = [np.stack([np.frombuffer(x, np.int64) for x in p]) for p in parts]
-    return np.concatenate(held, axis=1) if held else np.empty((3, 0), np.int64)
+
+def _by_key(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each key, in order of time and tie; one sort for all of them."""
+    code = pd.factorize(rows["key"], use_na_sentinel=False)[0]
+    order = np.lexsort((rows["tie"].to_numpy(), rows["at_us"].to_numpy(), code))
+    rows, cuts = rows.iloc[order], np.flatnonzero(np.diff(code[order])) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
+        yield rows.iloc[lo:hi]
 
 
 class Packed(StatefulProcessor):
-    """First step, for each (key, time cell): rows wait in packed pieces until the watermark has passed them, and leave sorted, as one packed row.
+    """First step, for each (bucket of keys, time cell): rows wait in packed pieces until the watermark has passed them, and leave as one packed row.
 
     Rows at or behind the watermark are late, what they would have changed may be out already: they are dropped. As the cell is
-    part of the key, a hot key is held, sorted and thinned by many tasks.
+    part of the group, a hot key is held and thinned by many tasks.
     """
 
     def __init__(self, thin: Callable[[np.ndarray], np.ndarray] | None = None) -> None:
@@ -79,71 +97,92 @@ class Packed(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
-        fresh = np.concatenate([np.stack([b[c].to_numpy(np.int64) for c in ("at_us", "tie", "units")]) for b in rows], axis=1)
-        fresh = fresh[:, fresh[0] > passed_us]
-        if fresh.shape[1]:
-            self.pending.appendValue(tuple(x.tobytes() for x in fresh))
+        fresh = pd.concat([b[list(_COLUMNS)] for b in rows], ignore_index=True)
+        fresh = fresh[fresh["at_us"] > passed_us]
+        if len(fresh):
+            self.pending.appendValue((_packed(fresh),))
             # a later piece may hold an earlier row; a timer that comes for nothing does no harm
-            self.handle.registerTimer(int(fresh[0].min()) // 1000 + 1)
+            self.handle.registerTimer(int(fresh["at_us"].min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now_us = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = _unpacked(tuple(r) for r in self.pending.get()) if self.pending.exists() else _unpacked(())
-        rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        due, later = rows[:, rows[0] <= now_us], rows[:, rows[0] > now_us]
-        if not due.shape[1]:
+        rows = _unpacked(r[0] for r in self.pending.get()) if self.pending.exists() else _unpacked(())
+        passed = rows["at_us"] <= now_us
+        due, later = rows[passed], rows[~passed]
+        if not len(due):
             return
-        if later.shape[1]:
-            self.pending.put([tuple(x.tobytes() for x in later)])
-            self.handle.registerTimer(int(later[0, 0]) // 1000 + 1)
+        if len(later):
+            self.pending.put([(_packed(later),)])
+            self.handle.registerTimer(int(later["at_us"].min()) // 1000 + 1)
         else:
             self.pending.clear()
-        out = due if self.thin is None else self.thin(due)
-        yield pd.DataFrame([(key[0], pd.Timestamp(int(due[0, -1]), unit="us"), *(x.tobytes() for x in out))], columns=["key", "event_at", "at_us", "tie", "units"])
+        last = pd.Timestamp(int(due["at_us"].max()), unit="us")
+        if self.thin is not None:
+            due = pd.concat([mine.iloc[self.thin(mine["at_us"].to_numpy())] if len(mine) > 1 else mine for mine in _by_key(due)])
+        yield pd.DataFrame([(key[0], last, _packed(due))], columns=["bucket", "event_at", "rows"])
+
+    def close(self) -> None: ...
+
+
+class _PerKey(StatefulProcessor):
+    """Second step, for each bucket: replays the rows of each key after what the key keeps, which is one value of the bucket's state.
+
+    ``replay`` gives what the rows of a key keep and return; what ``outdated`` says can't matter to rows after the watermark is forgotten.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", _PACKED)
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = pickle.loads(self.kept.get()[0]) if self.kept.exists() else {}
+        out = []
+        for mine in _by_key(_unpacked(p for b in rows for p in b["rows"])):
+            name = str(mine["key"].iloc[0])
+            kept[name], result = self.replay(kept.get(name), mine)
+            out.append(result)
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = {name: value for name, value in kept.items() if not self.outdated(value, passed_us)}
+        self.kept.update((pickle.dumps(kept),))
+        yield pd.concat(out, ignore_index=True)
 
     def close(self) -> None: ...
 
 
-class Spacing(StatefulProcessor):
-    """Second step: keeps a row only if none of its key was kept in the last ``gap_us`` (breach cooldown, debounce)."""
+class Spacing(_PerKey):
+    """Keeps a row only if none of its key was kept in the last ``gap_us`` (breach cooldown, debounce)."""
 
     def __init__(self, gap_us: int) -> None:
         self.gap_us = gap_us
 
-    def thin(self, rows: np.ndarray) -> np.ndarray:
-        """Only rows that some last kept time before them lets through: those of the first gap, and what may follow each."""
-        rows = rows[:, np.append(True, np.diff(rows[0]) != 0)]
-        t = rows[0]
+    def thin(self, t: np.ndarray) -> np.ndarray:
+        """Places of the rows that some last kept time before them lets through: those of the first gap, and what may follow each."""
+        first = np.flatnonzero(np.append(True, np.diff(t) != 0))
+        t = t[first]
         follows = np.searchsorted(t, t + self.gap_us, side="left")
         reached = np.zeros(len(t) + 1, bool)
         reached[: int(np.searchsorted(t, t[0] + self.gap_us, side="left")) + 1] = True
         for i in range(len(t)):
             if reached[i]:
                 reached[follows[i]] = True
-        return rows[:, reached[:-1]]
+        return first[reached[:-1]]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", _schema("at_us BIGINT"))
-
-    def handleInputRows(self, key, rows, timerValues):
-        at, tie, _ = _unpacked(p for b in rows for p in b[["at_us", "tie", "units"]].itertuples(index=False, name=None))
-        order = np.lexsort((tie, at))
-        at, tie = at[order], tie[order]
-        i = int(np.searchsorted(at, self.last.get()[0] + self.gap_us, side="left")) if self.last.exists() else 0
-        kept = []
+    def replay(self, last: int | None, rows: pd.DataFrame) -> tuple[int, pd.DataFrame]:
+        at = rows["at_us"].to_numpy()
+        i = 0 if last is None else int(np.searchsorted(at, last + self.gap_us, side="left"))
+        taken = []
         while i < len(at):
-            kept.append(i)
-            i = int(np.searchsorted(at, at[i] + self.gap_us, side="left"))
-        if kept:
-            self.last.update((int(at[kept[-1]]),))
-            yield pd.DataFrame({"key": key[0], "at_us": at[kept], "tie": tie[kept]})
+            taken.append(i)
+            last = int(at[i])
+            i = int(np.searchsorted(at, last + self.gap_us, side="left"))
+        return last, rows.iloc[taken][["key", "at_us", "tie"]]
 
-    def close(self) -> None: ...
+    def outdated(self, last: int, passed_us: int) -> bool:
+        return last + self.gap_us <= passed_us
 
 
-class Admission(StatefulProcessor):
-    """Second step: accepts a request when the accepted units of the last window plus its own stay within the limit.
+class Admission(_PerKey):
+    """Accepts a request when the accepted units of the last window plus its own stay within the limit.
 
     The work is that of the accepted requests; where nothing fits, those up to the next one that leaves the window are passed over.
     """
@@ -151,22 +190,15 @@ class Admission(StatefulProcessor):
     def __init__(self, window_us: int, max_units: int) -> None:
         self.window_us, self.max_units = window_us, max_units
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getListState("taken", _schema("at_us BIGINT, units BIGINT"))
-
-    def handleInputRows(self, key, rows, timerValues):
-        at, tie, units = _unpacked(p for b in rows for p in b[["at_us", "tie", "units"]].itertuples(index=False, name=None))
-        order = np.lexsort((tie, at))
-        at, tie, units = at[order], tie[order], units[order]
+    def replay(self, taken: np.ndarray | None, rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         quota = Quota(self.window_us, self.max_units)
-        if self.taken.exists():
-            quota.take(*np.array([tuple(r) for r in self.taken.get()], np.int64).T)
-        accepted = quota.admit(at, units)
-        if quota.taken:
-            self.taken.put([*quota.taken])
-        yield pd.DataFrame({"key": key[0], "at_us": at, "tie": tie, "accepted": accepted})
+        if taken is not None:
+            quota.take(*taken)
+        accepted = quota.admit(rows["at_us"].to_numpy(), rows["units"].to_numpy())
+        return np.array([*quota.taken], np.int64).reshape(-1, 2).T, rows[["key", "at_us", "tie"]].assign(accepted=accepted)
 
-    def close(self) -> None: ...
+    def outdated(self, taken: np.ndarray, passed_us: int) -> bool:
+        return not taken.size or int(taken[0, -1]) + self.window_us <= passed_us
 
 
 class TrailingCounts(StatefulProcessor):
@@ -338,27 +370,30 @@ class Assembly(StatefulProcessor):
     def close(self) -> None: ...
 
 
-def _chained(rows: DataFrame, key: str, at: str, tie: str, units: Column, cell_us: int, delay: str, first: StatefulProcessor, second: StatefulProcessor, out: str) -> DataFrame:
-    """Both steps: (key, cell of ``cell_us``), then key. The watermark of the first holds for what it gives, so the second gets all of a key up to it in one batch."""
+def _chained(rows: DataFrame, key: str, at: str, tie: str, units: Column, cell_us: int, delay: str, first: StatefulProcessor, second: StatefulProcessor, out: str, buckets: int) -> DataFrame:
+    """Both steps: (bucket of keys, cell of ``cell_us``), then bucket. The watermark of the first holds for what it gives, so the second gets all of a key up to it in one batch."""
     us = F.unix_micros(at)
-    marked = rows.withWatermark(at, delay).select(
-        F.col(key).alias("key"), F.floor(us / cell_us).cast("bigint").alias("cell"), F.col(at).alias("event_at"), us.alias("at_us"), F.col(tie).cast("bigint").alias("tie"), units.cast("bigint").alias("units"))
-    kt = marked.schema["key"].dataType
-    packed = marked.groupBy("key", "cell").transformWithStateInPandas(
-        first, StructType([StructField("key", kt), StructField("event_at", TimestampType()), *_PACKED]), "Append", "EventTime", eventTimeColumnName="event_at")
-    return packed.groupBy("key").transformWithStateInPandas(second, _schema(f"key, {out}", key=kt), "Append", "EventTime")
-
-
-def spaced(rows: DataFrame, *, key: str, at: str, tie: str, gap_us: int, delay: str = WATERMARK, spans: int = 8) -> DataFrame:
+    # null has a bucket of its own: beside others it would turn whole numbers into floats
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("bigint")
+    # rows without a time never pass the watermark, and a null cell would turn the others into floats
+    marked = rows.where(F.col(at).isNotNull()).withWatermark(at, delay).select(
+        bucket.alias("bucket"), F.floor(us / cell_us).cast("bigint").alias("cell"), F.col(key).alias("key"), F.col(at).alias("event_at"), us.alias("at_us"), F.col(tie).cast("bigint").alias("tie"),
+        units.cast("bigint").alias("units"))
+    packed = marked.groupBy("bucket", "cell").transformWithStateInPandas(
+        first, StructType([StructField("bucket", LongType()), StructField("event_at", TimestampType()), *_PACKED]), "Append", "EventTime", eventTimeColumnName="event_at")
+    return packed.groupBy("bucket").transformWithStateInPandas(second, _schema(f"key, {out}", key=marked.schema["key"].dataType), "Append", "EventTime")
+
+
+def spaced(rows: DataFrame, *, key: str, at: str, tie: str, gap_us: int, delay: str = WATERMARK, spans: int = 8, buckets: int = BUCKETS) -> DataFrame:
     """Streaming twin of ``operators.monitors.greedy_spacing``; a cell holds ``spans`` gaps."""
     second = Spacing(gap_us)
-    return _chained(rows, key, at, tie, F.lit(0), spans * gap_us, delay, Packed(second.thin), second, "at_us BIGINT, tie BIGINT")
+    return _chained(rows, key, at, tie, F.lit(0), spans * gap_us, delay, Packed(second.thin), second, "at_us BIGINT, tie BIGINT", buckets)
 
 
-def admitted(rows: DataFrame, *, key: str, at: str, tie: str, units: str, window_us: int = 3600 * MICROS, max_units: int = V.HOURLY_UNITS_PER_ADDRESS, delay: str = WATERMARK) -> DataFrame:
+def admitted(rows: DataFrame, *, key: str, at: str, tie: str, units: str, window_us: int = 3600 * MICROS, max_units: int = V.HOURLY_UNITS_PER_ADDRESS, delay: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """Streaming twin of ``operators.monitors.quota_replay``; a cell is as long as the window."""
     second = Admission(window_us, max_units)
-    return _chained(rows, key, at, tie, F.col(units), window_us, delay, Packed(), second, "at_us BIGINT, tie BIGINT, accepted BOOLEAN")
+    return _chained(rows, key, at, tie, F.col(units), window_us, delay, Packed(), second, "at_us BIGINT, tie BIGINT, accepted BOOLEAN", buckets)
 
 
 def trailing_rates(

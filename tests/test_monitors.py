@@ -364,3 +364,41 @@ def test_span_features_sort_each_list_once(spark):
     assert got == {1: (11, 105.0, 101.0, 109.0, -25.0), 2: (0, None, None, None, None)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort(" not in plan and plan.count("sort_array(") == 2
+
+
+def test_keys_of_a_bucket_share_state_and_timers():
+    import pandas as pd
+
+    rows = hot_rows(600, seed=3, step=30)
+    want = spacing(rows, 60_000_000)
+    names = sorted({r[1] for r in rows})
+    frame = pd.DataFrame([(k, t, i, 0) for i, k, t, _ in rows], columns=["key", "at_us", "tie", "units"])
+    second = stateful.Spacing(60_000_000)
+    first = stateful.Packed(second.thin)
+    pieces, timers = [], []
+    first.pending = type("Pieces", (), {"appendValue": lambda self, v: pieces.append(v), "exists": lambda self: bool(pieces), "get": lambda self: list(pieces), "put": lambda self, v: pieces.__setitem__(slice(None), v), "clear": lambda self: pieces.clear()})()
+    first.handle = type("Handle", (), {"registerTimer": lambda self, ms: timers.append(ms)})()
+    second.kept = _Held()
+    clock = type("Clock", (), {"now": 0, "getCurrentWatermarkInMs": lambda self: self.now})()
+    assert not list(first.handleInputRows((0, 0), iter([frame]), clock))
+    assert len(names) > 1 and len(pieces) == len(timers) == 1  # one call each for all keys
+    got = set()
+    times = sorted(r[2] for r in rows)
+    for clock.now in (times[300] // 1000, times[-1] // 1000 + 1, times[-1] // 1000 + 61_000):
+        for out in first.handleExpiredTimer((0, 0), clock, None):
+            for b in second.handleInputRows((0,), iter([out]), clock):
+                got |= {(k, t) for k, t in zip(b["key"], b["at_us"])}
+    assert got == want and not pieces
+
+
+def test_streams_keep_null_keys_and_large_numbers_apart(spark, tmp_path):
+    big = 2**53
+    base = 1_700_000_000
+    rows = [(i, [None, big, big + 1][i % 3], (base + 20 * i) * 1_000_000) for i in range(90)]
+    make = lambda r: spark.createDataFrame(r, "id long, k long, at long").selectExpr("id", "k", "timestamp_micros(at) AS ts")
+    folder = str(tmp_path / "in")
+    for part in (rows[:40], rows[40:], [(1000, 1, (base + 10_000) * 1_000_000)]):
+        make(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = source.event_stream(spark, folder, "id BIGINT, k BIGINT, ts TIMESTAMP", files_per_trigger=1)
+    kept = source.run_to_table(stateful.spaced(stream, key="k", at="ts", tie="id", gap_us=100_000_000, delay="0 seconds", buckets=1), "t")
+    assert {(r.key, r.at_us) for r in kept.collect() if r.key != 1} == spacing([(i, k, t, 0) for i, k, t in rows], 100_000_000)
