@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, NumericType, ShortType, StringType, StructField, StructType, TimestampType
 
 from callgrain import vocab as V
 from callgrain.functions import predicates as P
@@ -98,6 +98,7 @@ class Packed(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
         fresh = pd.concat([b[list(_COLUMNS)] for b in rows], ignore_index=True)
+        fresh = fresh.assign(**{c: fresh[c].to_numpy(np.int64) for c in _COLUMNS[1:]})
         fresh = fresh[fresh["at_us"] > passed_us]
         if len(fresh):
             self.pending.appendValue((_packed(fresh),))
@@ -373,15 +374,18 @@ class Assembly(StatefulProcessor):
 def _chained(rows: DataFrame, key: str, at: str, tie: str, units: Column, cell_us: int, delay: str, first: StatefulProcessor, second: StatefulProcessor, out: str, buckets: int) -> DataFrame:
     """Both steps: (bucket of keys, cell of ``cell_us``), then bucket. The watermark of the first holds for what it gives, so the second gets all of a key up to it in one batch."""
     us = F.unix_micros(at)
-    # null has a bucket of its own: beside others it would turn whole numbers into floats
+    kt = rows.schema[key].dataType
+    # a null turns the numbers beside it in a batch into floats: numbers go to Python as text, and come back as they were
+    held = F.col(key).cast("string") if isinstance(kt, NumericType) else F.col(key)
     bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("bigint")
     # rows without a time never pass the watermark, and a null cell would turn the others into floats
     marked = rows.where(F.col(at).isNotNull()).withWatermark(at, delay).select(
-        bucket.alias("bucket"), F.floor(us / cell_us).cast("bigint").alias("cell"), F.col(key).alias("key"), F.col(at).alias("event_at"), us.alias("at_us"), F.col(tie).cast("bigint").alias("tie"),
+        bucket.alias("bucket"), F.floor(us / cell_us).cast("bigint").alias("cell"), held.alias("key"), F.col(at).alias("event_at"), us.alias("at_us"), F.col(tie).cast("bigint").alias("tie"),
         units.cast("bigint").alias("units"))
     packed = marked.groupBy("bucket", "cell").transformWithStateInPandas(
         first, StructType([StructField("bucket", LongType()), StructField("event_at", TimestampType()), *_PACKED]), "Append", "EventTime", eventTimeColumnName="event_at")
-    return packed.groupBy("bucket").transformWithStateInPandas(second, _schema(f"key, {out}", key=marked.schema["key"].dataType), "Append", "EventTime")
+    replayed = packed.groupBy("bucket").transformWithStateInPandas(second, _schema(f"key, {out}", key=marked.schema["key"].dataType), "Append", "EventTime")
+    return replayed.withColumn("key", F.col("key").cast(kt))
 
 
 def spaced(rows: DataFrame, *, key: str, at: str, tie: str, gap_us: int, delay: str = WATERMARK, spans: int = 8, buckets: int = BUCKETS) -> DataFrame:
