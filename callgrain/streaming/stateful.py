@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import pickle
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, NumericType, ShortType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, IntegralType, LongType, NumericType, ShortType, StringType, StructField, StructType, TimestampType
 
 from callgrain import vocab as V
 from callgrain.functions import predicates as P
@@ -62,14 +62,14 @@ _COLUMNS = ("key", "at_us", "tie", "units")
 _PACKED = StructType([StructField("rows", BinaryType())])
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
-    return pickle.dumps([rows[c].to_numpy() for c in _COLUMNS])
+def _packed(rows: pd.DataFrame, columns: Sequence[str] = _COLUMNS) -> bytes:
+    return pickle.dumps([rows[c].to_numpy() for c in columns])
 
 
-def _unpacked(parts: Iterable[bytes]) -> pd.DataFrame:
+def _unpacked(parts: Iterable[bytes], columns: Sequence[str] = _COLUMNS) -> pd.DataFrame:
     """Packed rows, one after the other."""
-    held = [pd.DataFrame(dict(zip(_COLUMNS, pickle.loads(p)))) for p in parts]
-    return pd.concat(held, ignore_index=True) if held else pd.DataFrame({c: np.empty(0, np.int64) for c in _COLUMNS})
+    held = [pickle.loads(p) for p in parts]
+    return pd.DataFrame({c: np.concatenate(v) for c, v in zip(columns, zip(*held))}) if held else pd.DataFrame({c: np.empty(0, np.int64) for c in columns})
 
 
 def _by_key(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -309,64 +309,136 @@ class TrailingCounts(StatefulProcessor):
     def close(self) -> None: ...
 
 
+_EVENT = ("key", "at_us", "type", "owner_id", "owned", "stage", "status")
+PACK_ROWS = 1 << 18
+
+
+def _dealt_and_packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Before the first step: the events of a task by bucket, packed some ``PACK_ROWS`` at a time. State is fed row by row, so its rows should be few."""
+
+    def pieces(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        return pd.DataFrame([(bucket, _packed(rows.iloc[mine], _EVENT)) for bucket, mine in _runs(rows["bucket"].to_numpy())], columns=["bucket", "rows"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= PACK_ROWS:
+            yield pieces(held)
+            held, n = [], 0
+    if n:
+        yield pieces(held)
+
+
+def _ranks(values: pd.Series) -> np.ndarray:
+    """Places in sorted order; nulls come first."""
+    return pd.factorize(values, sort=True)[0]
+
+
 class Assembly(StatefulProcessor):
-    """Folds the started, stage and completed events of a call into one row.
+    """Folds the started, stage and completed events of each call into one row; the calls of a bucket share state and one timer.
 
-    Events wait in state until the watermark has passed the first completion, or ``timeout_ms`` of event time after the
-    first event, if that comes before; only then the row is written, from the events up to that time, so that it doesn't
-    depend on how the stream was cut into batches. A call without a completion by then is aborted. A mark keeps the call
-    closed for another ``timeout_ms``; rows for a closed call and rows behind the watermark are dropped.
+    Events wait in state until the watermark has passed the first completion of their call, or ``timeout_ms`` of event time
+    after its first event, if that comes before; only then the row is written, from the events up to that time, so that it
+    doesn't depend on how the stream was cut into batches. A call without a completion by then is aborted. A mark keeps the call
+    closed for another ``timeout_ms``; rows for a closed call and rows behind the watermark are dropped. The timer is that of the
+    next call or mark that ends.
     """
 
-    names = ("call_id", "owner_id", "started_us", "ended_us", "status", "stages")
+    names = ("bucket", "key", "owner_id", "started_us", "ended_us", "status", "stages")
 
     def __init__(self, timeout_ms: int) -> None:
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", _schema("at_us BIGINT, type STRING, owner_id BIGINT, stage STRING, status STRING"))
-        self.closed = handle.getValueState("closed", _schema("until_ms BIGINT"))
+        self.events = handle.getListState("events", _PACKED)
+        self.closed = handle.getValueState("closed", _PACKED)
+        self.timer = handle.getValueState("timer", _schema("at_ms BIGINT"))
 
     def handleInputRows(self, key, rows, timerValues):
-        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
-        columns = ["at_us", "type", "owner_id", "stage", "status"]
-        fresh = [tuple(_plain(v) for v in r) for b in rows for r in b[columns].itertuples(index=False, name=None)]
-        # a column of numbers with nulls comes as floats
-        fresh = [(r[0], r[1], None if r[2] is None else int(r[2]), *r[3:]) for r in fresh if r[0] > passed_us]
-        if not fresh or self.closed.exists():
-            return iter(())
-        held = [tuple(r) for r in self.events.get()] if self.events.exists() else []
-        self.events.put([*held, *fresh])
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, -(-self._end([*held, *fresh])[0] // 1000)))
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        fresh = _unpacked((p for b in rows for p in b["rows"]), _EVENT)
+        fresh = fresh[fresh["at_us"] > now_ms * 1000]
+        if len(fresh) and self.closed.exists():
+            fresh = fresh[~fresh["key"].isin(self._marks()["key"])]
+        if len(fresh):
+            self.events.appendValue((_packed(fresh, _EVENT),))
+            self._wake(max(now_ms + 1, -(-int(self._latest_end(fresh).min()) // 1000)))
         return iter(())
 
-    def _end(self, events) -> tuple[int, str]:
-        """When the call ends, and how."""
-        limit = min(e[0] for e in events) + self.timeout_ms * 1000
-        done = min(((e[0], e[4]) for e in events if e[1] == "completed" and e[0] <= limit), key=_order, default=None)
-        return done or (limit, "aborted")
+    def _marks(self) -> pd.DataFrame:
+        """The closed calls and until when they are."""
+        return _unpacked([self.closed.get()[0]] if self.closed.exists() else (), ("key", "until_ms"))
+
+    def _wake(self, at_ms: int) -> None:
+        """Sees to it that the timer comes by then."""
+        if self.timer.exists():
+            if (known := self.timer.get()[0]) <= at_ms:
+                return
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(at_ms)
+        self.timer.update((at_ms,))
+
+    def _latest_end(self, events: pd.DataFrame) -> np.ndarray:
+        """When the call ends at the latest, for all that each event says: the least one of a call is its end."""
+        return events["at_us"].to_numpy() + np.where(events["type"].to_numpy() == "completed", 0, self.timeout_ms * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.closed.exists():
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        marks = self._marks()
+        marks = marks[marks["until_ms"] >= now_ms]
+        events = _unpacked((r[0] for r in self.events.get()) if self.events.exists() else (), _EVENT)
+        call, keys = pd.factorize(events["key"], use_na_sentinel=False)
+        ends = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(ends, call, self._latest_end(events))
+        over = -(-ends // 1000) < now_ms
+        if over.any():
+            due = over[call]
+            yield self._rows(key, events[due], call[due], keys, ends)
+            marks = pd.concat([marks, pd.DataFrame({"key": keys[over], "until_ms": now_ms + self.timeout_ms})]) if len(marks) else pd.DataFrame({"key": keys[over], "until_ms": now_ms + self.timeout_ms})
+            if due.all():
+                self.events.clear()
+            else:
+                self.events.put([(_packed(events[~due], _EVENT),)])
+        if len(marks):
+            self.closed.update((_packed(marks, ("key", "until_ms")),))
+        else:
             self.closed.clear()
-            return
-        events = sorted((tuple(r) for r in self.events.get()), key=_order) if self.events.exists() else []
-        if not events:
-            return
-        ended_us, status = self._end(events)
-        self.events.clear()
-        until = timerValues.getCurrentWatermarkInMs() + self.timeout_ms
-        self.closed.update((until,))
-        self.handle.registerTimer(until)
-        yield self._row(key, [e for e in events if e[0] <= ended_us], ended_us, status)
-
-    def _row(self, key, events, ended_us, status):
-        owner = next((e[2] for e in events if e[2] is not None), None)
-        stages = ",".join(f"{e[3]}:{e[4]}" for e in events if e[1] == "stage")
-        return pd.DataFrame([(key[0], owner, events[0][0], ended_us, status, stages)], columns=list(self.names))
+        later = [*(-(-ends[~over] // 1000)), *marks["until_ms"]]
+        if later:
+            self._wake(int(min(later)))
+
+    def _rows(self, key, events: pd.DataFrame, call: np.ndarray, keys, ends: np.ndarray) -> pd.DataFrame:
+        """The row of each call that is over, from its events in order of time, type, owner, stage and status."""
+        at, owned, kind, status = events["at_us"].to_numpy(), events["owned"].to_numpy(bool), events["type"].to_numpy(), events["status"].to_numpy()
+        owner = np.where(owned, events["owner_id"].to_numpy(), np.iinfo(np.int64).min)
+        ranks = _ranks(events["status"])
+        order = np.lexsort((ranks, _ranks(events["stage"]), owner, owned, _ranks(events["type"]), at, call))
+        order = order[at[order] <= ends[call[order]]]
+        mine, firsts = np.unique(call[order], return_index=True)
+        started = at[order[firsts]]
+        place = np.zeros(len(keys), np.int64)
+        place[mine] = np.arange(len(mine))
+
+        def first(rows: np.ndarray, values: np.ndarray, default) -> np.ndarray:
+            """The value of the first of these rows of each call."""
+            out = np.full(len(mine), default, dtype=object)
+            which, at_ = np.unique(call[rows], return_index=True)
+            out[place[which]] = values[rows[at_]]
+            return out
+
+        done = order[(kind[order] == "completed") & (at[order] == ends[call[order]])]
+        done = done[np.lexsort((ranks[done], call[done]))]
+        steps = order[kind[order] == "stage"]
+        said = (events["stage"].iloc[steps].astype(object).map(str) + ":" + events["status"].iloc[steps].astype(object).map(str)).to_numpy()
+        cuts = np.searchsorted(call[steps], mine)
+        stages = [",".join(said[lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], len(steps)])]
+        return pd.DataFrame({
+            "bucket": key[0], "key": keys[mine], "owner_id": first(order[owned[order]], owner, None), "started_us": started, "ended_us": ends[mine],
+            "status": first(done, status, "aborted"), "stages": stages})
 
     def close(self) -> None: ...
 
@@ -420,8 +492,17 @@ def trailing_rates(
     return counted.select(F.col("tie").alias(id_), F.col("key").alias("owner_id"), "at_us", "total", "failed", (F.col("failed") * 100.0 / F.col("total")).alias("rate_pct"))
 
 
-def assembled_calls(events: DataFrame, timeout_ms: int = 5 * 60_000, delay: str = WATERMARK) -> DataFrame:
+def assembled_calls(events: DataFrame, timeout_ms: int = 5 * 60_000, delay: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """Call rows from an event stream (call_id, owner_id, ts, type, stage, status)."""
-    marked = events.withWatermark("ts", delay).select("call_id", "ts", F.unix_micros("ts").alias("at_us"), "type", "owner_id", "stage", "status")
-    out = _schema("call_id, owner_id BIGINT, started_us BIGINT, ended_us BIGINT, status STRING, stages STRING", call_id=events.schema["call_id"].dataType)
-    return marked.groupBy("call_id").transformWithStateInPandas(Assembly(timeout_ms), out, "Append", "EventTime")
+    kt = events.schema["call_id"].dataType
+    bucket = F.when(F.col("call_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("call_id"), F.lit(buckets))).cast("bigint")
+    # nulls turn the whole numbers beside them in a batch into floats: they have a bucket or a column to themselves
+    held = F.coalesce(F.col("call_id").cast("bigint"), F.lit(0)) if isinstance(kt, IntegralType) else F.col("call_id").cast("string") if isinstance(kt, NumericType) else F.col("call_id")
+    # rows without a time never pass the watermark
+    marked = events.where(F.col("ts").isNotNull()).withWatermark("ts", delay).select(
+        bucket.alias("bucket"), held.alias("key"), F.unix_micros("ts").alias("at_us"), "type", F.coalesce(F.col("owner_id").cast("bigint"), F.lit(0)).alias("owner_id"),
+        F.col("owner_id").isNotNull().alias("owned"), "stage", "status")
+    packed = marked.mapInPandas(_dealt_and_packed, StructType([StructField("bucket", LongType()), *_PACKED]))
+    out = _schema("bucket BIGINT, key, owner_id BIGINT, started_us BIGINT, ended_us BIGINT, status STRING, stages STRING", key=marked.schema["key"].dataType)
+    rows = packed.groupBy("bucket").transformWithStateInPandas(Assembly(timeout_ms), out, "Append", "EventTime")
+    return rows.select(F.when(F.col("bucket") >= 0, F.col("key").cast(kt)).alias("call_id"), "owner_id", "started_us", "ended_us", "status", "stages")

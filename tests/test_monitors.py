@@ -402,3 +402,45 @@ def test_streams_keep_null_keys_and_large_numbers_apart(spark, tmp_path):
     stream = source.event_stream(spark, folder, "id BIGINT, k BIGINT, ts TIMESTAMP", files_per_trigger=1)
     kept = source.run_to_table(stateful.spaced(stream, key="k", at="ts", tie="id", gap_us=100_000_000, delay="0 seconds", buckets=1), "t")
     assert {(r.key, r.at_us) for r in kept.collect() if r.key != 1} == spacing([(i, k, t, 0) for i, k, t in rows], 100_000_000)
+
+
+def test_calls_of_a_bucket_share_state_and_one_timer():
+    import pandas as pd
+
+    rows = [(1, c, 1_000_000 * (c + k + 1), kind, c, c % 2 == 0, stage, "ok") for c in range(60) for k, (kind, stage) in enumerate([("started", None), ("stage", "stt"), ("completed", None)])]
+    frame = pd.DataFrame(rows, columns=["bucket", "key", "at_us", "type", "owner_id", "owned", "stage", "status"])
+    packed = pd.concat(stateful._dealt_and_packed(iter([frame.iloc[:100], frame.iloc[100:]])))
+    assert len(packed) == 1  # state is fed with pieces, not with events
+    monitor = stateful.Assembly(timeout_ms=5000)
+    pieces, timers = [], []
+    monitor.events = type("Pieces", (), {"appendValue": lambda self, v: pieces.append(v), "exists": lambda self: bool(pieces), "get": lambda self: list(pieces), "put": lambda self, v: pieces.__setitem__(slice(None), v), "clear": lambda self: pieces.clear()})()
+    monitor.closed, monitor.timer = _Held(), _Held()
+    monitor.handle = type("Handle", (), {"registerTimer": lambda self, ms: timers.append(ms), "deleteTimer": lambda self, ms: timers.remove(ms)})()
+    clock = type("Clock", (), {"now": 0, "getCurrentWatermarkInMs": lambda self: self.now})()
+    assert not list(monitor.handleInputRows((1,), iter([packed]), clock))
+    assert len(pieces) == 1 and timers == [3000]
+    got = []
+    for clock.now in (30_500, 70_000, 200_000):
+        timers.clear()  # the one that comes
+        got += [b for b in monitor.handleExpiredTimer((1,), clock, None)]
+        assert len(timers) == (clock.now < 200_000)
+    assert [len(b) for b in got] == [28, 32] and not pieces and not monitor.closed.held
+    got = pd.concat(got).sort_values("key")
+    assert got.stages.tolist() == ["stt:ok"] * 60 and got.ended_us.tolist() == [1_000_000 * (c + 3) for c in range(60)]
+    assert [None if pd.isna(v) else v for v in got.owner_id] == [None if c % 2 else c for c in range(60)]
+
+
+def test_assembly_keeps_nulls_and_large_numbers_apart(spark, tmp_path):
+    big = 2**53
+    rows = [
+        (None, None, 10, "started", None, None), (None, big + 1, 11, "stage", None, None), (None, 7, 11, "stage", "llm", "ok"), (None, None, 12, "completed", None, None),
+        (big, big, 10, "started", None, None), (big, None, 13, "completed", None, "failed"), (big, None, 13, "completed", None, "completed"), (big, 1, 14, "stage", "tts", "ok"),
+        (big + 1, None, 20, "started", None, None), (big + 1, None, 20, None, "stt", "ok"), (big + 1, None, 320, "completed", None, "completed"),
+        (5, 3, 100, "stage", "tts", None), (5, 2, 100, "stage", "stt", "ok"), (5, 1, 401, "completed", None, "completed"), (9, 1, 9000, "started", None, None)]
+    schema = "call_id long, owner_id long, s long, type string, stage string, status string"
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([*rows, (4, 1, None, "started", None, None)], schema).selectExpr("call_id", "owner_id", "timestamp_seconds(s) AS ts", "type", "stage", "status").coalesce(1).write.parquet(folder)
+    stream = source.event_stream(spark, folder, "call_id BIGINT, owner_id BIGINT, ts TIMESTAMP, type STRING, stage STRING, status STRING")
+    got = source.run_to_table(stateful.assembled_calls(stream, timeout_ms=300_000, buckets=1), "nulls").collect()
+    assert {(r.call_id, r.owner_id, r.started_us // 10**6, r.ended_us // 10**6, r.status, r.stages) for r in got} == {
+        (None, 7, 10, 12, None, "llm:ok,None:None"), (big, big, 10, 13, "completed", ""), (big + 1, None, 20, 320, "completed", ""), (5, 2, 100, 400, "aborted", "stt:ok,tts:None")}
