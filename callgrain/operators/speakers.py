@@ -22,7 +22,7 @@ from callgrain.operators import conversation as C
 from callgrain.operators.intervals import span_features
 from callgrain.operators.quantiles import nearest_rank_by
 from callgrain.operators.sequence import islands, neighbours, per_key_stream, running_sum
-from callgrain.sources.settle import settle
+from callgrain.sources.settle import release, settle
 
 WORD = ["call_id", "turn", "pos"]
 
@@ -152,10 +152,12 @@ def smooth_two_voices(costed: DataFrame, settle=lambda df: df) -> DataFrame:
     A chunk is first reduced to the 2x2 matrix of path costs from entry label
     to exit label; chaining the matrices gives every chunk its exact entry
     costs. Each chunk then traces both possible paths and a backward chain
-    picks the one that continues. Ties stay with the current label.
+    picks the one that continues. Ties stay with the current label. Words may come
+    without their text if ``__stop`` says whether a sentence ends with them.
     """
-    near = neighbours(costed, key=["call_id"], chunk="chunk", order=["turn", "pos"], previous={"__end": "end_ms", "__word": "word"})
-    easy = (F.col("start_ms") - F.col("__end") >= V.SWITCH_PAUSE_S * 1000) | C.ends_sentence("__word")
+    marked = costed if "__stop" in costed.columns else costed.withColumn("__stop", C.ends_sentence("word"))
+    near = neighbours(marked, key=["call_id"], chunk="chunk", order=["turn", "pos"], previous={"__end": "end_ms", "__stopped": "__stop"})
+    easy = (F.col("start_ms") - F.col("__end") >= V.SWITCH_PAUSE_S * 1000) | F.col("__stopped")
     switch = F.when(F.col("is_first"), F.lit(-1.0)).when(easy, V.SWITCH_COST * V.SWITCH_DISCOUNT).otherwise(V.SWITCH_COST)
     steps = near.select("call_id", "chunk", F.struct("turn", "pos", "c0", "c1", switch.alias("sw")).alias("s"))
     packed = settle(steps.groupBy(F.col("call_id").alias("key"), "chunk").agg(F.array_sort(F.collect_list("s")).alias("s")))
@@ -227,6 +229,7 @@ def smooth_two_voices(costed: DataFrame, settle=lambda df: df) -> DataFrame:
     entries = per_key_stream(mats.repartition("key").sortWithinPartitions("key", "chunk"), chain, f"key {key_type}, chunk bigint, a0 double, a1 double")
     traced = settle(packed.join(entries, ["key", "chunk"]).mapInPandas(
         trace, f"key {key_type}, chunk bigint, w array<struct<turn:bigint,pos:bigint>>, p0 array<int>, p1 array<int>, e0 int, e1 int, best int"))
+    release(packed)
     ends = traced.select("key", "chunk", "e0", "e1", "best").repartition("key").sortWithinPartitions("key", F.desc("chunk"))
     picked = per_key_stream(ends, choose, f"key {key_type}, chunk bigint, label int")
     path = F.when(F.col("label") == 1, F.col("p1")).otherwise(F.col("p0"))
@@ -313,23 +316,34 @@ def recogniser_agreement(words: DataFrame) -> DataFrame:
     return both.select("call_id", share.alias("a")).groupBy("call_id").agg(F.max(F.greatest(F.col("a"), 1 - F.col("a"))).alias("agreement"))
 
 
-def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=settle) -> tuple[DataFrame, DataFrame]:
+def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=settle, carry: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(words with voice, attribution and background; summary per call).
 
     ``words`` carries the recogniser's label as ``recognised`` (null = none).
     ``settle`` cuts the lineage of tables that several later steps read; without it the plan would repeat them, and a plan that
-    holds the same steps tens of times takes the driver more memory than its rows.
+    holds the same steps tens of times takes the driver more memory than its rows. Settled tables hold the columns that are read
+    again, and are deleted after the step that reads them last. ``frames`` are read twice and should be dealt by (call_id, frame_slot),
+    which a settled table is not. ``carry``: columns of ``words`` that the result keeps besides the word key; all where it is not given.
     """
-    numbered = settle(C.phrases(words))
-    fg = settle(foreground(settle(measured_spans(C.phrase_spans(numbered), frames, hop_ms))))
+    kept = [c for c in words.columns if c not in WORD] if carry is None else list(carry)
+    own = [c for c in words.columns if c in {"call_id", "chunk", "turn", "pos", "word", "start_ms", "end_ms", "recognised", *kept}]
+    numbered = settle(C.phrases(words.select(*own)).withColumn("__stop", C.ends_sentence("word")).drop(*{"word"}.difference(kept)))
+    measured = settle(measured_spans(C.phrase_spans(numbered), frames, hop_ms))
+    fg = settle(foreground(measured))
+    release(measured)
     voices = settle(voices_per_call(voice_groups(fg, settle)))
-    lone = settle(background_words(numbered, fg, voices)).withColumn("background", F.lit(True))
-    flagged = numbered.drop("phrase_id").join(lone, WORD, "left").withColumn("background", F.coalesce("background", F.lit(False)))
+    lone = settle(background_words(numbered, fg, voices))
+    flagged = numbered.drop("phrase_id").join(lone.withColumn("background", F.lit(True)), WORD, "left").withColumn("background", F.coalesce("background", F.lit(False)))
 
-    costed = settle(word_costs(flagged.where("NOT background"), frames, voices, hop_ms))
+    timed = ["chunk", "start_ms", "end_ms"]
+    heard = flagged.where("NOT background").select(*WORD, *timed, "__stop")
+    costed = settle(word_costs(heard, frames, voices, hop_ms))
     margin = F.abs(F.col("c0") - F.col("c1")) / (F.col("c0") + F.col("c1") + 1e-9)
-    labelled = costed.join(smooth_two_voices(costed, settle), WORD).withColumn("attribution", half_up(F.least(F.lit(0.98), F.lit(0.5) + margin), 2))
-    repaired = settle(repair_short_runs(settle(labelled.drop("c0", "c1")))).select(*WORD, "voice", "attribution")
+    labelled = settle(costed.join(smooth_two_voices(costed, settle), WORD).select(
+        *WORD, *timed, "voice", half_up(F.least(F.lit(0.98), F.lit(0.5) + margin), 2).alias("attribution")))
+    release(costed)
+    repaired = settle(repair_short_runs(labelled).select(*WORD, "voice", "attribution"))
+    release(labelled)
 
     summary_in = voices.select("call_id", "groups", "centres", "delta")
     known = words.groupBy("call_id").agg(F.count_distinct("recognised").alias("recogniser_speakers"))
@@ -338,16 +352,20 @@ def attribute(words: DataFrame, frames: DataFrame, hop_ms: float, settle=settle)
         "call_id", "recogniser_speakers", "delta", "centres", F.coalesce("n_reliable", F.lit(0)).alias("n_reliable"),
         (F.coalesce("groups", F.lit(0)) == 2).alias("two_voices"),
     ))
-    joined = settle(flagged.join(repaired, WORD, "left").join(info.select("call_id", "two_voices", "recogniser_speakers", "n_reliable"), "call_id"))
-    two = number_by_first_appearance(settle(fill_from_nearest(joined.where("two_voices"))))
-    many = F.col("recogniser_speakers") >= 2
-    one = joined.where("NOT two_voices").withColumns({
-        "voice": F.when(many, F.col("recognised").cast("int")).otherwise(F.lit(0)),
-        "attribution": F.when(many, F.when(F.col("recognised").isNull(), 0.0).otherwise(0.45)).otherwise(F.when(F.col("n_reliable") >= 3, 0.9).otherwise(0.6)),
-    }).withColumn("__swap", F.lit(False))
+    two, many = F.col("two_voices"), F.col("recogniser_speakers") >= 2
+    own_voice = F.when(many, F.col("recognised").cast("int")).otherwise(F.lit(0))
+    sure = F.when(many, F.when(F.col("recognised").isNull(), 0.0).otherwise(0.45)).otherwise(F.when(F.col("n_reliable") >= 3, 0.9).otherwise(0.6))
+    joined = settle(
+        flagged.join(repaired, WORD, "left").join(info.select("call_id", "two_voices", "recogniser_speakers", "n_reliable"), "call_id")
+        .select(*dict.fromkeys([*(c for c in words.columns if c in {*WORD, *kept}), "chunk", "recognised", "background"]), "two_voices",
+                F.when(two, F.col("voice")).otherwise(own_voice).alias("voice"), F.when(two, F.col("attribution")).otherwise(sure).alias("attribution")))
+    release(numbered, fg, voices, lone, repaired)
+    every = settle(fill_from_nearest(joined.where("two_voices")).unionByName(joined.where("NOT two_voices")))
+    release(joined)
+    out = number_by_first_appearance(every.where("two_voices")).unionByName(every.where("NOT two_voices").withColumn("__swap", F.lit(False)))
     hide = lambda c, v: F.when(F.col("background"), F.lit(v)).otherwise(F.col(c))
-    out = two.unionByName(one.select(*two.columns)).withColumns({"voice": hide("voice", None), "attribution": hide("attribution", 0.0)})
-    words_out = out.drop("two_voices", "recogniser_speakers", "n_reliable", "__swap")
+    out = out.withColumns({"voice": hide("voice", None), "attribution": hide("attribution", 0.0)})
+    words_out = out.select(*(c for c in words.columns if c in {*WORD, *kept}), "background", "voice", "attribution")
 
     agreed = recogniser_agreement(out.where("two_voices"))
     swaps = out.groupBy("call_id").agg(F.bool_or(F.coalesce("__swap", F.lit(False))).alias("swap"))

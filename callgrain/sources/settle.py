@@ -23,3 +23,18 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def release(*settled: DataFrame) -> None:
+    """Deletes the files of settled tables that no later step reads, and lets Spark delete the shuffles of the steps that made them.
+
+    Spark does the latter when the driver collects garbage, which it may never do while a query runs. Tables that were not settled stay.
+    """
+    for df in settled:
+        plan, jvm = df._jdf.queryExecution().analyzed(), df.sparkSession._jvm
+        if plan.getClass().getSimpleName() != "LogicalRDD" or (file := plan.rdd().getCheckpointFile()).isEmpty():
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if settled:
+        settled[0].sparkSession._jvm.System.gc()

@@ -347,3 +347,30 @@ def test_frames_without_slots_give_the_same_features(spark, sf):
     spans = C.phrase_spans(C.phrases(words_view(spark, sf))).select("call_id", "phrase_id", "start_ms", "end_ms")
     rows = lambda f: Counter(tuple(r) for r in I.span_features(f, spans, span_key=["call_id", "phrase_id"], hop_ms=50).collect())
     assert rows(frames) == rows(frames.drop("frame_slot"))
+
+
+def test_attribution_settles_few_columns_and_deletes_what_it_has_read(spark, sf, monkeypatch):
+    """Frames and texts are not written, and of the tables between the steps those are left that the results read."""
+    from pathlib import Path
+
+    from callgrain.plans import speech
+
+    speech.settle(spark.range(1))
+    folder, columns = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")), []
+    before, settle = set(folder.iterdir()), speech.settle
+    monkeypatch.setattr(speech, "settle", lambda df: columns.append(df.columns) or settle(df))
+    words, summary = speech.attributed(spark, sf)
+    assert len(columns) > 8 and not {"frame_idx", "word", "confidence", "speaker"} & {c for names in columns for c in names}
+    assert len(set(folder.iterdir()) - before) <= 4
+    assert words.columns == ["call_id", "turn", "pos", "background", "voice", "attribution"]
+    assert words.count() == words_view(spark, sf).count() and summary.count() == words_view(spark, sf).select("call_id").distinct().count()
+
+
+def test_attribution_keeps_the_columns_asked_for(spark):
+    words, frames = scene([(210, 0, TALK, -20), (110, 5, TALK, -20), (210, 10, TALK, -20), (110, 15, TALK, -20)])
+    df = words_df(spark, words, chunk=4).drop("speaker").withColumn("recognised", F.lit(None).cast("int"))
+    fr = spark.createDataFrame(frames, "call_id long, frame_idx long, f0 double, db double, floor_db double")
+    every, _ = P.attribute(df, fr, 10.0)
+    some, _ = P.attribute(df, fr, 10.0, carry=["end_ms"])
+    assert every.columns == [*df.columns, "background", "voice", "attribution"] and some.columns == ["call_id", "turn", "pos", "end_ms", "background", "voice", "attribution"]
+    assert sorted(every.select(some.columns).collect()) == sorted(some.collect())
